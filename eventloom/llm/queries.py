@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, token_counts
+from . import bpe, decontaminate, perspectives, quality, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,30 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each participant's rendering of each conversation, with its targets as ``start:end`` joined by commas."""
+    parts = perspectives.render(table(spark, sf_dir, "conversations"))
+    spans = F.transform("targets", lambda t: F.concat_ws(":", t["start"].cast("string"), t["end"].cast("string")))
+    chars = F.aggregate("targets", F.lit(0).cast("bigint"), lambda n, t: n + t["end"] - t["start"])
+    return parts.select("conv_id", "speaker", "part", "n_messages", F.length("text").cast("bigint").alias("n_chars"), chars.alias("n_target_chars"), "text", F.array_join(spans, ",").alias("targets"))
+
+
+TOXIC_AT = 0.3
+
+
+def fold(id_col: str, n: int) -> Column:
+    """Remainder of the checksum by which rows are held out."""
+    return F.crc32(F.col(id_col).cast("string")) % n
+
+
+def op6_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learnt from the rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.where(fold("doc_id", 4) != 2), labels)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document under the 50k byte ranks, and what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,7 +64,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op9_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op6_nnpu, op9_byte_bpe)}
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -62,4 +86,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)""",
+    "op4_perspective_rotation": """
+        WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
+        heads AS (
+            SELECT conv_id, speaker, turn, role, text, role = speaker AS own,
+                   CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user:' || role || '|>' || chr(10) END AS head
+            FROM turns JOIN speakers USING (conv_id)),
+        rows AS (SELECT *, head || text || '<|end|>' || chr(10) AS message FROM heads),
+        placed AS (
+            SELECT *, coalesce(sum(length(message)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start FROM rows),
+        parted AS (SELECT *, CAST(floor(char_start / 32768) AS BIGINT) AS part FROM placed),
+        based AS (SELECT *, char_start - min(char_start) OVER (PARTITION BY conv_id, speaker, part) AS place FROM parted)
+        SELECT conv_id, speaker, part, count(*) AS n_messages, CAST(sum(length(message)) AS BIGINT) AS n_chars,
+               CAST(coalesce(sum(length(message) - length(head)) FILTER (WHERE own), 0) AS BIGINT) AS n_target_chars,
+               string_agg(message, '' ORDER BY char_start) AS text,
+               coalesce(string_agg(CAST(CAST(place + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(place + length(message) AS BIGINT) AS VARCHAR), ',' ORDER BY char_start) FILTER (WHERE own), '') AS targets
+        FROM based GROUP BY conv_id, speaker, part""",
 }
