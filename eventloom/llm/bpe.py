@@ -270,8 +270,8 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path)
         for batch in batches:
-            ids, starts = batch.column("token_ids").fill_null([]), batch.column("token_starts").fill_null([])
-            at = np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+            ids, starts = batch.column("token_ids"), batch.column("token_starts")
+            at = np.r_[0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
             flat = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (ids, starts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, binaries(*bpe.decode(*flat, at)).cast(pa.binary())], names=[*kept, "decoded"])
 

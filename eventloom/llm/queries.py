@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, perspectives, quality, token_counts, toxicity
+from . import bpe, decontaminate, perspectives, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,20 @@ def op6_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def _kept(removed: DataFrame) -> DataFrame:
+    return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps after windows of 50 words that an earlier document has."""
+    return _kept(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op8_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps after passages of 50 words or more that an earlier document has."""
+    return _kept(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document under the 50k byte ranks, and what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,7 +78,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op6_nnpu, op9_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op6_nnpu, op7_rabin_karp, op8_sparse_suffix_array, op9_byte_bpe)}
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -104,3 +118,13 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(string_agg(CAST(CAST(place + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(place + length(message) AS BIGINT) AS VARCHAR), ',' ORDER BY char_start) FILTER (WHERE own), '') AS targets
         FROM based GROUP BY conv_id, speaker, part""",
 }
+
+_REPEATS = r"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS words FROM docs, unnest(range(1, len(w) - 48)) AS t(p) WHERE doc_id IS NOT NULL),
+    firsts AS (SELECT words, min(doc_id) AS first FROM windows GROUP BY words HAVING min(doc_id) < max(doc_id)),
+    gone AS (SELECT DISTINCT doc_id, q FROM windows JOIN firsts USING (words), unnest(range(p, p + 50)) AS t(q) WHERE first < doc_id),
+    lists AS (SELECT doc_id, list(q) AS places FROM gone GROUP BY doc_id),
+    kept AS (SELECT docs.doc_id, w, coalesce(len(places), 0) AS n, CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END AS k FROM docs LEFT JOIN lists USING (doc_id))
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
+ORACLE_SQL |= {"op7_rabin_karp": _REPEATS, "op8_sparse_suffix_array": _REPEATS}
