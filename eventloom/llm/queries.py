@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, perspectives, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import bpe, decontaminate, minhash_join, perspectives, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +78,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op6_nnpu, op7_rabin_karp, op8_sparse_suffix_array, op9_byte_bpe)}
+def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of each document at a similarity of 0.8 on 5-word shingles."""
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op6_nnpu, op7_rabin_karp, op8_sparse_suffix_array, op9_byte_bpe, op10_bayes_minhash)}
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,3 +133,13 @@ _REPEATS = r"""
     kept AS (SELECT docs.doc_id, w, coalesce(len(places), 0) AS n, CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END AS k FROM docs LEFT JOIN lists USING (doc_id))
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept"""
 ORACLE_SQL |= {"op7_rabin_karp": _REPEATS, "op8_sparse_suffix_array": _REPEATS}
+
+ORACLE_SQL["op10_bayes_minhash"] = r"""
+    WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingles AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM docs, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(p) WHERE len(w) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 10 * k >= 8 * (x.n + y.n - k)),
+    reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+    SELECT doc_id, least(doc_id, coalesce((SELECT min(other) FROM reach WHERE reach.doc_id = docs.doc_id), doc_id)) AS class_id,
+           (SELECT count(*) FROM links WHERE links.a = docs.doc_id) AS n_links FROM docs"""
