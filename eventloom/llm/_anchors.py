@@ -45,10 +45,10 @@ class Windows:
             have += step
         return best[self.starts] if len(self.starts) else self.starts
 
-    def window_keys(self, which: np.ndarray) -> np.ndarray:
+    def window_keys(self, which: np.ndarray, base: int = BASE_WIDE) -> np.ndarray:
         """Rabin-Karp hashes of the windows that start at ``starts[which]``."""
         first = self.starts[which]
-        return span_hashes(self.hashes, first, first + self.width, BASE_WIDE).view(np.int64)
+        return span_hashes(self.hashes, first, first + self.width, base).view(np.int64)
 
     def anchor_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Documents and grams of the anchors, each pair once."""
@@ -125,7 +125,7 @@ def anchors(docs: DataFrame, width: int, id_type: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, width: int, id_type: str, hot: int) -> DataFrame:
-    """``doc, grams``: of each document, the anchors that other documents have too.
+    """``doc, grams``: of each document of ``docs`` (``doc, text``), the anchors that other documents have too.
 
     ``grams`` are structs of the gram and whether more than ``hot`` documents
     have it.  The documents of a gram are counted by a sum with partial results
@@ -143,10 +143,10 @@ def repeated(docs: DataFrame, width: int, id_type: str, hot: int) -> DataFrame:
 def first_holders(candidates: DataFrame) -> DataFrame:
     """``doc, firsts``: of each document, its windows that no document of a smaller id has.
 
-    ``candidates``: ``doc, window``.  Every window has one first holder, so each
+    ``candidates``: ``doc, window, check``, two hashes of each window.  Every window has one first holder, so each
     list is no longer than its document; nothing is sent to the other holders.
     """
-    holders = candidates.groupBy("window").agg(F.min("doc").alias("doc"))
+    holders = candidates.groupBy("window", "check").agg(F.min("doc").alias("doc"))
     return holders.groupBy("doc").agg(F.collect_list("window").alias("firsts"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import Windows, first_holders, flat, over, pairs_in, repeated
-from ._text import covered
+from ._text import BASE_BYTES, covered
 
 WIDTH = 50
 
@@ -24,7 +24,7 @@ def _candidates(windows: Windows, grams: pa.Array, wanted: bool | None = None) -
 
 
 def window_rows(docs: DataFrame, width: int, id_type: str, wanted: bool | None = None) -> DataFrame:
-    """``doc, window`` for the candidate windows of ``docs`` (``doc, text, grams``), each once a document."""
+    """``doc, window, check`` for the candidate windows of ``docs`` (``doc, text, grams``), each once a document."""
 
     def make(windows: Windows, batch: pa.RecordBatch) -> pa.RecordBatch:
         which = _candidates(windows, batch.column("grams"), wanted)
@@ -32,9 +32,10 @@ def window_rows(docs: DataFrame, width: int, id_type: str, wanted: bool | None =
         order = np.lexsort((key, doc))
         doc, key = doc[order], key[order]
         new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])][: len(doc)]
-        return pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(doc[new])), pa.array(key[new])], names=["doc", "window"])
+        check = windows.window_keys(which[order[new]], BASE_BYTES)
+        return pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(doc[new])), pa.array(key[new]), pa.array(check)], names=["doc", "window", "check"])
 
-    return over(docs, width, f"doc {id_type}, window bigint", make)
+    return over(docs, width, f"doc {id_type}, window bigint, check bigint", make)
 
 
 def repeats(windows: Windows, grams: pa.Array, firsts: pa.Array, wanted: bool | None = None) -> np.ndarray:
@@ -45,19 +46,25 @@ def repeats(windows: Windows, grams: pa.Array, firsts: pa.Array, wanted: bool |
     return covered(windows.starts[which[~own]], windows.width, len(windows.words))
 
 
-def split_null_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``doc, text`` of the rows with an id, dealt out by it, and of the rows without."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return rows.where("doc is not null").repartition("doc"), rows.where("doc is null")
+def prepared(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame, str]:
+    """``doc, text`` and the kept columns, of rows with an id and of rows without; the result's schema."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep)))
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (id_col, *keep))
+    return rows.where("doc is not null"), rows.where("doc is null"), kept + RESULT
+
+
+def result(batch: pa.RecordBatch, windows: Windows, removed: np.ndarray, id_col: str, keep: tuple[str, ...]) -> pa.RecordBatch:
+    kept = [batch.column(f"_{k}") for k in range(len(keep))]
+    return pa.RecordBatch.from_arrays([batch.column("doc"), *kept, *windows.without(removed)], names=[id_col, *keep, "n_words", "n_removed", "removed", "kept_text"])
 
 
 RESULT = "n_words bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>, kept_text string"
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
     """Each document without the words it repeats from documents with smaller ids.
 
-    Columns: ``id_col, n_words, n_removed, removed, kept_text``.  Words are runs
+    Columns: ``id_col``, those of ``keep``, ``n_words, n_removed, removed, kept_text``.  Words are runs
     of characters other than space and \\t to \\r, unchanged.  A word goes if any
     window of ``width`` words that covers it also starts in a document with a
     smaller id; ``removed`` are the maximal intervals ``[start, end)`` of such
@@ -66,23 +73,22 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Every window that can repeat is hashed and counted: those whose anchor (see
     ``_anchors``) another document has; no other window can have a copy.  The
     count is a minimum of ids by hash, with partial results before the shuffle,
-    and only a window's first holder is told.  Texts are dealt out by id once and
-    that shuffle serves every step.  Windows are told apart by 64-bit hashes.
+    and only a window's first holder is told.  Texts are dealt out by id once.  Windows are told apart by
+    two 64-bit hashes.
 
     Null texts have no words.  Rows with a null id neither lose words nor take
     them from others.  Rows that share an id don't take words from each other.
-    Other columns are ignored.
+    Columns that aren't in ``keep`` are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts, loose = split_null_ids(docs, id_col, text_col)
-    with_grams = texts.join(repeated(texts, width, id_type, 1 << 60), "doc", "left")
+    texts, loose, schema = prepared(docs, id_col, text_col, keep)
+    # Dealt out with all that the last step needs, so one shuffle serves both steps.
+    with_grams = texts.repartition("doc").join(repeated(texts, width, id_type, 1 << 60), "doc", "left")
     firsts = first_holders(window_rows(with_grams, width, id_type))
 
     def make(windows: Windows, batch: pa.RecordBatch) -> pa.RecordBatch:
-        removed = repeats(windows, batch.column("grams"), batch.column("firsts"))
-        return pa.RecordBatch.from_arrays([batch.column("doc"), *windows.without(removed)], names=[id_col, "n_words", "n_removed", "removed", "kept_text"])
+        return result(batch, windows, repeats(windows, batch.column("grams"), batch.column("firsts")), id_col, keep)
 
     rows = with_grams.join(firsts, "doc", "left")
-    none = loose.select("doc", "text", F.lit(None).cast("array<struct<gram: bigint, hot: boolean>>").alias("grams"), F.lit(None).cast("array<bigint>").alias("firsts"))
-    schema = f"`{id_col}` {id_type}, {RESULT}"
+    none = loose.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in ("grams", "firsts")})
     return over(rows, width, schema, make).unionByName(over(none, width, schema, make))

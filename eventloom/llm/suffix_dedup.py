@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._anchors import Windows, first_holders, flat, over, repeated
 from ._text import BASE_BYTES, covered, mix, span_hashes
-from .substring_dedup import RESULT, WIDTH, repeats, split_null_ids, window_rows
+from .substring_dedup import WIDTH, prepared, repeats, result, window_rows
 
 #: Suffixes of a gram that more documents have aren't sorted together in one
 #: task; their windows are counted by hash instead, with the same result.
@@ -127,10 +127,10 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, hot_docs: int = HOT_DOCS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), width: int = WIDTH, hot_docs: int = HOT_DOCS) -> DataFrame:
     """Each document without the passages it repeats from documents with smaller ids.
 
-    Columns: ``id_col, n_words, n_removed, removed, kept_text``.  A passage is a
+    Columns: ``id_col``, those of ``keep``, ``n_words, n_removed, removed, kept_text``.  A passage is a
     run of at least ``width`` words that also stands in a document with a smaller
     id; ids are whole numbers.  ``removed`` are maximal intervals of such words,
     ``kept_text`` the other words joined by a space.
@@ -144,11 +144,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Null texts have no words.  Rows with a null id neither lose words nor take
     them from others.  Rows that share an id don't take words from each other.
-    Other columns are ignored.
+    Columns that aren't in ``keep`` are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts, loose = split_null_ids(docs, id_col, text_col)
-    with_grams = texts.join(repeated(texts, width, id_type, hot_docs), "doc", "left")
+    texts, loose, schema = prepared(docs, id_col, text_col, keep)
+    with_grams = texts.repartition("doc").join(repeated(texts, width, id_type, hot_docs), "doc", "left")
     reach = width - (width // 2 + 1)
 
     def contexts(windows: Windows, grams: pa.Array) -> Contexts:
@@ -181,11 +181,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         bits = _look_up(c.doc, c.key, doc, pairs.field(0).to_numpy(zero_copy_only=False), pairs.field(1).to_numpy(zero_copy_only=False))
         for k in range(reach + 1):
             removed |= covered(c.place[(bits >> k) & 1 == 1] - k, width, len(removed))
-        return pa.RecordBatch.from_arrays([batch.column("doc"), *windows.without(removed)], names=[id_col, "n_words", "n_removed", "removed", "kept_text"])
+        return result(batch, windows, removed, id_col, keep)
 
     both = with_grams.join(firsts, "doc", "left").join(matches, "doc", "left")
-    none = loose.select("doc", "text", F.lit(None).cast("array<struct<gram: bigint, hot: boolean>>").alias("grams"), F.lit(None).cast("array<bigint>").alias("firsts"), F.lit(None).cast("array<struct<context: bigint, bits: bigint>>").alias("matches"))
-    schema = f"`{id_col}` {id_type}, {RESULT}"
+    none = loose.withColumns({c: F.lit(None).cast(both.schema[c].dataType) for c in ("grams", "firsts", "matches")})
     return over(both, width, schema, make).unionByName(over(none, width, schema, make))
 
 
