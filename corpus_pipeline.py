@@ -1,10 +1,96 @@
-"""A corpus pipeline of five stages, each an operator of ``eventloom.llm``."""
+"""A corpus pipeline of five stages, each an operator of ``eventloom.llm``.
+
+Toxic documents go, then all but one of each group of near duplicates, then
+passages that an earlier document has, then documents with benchmark passages;
+what is left is encoded.  Every stage works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.llm import bpe, decontaminate, minhash_join, suffix_dedup, toxicity
+
+#: A document with at least this score goes: likelier toxic than not.
+REJECT = 0.5
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from ``labels``, doesn't reject.
+
+    A document with a null or empty text gets the score of no words and stays.
+    Without any toxic label nothing is rejected.
+    """
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select(COLUMNS), model).where(F.col("toxicity") < REJECT).select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class of near duplicates.
+
+    Documents without words or with a null id are in no class and stay; of
+    repeated rows with one id and text, one stays.
+    """
+    gone = minhash_join.near_duplicates(docs).where("class_id <> doc_id").select("doc_id").distinct()
+    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(COLUMNS)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without passages of 50 words or more that an earlier one has.
+
+    A text that loses no words stays as it is; of others the words that are left
+    are joined by a space, and ``n_chars`` is counted anew.
+    """
+    found = suffix_dedup.remove_repeats(docs, keep=("text", "lang", "source", "n_chars"))
+    cut = F.col("n_removed") > 0
+    return found.select("doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word in a benchmark passage; null and empty texts stay."""
+    found = decontaminate.find_benchmark_text(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("n_hit = 0").select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its tokens and the text they decode to (null: no tokens, empty text)."""
+    coded = bpe.encode(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.decode("decoded", "UTF-8").alias("text"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("encoding", encode),
+]
+
+#: SQL can't express the classifier; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def workspace(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster shares."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the result of each but the last is written and read again."""
+    folder = workspace(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            path = f"{folder}/{k}_{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
