@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash_join, perspectives, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import bpe, decontaminate, katz, minhash_join, perspectives, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,13 @@ def fold(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % n
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of each document, learnt from the rows that are not held out."""
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    scored = katz.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, learnt from the rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -83,7 +90,7 @@ def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op6_nnpu, op7_rabin_karp, op8_sparse_suffix_array, op9_byte_bpe, op10_bayes_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op5_katz_backoff, op6_nnpu, op7_rabin_karp, op8_sparse_suffix_array, op9_byte_bpe, op10_bayes_minhash)}
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
