@@ -133,7 +133,9 @@ def linked_pairs(ends: np.ndarray, side: np.ndarray, signatures: np.ndarray, val
             matches += (signatures[left, part] == signatures[right, part]).sum(1)
             go = matches >= need
             left, right, matches = left[go], right[go], matches[go]
-        first = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])[: len(left)]
+        if not len(left):
+            continue
+        first = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
         shared = np.zeros(len(left), np.int64)
         for a, b in zip(first, np.r_[first[1:], len(left)], strict=True):
             own = ids[places[left[a]] : places[left[a] + 1]]
