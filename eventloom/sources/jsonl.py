@@ -105,7 +105,7 @@ def unpack(rows: DataFrame) -> DataFrame:
     data = F.from_json("data", "turn bigint, step bigint, index bigint, dt array<bigint>, texts array<string>, args array<string>, id string, name string")
     parts = F.coalesce("d.texts", "d.args")
     fits = (F.size(parts) == F.size("d.dt") + 1) & F.col("seq0").between(0, MAX_SAFE_INTEGER)
-    rows = rows.withColumn("d", data).withColumn("texts", F.when(fits, parts).otherwise(F.raise_error("a packed run doesn't fit together")))
+    rows = rows.withColumn("d", data).withColumn("texts", F.when(F.col("seq0").isNull(), F.lit(None)).when(fits, parts).otherwise(F.raise_error("a packed run doesn't fit together")))
     rows = rows.select("path", "number", "type", "seq0", "time0", "d", F.col("d.dt").alias("dt"), "texts")
     out = unpack_arrays(rows)
     delta = F.to_json(F.struct("d.turn", "d.step", "d.index", "d.id", "d.name", "text"))
@@ -173,13 +173,14 @@ def torn_zstd(spark: SparkSession, path: str) -> DataFrame:
                 while rest:
                     frame = zstandard.ZstdDecompressor().decompressobj()
                     try:
-                        text += frame.decompress(rest)
+                        part = frame.decompress(rest)
                     except zstandard.ZstdError:
                         torn = True
                         break
                     if not frame.eof:
                         torn = True
                         break
+                    text += part
                     rest = frame.unused_data
                 out.append((text.decode(errors="ignore"), torn))
             yield pd.DataFrame({"path": batch["path"], "text": [x[0] for x in out], "torn": [x[1] for x in out]})

@@ -23,9 +23,10 @@ def markdown_tables(texts: DataFrame, id_col: str = "id", text_col: str = "text"
     lines = texts.select(F.col(id_col).alias("id"), F.split(text_col, r"\r?\n").alias("lines"))
     piped = F.transform("lines", lambda x: F.startswith(strip(x), F.lit("|")))
     first = F.array_position(piped, True).cast("int")
-    rest = F.slice(piped, first, F.size("lines"))
+    begin = F.greatest(first, F.lit(1))
+    rest = F.slice(piped, begin, F.size("lines"))
     stop = F.array_position(rest, False).cast("int")
-    block = F.slice("lines", first, F.when(stop > 0, stop - 1).otherwise(F.size("lines")))
+    block = F.slice("lines", begin, F.when(stop > 0, stop - 1).otherwise(F.size("lines")))
     rows = lines.where(first > 0).select("id", F.transform(block, _cells).alias("rows"))
     ruled = F.forall(F.col("rows")[1], lambda c: c.rlike(r"^:?-+:?$"))
     rows = rows.withColumn("rows", F.when((F.size("rows") > 1) & ruled, F.concat(F.slice("rows", 1, 1), F.slice("rows", 3, F.size("rows")))).otherwise(F.col("rows")))
@@ -40,9 +41,9 @@ def csv_lines(cells: Column) -> Column:
 
 
 def write_csv(rows: DataFrame, order: Column, cells: Column, path: str) -> None:
-    """CSV with CRLF, quotes only where needed and a byte-order mark, in one file."""
+    """CSV with CRLF, quotes only where needed and a byte-order mark, in one file: a small table, in one task."""
     lines = rows.orderBy(order).select(csv_lines(cells).alias("value"), F.row_number().over(_all(order)).alias("n"))
-    lines.select(F.when(F.col("n") == 1, F.concat(F.lit("﻿"), "value")).otherwise(F.col("value"))).coalesce(1).write.option("lineSep", "\r\n").text(path)
+    lines.select(F.when(F.col("n") == 1, F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value"))).coalesce(1).write.option("lineSep", "\r\n").text(path)
 
 
 def _all(order: Column):
