@@ -73,7 +73,7 @@ def roots(sessions: DataFrame) -> DataFrame:
 
 def replacement_chains(folded: DataFrame) -> DataFrame:
     """``session_id, seq, chain``: the rows that replaced a row, one after another."""
-    links = folded.where("replaced_by is not null").select("session_id", "seq", F.col("replaced_by").alias("next"))
+    links = _kept(folded.where("replaced_by is not null").select("session_id", "seq", F.col("replaced_by").alias("next")))
     step = links.select("session_id", "seq", F.array("next").alias("chain"), "next")
     done = None
     while not step.isEmpty():

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import pandas_text as p
 from ..operators import joins as j
+from ..operators import sessions as n
+from ..operators import surface, traces
 from ..operators import windows as w
 from ..schema import conversation_log, session_events, table
 from ..sources import jsonl, tables
-from ..streaming import projections, schedules
+from ..streaming import folds, projections, schedules
 from . import query
 from .search import _CONV, _LOG
 
@@ -164,3 +167,74 @@ def markdown_table(spark, sf_dir):
 def grep_lines(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("value"))
     return tables.grep(files, "than")
+
+
+def _replacing(spark, sf_dir):
+    """Conversations of which every third row replaces the two rows before it."""
+    log = conversation_log(spark, sf_dir)
+    third = F.col("seq") % 3 == 2
+    op = F.struct(F.when(third, "replace").otherwise("append").alias("op"), F.when(third, F.col("seq") - 2).alias("start"), F.when(third, F.col("seq") - 1).alias("end"))
+    return log.withColumn("source_event_seqs", F.when(third, F.array(F.col("seq") - 2, F.col("seq") - 1))).withColumn("surface_op", op).withColumn("session_id", F.col("session_id").cast("string"))
+
+
+_THIRD = "seq - seq % 3 + 2"
+
+
+@query(
+    f"""WITH e AS (SELECT *, max(seq) OVER (PARTITION BY session_id) AS last FROM {_CONV}),
+        f AS (SELECT *, CASE WHEN seq % 3 < 2 AND {_THIRD} <= last THEN {_THIRD} END AS replaced_by FROM e)
+        SELECT CAST(session_id AS VARCHAR) AS session_id, seq, CASE WHEN replaced_by IS NULL THEN 'current' ELSE 'shadowed' END AS surface,
+               CASE WHEN replaced_by IS NULL THEN row_number() OVER (PARTITION BY session_id, replaced_by IS NULL ORDER BY seq) - 1 END AS position, replaced_by FROM f"""
+)
+def surface_fold(spark, sf_dir):
+    return surface.fold(_replacing(spark, sf_dir)).drop("error")
+
+
+@query(f"SELECT CAST(session_id AS VARCHAR) AS session_id, seq, CAST({_THIRD} AS VARCHAR) AS chain FROM (SELECT *, max(seq) OVER (PARTITION BY session_id) AS last FROM {_CONV}) WHERE seq % 3 < 2 AND {_THIRD} <= last")
+def replacement_chain(spark, sf_dir):
+    chains = traces.replacement_chains(surface.fold(_replacing(spark, sf_dir)))
+    return chains.select("session_id", "seq", F.array_join(F.col("chain").cast("array<string>"), ",").alias("chain"))
+
+
+@query(f"SELECT session_id, seq, replace(data, ' ', '') AS data FROM {_LOG}")
+def canonical_json(spark, sf_dir):
+    return session_events(spark, sf_dir).select("session_id", "seq", p.column(p.canonical, "string")(F.col("data")).alias("data"))
+
+
+@query(f"SELECT 'child' AS session_id, seq, type FROM {_LOG} WHERE session_id = '7' AND seq < 5")
+def fork_log(spark, sf_dir):
+    log = session_events(spark, sf_dir).withColumn("kind", F.col("type")).withColumn("type", F.when(F.col("seq") == 4, "turn/end").otherwise(F.col("type")))
+    return n.fork(log, "7", "child", 5).select("session_id", "seq", F.col("kind").alias("type"))
+
+
+@query(f"SELECT session_id, seq, type FROM {_LOG} WHERE session_id = '7' AND seq < 30 AND seq >= (SELECT min(seq) FROM (SELECT seq FROM {_LOG} WHERE session_id = '7' AND seq < 30 AND type = 'click' ORDER BY seq DESC LIMIT 3))")
+def history_page(spark, sf_dir):
+    log = session_events(spark, sf_dir).where("session_id = '7'").withColumn("kind", F.col("type")).withColumn("type", F.when(F.col("type") == "click", "user/message").otherwise(F.col("type")))
+    return n.history_page(log, 30, 3).select("session_id", "seq", F.col("kind").alias("type"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE source = (SELECT source FROM documents WHERE doc_id = 5)")
+def workspace_access(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("cwd"))
+    return n.authorized(rows, 5).select("id")
+
+
+@query("SELECT doc_id AS session_id, n_chars AS seq, lang FROM documents WHERE doc_id % 4 <> 0")
+def index_reconcile(spark, sf_dir):
+    """Sessions whose number ends a group of four are gone, every third has changed."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), F.col("n_chars").alias("seq"), "lang")
+    now = docs.where("session_id % 4 <> 0").select("session_id", (F.col("session_id") % 3).alias("revision"))
+    before = docs.select("session_id", F.lit(1).alias("revision"))
+    old = docs.withColumn("lang", F.when(F.col("session_id") % 3 == 1, F.col("lang")).otherwise("stale"))
+    return n.reconcile(docs, old, now, before)
+
+
+@query(
+    f"""WITH k AS (SELECT session_id, seq, time, CASE type WHEN 'signup' THEN 'subagent/descriptor' WHEN 'view' THEN 'turn/start' WHEN 'click' THEN 'turn/end' END AS kind FROM {_LOG}), d AS (SELECT session_id, max(seq) AS seq FROM k WHERE kind = 'subagent/descriptor' GROUP BY session_id)
+        SELECT k.session_id, count(*) AS n FROM k JOIN d ON k.session_id = d.session_id AND k.seq = d.seq GROUP BY k.session_id"""
+)
+def subagent_timing(spark, sf_dir):
+    """Sessions with a descriptor, of which the timing projection has seen the last."""
+    kind = F.when(F.col("type") == "signup", "subagent/descriptor").when(F.col("type") == "view", "turn/start").when(F.col("type") == "click", "turn/end").otherwise("other")
+    states = projections.fold(session_events(spark, sf_dir).withColumn("type", kind).withColumn("data", F.lit("{}")), [folds.TIMING])
+    return states.where(F.get_json_object("val", "$.seen") == "true").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))

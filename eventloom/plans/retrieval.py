@@ -40,3 +40,11 @@ def byte_retention(spark, sf_dir):
 def substring_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.where(F.contains(F.lower("text"), F.lit("than"))).select("doc_id", F.lit(True).alias("found"))
+
+
+@query()
+def fuzzy_ranking(spark, sf_dir):
+    """Words of the benchmark by how well a query is a subsequence of them."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).where("word <> ''").distinct()
+    score = F.pandas_udf(lambda names: names.map(lambda x: p.fuzzy_score("eo", x)).astype("Int64"), "bigint")(F.col("word"))
+    return words.select("word", score.alias("score")).where("score is not null")
