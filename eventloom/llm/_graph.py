@@ -29,7 +29,12 @@ def connected(edges: DataFrame) -> DataFrame:
     number a round comes to the driver.  No edges give no rows; edges with a null
     end are left out; repeated edges and loops change nothing.
     """
-    good = edges.select("u", "v").where("u is not null and v is not null")
+    good = cut(edges.where("u is not null and v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    # Every node goes to its least neighbour, and so do its other lesser ones:
+    # where many nodes share the same few hubs, hardly more edges than nodes stay.
+    least = good.groupBy("v").agg(F.min("u").alias("m"))
+    moved = good.join(least, "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v")).distinct()
+    good = least.select(F.col("m").alias("u"), "v").unionByName(moved)
     both = cut(good.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(good.select(F.col("v").alias("a"), F.col("u").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("label")))
     state = _state(labels)
