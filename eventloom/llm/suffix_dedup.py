@@ -21,7 +21,7 @@ from .substring_dedup import WIDTH, prepared, repeats, result, window_rows
 
 #: Suffixes of a gram that more documents have aren't sorted together in one
 #: task; their windows are counted by hash instead, with the same result.
-HOT_DOCS = 4000
+HOT_DOCS = 500
 _SUFFIX = "gram bigint, doc {}, right binary, left binary, context bigint"
 
 
