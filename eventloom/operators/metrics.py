@@ -26,6 +26,38 @@ def context_pressure(samples: DataFrame) -> DataFrame:
     return samples.groupBy("session_id").agg(F.max_by(used, "seq").alias("pressure"), F.max_by("window", "seq").alias("window"))
 
 
+def projected_pressure(samples: DataFrame, surface: DataFrame) -> DataFrame:
+    """The newest pressure with what the surface has gained since, never below nothing.
+
+    ``surface``: ``session_id, seq, delta``.  A sample's own row is part of what
+    it measured only through rows before it.
+    """
+    base = context_pressure(samples).join(samples.groupBy("session_id").agg(F.max("seq").alias("at")), "session_id")
+    grown = surface.join(base.select("session_id", "at"), "session_id").groupBy("session_id").agg(F.sum(F.when(F.col("seq") >= F.col("at"), F.col("delta"))).alias("grown"))
+    return base.join(grown, "session_id", "left").select("session_id", "pressure", "window", F.greatest(F.lit(0), F.col("pressure") + F.coalesce("grown", F.lit(0))).alias("projected"))
+
+
+def breakdown(headers: DataFrame, surface: DataFrame) -> DataFrame:
+    """Tokens of the newest system text and tools (``system, tools``) and of all messages (``delta``)."""
+    newest = headers.groupBy("session_id").agg(F.max_by("system", "seq").alias("system"), F.max_by("tools", "seq").alias("tools"))
+    return surface.groupBy("session_id").agg(F.sum("delta").alias("messages")).join(newest, "session_id", "full_outer").fillna(0)
+
+
+def surface_tokens(folded: DataFrame, prices: DataFrame) -> DataFrame:
+    """Tokens of the rows that are current after the fold."""
+    return folded.where("surface = 'current'").join(prices, ["session_id", "seq"]).groupBy("session_id").agg(F.sum("tokens").alias("tokens"))
+
+
+def by_workspace(sessions: DataFrame, current=None) -> DataFrame:
+    """Sessions of each folder: how many, and whether the current one is among them."""
+    return sessions.groupBy("cwd").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(F.col("id") == F.lit(current)), F.lit(False)).alias("has_current"))
+
+
+def greatest_number(ids: Column) -> Column:
+    """The greatest n of ids "memory-n", 0 without one."""
+    return F.coalesce(F.max(F.regexp_extract(ids, r"^memory-(\d+)$", 1).try_cast("bigint")), F.lit(0))
+
+
 def token_deltas(surface: DataFrame) -> DataFrame:
     """The change of a session's tokens at each surface row: what is added, less what it replaces."""
     return surface.withColumn("delta", F.col("tokens") - F.coalesce("replaced_tokens", F.lit(0)))

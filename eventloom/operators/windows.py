@@ -110,3 +110,15 @@ def located(log: DataFrame, turn: Column, step: Column) -> DataFrame:
     rows = log.withColumn("at_turn", F.last(turn, ignorenulls=True).over(so_far))
     in_turn = Window.partitionBy("session_id", "at_turn").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("at_step", F.when(F.col("at_turn").isNotNull(), F.last(step, ignorenulls=True).over(in_turn)))
+
+
+def timed_spans(cells: DataFrame, mode: str) -> DataFrame:
+    """Spans of cells (``start, duration``): ``time`` marks starts, ``actual`` spans, ``duration`` spans without idle time."""
+    if mode not in ("time", "actual", "duration"):
+        raise ValueError(f"unknown mode {mode}")
+    end = F.col("start") + F.greatest(F.coalesce("duration", F.lit(0)), F.lit(0))
+    spans = cells.where("start is not null").withColumn("end", end if mode != "time" else F.col("start"))
+    if mode != "duration":
+        return spans
+    moved = without_idle(spans)
+    return moved.withColumns({"start": F.col("start_without_idle"), "end": F.col("end_without_idle")}).drop("idle", "start_without_idle", "end_without_idle")

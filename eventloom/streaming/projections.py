@@ -152,3 +152,14 @@ def stale_view(checkpoints: DataFrame, versions: dict[str, int]) -> DataFrame:
         test = test | ((F.col("key") == key) & (F.col("ver") == version))
     good = checkpoints.where(test)
     return good.groupBy("session_id").agg(F.min("seq").alias("as_of"), F.map_from_entries(F.collect_list(F.struct("key", "val"))).alias("values"))
+
+
+def same_lifecycle(checkpoints: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Checkpoints of the sessions they were written for: created at the same time, in the same folder."""
+    now = sessions.select(F.col("id").cast("string").alias("session_id"), F.col("created_at").alias("_at"), F.col("cwd").alias("_cwd"))
+    return checkpoints.join(now, "session_id").where((F.col("created_at") == F.col("_at")) & F.col("cwd").eqNullSafe(F.col("_cwd"))).drop("_at", "_cwd")
+
+
+def snapshot(changes: DataFrame, as_of: int) -> DataFrame:
+    """All values of each session as they were after one row."""
+    return latest_values(changes.where(F.col("seq") <= as_of)).withColumn("as_of", F.lit(as_of).cast("bigint"))

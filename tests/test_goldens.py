@@ -203,3 +203,68 @@ def test_byte_retention_and_paths():
 def test_markdown():
     assert p.markdown("<h1>T</h1><p>a <b>b</b> <a href='/x'>l</a></p><script>no()</script><ul><li>1<li>2</ul>") == "# T\n\na **b** [l](/x)\n\n- 1\n- 2"
     assert "deep" in p.markdown("<div>" * 3000 + "deep" + "</div>" * 3000)
+
+
+def test_event_text(spark):
+    from eventloom.functions import events as e
+
+    blocks = [{"type": "text", "text": " hi "}, {"type": "reasoning", "text": "no"}, {"type": "tool-call", "name": "bash", "arguments": "{}"}, {"type": "tool-result", "content": [{"type": "text", "text": "out"}]}]
+    cases = [
+        ("user/message", {"content": blocks}, "hi\nbash\n{}\nout"), ("assistant/message", {"message": {"content": blocks[:2]}}, "hi"), ("tool/call", {"name": "n", "arguments": "a"}, "n\na"),
+        ("tool/result", {"message": {"content": blocks[:1]}, "error": {"name": "E", "code": None}}, "hi\nE"), ("todo/write", {"todos": [{"status": "done", "content": "x"}]}, "done\nx"),
+        ("turn/end", {"reason": {"kind": "error", "error": {"message": "m"}}}, "error\nm"), ("turn/end", {"reason": {"kind": "interrupted"}}, "interrupted"), ("turn/end", {"reason": {"kind": "completed"}}, ""), ("unknown", {}, ""),
+    ]
+    rows = spark.createDataFrame([(k, t, json.dumps(d)) for k, (t, d, _) in enumerate(cases)], "seq int, type string, data string")
+    got = rows.select("seq", e.event_text(F.col("type"), F.col("data")).alias("t")).orderBy("seq").collect()
+    assert [r.t for r in got] == [w for _, _, w in cases]
+    assert e.documents(rows).count() == 7
+    prices = spark.createDataFrame([(json.dumps([{"type": "text", "text": "abcd"}, {"type": "tool-result", "content": [{"type": "text", "text": "abcd"}]}]),)], "b string").select(e.block_tokens(F.col("b")).alias("p"), e.text_length(F.col("b")).alias("n")).first()
+    assert prices.p == [5, 9] and prices.n == 4
+    keys = spark.createDataFrame([('{"a":1}',), ('{"a":1,"b":2}',), ('{"a":1,"z":2}',), ('{"b":1}',)], "d string").select(e.exact_keys(F.col("d"), ["a"], ["b"]).isNotNull().alias("ok")).collect()
+    assert [r.ok for r in keys] == [True, True, False, False]
+
+
+def test_requests():
+    from eventloom.functions import requests as q
+
+    assert q.instant("2024-02-29T12:00Z").ms == 1709208000000 and q.instant("2024-01-01T00:00:00.0005+01:00") == q.Instant(1704063600000, "5")
+    low, high = q.time_range("1970-01-01T00:00:00.0015Z", "1970-01-01T00:00:00.0015Z")
+    assert 1 < low < 1.000001 and 1.999999 < high < 2
+    for bad in ("2024-02-30T00:00Z", "2024-01-01T00:00", "2024-01-01T25:00Z", "2024-01-01T00:00+01:75"):
+        with pytest.raises(q.TimeError):
+            q.instant(bad)
+    with pytest.raises(q.TimeError):
+        q.time_range("2024-01-02T00:00Z", "2024-01-01T00:00Z")
+    schema = {"type": "object", "fields": {"key": {"secret": True}, "list": {"type": "array", "inner": {"type": "object", "fields": {"p": {"secret": True}}}}}}
+    assert q.redact(schema, {"key": "x", "a": 1, "list": [{"p": 1, "q": 2}]}) == ({"a": 1, "list": [{"q": 2}]}, [(("key",), True), (("list", "0", "p"), True)])
+    assert q.inline("short", 10, "f") == "short" and len(q.inline("x" * 500, 100, "f").encode()) <= 100 and q.inline("x" * 30, 20, "f" * 30) == "x" * 30
+    messages = [{"text": "a" * 10}, {"text": "b" * 10, "checkpoint": True}, {"text": "c" * 10}]
+    assert [m["text"] for m in q.retain(messages, 15)] == ["b" * 5, "c" * 10]
+    pages = {None: ([1, 2, 3], 1), 1: ([4, 5], None)}
+    assert q.collect_pages(pages.get, lambda r: r % 2, 2) == ([1, 3], True) and q.collect_pages(pages.get, lambda r: r > 3, 9) == ([4, 5], False)
+    import re
+
+    assert re.match(q.wildcard("a.*c"), "a.bbc") and not re.match(q.wildcard("a.*c"), "aXbc")
+
+
+def test_trees(spark):
+    from eventloom.operators import trees
+
+    rows = [(1, None, "x"), (2, 1, "subagent"), (3, 1, "y"), (4, 3, "subagent"), (5, 99, "x"), (6, 7, "x"), (7, 6, "x")]
+    flat = trees.flatten(spark.createDataFrame(rows, "id int, parent int, origin string"), F.col("id")).cache()
+    assert {r.id: (r.root, r.depth) for r in flat.collect()} == {1: (1, 0), 2: (1, 1), 3: (1, 1), 4: (1, 2), 5: (5, 0), 6: (6, 0), 7: (7, 0)}
+    assert [r.id for r in trees.of_origin(flat, 1, "subagent").collect()] == [2, 4]
+    assert [r.id for r in trees.post_order(flat.where("root = 1")).collect()] == [4, 2, 3, 1]
+    starts = spark.createDataFrame([("a", None, 1), ("b", "a", 2)], "call_id string, parent string, seq int")
+    ends = spark.createDataFrame([("b", "ok", 3), ("b", "late", 4)], "call_id string, outcome string, seq int")
+    assert {r.call_id: (r.state, r.depth) for r in trees.call_tree(starts, ends).collect()} == {"a": ("running", 0), "b": ("ok", 1)}
+
+
+def test_pressure_and_breakdown(spark):
+    samples = spark.createDataFrame([("s", 1, 10, 5, None, 100), ("s", 4, 20, None, 2, None)], "session_id string, seq int, input int, cache_read int, cache_write int, window int")
+    surface_rows = spark.createDataFrame([("s", 0, 7), ("s", 4, 3), ("s", 5, -30)], "session_id string, seq int, delta int")
+    got = metrics.projected_pressure(samples, surface_rows).first()
+    assert (got.pressure, got.window, got.projected) == (22, None, 0)
+    headers = spark.createDataFrame([("s", 0, 6, 0), ("s", 3, 8, 2)], "session_id string, seq int, system int, tools int")
+    assert tuple(metrics.breakdown(headers, surface_rows).first())[1:] == (-20, 8, 2)
+    assert spark.createDataFrame([("memory-3",), ("memory-12",), ("x",)], "id string").agg(metrics.greatest_number(F.col("id")).alias("n")).first().n == 12
