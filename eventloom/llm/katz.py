@@ -10,7 +10,7 @@ frequent word costs one entry a chunk.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, NOT_SPACE, Words, buffers, mix, ragged
+from ._text import LOWER, NOT_SPACE, Words, buffers, chunks, mix, ragged
 
 #: Text of a chunk, and of what one partition of a table answers for, in bytes.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 #: Counts up to here are discounted.
 DISCOUNTED = 5
 #: Fixed marks for the end of a text, which is a token, and for what precedes it.
@@ -76,22 +76,23 @@ class Chunk:
     """Tokens of a chunk's documents, its different words and bigrams, and whom to ask for them."""
 
     def __init__(self, docs: pa.Table, parts: int):
-        data, at = buffers(docs.column("text").combine_chunks())
-        words = Words(LOWER[data], at, NOT_SPACE)
-        hashes, n, owner = words.hashes(), len(words), words.doc_of()
-        count = words.counts() + 1
+        tokens, counts = [], []
+        for batch in chunks(docs.select(["text"]).to_batches(), "text"):
+            words = Words(*_lowered(batch.column(0)), NOT_SPACE)
+            count = words.counts() + 1
+            token = np.full(len(words) + len(count), END, np.uint64)
+            token[np.arange(len(words)) + words.doc_of()] = words.hashes()
+            tokens.append(token)
+            counts.append(count)
+        self.token, count = np.concatenate(tokens), np.concatenate(counts)
         self.docs = np.r_[0, np.cumsum(count)]
-        self.token = np.full(n + len(count), END, np.uint64)
-        self.before = np.full(n + len(count), START, np.uint64)
-        self.token[np.arange(n) + owner] = hashes
-        self.before[np.arange(n) + owner + 1] = hashes
         learnt = docs.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         self.learnt = np.repeat(learnt, count)
         self.parts = parts
         # Different words, in the order of the partitions that know them.
-        word, self.word_of = np.unique(self.token, return_inverse=True)
+        word, self.word_of, _ = _distinct(self.token)
         part = (mix(word) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((word, part))
         self.words, self.word_part = word[order], part[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -115,14 +116,14 @@ class Chunk:
         self.history, self.history_count = history, by_word[history]
         possible = (self.known > 0) & (self.history_count > 0)
         self.asked = np.flatnonzero(possible)
-        code, self.pair_of = np.unique(history[self.asked] * n + self.word_of[self.asked], return_inverse=True)
+        code, self.pair_of, _ = _distinct(history[self.asked] * n + self.word_of[self.asked])
         head, tail = code // n, code % n
         head_hash = np.append(self.words, START)
         # A frequent history is spread over several partitions by its next word.
         share = np.clip(-(-4 * by_word * self.parts // max(tokens, 1)), 1, self.parts)
         salt = self.words[tail] % share[head].astype(np.uint64)
         part = (mix(head_hash[head] + salt * _SALT) % np.uint64(self.parts)).astype(np.int64)
-        order = np.lexsort((tail, head, part))
+        order = np.lexsort((code, part))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.pair_of = rank[self.pair_of]
@@ -134,9 +135,11 @@ class Chunk:
         place = (mix(head_hash[spread] + number * _SALT) % np.uint64(self.parts)).astype(np.int64)
         both = np.unique(place * (n + 1) + spread)
         self.side_part, self.side_head = both // (n + 1), both % (n + 1)
-        self.head_hash, self.totals = head_hash, by_word
+        self.totals = by_word
 
-    def ask_pairs(self) -> Iterator[tuple[int, list[np.ndarray]]]:
+    def ask_pairs(self, ids: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """The questions to each partition; ``ids``: numbers of the words, from 1 on, shorter than hashes."""
+        ids = np.append(ids, 0)
         seen = np.bincount(self.pair_of, self.learnt[self.asked], len(self.head)).astype(np.int32)
         held = np.zeros(len(self.words) + 1, bool)
         held[self.history[~self.learnt]] = True
@@ -145,7 +148,7 @@ class Chunk:
             c, d = pairs.get(part, (0, 0))
             heads = self.side_head[a:b]
             degree = np.bincount(np.searchsorted(heads, self.head[c:d]), minlength=len(heads)).astype(np.int32)
-            yield part, [self.head_hash[heads].view(np.int64), held[heads], degree, self.words[self.tail[c:d]].view(np.int64), seen[c:d], self.totals[self.tail[c:d]]]
+            yield part, [ids[heads], held[heads], degree, ids[self.tail[c:d]], seen[c:d], self.totals[self.tail[c:d]]]
 
     def score(self, unigrams: Unigrams, pair_types: np.ndarray, totals: np.ndarray, low: np.ndarray, few: np.ndarray, mass: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """log10 probability of every token."""
@@ -169,6 +172,20 @@ class Chunk:
         return np.log10(np.where(self.history_count == 0, base, np.where(pair > 0, seen, unseen)))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values in the order of their first places, which of them each value is, and those places."""
+    coded = pa.array(values).dictionary_encode()
+    of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+    return values[first], of, first
+
+
+def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, at = buffers(texts)
+    return LOWER[data], at
+
+
 def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     edges = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1], True]) if len(sorted_values) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -176,8 +193,12 @@ def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def _join(table: pa.Table, name: str) -> np.ndarray:
-    """All elements of a list column."""
-    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in table.column(name).chunks]
+    """All elements of a list column, or all numbers of a packed one."""
+    column = table.column(name)
+    if pa.types.is_binary(column.type):
+        parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0] for x in column.to_pylist()]
+    else:
+        parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
@@ -185,6 +206,12 @@ def _sizes(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in table.column(name).chunks] or [np.zeros(0, np.int64)]).astype(np.int64)
 
 
+def _packed(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Numbers as bytes, the lowest byte of all first: counts are small, and zeros in a row shrink to nothing."""
+    values, at = np.ascontiguousarray(values, np.int64), np.r_[0, np.cumsum(sizes)]
+    return pa.array([values[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
 def _list(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, kind))
 
@@ -193,11 +220,13 @@ def _table(names: str, columns: list[pa.Array]) -> pa.Table:
     return pa.Table.from_arrays(columns, names=names.split())
 
 
-def _word_totals(asked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Corpus counts in the order asked, and of each different word."""
-    _, at = np.unique(_join(asked, "keys"), return_inverse=True)
-    total = np.bincount(at, _join(asked, "counts")).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-    return total[at], total
+def _word_totals(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corpus counts and places among the partition's sorted words, in the order asked; counts of each different word."""
+    names, at, _ = _distinct(_join(asked, "keys"))
+    total = np.bincount(at, _join(asked, "counts"), len(names)).astype(np.int64)
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(names)] = np.arange(len(names))
+    return total[at], rank[at], total
 
 
 def _tally(total: np.ndarray) -> np.ndarray:
@@ -214,35 +243,32 @@ class _Pairs:
     def __init__(self, asked: pa.Table):
         head, degree, tail = _join(asked, "heads").view(np.uint64), _join(asked, "degrees"), _join(asked, "tails").view(np.uint64)
         key = mix(np.repeat(head, degree) ^ mix(tail))
-        _, first, self.at = np.unique(key, return_index=True, return_inverse=True)
+        _, self.at, first = _distinct(key)
         self.total = np.bincount(self.at, _join(asked, "counts"), len(first)).astype(np.int64)
-        names, self.side_of = np.unique(head, return_inverse=True)
+        names, self.side_of, _ = _distinct(head)
         self.head = np.repeat(self.side_of, degree)[first]
         self.known, self.heads = _join(asked, "known")[first], len(names)
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``id_col, train, n_tokens, n_known, train_tokens, base_score, score`` of every row.
+@dataclass
+class _Counts:
+    """Documents in chunks, and what their chunks ask and are told."""
 
-    The model learns from the rows for which ``train`` (a column over ``docs``)
-    is true.  Tokens are words (runs of characters other than space and \\t to
-    \\r, A-Z as a-z) and one end a text.  ``n_known`` tokens occur in the
-    ``train_tokens`` learnt; ``base_score`` is the log10 probability with one
-    added to each word's count, ``score`` that of the Katz model:
+    chunked: DataFrame
+    asked: DataFrame  # words, dealt out by the partition that counts them
+    words: DataFrame  # their counts, by chunk
+    pairs: DataFrame  # bigrams, dealt out by the partition that counts them
+    parts: int
+    informed: Callable[[pa.Table, pa.Table], tuple[Chunk, np.ndarray]]
 
-    a bigram with a count has its discounted share of its history's count; any
-    other token the probability of its word, times the weight by which the
-    shares of all words that never followed the history sum to what the
-    discounts left over.  A word's probability is its discounted share of all
-    tokens; what is left there is one unknown word's.  A history that was never
-    seen leaves the word's probability as it is.
 
-    Texts are dealt out once, in chunks of about ``chunk_bytes``; the tables have
-    as many partitions.  A null text is empty: one token.  Where ``train`` is
-    null the row isn't learnt from.  Repeated rows count each.  Other columns are
-    ignored.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _with_stats(answers: DataFrame, tallies: DataFrame) -> DataFrame:
+    sums = tallies.agg(F.array(*(F.sum(F.col("stats")[k]) for k in range(_STATS))).alias("stats"))
+    # One row, whatever the corpus.
+    return answers.withColumn("one", F.col("part") >= 0).join(F.broadcast(sums.withColumn("one", F.col("stats")[0] >= 0)), "one").drop("one")
+
+
+def _counted(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_bytes: int) -> _Counts:
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     parts = max(1, -(-size // chunk_bytes))
@@ -251,22 +277,19 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     def ask_words(docs: pa.Table) -> pa.Table:
         asked = list(Chunk(docs, parts).ask_words())
         sizes, chunk = np.array([len(x[1]) for x in asked]), docs.column("chunk")[0].as_py()
-        return _table("part chunk keys counts", [pa.array([x[0] for x in asked], pa.int32()), pa.array([chunk] * len(asked), pa.int32()), _list(sizes, np.concatenate([x[1] for x in asked]), pa.int64()), _list(sizes, np.concatenate([x[2] for x in asked]), pa.int32())])
+        return _table("part chunk keys counts", [pa.array([x[0] for x in asked], pa.int32()), pa.array([chunk] * len(asked), pa.int32()), _list(sizes, np.concatenate([x[1] for x in asked]), pa.int64()), _packed(sizes, np.concatenate([x[2] for x in asked]))])
 
-    asked = chunked.groupBy("chunk").applyInArrow(ask_words, "part int, chunk int, keys array<bigint>, counts array<int>").repartition("part")
+    asked = chunked.groupBy("chunk").applyInArrow(ask_words, "part int, chunk int, keys array<bigint>, counts binary").repartition("part")
 
     def answer_words(asked: pa.Table) -> pa.Table:
-        return _table("chunk part totals", [asked.column("chunk"), asked.column("part"), _list(_sizes(asked, "keys"), _word_totals(asked)[0], pa.int64())])
+        total, rank, _ = _word_totals(asked)
+        sizes = _sizes(asked, "keys")
+        return _table("chunk part totals ids", [asked.column("chunk"), asked.column("part"), _packed(sizes, total), _packed(sizes, rank * parts + asked.column("part")[0].as_py() + 1)])
 
     def tally_words(asked: pa.Table) -> pa.Table:
-        return _stats_row(_word_totals(asked)[1])
-
-    def with_stats(answers: DataFrame, tallies: DataFrame) -> DataFrame:
-        sums = tallies.agg(F.array(*(F.sum(F.col("stats")[k]) for k in range(_STATS))).alias("stats"))
-        # One row, whatever the corpus.
-        return answers.withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one").drop("one")
+        return _stats_row(_word_totals(asked)[2])
 
-    words = with_stats(asked.groupBy("part").applyInArrow(answer_words, "chunk int, part int, totals array<bigint>"), asked.groupBy("part").applyInArrow(tally_words, "stats array<bigint>"))
+    words = _with_stats(asked.groupBy("part").applyInArrow(answer_words, "chunk int, part int, totals binary, ids binary"), asked.groupBy("part").applyInArrow(tally_words, "stats array<bigint>"))
 
     def informed(docs: pa.Table, answers: pa.Table) -> tuple[Chunk, np.ndarray]:
         chunk = Chunk(docs, parts)
@@ -276,13 +299,46 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
 
     def ask_pairs(docs: pa.Table, answers: pa.Table) -> pa.Table:
         chunk, stats = informed(docs, answers)
-        got = list(chunk.ask_pairs())
-        kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-        lists = [_list(np.array([len(x[1][k]) for x in got], np.int64), np.concatenate([x[1][k] for x in got]) if got else [], kind) for k, kind in enumerate(kinds)]
+        got = list(chunk.ask_pairs(_join(answers.sort_by("part"), "ids")))
+        kinds = [None, pa.bool_(), None, None, None, None]
+        lists = []
+        for k, kind in enumerate(kinds):
+            sizes, values = np.array([len(x[1][k]) for x in got], np.int64), np.concatenate([x[1][k] for x in got]) if got else np.zeros(0, np.int64)
+            lists.append(_list(sizes, values, kind) if kind else _packed(sizes, values))
         n, number = len(got), docs.column("chunk")[0].as_py()
         return _table("part chunk heads wanted degrees tails counts known stats", [pa.array([x[0] for x in got], pa.int32()), pa.array([number] * n, pa.int32()), *lists, _list(np.full(n, _STATS), np.tile(stats, n), pa.int64())])
 
-    pairs = chunked.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(ask_pairs, "part int, chunk int, heads array<bigint>, wanted array<boolean>, degrees array<int>, tails array<bigint>, counts array<int>, known array<bigint>, stats array<bigint>").repartition("part")
+    pairs = chunked.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(ask_pairs, "part int, chunk int, heads binary, wanted array<boolean>, degrees binary, tails binary, counts binary, known binary, stats array<bigint>").repartition("part")
+    return _Counts(chunked, asked, words, pairs, parts, informed)
+
+
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``id_col, train, n_tokens, n_known, train_tokens, base_score, score`` of every row.
+
+    The model learns from the rows for which ``train`` (a column over ``docs``)
+    is true.  Tokens are words (runs of characters other than space and \\t to
+    \\r, A-Z as a-z) and one end a text.  ``n_known`` tokens occur in the
+    ``train_tokens`` learnt; ``base_score`` is the log10 probability with one
+    added to each word's count, ``score`` that of the Katz model:
+
+    a bigram with a count has its discounted share of its history's count; any
+    other token the probability of its word, times the weight by which the
+    shares of all words that never followed the history sum to what the
+    discounts left over.  A word's probability is its discounted share of all
+    tokens; what is left there is one unknown word's.  A history that was never
+    seen leaves the word's probability as it is.
+
+    Texts are dealt out once, in chunks of about ``chunk_bytes``; the tables have
+    as many partitions.  A task needs some thirty times a chunk's bytes, and there
+    are as many questions as chunks times partitions: on executors with more
+    memory and for corpora of terabytes, chunks of 64 to 256 MB keep a question
+    worth its row.  A null text is empty: one token.  Where ``train`` is
+    null the row isn't learnt from.  Repeated rows count each.  Other columns are
+    ignored.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    counts = _counted(docs, train, id_col, text_col, chunk_bytes)
+    chunked, words, pairs, informed = counts.chunked, counts.words, counts.pairs, counts.informed
 
     def answer_pairs(asked: pa.Table) -> pa.Table:
         p = _Pairs(asked)
@@ -291,20 +347,20 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
         few = np.stack([np.bincount(p.head[p.total == r], minlength=p.heads) for r in range(1, DISCOUNTED + 1)], 1)
         mass = np.bincount(p.head[seen], unigrams.probability(p.known[seen]), p.heads)
         wanted = _join(asked, "wanted").astype(bool)
-        sizes, at = _sizes(asked, "heads"), p.side_of
+        sizes, at = _sizes(asked, "wanted"), p.side_of
         edges = np.r_[0, np.cumsum(sizes)]
         some = np.diff(np.r_[0, np.cumsum(wanted)][edges])
         per_pair = np.diff(np.r_[0, np.cumsum(_join(asked, "degrees"))][edges])
         return _table(
             "chunk part totals low few mass",
-            [asked.column("chunk"), asked.column("part"), _list(per_pair, p.total[p.at], pa.int64()), _list(sizes, (few.sum(1) > 0)[at], pa.bool_()), _list(some * DISCOUNTED, few[at[wanted]].reshape(-1), pa.int32()), _list(some, mass[at[wanted]], pa.float64())],
+            [asked.column("chunk"), asked.column("part"), _packed(per_pair, p.total[p.at]), _list(sizes, (few.sum(1) > 0)[at], pa.bool_()), _packed(some * DISCOUNTED, few[at[wanted]].reshape(-1)), _list(some, mass[at[wanted]], pa.float64())],
         )
 
     def tally_pairs(asked: pa.Table) -> pa.Table:
         return _stats_row(_Pairs(asked).total)
 
-    about_pairs = with_stats(pairs.groupBy("part").applyInArrow(answer_pairs, "chunk int, part int, totals array<bigint>, low array<boolean>, few array<int>, mass array<double>"), pairs.groupBy("part").applyInArrow(tally_pairs, "stats array<bigint>"))
-    answers = words.withColumn("level", F.lit(1)).unionByName(about_pairs.withColumn("level", F.lit(2)), allowMissingColumns=True)
+    about_pairs = _with_stats(pairs.groupBy("part").applyInArrow(answer_pairs, "chunk int, part int, totals binary, low array<boolean>, few binary, mass array<double>"), pairs.groupBy("part").applyInArrow(tally_pairs, "stats array<bigint>"))
+    answers = words.drop("ids").withColumn("level", F.lit(1)).unionByName(about_pairs.withColumn("level", F.lit(2)), allowMissingColumns=True)
     out = f"`{id_col}` {id_type}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def evaluate(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -324,3 +380,33 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
         )
 
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, out)
+
+
+def count_tables(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The model's tables: ``part, id, word, count`` and ``part, history, word, count``.
+
+    ``word`` of the first is the word's hash; the second has ids of the first,
+    0 for what precedes a text.  Rows lie in the partitions that count them, so
+    ``write.partitionBy("part")`` stores them as they are.
+    """
+    counts = _counted(docs, train, id_col, text_col, chunk_bytes)
+    parts = counts.parts
+
+    def words_of(asked: pa.Table) -> pa.Table:
+        keys, part = _join(asked, "keys"), asked.column("part")[0].as_py()
+        total, rank, _ = _word_totals(asked)
+        _, _, first = _distinct(keys)
+        known = first[total[first] > 0]
+        return _table("part id word count", [pa.array(np.full(len(known), part), pa.int32()), pa.array(rank[known] * parts + part + 1), pa.array(keys[known]), pa.array(total[known])])
+
+    def pairs_of(asked: pa.Table) -> pa.Table:
+        p, heads = _Pairs(asked), _join(asked, "heads")
+        seen = np.flatnonzero(p.total > 0)
+        first = _distinct(p.at)[2]
+        history, word = np.repeat(heads, _join(asked, "degrees"))[first], _join(asked, "tails")[first]
+        return _table("part history word count", [pa.array(np.full(len(seen), asked.column("part")[0].as_py()), pa.int32()), pa.array(history[seen]), pa.array(word[seen]), pa.array(p.total[seen])])
+
+    return (
+        counts.asked.groupBy("part").applyInArrow(words_of, "part int, id bigint, word bigint, count bigint"),
+        counts.pairs.groupBy("part").applyInArrow(pairs_of, "part int, history bigint, word bigint, count bigint"),
+    )

@@ -62,6 +62,15 @@ def test_against_brute_force(docs, rows, chunk):
         assert r.score == pytest.approx(sum(math.log10(model.p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)), rel=1e-9)
 
 
+def test_tables(docs, rows):
+    words, pairs = katz.count_tables(docs, F.col("doc_id") % 4 != 1, chunk_bytes=2000)
+    model = Model([tokens(t) for k, t in rows if k % 4 != 1])
+    assert sorted(r["count"] for r in words.collect()) == sorted(model.uni.values())
+    assert sorted(r["count"] for r in pairs.collect()) == sorted(model.pairs.values())
+    ids = {r.id for r in words.collect()} | {0}
+    assert len(ids) == len(model.uni) + 1 and all(r.history in ids and r.word in ids for r in pairs.collect())
+
+
 def test_sums_to_one(rows):
     model = Model([tokens(t) for k, t in rows])
     for a in ["<s>", "the", "word", "never"]:
