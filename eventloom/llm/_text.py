@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Word bytes for ``[^\x20\x09-\x0D]+``.
 NOT_SPACE = np.ones(256, bool)
@@ -24,6 +25,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+#: Bytes of one record batch between the JVM and Python; Spark's default of 64 MB,
+#: twice over in each of them and for each core, is most of a small executor.
+BATCH_BYTES = 16 << 20
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Make this session's record batches no larger than ``BATCH_BYTES``."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of each batch with about ``max_bytes`` of text, and at least one row."""
     for batch in batches:

@@ -22,7 +22,7 @@ from ._bpe import PairRanks, all_splits, merge
 from ._text import binaries, buffers, chunks, ragged
 
 #: Distinct pre-tokens whose ids a worker remembers before it starts anew.
-CACHE = 300_000
+CACHE = 200_000
 
 # Classes of code points.  The letters that may follow an apostrophe in a
 # contraction are told apart: one alone (s t m d), or a first of two (re ve ll).

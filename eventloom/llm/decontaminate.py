@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._graph import cut
 from ._text import ALNUM, BASE_WIDE, LOWER, Words, buffers, chunks, covered, mix, ragged, spans_of, window_hashes
 
 WINDOW = 10
@@ -138,9 +139,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], names=["item", "text"])
 
     parts = -(-2 * size // TABLE_BYTES)
-    cut = rows.mapInArrow(pieces, "item string, text string")
+    pieced = rows.mapInArrow(pieces, "item string, text string")
     for k in range(parts):
-        yield [tuple(r) for r in cut.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()]
+        yield [tuple(r) for r in pieced.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()]
 
 
 def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -165,8 +166,7 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     out = docs.select(*kept, F.col(text_col).cast("string").alias("_t"))
     for k, items in enumerate(_blocks(benchmark, item_col, item_text_col, window)):
         if k:
-            before = out.checkpoint() if out.sparkSession.sparkContext.getCheckpointDir() else out
-            found = _search(before.select(*kept, "_t", F.struct(*own.names).alias("_before")), items, window, [*kept, "_t", "_before"], own)
+            found = _search(cut(out).select(*kept, "_t", F.struct(*own.names).alias("_before")), items, window, [*kept, "_t", "_before"], own)
             spans = F.sort_array(F.concat("_before.hit_spans", "hit_spans"))
             merged = F.aggregate(spans, F.array().cast("array<struct<start: bigint, end: bigint>>"), _join_spans)
             out = found.select(*kept, "_t", "n_words", merged.alias("hit_spans"), F.sort_array(F.array_union("_before.hit_items", "hit_items")).alias("hit_items"))

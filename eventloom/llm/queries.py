@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, katz, minhash_join, perspectives, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+from ._text import narrow_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    narrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -15,7 +15,7 @@ from ._bpe import PairRanks, all_splits, merge
 from ._text import binaries, buffers, chunks
 
 #: Distinct pre-tokens whose counts a worker remembers before it starts anew.
-CACHE = 400_000
+CACHE = 300_000
 _SPACE = "▁"
 
 
