@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, decontaminate, minhash_join, suffix_dedup, toxicity
+from eventloom.llm._text import narrow_batches
 
 #: A document with at least this score goes: likelier toxic than not.
 REJECT = 0.5
@@ -27,6 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document with a null or empty text gets the score of no words and stays.
     Without any toxic label nothing is rejected.
     """
+    narrow_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(COLUMNS), model).where(F.col("toxicity") < REJECT).select(COLUMNS)
 
@@ -37,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words or with a null id are in no class and stay; of
     repeated rows with one id and text, one stays.
     """
+    narrow_batches(spark)
     gone = minhash_join.near_duplicates(docs).where("class_id <> doc_id").select("doc_id").distinct()
     kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
     return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(COLUMNS)
@@ -48,6 +51,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A text that loses no words stays as it is; of others the words that are left
     are joined by a space, and ``n_chars`` is counted anew.
     """
+    narrow_batches(spark)
     found = suffix_dedup.remove_repeats(docs, keep=("text", "lang", "source", "n_chars"))
     cut = F.col("n_removed") > 0
     return found.select("doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -55,12 +59,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word in a benchmark passage; null and empty texts stay."""
+    narrow_batches(spark)
     found = decontaminate.find_benchmark_text(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("n_hit = 0").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its tokens and the text they decode to (null: no tokens, empty text)."""
+    narrow_batches(spark)
     coded = bpe.encode(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
     return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.decode("decoded", "UTF-8").alias("text"))
 
