@@ -75,9 +75,9 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *
     """Fit ``MEMBERS`` linear models with the logistic loss, each on its own resample of the toxic texts."""
     if not toxic or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), prior if toxic else 0.0)
-    flat = np.concatenate([*toxic, *unlabelled]).astype(np.int64)
+    flat = np.concatenate([*toxic, *unlabelled]).astype(np.int32)
     sizes = np.fromiter(map(len, [*toxic, *unlabelled]), np.int64, len(toxic) + len(unlabelled))
-    owner, is_toxic = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(sizes)) < len(toxic)
+    owner, is_toxic = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.arange(len(sizes)) < len(toxic)
     in_toxic = np.bincount(flat, is_toxic[owner], minlength=1 << FEATURE_BITS)
     total = np.bincount(flat, minlength=1 << FEATURE_BITS)
     in_rest = np.bincount(flat, ~is_toxic[owner], minlength=1 << FEATURE_BITS)
@@ -86,7 +86,7 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *
     pooled = total / len(sizes)
     spread = np.sqrt(pooled * (1 - pooled) * (1 / len(toxic) + 1 / len(unlabelled)))
     features = np.flatnonzero((in_toxic >= MIN_TEXTS) & (np.abs(a - b) > MIN_ERRORS * spread))
-    row = np.full(1 << FEATURE_BITS, -1, np.int64)
+    row = np.full(1 << FEATURE_BITS, -1, np.int32)
     row[features] = np.arange(len(features))
     used = row[flat] >= 0
     col, owner = row[flat[used]], owner[used]
