@@ -86,10 +86,17 @@ def by_creation(df: DataFrame) -> DataFrame:
 
 
 def head(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group, and how many more it has."""
-    place = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_n", F.row_number().over(place)).withColumn("omitted", F.greatest(F.count(F.lit(1)).over(Window.partitionBy(*keys)) - n, F.lit(0)))
-    return rows.where(F.col("_n") <= n).drop("_n")
+    """The first ``n`` rows of each group, and how many more it has.
+
+    Spark cuts groups to ``n`` rows before it brings them together; the counts
+    are sums with partial results.
+    """
+    first = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    counts = df.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("omitted"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return first.join(counts, same).drop(*(f"_{k}" for k in keys))
 
 
 def keyword_top_k(memories: DataFrame, query: Sequence[str], k: int) -> DataFrame:

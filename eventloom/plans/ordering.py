@@ -42,12 +42,11 @@ def keyset_page(spark, sf_dir):
     return docs.where(o.after(keys, [2000, 100])).orderBy(F.desc("n_chars"), "doc_id").limit(o.page_size(None) + 1).select("doc_id", "text")
 
 
-@query("SELECT l.doc_id, row_number() OVER (ORDER BY CASE WHEN d.n_chars > 3000 THEN d.doc_id END NULLS LAST, l.doc_id DESC) - 1 AS place FROM labels l LEFT JOIN documents d USING (doc_id)")
+@query("SELECT l.doc_id, d.doc_id AS position FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars > 3000) d USING (doc_id)")
 def stored_order(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("n_chars > 3000").select("doc_id", F.col("doc_id").alias("position"))
-    rows = o.stored_order(table(spark, sf_dir, "labels").withColumn("at", F.col("doc_id")), docs, "doc_id", "at")
-    # The place of each row in the order, from ordered parts and their sizes.
-    return rows.select("doc_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("doc_id bigint, place bigint")
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("changed"))
+    return o.stored_order(rows, docs, "doc_id", "changed").select("doc_id", "position")
 
 
 @query(rf"""WITH l AS (SELECT session_id, seq, string_split(text, chr(10)) AS l FROM {_CONV}) SELECT session_id, seq, array_to_string(list_filter(l[1:3], lambda x, i: list_sum(list_transform(l[1:i], lambda y: strlen(y) + 1)) <= 400), chr(10)) AS lines FROM l""")
