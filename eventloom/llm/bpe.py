@@ -248,7 +248,7 @@ def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", decoded:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path)
-        for batch in chunks(batches, "_t", 2 << 20):
+        for batch in chunks(batches, "__text__", 2 << 20):
             ids, at = bpe.encode(batch.column(len(kept)))
             starts = bpe.offsets(ids, at)
             out = [*batch.columns[: len(kept)], _lists(ids, at), _lists(starts, at)]
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", decoded:
                 out.append(binaries(*bpe.decode(ids, starts, at)).cast(pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names=[*kept, *own])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias("__text__")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

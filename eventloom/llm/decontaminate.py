@@ -163,16 +163,16 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     """
     own = T.StructType.fromDDL("n_words bigint, n_hit bigint, hit_spans array<struct<start: bigint, end: bigint>>, hit_items array<string>")
     kept = [c for c in docs.columns if c.lower() not in own.names]
-    out = docs.select(*kept, F.col(text_col).cast("string").alias("_t"))
+    out = docs.select(*kept, F.col(text_col).cast("string").alias("__text__"))
     for k, items in enumerate(_blocks(benchmark, item_col, item_text_col, window)):
         if k:
-            found = _search(cut(out).select(*kept, "_t", F.struct(*own.names).alias("_before")), items, window, [*kept, "_t", "_before"], own)
+            found = _search(cut(out).select(*kept, "__text__", F.struct(*own.names).alias("_before")), items, window, [*kept, "__text__", "_before"], own)
             spans = F.sort_array(F.concat("_before.hit_spans", "hit_spans"))
             merged = F.aggregate(spans, F.array().cast("array<struct<start: bigint, end: bigint>>"), _join_spans)
-            out = found.select(*kept, "_t", "n_words", merged.alias("hit_spans"), F.sort_array(F.array_union("_before.hit_items", "hit_items")).alias("hit_items"))
+            out = found.select(*kept, "__text__", "n_words", merged.alias("hit_spans"), F.sort_array(F.array_union("_before.hit_items", "hit_items")).alias("hit_items"))
             out = out.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]))
         else:
-            out = _search(out, items, window, [*kept, "_t"], own)
+            out = _search(out, items, window, [*kept, "__text__"], own)
     return out.select(*kept, *own.names)
 
 
@@ -189,8 +189,8 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], window: int, kept: li
     schema = T.StructType([*(docs.schema[c] for c in kept), *own.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_t"):
-            words, hit, found = matcher.search(batch.column(kept.index("_t")))
+        for batch in chunks(batches, "__text__"):
+            words, hit, found = matcher.search(batch.column(kept.index("__text__")))
             start, end, at = spans_of(hit, words.docs)
             spans = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["start", "end"]))
             n_hit = np.diff(np.r_[0, np.cumsum(hit)][words.docs])

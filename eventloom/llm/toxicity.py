@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = model.table()
-        for batch in chunks(batches, "_t"):
+        for batch in chunks(batches, "__text__"):
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(model.score(words_of(batch.column(len(kept))), rows), pa.float64())], names=[*kept, "toxicity"])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias("__text__")).mapInArrow(run, schema)

@@ -37,8 +37,8 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     """The corpus, with columns whose names the operators use themselves."""
-    data = [(k, t, "en", f"s{k % 3}", len(t or ""), -1, "clash", True, [1]) for k, t in rows]
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words bigint, doc string, hit_spans boolean, grams array<int>"
+    data = [(k, t, "en", f"s{k % 3}", len(t or ""), -1, "clash", True, [1], 5, 6, "ids") for k, t in rows]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words bigint, doc string, hit_spans boolean, grams array<int>, _t int, _0 int, token_ids string"
     return spark.createDataFrame(data, schema).repartition(3)
 
 
