@@ -9,7 +9,7 @@ finds the state before every character of a batch at once.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -231,18 +231,18 @@ def _lists(flat: np.ndarray, docs: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(docs, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", decoded: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``token_ids`` and ``token_starts`` (arrays of int).
 
     ``token_starts`` are the byte places of the tokens in the text, from which
     :func:`decode` rebuilds it; with ``decoded``, the same task does so and adds
-    ``decoded`` (binary).  Other columns stay; any of these three names is
-    replaced.  Rows stay where they are: no shuffle.  A null or empty text has
+    ``decoded`` (binary).  Other columns stay, or those in ``keep``; any of
+    these three names is replaced.  Rows stay where they are: no shuffle.  A null or empty text has
     no tokens.  Strings of special tokens are ordinary text.  Memory follows the
     longest text.
     """
     own = ["token_ids", "token_starts", *["decoded"] * decoded]
-    kept = [c for c in docs.columns if c.lower() not in own]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
     array = T.ArrayType(T.IntegerType(), False)
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(own[0], array), T.StructField(own[1], array), *[T.StructField("decoded", T.BinaryType())] * decoded])
 

@@ -8,7 +8,8 @@ first block select test strings, and their bytes are compared directly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +145,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
         yield [tuple(r) for r in pieced.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).collect()]
 
 
-def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_spans`` and ``hit_items``.
 
     A-Z count as a-z; words are runs of digits, letters a-z and characters
@@ -158,13 +159,18 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     a pass over the documents for each table, written in between.
 
     Null texts have no words; items with a null id or text are ignored.  Other
-    columns stay; of columns with the names above, the new ones replace the old.
+    columns stay, or those in ``keep``; of columns with the names above, the new
+    ones replace the old.
     Repeated rows give a row each.
     """
     own = T.StructType.fromDDL("n_words bigint, n_hit bigint, hit_spans array<struct<start: bigint, end: bigint>>, hit_items array<string>")
-    kept = [c for c in docs.columns if c.lower() not in own.names]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own.names]
     out = docs.select(*kept, F.col(text_col).cast("string").alias("__text__"))
-    for k, items in enumerate(_blocks(benchmark, item_col, item_text_col, window)):
+    blocks = _blocks(benchmark, item_col, item_text_col, window)
+    items = next(blocks)
+    if (later := next(blocks, None)) is None:
+        return _search(out, items, window, kept, own)
+    for k, items in enumerate(chain([items, later], blocks)):
         if k:
             found = _search(cut(out).select(*kept, "__text__", F.struct(*own.names).alias("_before")), items, window, [*kept, "__text__", "_before"], own)
             spans = F.sort_array(F.concat("_before.hit_spans", "hit_spans"))
@@ -185,15 +191,16 @@ def _join_spans(done, span):
 
 
 def _search(docs: DataFrame, items: list[tuple[str, str]], window: int, kept: list[str], own: T.StructType) -> DataFrame:
+    """One pass over ``docs``, whose texts are in ``__text__``."""
     matcher = Matcher(items, window)
     schema = T.StructType([*(docs.schema[c] for c in kept), *own.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__text__"):
-            words, hit, found = matcher.search(batch.column(kept.index("__text__")))
+            words, hit, found = matcher.search(batch.column("__text__"))
             start, end, at = spans_of(hit, words.docs)
             spans = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["start", "end"]))
             n_hit = np.diff(np.r_[0, np.cumsum(hit)][words.docs])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words.counts(), pa.int64()), pa.array(n_hit, pa.int64()), spans, pa.array(found, pa.list_(pa.string()))], names=[*kept, *own.names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(words.counts(), pa.int64()), pa.array(n_hit, pa.int64()), spans, pa.array(found, pa.list_(pa.string()))], names=[*kept, *own.names])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -19,8 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of each document lie in benchmark passages, and of which items."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.find_benchmark_text(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_benchmark_text(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -61,7 +60,7 @@ def op6_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, learnt from the rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs.where(fold("doc_id", 4) != 2), labels)
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
@@ -81,8 +80,7 @@ def op8_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document under the 50k byte ranks, and what they decode to."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True, keep=["doc_id"])
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

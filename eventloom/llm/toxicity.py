@@ -8,7 +8,7 @@ falls below zero the model has begun to overfit, and the step is turned round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -160,15 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train(*groups, prior)
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1, higher: likelier toxic).
 
     Whole texts are scored by the presence of words; labels, ids and other
     columns are not looked at.  A null or empty text gets the score of no words.
-    Rows stay where they are: no shuffle.  Other columns stay; one of this name
-    is replaced.
+    Rows stay where they are: no shuffle.  Other columns stay, or those in
+    ``keep``; one of this name is replaced.
     """
-    kept = [c for c in docs.columns if c.lower() != "toxicity"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "toxicity"]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("toxicity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,4 +51,5 @@ def test_empty_tables(spark, docs, empty, odd):
     assert find_benchmark_text(docs, none).where("n_hit > 0 or size(hit_items) > 0").count() == 0
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11")], "item_id bigint, text string")
     assert find_benchmark_text(empty, bench).count() == 0
+    assert find_benchmark_text(docs, bench, keep=["doc_id"]).columns == ["doc_id", "n_words", "n_hit", "hit_spans", "hit_items"]
     assert sorted(r.n_hit for r in find_benchmark_text(odd, bench).collect()) == [0, 11, 11, 11, 11, 11]
