@@ -67,7 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its tokens and the text they decode to (null: no tokens, empty text)."""
     narrow_batches(spark)
-    coded = bpe.encode(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True, keep=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.decode("decoded", "UTF-8").alias("text"))
 
 
