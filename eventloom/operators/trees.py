@@ -54,4 +54,4 @@ def knobs(log: DataFrame, tools: Column, call: Column) -> DataFrame:
 
     rows = in_force(log, tools, "tools").where(call.isNotNull())
     found = F.filter("tools", lambda t: t["name"] == call)
-    return rows.withColumn("schema", F.element_at(F.transform(found, lambda t: t["schema"]), 1))
+    return rows.withColumn("schema", F.try_element_at(F.transform(found, lambda t: t["schema"]), F.lit(1)))
