@@ -68,6 +68,18 @@ def memories(texts: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def memory_records(memories: DataFrame) -> DataFrame:
+    """``position, text``: each memory as its part of a Markdown file, which :func:`memories` reads back."""
+    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"\n{name}: "), value)).otherwise(F.lit(""))
+    head = F.concat(F.lit("# "), F.col("title"), line("Id", F.col("id")), line("Keywords", F.array_join("keywords", ", ")), line("Recorded", F.col("recorded_at")), line("Outcome", F.col("outcome")))
+    return memories.select("position", F.concat(head, F.lit("\n\n"), "body", F.lit("\n")).alias("text"))
+
+
+def facts_json(facts: DataFrame, folder: str = "cwd") -> DataFrame:
+    """A JSON array of the facts of each folder, by title."""
+    return facts.groupBy(folder).agg(F.to_json(F.array_sort(F.collect_list(F.struct("title", "body")))).alias("text"))
+
+
 def facts(json: DataFrame, text_col: str = "text") -> DataFrame:
     """Facts of a JSON array; titles are compared without case, the last of equal ones holds."""
     rows = json.select(F.posexplode(F.from_json(text_col, "array<struct<title: string, body: string>>")).alias("position", "fact"))

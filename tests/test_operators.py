@@ -78,6 +78,19 @@ def test_sets(spark):
     assert sorted(rows(metrics.by_workspace(w, "b"), "cwd", "n", "has_current"), key=repr) == [("/x", 2, True), (None, 1, False)]
 
 
+def test_memories_and_facts_round_trip(spark):
+    from eventloom.sources import tables
+
+    text = "# One\nId: memory-1\nKeywords: a, b\nRecorded: today\nOutcome: success\n\nbody\n# Two\nId: memory-2\n\nmore\n"
+    held = tables.memories(spark.createDataFrame([(text,)], "text string"))
+    again = "".join(r.text for r in tables.memory_records(held).orderBy("position").collect())
+    back = tables.memories(spark.createDataFrame([(again,)], "text string"))
+    assert rows(back.orderBy("position"), *held.columns) == rows(held.orderBy("position"), *held.columns)
+    facts = spark.createDataFrame([("/x", "b", "2"), ("/x", "a", "1")], "cwd string, title string, body string")
+    stored = tables.facts_json(facts)
+    assert sorted(rows(tables.facts(stored), "title", "body")) == [("a", "1"), ("b", "2")]
+
+
 def test_text_functions(spark):
     one = lambda c, **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v)).select(c.alias("v")).first().v
     assert tuple(one(x.slash_command(F.col("t")), t="/plan  do it ")) == ("plan", "do it") and one(x.slash_command(F.col("t")), t="plan").name is None
