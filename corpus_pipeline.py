@@ -84,8 +84,9 @@ ORACLE_SQL = None
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    """A new folder in the one that the cluster shares; a temporary one where none is set, as in tests."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
     return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
 
 
