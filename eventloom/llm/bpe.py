@@ -22,7 +22,7 @@ from ._bpe import PairRanks, all_splits, merge
 from ._text import binaries, buffers, chunks, ragged
 
 #: Distinct pre-tokens whose ids a worker remembers before it starts anew.
-CACHE = 200_000
+CACHE = 120_000
 
 # Classes of code points.  The letters that may follow an apostrophe in a
 # contraction are told apart: one alone (s t m d), or a first of two (re ve ll).
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text", decoded:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path)
-        for batch in chunks(batches, "__text__", 2 << 20):
+        for batch in chunks(batches, "__text__"):
             ids, at = bpe.encode(batch.column(len(kept)))
             starts = bpe.offsets(ids, at)
             out = [*batch.columns[: len(kept)], _lists(ids, at), _lists(starts, at)]
