@@ -6,6 +6,7 @@ import difflib
 import html
 import json
 import re
+import sys
 import unicodedata
 from html.parser import HTMLParser
 
@@ -53,21 +54,26 @@ def keep_bytes(text: str, most: int, mode: str = "head") -> tuple[str, str, int]
     return head, tail, len(data) - len(head.encode()) - len(tail.encode())
 
 
+#: Marks that search looks through.
+_MARKS = dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
+
+
 def fold(text: str) -> list[str]:
     """Search tokens: runs of letters and digits, case folded, without diacritics."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return re.findall(r"[^\W_]+", plain)
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFD", text).translate(_MARKS)
+    return re.findall(r"[^\W_]+", text)
 
 
 def phrase_spans(tokens: list[str], phrase: list[str]) -> int:
     """How often the phrase occurs, overlapping occurrences counted as one."""
-    n, count, at, end = len(phrase), 0, 0, -1
-    while at <= len(tokens) - n:
+    n, count, at, end = len(phrase), 0, -1, -1
+    for _ in range(tokens.count(phrase[0])):
+        at = tokens.index(phrase[0], at + 1)
         if tokens[at : at + n] == phrase:
-            if at >= end:
-                count += 1
+            count += at >= end
             end = at + n
-        at += 1
     return count
 
 
