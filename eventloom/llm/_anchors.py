@@ -36,6 +36,8 @@ class Windows:
 
     def _anchors(self) -> np.ndarray:
         """The place of the smallest gram of each window, the first of equals."""
+        if not len(self.starts):
+            return self.starts
         reach, best = self.width - self.gram + 1, np.arange(len(self.grams))
         have = 1
         while have < reach:
@@ -43,7 +45,7 @@ class Windows:
             left, right = best[: len(best) - step], best[step:]
             best = np.where(self.grams[right] < self.grams[left], right, left)
             have += step
-        return best[self.starts] if len(self.starts) else self.starts
+        return best[self.starts]
 
     def window_keys(self, which: np.ndarray, base: int = BASE_WIDE) -> np.ndarray:
         """Rabin-Karp hashes of the windows that start at ``starts[which]``."""

@@ -43,6 +43,20 @@ def test_repeats_in_odd_tables(module, odd, empty):
     assert got == [("7", 0), ("7", 0), ("9", 80), ("None", 0), ("None", 0), ("None", 0)]
 
 
+@pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
+def test_repeats_in_a_lone_short_document(spark, module):
+    texts = [(k, " ".join(f"w{i}" for i in range(k))) for k in range(61)]
+    rows = [(k if own else None, t) for k, t in texts for own in (True, False)]
+    # A document a partition and so a batch of its own, those without an id too.
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id bigint, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = module.remove_repeats(table).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == without_repeats(rows, 50)
+
+
 def links_of(rows, threshold=0.8):
     sets = {}
     for k, t in rows:
