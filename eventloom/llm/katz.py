@@ -1,10 +1,10 @@
-"""LM scoring: a Katz backoff bigram model with Good-Turing discounts.
+"""LM scoring: a Katz backoff model of any order with Good-Turing discounts.
 
 Counts are kept in tables partitioned by what they are asked for: words by
-their hash, bigrams by their history.  Documents are dealt out in chunks; a
-chunk asks each partition once for all its different words, then for all its
-different bigrams, and gets the counts of the whole corpus back in the order in
-which it asked.  So no table of the vocabulary goes anywhere whole, and a
+their hash, bigrams and longer by their history.  Documents are dealt out in
+chunks; a chunk asks each partition once for all its different words, then for
+all its different bigrams and so on, and gets the counts of the whole corpus
+back in the order in which it asked.  So no table of the vocabulary goes anywhere whole, and a
 frequent word costs one entry a chunk.
 """
 
@@ -73,7 +73,7 @@ class Unigrams:
 
 
 class Chunk:
-    """Tokens of a chunk's documents, its different words and bigrams, and whom to ask for them."""
+    """Tokens of a chunk's documents, its different words and n-grams, and whom to ask for them."""
 
     def __init__(self, docs: pa.Table, parts: int):
         tokens, counts = [], []
@@ -103,73 +103,114 @@ class Chunk:
         for part, a, b in _runs(self.word_part):
             yield part, self.words[a:b].view(np.int64), seen[a:b]
 
-    def learn_words(self, totals: np.ndarray, tokens: int) -> None:
+    def learn_words(self, totals: np.ndarray, stats: np.ndarray) -> None:
         """Take the corpus counts of the words, and find the bigrams that can be known."""
-        self.known = totals[self.word_of]
+        self.unigrams, self.known = Unigrams.of(stats), totals[self.word_of]
         end = np.flatnonzero(self.words == END)
         texts = totals[end[0]] if len(end) else 0
-        n = len(self.words)
         history = np.empty(len(self.token), np.int64)
         history[1:] = self.word_of[:-1]
-        history[self.docs[:-1]] = n
-        by_word = np.append(totals, texts)
-        self.history, self.history_count = history, by_word[history]
-        possible = (self.known > 0) & (self.history_count > 0)
-        self.asked = np.flatnonzero(possible)
-        code, self.pair_of, _ = _distinct(history[self.asked] * n + self.word_of[self.asked])
-        head, tail = code // n, code % n
-        head_hash = np.append(self.words, START)
+        history[self.docs[:-1]] = len(self.words)
+        self.levels = [Level(self, history, np.append(totals, texts), np.append(self.words, START), self.known, None)]
+
+    def ask(self, ids: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """The questions of the last level to each partition; ``ids``: numbers of the words, from 1 on, shorter than hashes."""
+        return self.levels[-1].ask(np.append(ids, 0))
+
+    def learn(self, stats: np.ndarray, totals: np.ndarray, low: np.ndarray, few: np.ndarray, mass: np.ndarray) -> None:
+        """Take the corpus counts that the last level asked for."""
+        self.levels[-1].learn(stats, totals, low, few, mass)
+
+    def lengthen(self) -> None:
+        """Find the n-grams one longer than the last level's that can be known."""
+        last = self.levels[-1]
+        gram = np.full(len(self.token), -1)
+        gram[last.asked] = last.gram_of
+        history = np.r_[-1, gram[:-1]]
+        history[self.docs[:-1]] = -1
+        hashes = mix(last.head_hash[last.head] ^ mix(self.words[last.tail]))
+        self.levels.append(Level(self, history, last.totals, hashes, last.gram, last))
+
+    def score(self) -> np.ndarray:
+        """log10 probability of every token."""
+        p = self.unigrams.probability(self.known)
+        for level in self.levels:
+            p = level.probability(p)
+        return np.log10(p)
+
+
+class Level:
+    """What a chunk asks and is told of the n-grams of one order.
+
+    ``history``: of each token, which of the level's heads precedes it, -1 if
+    none that can be known; ``low``: the count of the n-gram one shorter.
+    """
+
+    def __init__(self, chunk: Chunk, history: np.ndarray, counts: np.ndarray, hashes: np.ndarray, low: np.ndarray, below: Level | None):
+        self.chunk, self.history, self.head_count, self.head_hash, self.below = chunk, history, counts, hashes, below
+        n, words, parts = len(counts), chunk.words, np.uint64(chunk.parts)
+        self.history_count = np.append(counts, 0)[history]
+        self.asked = np.flatnonzero((low > 0) & (self.history_count > 0))
+        code, self.gram_of, first = _distinct(history[self.asked] * len(words) + chunk.word_of[self.asked])
+        head, tail = code // len(words), code % len(words)
         # A frequent history is spread over several partitions by its next word.
-        share = np.clip(-(-4 * by_word * self.parts // max(tokens, 1)), 1, self.parts)
-        salt = self.words[tail] % share[head].astype(np.uint64)
-        part = (mix(head_hash[head] + salt * _SALT) % np.uint64(self.parts)).astype(np.int64)
+        share = np.clip(-(-4 * counts * chunk.parts // max(chunk.unigrams.tokens, 1)), 1, chunk.parts)
+        salt = words[tail] % share[head].astype(np.uint64)
+        part = (mix(hashes[head] + salt * _SALT) % parts).astype(np.int64)
         order = np.lexsort((code, part))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.pair_of = rank[self.pair_of]
-        self.head, self.tail, self.pair_part = head[order], tail[order], part[order]
+        self.gram_of = rank[self.gram_of]
+        self.head, self.tail, self.part = head[order], tail[order], part[order]
+        self.low = low[self.asked[first]][order]
         # Every partition that may have any of a history is asked about it.
         used = np.unique(history[self.history_count > 0])
         copies = share[used].astype(np.int64)
         spread, number = np.repeat(used, copies), ragged(np.zeros(len(used), np.int64), copies).astype(np.uint64)
-        place = (mix(head_hash[spread] + number * _SALT) % np.uint64(self.parts)).astype(np.int64)
-        both = np.unique(place * (n + 1) + spread)
-        self.side_part, self.side_head = both // (n + 1), both % (n + 1)
-        self.totals = by_word
-
-    def ask_pairs(self, ids: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """The questions to each partition; ``ids``: numbers of the words, from 1 on, shorter than hashes."""
-        ids = np.append(ids, 0)
-        seen = np.bincount(self.pair_of, self.learnt[self.asked], len(self.head)).astype(np.int32)
-        held = np.zeros(len(self.words) + 1, bool)
-        held[self.history[~self.learnt]] = True
-        pairs = {part: (a, b) for part, a, b in _runs(self.pair_part)}
+        place = (mix(hashes[spread] + number * _SALT) % parts).astype(np.int64)
+        both = np.unique(place * max(n, 1) + spread)
+        self.side_part, self.side_head = both // max(n, 1), both % max(n, 1)
+        self.held = np.zeros(n + 1, bool)
+        self.held[history[~chunk.learnt]] = True
+
+    def ask(self, ids: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+        seen = np.bincount(self.gram_of, self.chunk.learnt[self.asked], len(self.head)).astype(np.int32)
+        names, size = ids, np.zeros(0, np.int64)
+        if self.below is not None:
+            names, size = self.head_hash.view(np.int64), np.zeros(len(self.head_count) + 1, np.int64)
+            size[self.history] = self.below.size
+        grams = {part: (a, b) for part, a, b in _runs(self.part)}
         for part, a, b in _runs(self.side_part):
-            c, d = pairs.get(part, (0, 0))
+            c, d = grams.get(part, (0, 0))
             heads = self.side_head[a:b]
             degree = np.bincount(np.searchsorted(heads, self.head[c:d]), minlength=len(heads)).astype(np.int32)
-            yield part, [ids[heads], held[heads], degree, ids[self.tail[c:d]], seen[c:d], self.totals[self.tail[c:d]]]
+            yield part, [names[heads], self.held[heads], degree, ids[self.tail[c:d]], seen[c:d], self.low[c:d], size[heads] if len(size) else size]
 
-    def score(self, unigrams: Unigrams, pair_types: np.ndarray, totals: np.ndarray, low: np.ndarray, few: np.ndarray, mass: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """log10 probability of every token."""
-        n = len(self.words)
-        factors = discounts(pair_types)
+    def learn(self, stats: np.ndarray, totals: np.ndarray, low: np.ndarray, few: np.ndarray, mass: np.ndarray) -> None:
+        n, wanted = len(self.head_count), self.side_head[self.held[self.side_head]]
+        self.stats, self.factors, self.totals = stats, discounts(stats[2:]), totals
         small = np.zeros(n + 1, bool)
         np.logical_or.at(small, self.side_head, low)
-        left, seen_mass = np.zeros(n + 1), np.zeros(n + 1)
+        left, self.seen_mass = np.zeros(n + 1), np.zeros(n + 1)
         r = np.arange(1, DISCOUNTED + 1)
-        np.add.at(left, wanted, (few * ((1 - factors[1:]) * r)).sum(1))
-        np.add.at(seen_mass, wanted, mass)
-        base = unigrams.probability(self.known)
-        pair = np.zeros(len(self.token), np.int64)
-        pair[self.asked] = totals[self.pair_of]
-        # A history whose pairs are all frequent has nothing taken off: one occurrence is added to it.
-        size = self.history_count + ~small[self.history]
-        free = np.where(small, left, 1.0)
+        np.add.at(left, wanted, (few * ((1 - self.factors[1:]) * r)).sum(1))
+        np.add.at(self.seen_mass, wanted, mass)
+        self.gram = np.zeros(len(self.history), np.int64)
+        self.gram[self.asked] = totals[self.gram_of]
+        # A history whose n-grams are all frequent has nothing taken off: one occurrence is added to it.
+        self.size = self.history_count + ~small[self.history]
+        self.free = np.where(small, left, 1.0)
+
+    def probability(self, shorter: np.ndarray) -> np.ndarray:
+        """Of every token, from that under the history one word shorter."""
         with np.errstate(all="ignore"):
-            seen = pair * factors[np.where(pair <= DISCOUNTED, pair, 0)] / size
-            unseen = base * free[self.history] / size / (1 - seen_mass[self.history])
-        return np.log10(np.where(self.history_count == 0, base, np.where(pair > 0, seen, unseen)))
+            seen = _cut(self.gram, self.factors) / self.size
+            unseen = shorter * self.free[self.history] / self.size / (1 - self.seen_mass[self.history])
+        return np.where(self.history_count == 0, shorter, np.where(self.gram > 0, seen, unseen))
+
+
+def _cut(count: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    return count * factors[np.where(count <= DISCOUNTED, count, 0)]
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,8 +278,8 @@ def _stats_row(total: np.ndarray) -> pa.Table:
     return _table("stats", [_list(np.array([_STATS]), _tally(total), pa.int64())])
 
 
-class _Pairs:
-    """The bigrams that one partition was asked for."""
+class _Grams:
+    """The n-grams of one order that one partition was asked for."""
 
     def __init__(self, asked: pa.Table):
         head, degree, tail = _join(asked, "heads").view(np.uint64), _join(asked, "degrees"), _join(asked, "tails").view(np.uint64)
@@ -247,7 +288,10 @@ class _Pairs:
         self.total = np.bincount(self.at, _join(asked, "counts"), len(first)).astype(np.int64)
         names, self.side_of, _ = _distinct(head)
         self.head = np.repeat(self.side_of, degree)[first]
-        self.known, self.heads = _join(asked, "known")[first], len(names)
+        self.low, self.heads = _join(asked, "known")[first], len(names)
+        self.size = np.zeros(self.heads, np.int64)
+        if "sizes" in asked.column_names:
+            self.size[self.side_of] = _join(asked, "sizes")
 
 
 @dataclass
@@ -256,10 +300,10 @@ class _Counts:
 
     chunked: DataFrame
     asked: DataFrame  # words, dealt out by the partition that counts them
-    words: DataFrame  # their counts, by chunk
-    pairs: DataFrame  # bigrams, dealt out by the partition that counts them
+    grams: list[DataFrame]  # bigrams and longer, dealt out by the partition that counts them
+    answers: DataFrame  # counts of all but the last of these, by chunk
     parts: int
-    informed: Callable[[pa.Table, pa.Table], tuple[Chunk, np.ndarray]]
+    informed: Callable[[pa.Table, pa.Table, int], Chunk]
 
 
 def _with_stats(answers: DataFrame, tallies: DataFrame) -> DataFrame:
@@ -268,7 +312,7 @@ def _with_stats(answers: DataFrame, tallies: DataFrame) -> DataFrame:
     return answers.withColumn("one", F.col("part") >= 0).join(F.broadcast(sums.withColumn("one", F.col("stats")[0] >= 0)), "one").drop("one")
 
 
-def _counted(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_bytes: int) -> _Counts:
+def _counted(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_bytes: int, order: int) -> _Counts:
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     parts = max(1, -(-size // chunk_bytes))
@@ -291,28 +335,77 @@ def _counted(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_b
 
     words = _with_stats(asked.groupBy("part").applyInArrow(answer_words, "chunk int, part int, totals binary, ids binary"), asked.groupBy("part").applyInArrow(tally_words, "stats array<bigint>"))
 
-    def informed(docs: pa.Table, answers: pa.Table) -> tuple[Chunk, np.ndarray]:
+    def informed(docs: pa.Table, answers: pa.Table, level: int) -> Chunk:
+        """The chunk with what it was told of the n-grams of up to ``level`` words."""
         chunk = Chunk(docs, parts)
-        stats = answers.column("stats")[0].values.to_numpy(zero_copy_only=False)
-        chunk.learn_words(_join(answers.sort_by("part"), "totals"), int(stats[1]))
-        return chunk, stats
-
-    def ask_pairs(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk, stats = informed(docs, answers)
-        got = list(chunk.ask_pairs(_join(answers.sort_by("part"), "ids")))
-        kinds = [None, pa.bool_(), None, None, None, None]
-        lists = []
-        for k, kind in enumerate(kinds):
-            sizes, values = np.array([len(x[1][k]) for x in got], np.int64), np.concatenate([x[1][k] for x in got]) if got else np.zeros(0, np.int64)
-            lists.append(_list(sizes, values, kind) if kind else _packed(sizes, values))
-        n, number = len(got), docs.column("chunk")[0].as_py()
-        return _table("part chunk heads wanted degrees tails counts known stats", [pa.array([x[0] for x in got], pa.int32()), pa.array([number] * n, pa.int32()), *lists, _list(np.full(n, _STATS), np.tile(stats, n), pa.int64())])
-
-    pairs = chunked.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(ask_pairs, "part int, chunk int, heads binary, wanted array<boolean>, degrees binary, tails binary, counts binary, known binary, stats array<bigint>").repartition("part")
-    return _Counts(chunked, asked, words, pairs, parts, informed)
-
-
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+        for k in range(1, level + 1):
+            told = answers.filter(pc.equal(answers.column("level"), k)).sort_by("part")
+            stats = told.column("stats")[0].values.to_numpy(zero_copy_only=False) if told.num_rows else np.zeros(_STATS, np.int64)
+            if k == 1:
+                chunk.learn_words(_join(told, "totals"), stats)
+                continue
+            if k > 2:
+                chunk.lengthen()
+            chunk.learn(stats, _join(told, "totals"), _join(told, "low").astype(bool), _join(told, "few").reshape(-1, DISCOUNTED), _join(told, "mass"))
+        return chunk
+
+    def ask(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        names = "heads wanted degrees tails counts known".split() + ["sizes"] * (level > 2)
+
+        def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+            chunk = informed(docs, answers, level - 1)
+            if level > 2:
+                chunk.lengthen()
+            one = answers.filter(pc.equal(answers.column("level"), 1)).sort_by("part")
+            below = answers.filter(pc.equal(answers.column("level"), level - 1))
+            stats = below.column("stats")[0].values.to_numpy(zero_copy_only=False) if below.num_rows else np.zeros(_STATS, np.int64)
+            got = list(chunk.ask(_join(one, "ids")))
+            lists = []
+            for k, name in enumerate(names):
+                sizes, values = np.array([len(x[1][k]) for x in got], np.int64), np.concatenate([x[1][k] for x in got]) if got else np.zeros(0, np.int64)
+                lists.append(_list(sizes, values, pa.bool_()) if name == "wanted" else _packed(sizes, values))
+            n, number = len(got), docs.column("chunk")[0].as_py()
+            return _table(" ".join(["part chunk", *names, "stats"]), [pa.array([x[0] for x in got], pa.int32()), pa.array([number] * n, pa.int32()), *lists, _list(np.full(n, _STATS), np.tile(stats, n), pa.int64())])
+
+        return run
+
+    answers, grams = words.withColumn("level", F.lit(1)), []
+    for level in range(2, order + 1):
+        if level > 2:
+            answers = answers.unionByName(_answered(grams[-1], level - 1), allowMissingColumns=True)
+        schema = "part int, chunk int, heads binary, wanted array<boolean>, degrees binary, tails binary, counts binary, known binary, " + "sizes binary, " * (level > 2) + "stats array<bigint>"
+        grams.append(chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask(level), schema).repartition("part"))
+    return _Counts(chunked, asked, grams, answers, parts, informed)
+
+
+def _answered(grams: DataFrame, level: int) -> DataFrame:
+    """What the chunks are told of the n-grams of ``level`` words: counts, and of histories what their shares leave."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        g = _Grams(asked)
+        stats = asked.column("stats")[0].values.to_numpy(zero_copy_only=False)
+        seen = g.total > 0
+        few = np.stack([np.bincount(g.head[g.total == r], minlength=g.heads) for r in range(1, DISCOUNTED + 1)], 1)
+        shorter = Unigrams.of(stats).probability(g.low[seen]) if level == 2 else _cut(g.low[seen], discounts(stats[2:])) / g.size[g.head[seen]]
+        mass = np.bincount(g.head[seen], shorter, g.heads)
+        wanted = _join(asked, "wanted").astype(bool)
+        sizes, at = _sizes(asked, "wanted"), g.side_of
+        edges = np.r_[0, np.cumsum(sizes)]
+        some = np.diff(np.r_[0, np.cumsum(wanted)][edges])
+        per_gram = np.diff(np.r_[0, np.cumsum(_join(asked, "degrees"))][edges])
+        return _table(
+            "chunk part totals low few mass",
+            [asked.column("chunk"), asked.column("part"), _packed(per_gram, g.total[g.at]), _list(sizes, (few.sum(1) > 0)[at], pa.bool_()), _packed(some * DISCOUNTED, few[at[wanted]].reshape(-1)), _list(some, mass[at[wanted]], pa.float64())],
+        )
+
+    def tally(asked: pa.Table) -> pa.Table:
+        return _stats_row(_Grams(asked).total)
+
+    told = _with_stats(grams.groupBy("part").applyInArrow(answer, "chunk int, part int, totals binary, low array<boolean>, few binary, mass array<double>"), grams.groupBy("part").applyInArrow(tally, "stats array<bigint>"))
+    return told.withColumn("level", F.lit(level))
+
+
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, order: int = 2) -> DataFrame:
     """``id_col, train, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     The model learns from the rows for which ``train`` (a column over ``docs``)
@@ -321,12 +414,14 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     ``train_tokens`` learnt; ``base_score`` is the log10 probability with one
     added to each word's count, ``score`` that of the Katz model:
 
-    a bigram with a count has its discounted share of its history's count; any
-    other token the probability of its word, times the weight by which the
-    shares of all words that never followed the history sum to what the
-    discounts left over.  A word's probability is its discounted share of all
-    tokens; what is left there is one unknown word's.  A history that was never
-    seen leaves the word's probability as it is.
+    an n-gram of ``order`` words (2 or more) with a count has its discounted
+    share of its history's count; any other token the probability after the
+    history without its first word, times the weight by which the shares of all
+    words that never followed the history sum to what the discounts left over;
+    and so on down to the word alone.  A word's probability is its discounted
+    share of all tokens; what is left there is one unknown word's.  A history
+    that was never seen leaves the shorter one's probability as it is.  What
+    precedes a text counts as one word, and histories don't reach beyond it.
 
     Texts are dealt out once, in chunks of about ``chunk_bytes``; the tables have
     as many partitions.  A task needs some thirty times a chunk's bytes, and there
@@ -336,41 +431,19 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     null the row isn't learnt from.  Repeated rows count each.  Other columns are
     ignored.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     id_type = docs.schema[id_col].dataType.simpleString()
-    counts = _counted(docs, train, id_col, text_col, chunk_bytes)
-    chunked, words, pairs, informed = counts.chunked, counts.words, counts.pairs, counts.informed
-
-    def answer_pairs(asked: pa.Table) -> pa.Table:
-        p = _Pairs(asked)
-        unigrams = Unigrams.of(asked.column("stats")[0].values.to_numpy(zero_copy_only=False))
-        seen = p.total > 0
-        few = np.stack([np.bincount(p.head[p.total == r], minlength=p.heads) for r in range(1, DISCOUNTED + 1)], 1)
-        mass = np.bincount(p.head[seen], unigrams.probability(p.known[seen]), p.heads)
-        wanted = _join(asked, "wanted").astype(bool)
-        sizes, at = _sizes(asked, "wanted"), p.side_of
-        edges = np.r_[0, np.cumsum(sizes)]
-        some = np.diff(np.r_[0, np.cumsum(wanted)][edges])
-        per_pair = np.diff(np.r_[0, np.cumsum(_join(asked, "degrees"))][edges])
-        return _table(
-            "chunk part totals low few mass",
-            [asked.column("chunk"), asked.column("part"), _packed(per_pair, p.total[p.at]), _list(sizes, (few.sum(1) > 0)[at], pa.bool_()), _packed(some * DISCOUNTED, few[at[wanted]].reshape(-1)), _list(some, mass[at[wanted]], pa.float64())],
-        )
-
-    def tally_pairs(asked: pa.Table) -> pa.Table:
-        return _stats_row(_Pairs(asked).total)
-
-    about_pairs = _with_stats(pairs.groupBy("part").applyInArrow(answer_pairs, "chunk int, part int, totals binary, low array<boolean>, few binary, mass array<double>"), pairs.groupBy("part").applyInArrow(tally_pairs, "stats array<bigint>"))
-    answers = words.drop("ids").withColumn("level", F.lit(1)).unionByName(about_pairs.withColumn("level", F.lit(2)), allowMissingColumns=True)
+    counts = _counted(docs, train, id_col, text_col, chunk_bytes, order)
+    answers = counts.answers.drop("ids")
+    answers = answers.unionByName(_answered(counts.grams[-1], order), allowMissingColumns=True)
+    informed = counts.informed
     out = f"`{id_col}` {id_type}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def evaluate(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        of_level = [answers.filter(pc.equal(answers.column("level"), k)) for k in (1, 2)]
-        chunk, stats = informed(docs, of_level[0])
-        about, unigrams = of_level[1].sort_by("part"), Unigrams.of(stats)
-        held = np.zeros(len(chunk.words) + 1, bool)
-        held[chunk.history[~chunk.learnt]] = True
-        pair_types = about.column("stats")[0].values.to_numpy(zero_copy_only=False)[2:] if about.num_rows else np.zeros(DISCOUNTED + 1)
-        each = chunk.score(unigrams, pair_types, _join(about, "totals"), _join(about, "low").astype(bool), _join(about, "few").reshape(-1, DISCOUNTED), _join(about, "mass"), chunk.side_head[held[chunk.side_head]])
+        chunk = informed(docs, answers, order)
+        unigrams = chunk.unigrams
+        each = chunk.score()
         first = chunk.docs[:-1]
         base = np.log10((chunk.known + 1) / (unigrams.tokens + unigrams.types + 1))
         n = len(first)
@@ -379,7 +452,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
             [docs.column("doc"), docs.column("train"), pa.array(np.diff(chunk.docs)), pa.array(np.add.reduceat((chunk.known > 0).astype(np.int64), first)), pa.array(np.full(n, unigrams.tokens)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(each, first))],
         )
 
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, out)
+    return counts.chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, out)
 
 
 def count_tables(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -389,7 +462,7 @@ def count_tables(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text
     0 for what precedes a text.  Rows lie in the partitions that count them, so
     ``write.partitionBy("part")`` stores them as they are.
     """
-    counts = _counted(docs, train, id_col, text_col, chunk_bytes)
+    counts = _counted(docs, train, id_col, text_col, chunk_bytes, 2)
     parts = counts.parts
 
     def words_of(asked: pa.Table) -> pa.Table:
@@ -400,7 +473,7 @@ def count_tables(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text
         return _table("part id word count", [pa.array(np.full(len(known), part), pa.int32()), pa.array(rank[known] * parts + part + 1), pa.array(keys[known]), pa.array(total[known])])
 
     def pairs_of(asked: pa.Table) -> pa.Table:
-        p, heads = _Pairs(asked), _join(asked, "heads")
+        p, heads = _Grams(asked), _join(asked, "heads")
         seen = np.flatnonzero(p.total > 0)
         first = _distinct(p.at)[2]
         history, word = np.repeat(heads, _join(asked, "degrees"))[first], _join(asked, "tails")[first]
@@ -408,5 +481,5 @@ def count_tables(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text
 
     return (
         counts.asked.groupBy("part").applyInArrow(words_of, "part int, id bigint, word bigint, count bigint"),
-        counts.pairs.groupBy("part").applyInArrow(pairs_of, "part int, history bigint, word bigint, count bigint"),
+        counts.grams[0].groupBy("part").applyInArrow(pairs_of, "part int, history bigint, word bigint, count bigint"),
     )

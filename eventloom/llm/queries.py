@@ -52,7 +52,7 @@ def fold(id_col: str, n: int) -> Column:
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of each document, learnt from the rows that are not held out."""
     held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
-    scored = katz.score(table(spark, sf_dir, "documents"), ~held_out)
+    scored = katz.score(table(spark, sf_dir, "documents"), ~held_out, order=3)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

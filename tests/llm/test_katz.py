@@ -62,6 +62,52 @@ def test_against_brute_force(docs, rows, chunk):
         assert r.score == pytest.approx(sum(math.log10(model.p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)), rel=1e-9)
 
 
+class Backoff:
+    """A model of any order from dictionaries, by recursion."""
+
+    def __init__(self, texts, order):
+        self.order, self.low = order, Model(texts)
+        self.after = [defaultdict(Counter) for _ in range(order + 1)]
+        for w in texts:
+            w = ["<s>", *w]
+            for i in range(1, len(w)):
+                for k in range(1, min(order - 1, i) + 1):
+                    self.after[k][tuple(w[i - k : i])][w[i]] += 1
+        self.d = [katz.discounts(np.array([sum(v == r for f in level.values() for v in f.values()) for r in range(1, 7)])) for level in self.after]
+
+    def p(self, h, b):
+        if not h:
+            return self.low.p1.get(b, self.low.unknown)
+        f = self.after[len(h)].get(h)
+        if f is None:
+            return self.p(h[1:], b)
+        size = sum(f.values()) + (0 if any(c <= 5 for c in f.values()) else 1)
+        if b in f:
+            return Model.cut(f[b], self.d[len(h)]) / size
+        left = 1 - sum(Model.cut(c, self.d[len(h)]) for c in f.values()) / size
+        return self.p(h[1:], b) * left / (1 - sum(self.p(h[1:], x) for x in f))
+
+
+@pytest.mark.parametrize(("order", "chunk"), [(3, 8 << 20), (3, 2000), (4, 2000)])
+def test_higher_orders_against_brute_force(docs, rows, order, chunk):
+    train = F.col("doc_id") % 4 != 1
+    got = {r.doc_id: r.score for r in katz.score(docs, train, chunk_bytes=chunk, order=order).collect()}
+    model = Backoff([tokens(t) for k, t in rows if k % 4 != 1], order)
+    assert len(got) == len(rows)
+    for k, t in rows:
+        w = ["<s>", *tokens(t)]
+        assert got[k] == pytest.approx(sum(math.log10(model.p(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w))), rel=1e-9)
+    for h in [("<s>",), *list(model.after[order - 1])[:20]]:
+        assert sum(model.p(h, b) for b in [*model.low.uni, "unknown"]) == pytest.approx(1)
+
+
+def test_trigrams_in_odd_tables(odd, empty, docs):
+    assert katz.score(empty, F.lit(True), order=3).count() == 0
+    assert all(r.train_tokens == 0 and r.score == 0 for r in katz.score(docs, F.lit(False), order=3).collect())
+    got = katz.score(odd, F.col("doc_id") == 7, order=3).collect()
+    assert len(got) == 6 and all(math.isfinite(r.score) for r in got)
+
+
 def test_tables(docs, rows):
     words, pairs = katz.count_tables(docs, F.col("doc_id") % 4 != 1, chunk_bytes=2000)
     model = Model([tokens(t) for k, t in rows if k % 4 != 1])
