@@ -2,9 +2,10 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventloom.llm import bpe
+from eventloom.llm import bpe, queries
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +45,15 @@ def test_stages_take_effect(spark, world):
         assert r.n_tokens == len(r.token_ids)
 
 
+def test_toxicity_rejects_what_the_operator_predicts(spark, world, monkeypatch):
+    scores = F.col("doc_id") / 1000
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda docs, model: docs.withColumn("toxicity", scores))
+    table = spark.range(1000).selectExpr("id as doc_id", "'a' as text", "'en' as lang", "'s' as source", "1 as n_chars")
+    left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, table, world[0]).collect()}
+    assert left == {k for k in range(1000) if k / 1000 < queries.TOXIC_AT}
+
+
 def test_each_stage_alone_keeps_clean_documents(spark, world):
     folder, docs, _ = world
     table = spark.read.parquet(f"{folder}/documents.parquet")
