@@ -7,25 +7,49 @@ session is folded in order inside one task.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ordered import by_session
 from ..schema import SURFACE_TYPES
 
+#: Rows of a batch of the result.
+_OUT_ROWS = 10_000
+
 
 class SurfaceError(ValueError):
     """A log that can't be folded."""
 
 
 class Surface:
-    """The fold's state: the list of current rows, and who replaced whom."""
+    """The fold's state: the current rows, each with its neighbours, and who replaced whom."""
 
     def __init__(self) -> None:
-        self.current: list[int] = []
+        # -1 stands before the first row and after the last.
+        self._after: dict[int, int] = {-1: -1}
+        self._before: dict[int, int] = {-1: -1}
         self.replaced_by: dict[int, int] = {}
         self.next_seq = 0
 
+    @property
+    def current(self) -> list[int]:
+        """The current rows in order."""
+        return self._range(self._after[-1], -1)[:-1]
+
+    def _range(self, start: int, end: int) -> list[int]:
+        """The rows from ``start`` to ``end``, or to the last and -1 where ``end`` doesn't follow."""
+        out = [start]
+        while out[-1] not in (end, -1):
+            out.append(self._after[out[-1]])
+        return out
+
+    def _put(self, seq: int, before: int, after: int) -> None:
+        self._before[seq], self._after[seq] = before, after
+        self._after[before] = self._before[after] = seq
+
     def apply(self, seq: int, kind: str, op: str | None, start: int | None, end: int | None, sources: list[int] | None) -> None:
         if seq != self.next_seq:
             raise SurfaceError(f"row {seq} where {self.next_seq} was due")
@@ -40,17 +64,18 @@ class Surface:
         if len(set(sources)) < len(sources) or any(s >= seq or s < 0 for s in sources):
             raise SurfaceError(f"row {seq} cites rows that don't come before it, or one twice")
         if op == "append":
-            self.current.append(seq)
+            self._put(seq, self._before[-1], -1)
         elif op == "replace":
-            if start not in self.current or end not in self.current:
+            if any(x is None or x < 0 or x not in self._after for x in (start, end)):
                 raise SurfaceError(f"row {seq} replaces rows that aren't current")
-            a, b = self.current.index(start), self.current.index(end)
-            if a > b:
+            gone = self._range(start, end)
+            if gone[-1] != end:
                 raise SurfaceError(f"row {seq} replaces a range that ends before it starts")
-            gone = self.current[a : b + 1]
             if missing := set(gone) - set(sources):
                 raise SurfaceError(f"row {seq} doesn't cite {sorted(missing)}, which it replaces")
-            self.current[a : b + 1] = [seq]
+            self._put(seq, self._before[start], self._after[end])
+            for x in gone:
+                del self._before[x], self._after[x]
             self.replaced_by.update(dict.fromkeys(gone, seq))
         else:
             raise SurfaceError(f"row {seq} has the unknown operation {op}")
@@ -64,36 +89,47 @@ def fold(log: DataFrame, strict: bool = True) -> DataFrame:
 
     ``surface`` is current, shadowed or log-only; ``position`` is the place among
     the current rows.  A session that can't be folded raises an error, or, when
-    not ``strict``, has it in ``error`` and null states.  A session must fit one
-    task; sessions are spread over tasks.
+    not ``strict``, has it in ``error`` and null states.  A session is one
+    task's work, which holds three numbers or fewer a row; sessions are spread
+    over tasks.
     """
     rows = log.select(F.col("session_id").cast("string").alias("session_id"), "seq", "type", "surface_op.op", "surface_op.start", "surface_op.end", "source_event_seqs")
 
-    def run(session: pd.DataFrame) -> pd.DataFrame:
-        session = session.sort_values("seq", kind="stable")
-        state, error = Surface(), None
-        try:
-            for seq, kind, op, start, end, sources in session[["seq", "type", "op", "start", "end", "source_event_seqs"]].itertuples(index=False):
-                state.apply(int(seq), kind, op, None if pd.isna(start) else int(start), None if pd.isna(end) else int(end), sources)
-        except SurfaceError as e:
-            if strict:
-                raise
-            error = str(e)
+    def out(name: str, seqs: list[int], state: list[str | None], place: list[int | None], by: list[int | None], error: str | None) -> pa.RecordBatch:
+        columns = [pa.array([name] * len(seqs), pa.string()), pa.array(seqs, pa.int64()), pa.array(state, pa.string()), pa.array(place, pa.int64()), pa.array(by, pa.int64()), pa.array([error] * len(seqs), pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["session_id", "seq", "surface", "position", "replaced_by", "error"])
+
+    def failed(name: str, seqs: list[int], error: str) -> pa.RecordBatch:
+        none = [None] * len(seqs)
+        return out(name, seqs, none, none, none, error)
+
+    def run(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, error, done = Surface(), None, 0
+        for batch in batches:
+            seqs = batch.column("seq").to_pylist()
+            if error is None:
+                try:
+                    for k, row in enumerate(batch.select(["seq", "type", "op", "start", "end", "source_event_seqs"]).to_pylist()):  # noqa: B007
+                        state.apply(*row.values())
+                        done += 1
+                    continue
+                except SurfaceError as e:
+                    if strict:
+                        raise
+                    error, seqs = str(e), seqs[k:]
+                    for a in range(0, done, _OUT_ROWS):
+                        yield failed(name, list(range(a, min(a + _OUT_ROWS, done))), error)
+            yield failed(name, seqs, error)
+        if error is not None:
+            return
         place = {s: k for k, s in enumerate(state.current)}
-        seqs = session["seq"].astype("int64")
-        surface = [None if error else "current" if s in place else "shadowed" if s in state.replaced_by else "log-only" for s in seqs]
-        return pd.DataFrame(
-            {
-                "session_id": session["session_id"],
-                "seq": seqs,
-                "surface": surface,
-                "position": pd.array([None if error else place.get(s) for s in seqs], "Int64"),
-                "replaced_by": pd.array([None if error else state.replaced_by.get(s) for s in seqs], "Int64"),
-                "error": error,
-            }
-        )
-
-    return rows.groupBy("session_id").applyInPandas(run, FOLDED)
+        # The rows of a session without error are numbered from 0 on.
+        for a in range(0, done, _OUT_ROWS):
+            rows = range(a, min(a + _OUT_ROWS, done))
+            surface = ["current" if s in place else "shadowed" if s in state.replaced_by else "log-only" for s in rows]
+            yield out(name, list(rows), surface, [place.get(s) for s in rows], [state.replaced_by.get(s) for s in rows], None)
+
+    return by_session(rows, run, FOLDED)
 
 
 def classified(log: DataFrame, folded: DataFrame) -> DataFrame:

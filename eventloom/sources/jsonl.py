@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ordered import by_session
 from ..schema import EVENT, MAX_SAFE_INTEGER
 
 FORMAT_VERSION = 0
@@ -127,37 +129,39 @@ def repair(log: DataFrame) -> DataFrame:
     JSON with ``turn``, ``step`` and ``callId`` where they apply.
     """
 
-    def run(session: pd.DataFrame) -> pd.DataFrame:
+    def run(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        session = session.sort_values("seq", kind="stable")
         turn = step = None
         calls: dict[str, None] = {}
-        for kind, data in zip(session["type"], session["data"], strict=True):
-            d = json.loads(data) if data else {}
-            if kind == "turn/start":
-                turn, step, calls = d.get("turn"), None, {}
-            elif kind == "step/start":
-                step = d.get("step")
-            elif kind == "tool/call":
-                calls[d.get("callId")] = None
-            elif kind == "tool/result":
-                calls.pop(d.get("callId"), None)
-            elif kind == "step/end":
-                step = None
-            elif kind == "turn/end":
-                turn, step, calls = None, None, {}
+        for batch in batches:
+            yield batch
+            for kind, data in zip(batch.column("type").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                d = json.loads(data) if data else {}
+                if kind == "turn/start":
+                    turn, step, calls = d.get("turn"), None, {}
+                elif kind == "step/start":
+                    step = d.get("step")
+                elif kind == "tool/call":
+                    calls[d.get("callId")] = None
+                elif kind == "tool/result":
+                    calls.pop(d.get("callId"), None)
+                elif kind == "step/end":
+                    step = None
+                elif kind == "turn/end":
+                    turn, step, calls = None, None, {}
         closers = [("tool/result", {"turn": turn, "step": step, "callId": c, "interrupted": True}) for c in calls] if turn is not None else []
         if step is not None:
             closers.append(("step/end", {"turn": turn, "step": step, "interrupted": True}))
         if turn is not None:
             closers.append(("turn/end", {"turn": turn, "reason": "interrupted"}))
-        last = session.iloc[-1]
-        extra = pd.DataFrame([{"session_id": last["session_id"], "seq": last["seq"] + 1 + k, "type": kind, "time": last["time"], "data": json.dumps(d)} for k, (kind, d) in enumerate(closers)], columns=["session_id", "seq", "type", "time", "data"])
-        return pd.concat([session[["session_id", "seq", "type", "time", "data"]], extra.astype(session[["session_id", "seq", "type", "time", "data"]].dtypes.to_dict())]) if len(extra) else session[["session_id", "seq", "type", "time", "data"]]
+        last = batch.slice(batch.num_rows - 1).to_pylist()[0]
+        extra = [{"session_id": name, "seq": last["seq"] + 1 + k, "type": kind, "time": last["time"], "data": json.dumps(d)} for k, (kind, d) in enumerate(closers)]
+        if extra:
+            yield pa.RecordBatch.from_pylist(extra, batch.schema)
 
     columns = T.StructType([f for f in EVENT.fields if f.name in ("session_id", "seq", "type", "time", "data")])
-    return log.select(*columns.names).groupBy("session_id").applyInPandas(run, columns)
+    return by_session(log.select(*columns.names), run, columns)
 
 
 def torn_zstd(spark: SparkSession, path: str) -> DataFrame:

@@ -14,10 +14,13 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..ordered import by_session
+
 
 @dataclass(frozen=True)
 class Projection:
@@ -97,18 +100,21 @@ def fold(log: DataFrame, projections: list[Projection], checkpoints: DataFrame |
     else:
         rows = rows.withColumn("held", F.lit(None).cast("array<struct<key: string, seq: bigint, val: string>>"))
 
-    def run(session: pd.DataFrame) -> pd.DataFrame:
-        states = {p.key: (-1, p.init()) for p in projections}
-        held = session["held"].iloc[0]
-        for c in [] if held is None else held:
-            states[c["key"]] = (int(c["seq"]), json.loads(c["val"]))
-        for event in session.sort_values("seq", kind="stable")[_EVENT].to_dict("records"):
-            for _ in _step(projections, states, event):
-                pass
-        name = session["session_id"].iloc[0]
-        return pd.DataFrame([(name, p.key, p.version, states[p.key][0], json.dumps(states[p.key][1])) for p in projections], columns=["session_id", "key", "ver", "seq", "val"])
-
-    return rows.groupBy("session_id").applyInPandas(run, CHECKPOINT)
+    def run(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states = None
+        for batch in batches:
+            if states is None:
+                states = {p.key: (-1, p.init()) for p in projections}
+                for c in batch.column("held")[0].as_py() or []:
+                    states[c["key"]] = (int(c["seq"]), json.loads(c["val"]))
+            for event in batch.select(_EVENT).to_pylist():
+                for _ in _step(projections, states, event):
+                    pass
+        rows = [(name, p.key, p.version, states[p.key][0], json.dumps(states[p.key][1])) for p in projections]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["session_id", "key", "ver", "seq", "val"])
+
+    return by_session(rows, run, CHECKPOINT)
 
 
 def drive(log: DataFrame, projections: list[Projection]) -> DataFrame:

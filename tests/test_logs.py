@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from eventloom.operators import ordering, sessions
+from eventloom.operators import ordering, sessions, surface
 from eventloom.sources import jsonl, tables
 from eventloom.streaming import projections
 
@@ -92,6 +92,34 @@ COUNT = projections.Projection("count", 1, lambda: 0, lambda s, e: s + 1)
 SUM = projections.Projection("sum", 2, lambda: 0, lambda s, e: s + e["time"], lambda s: {"total": s})
 
 
+def test_folds_hold_no_session_whole(spark):
+    rows = [(f"s{k % 3}" if k % 3 else None, k // 3, "user/message", k, None, list(range(k // 3)), ("replace", k // 3 - 2, k // 3 - 1) if k // 3 == 50 else ("append", None, None)) for k in range(300)]
+    log = spark.createDataFrame(rows, "session_id string, seq bigint, type string, time bigint, data string, source_event_seqs array<bigint>, surface_op struct<op: string, start: bigint, end: bigint>")
+    opened = [("s", 0, "turn/start", 1, '{"turn":1}'), *(("s", k, "tool/call", k, f'{{"callId":"{k}"}}') for k in range(1, 40))]
+
+    def sized(state, event):
+        return state + [event["seq"]]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        folded, counted, closed = surface.fold(log), projections.fold(log, [projections.Projection("all", 1, list, sized)]), jsonl.repair(spark.createDataFrame(opened, EVENTS))
+        for frame in (folded, counted, closed):
+            plan = frame._jdf.queryExecution().toString()
+            assert "FlatMapGroupsIn" not in plan and "MapInArrow" in plan
+        states = {(r.session_id, r.seq): (r.surface, r.position, r.replaced_by) for r in folded.collect()}
+        assert len(states) == 300
+        for name in (None, "s1", "s2"):
+            assert states[name, 48] == states[name, 49] == ("shadowed", None, 50)
+            assert states[name, 50] == ("current", 48, None) and states[name, 99] == ("current", 97, None)
+        assert {r.session_id: json.loads(r.val) for r in counted.collect()} == dict.fromkeys((None, "s1", "s2"), list(range(100)))
+        assert [r.seq for r in closed.orderBy("seq").collect()] == list(range(80))
+        wrong = log.withColumn("seq", F.expr("if(seq >= 60, seq + 1, seq)"))
+        errors = surface.fold(wrong, strict=False).collect()
+        assert sorted(r.seq for r in errors) == sorted(k + (k >= 60) for k in range(100) for _ in range(3)) and all(r.error and r.surface is None for r in errors)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_batch_equals_stream_and_checkpoints(spark, tmp_path):
     rows = [(f"s{k % 3}", k // 3, "x", k, "{}") for k in range(30)]
     log = spark.createDataFrame(rows, EVENTS)
