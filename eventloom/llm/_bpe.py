@@ -50,8 +50,9 @@ def merge(symbols: np.ndarray, offsets: np.ndarray, pairs: PairRanks, tied: int
     """Merge until no sequence has a known pair.
 
     Returns the surviving symbols and, for each, the position of its first
-    symbol in the input.  Of a pair whose rank is ``tied``, only the leftmost
-    occurrence is merged in a round: products of equal rank compete by place.
+    symbol in the input.  Products of the rank ``tied`` compete by place, the
+    leftmost first: where nothing else is left to merge, the sequence is run
+    through once (see :func:`_leftmost_first`).
     """
     place, owner = np.arange(len(symbols)), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     symbols = symbols.astype(np.int32)
@@ -75,10 +76,17 @@ def merge(symbols: np.ndarray, offsets: np.ndarray, pairs: PairRanks, tied: int
             here = ~gone
             symbols, place, owner, rank, pair = symbols[here], place[here], owner[here], rank[here], pair[here]
             best, sizes = best[alive], sizes[alive]
+        if tied >= 0 and (best == tied).any():
+            last = np.repeat(best == tied, sizes)
+            merged, at = _leftmost_first(symbols[last], place[last], owner[last], pairs)
+            done_symbols.append(merged)
+            done_place.append(at)
+            here = ~last
+            symbols, place, owner, rank, pair = symbols[here], place[here], owner[here], rank[here], pair[here]
+            best, sizes = best[best != tied], sizes[best != tied]
+            if not len(symbols):
+                break
         hit = np.flatnonzero(rank == np.repeat(best, sizes))
-        if tied >= 0:
-            late = np.r_[False, owner[hit][1:] == owner[hit][:-1]][: len(hit)] & (rank[hit] == tied)
-            hit = hit[~late]
         touching = np.r_[False, hit[1:] == hit[:-1] + 1][: len(hit)]
         if touching.any():
             run = np.maximum.accumulate(np.where(touching, 0, np.arange(len(hit))))
@@ -98,6 +106,33 @@ def merge(symbols: np.ndarray, offsets: np.ndarray, pairs: PairRanks, tied: int
     return all_symbols[order], all_places[order]
 
 
+def _leftmost_first(symbols: np.ndarray, places: np.ndarray, owners: np.ndarray, pairs: PairRanks) -> tuple[np.ndarray, np.ndarray]:
+    """Merge known pairs from the left, in time linear in the symbols.
+
+    What stands before the symbol at hand has no known pair; the symbol joins
+    its left neighbour as long as the pair is known.
+    """
+    known: dict[tuple[int, int], int] = {}
+    done: list[int] = []
+    at: list[int] = []
+    who: list[int] = []
+    for symbol, place, owner in zip(symbols.tolist(), places.tolist(), owners.tolist(), strict=True):
+        while done and who[-1] == owner:
+            both = done[-1], symbol
+            if both not in known:
+                slot = pairs.find(np.array(both[:1]), np.array(both[1:]))[0]
+                known[both] = int(pairs.product[slot]) if pairs.rank[slot] != NONE else -1
+            if known[both] < 0:
+                break
+            symbol, place = known[both], at.pop()
+            done.pop()
+            who.pop()
+        done.append(symbol)
+        at.append(place)
+        who.append(owner)
+    return np.array(done, np.int32), np.array(at, np.int64)
+
+
 def all_splits(pieces: dict, rank: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Left, right, rank and product of every pair of pieces that makes a piece."""
     rows = []

@@ -17,6 +17,8 @@ from ._text import binaries, buffers, chunks
 #: Distinct pre-tokens whose counts a worker remembers before it starts anew.
 CACHE = 300_000
 _SPACE = "▁"
+#: Characters that the usual normalisers change: ligatures, wide forms, accents apart, white space.
+_PROBE = "ﬁ Ａ e\u0301 ½  a\u3000b\u00a0c\td \u200b "
 
 
 class PieceModel:
@@ -31,6 +33,8 @@ class PieceModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if model.normalize(_PROBE) != _SPACE + _PROBE.replace(" ", _SPACE):
+            raise ValueError("the model changes texts before it cuts them")
         ids = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         scores = {model.id_to_piece(i): model.get_score(i) for i in ids}
         if any(b == _SPACE != a for p in scores for a, b in zip(p, p[1:], strict=False)):
@@ -44,7 +48,10 @@ class PieceModel:
         if len(tied) > 1:
             raise ValueError("more than one score is shared by several pieces")
         self.tied = int(tied[0]) if len(tied) else -1
-        self.pairs = PairRanks(*all_splits(pieces, rank))
+        left, right, ranks, product = all_splits(pieces, rank)
+        if self.tied >= 0 and (ranks.max() > self.tied or np.isin(np.r_[left[ranks < self.tied], right[ranks < self.tied]], product[ranks == self.tied]).any()):
+            raise ValueError("pieces of a shared score aren't the last to be merged")
+        self.pairs = PairRanks(left, right, ranks, product)
         self.weight = np.array([1 if p in scores else len(p.encode()) for p in pieces] + [1, 2, 3, 4], np.int64)
         self.symbol = np.full(0x110000, len(pieces), np.int32)
         self.symbol[0x80:] += 1
@@ -119,7 +126,9 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     are ignored, whatever their names.
 
     Memory follows the longest text.  A text of one unbroken run of letters
-    takes as many rounds as it has different merges.
+    takes as many rounds as it has different merges; a run of spaces is merged
+    in one go.  A model that normalises texts, or whose scores tie in other
+    ways, raises an error rather than be counted wrongly.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -1,4 +1,5 @@
 import base64
+import time
 
 import public_tokenizers
 import pyarrow as pa
@@ -77,3 +78,20 @@ def test_encode_and_decode(docs, rows, ranks):
 def test_empty_and_null_ids(empty, odd):
     assert token_counts.count_tokens(empty, PIECES).count() == bpe.encode(empty, RANKS).count() == 0
     assert token_counts.count_tokens(odd, PIECES).count() == bpe.encode(odd, RANKS).count() == 6
+
+
+@pytest.mark.parametrize("text", [" " * 200_000 + "the", "ab" * 100_000, "é" * 200_000, "😀" * 200_000, "\n" * 200_000, "." * 200_000, "the " * 50_000])
+def test_counts_of_very_long_runs(pieces, text):
+    assert token_counts.load(PIECES).count_texts(pa.array([text])).tolist() == [len(pieces.encode(text))]
+
+
+def test_a_million_spaces_take_seconds():
+    start = time.perf_counter()
+    assert token_counts.load(PIECES).count_texts(pa.array([" " * 1_000_000])).tolist() == [62_501]
+    assert time.perf_counter() - start < 5
+
+
+def test_models_that_change_texts_are_refused(monkeypatch):
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, text: "▁" + text.lower())
+    with pytest.raises(ValueError, match="changes texts"):
+        token_counts.PieceModel(PIECES)
