@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import BASE_WIDE, BASE_WORDS, NOT_SPACE, Words, buffers, chunks, ragged, span_hashes, spans_of, window_hashes, window_starts
+from ._text import CHECK, GRAMS, NOT_SPACE, WIDE, Words, buffers, chunks, ragged, span_hashes, spans_of, window_hashes, window_starts
 
 
 class Windows:
@@ -27,7 +27,7 @@ class Windows:
         self.words = Words(data, at, NOT_SPACE)
         self.hashes = self.words.hashes()
         self.starts = window_starts(self.words.docs, width)
-        self.grams = window_hashes(self.hashes, self.gram, BASE_WORDS)
+        self.grams = window_hashes(self.hashes, self.gram, GRAMS)
         self.anchor = self._anchors()
         chosen = np.zeros(len(self.words) + 1, bool)
         chosen[self.anchor] = True
@@ -47,10 +47,15 @@ class Windows:
             have += step
         return best[self.starts]
 
-    def window_keys(self, which: np.ndarray, base: int = BASE_WIDE) -> np.ndarray:
+    def window_keys(self, which: np.ndarray) -> np.ndarray:
         """Rabin-Karp hashes of the windows that start at ``starts[which]``."""
         first = self.starts[which]
-        return span_hashes(self.hashes, first, first + self.width, base).view(np.int64)
+        return span_hashes(self.hashes, first, first + self.width, WIDE).view(np.int64)
+
+    def window_checks(self, which: np.ndarray) -> np.ndarray:
+        """The same from other hashes of the words and other primes."""
+        first = self.starts[which]
+        return span_hashes(self.words.hashes(1), first, first + self.width, CHECK).view(np.int64)
 
     def anchor_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Documents and grams of the anchors, each pair once."""
@@ -126,20 +131,20 @@ def anchors(docs: DataFrame, width: int, id_type: str) -> DataFrame:
     return over(docs.select("doc", "text"), width, f"doc {id_type}, gram bigint", make)
 
 
-def repeated(docs: DataFrame, width: int, id_type: str, hot: int) -> DataFrame:
+def repeated(docs: DataFrame, width: int, id_type: str) -> DataFrame:
     """``doc, grams``: of each document of ``docs`` (``doc, text``), the anchors that other documents have too.
 
-    ``grams`` are structs of the gram and whether more than ``hot`` documents
-    have it.  The documents of a gram are counted by a sum with partial results
-    and joined back; both sides of the join come from shuffles that Spark may
-    split, so a passage that very many documents share stays many tasks' work.
+    The documents of a gram are compared by their least and greatest, with
+    partial results, and joined back; both sides of the join come from shuffles
+    that Spark may split, so a passage that very many documents share stays many
+    tasks' work.
     """
     all_anchors = anchors(docs, width, id_type)
-    shared = all_anchors.groupBy("gram").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    shared = all_anchors.groupBy("gram").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     # A key of its own makes Spark deal both sides out for the join.
-    shared = shared.select(F.bitwise_not("gram").alias("key"), (F.col("n") > hot).alias("hot"))
+    shared = shared.select(F.bitwise_not("gram").alias("key"))
     found = all_anchors.withColumn("key", F.bitwise_not("gram")).join(shared, "key")
-    return found.groupBy("doc").agg(F.collect_list(F.struct("gram", "hot")).alias("grams"))
+    return found.groupBy("doc").agg(F.collect_list("gram").alias("grams"))
 
 
 def first_holders(candidates: DataFrame) -> DataFrame:

@@ -113,14 +113,20 @@ class Words:
         coded = binaries(*self.packed()).dictionary_encode()
         return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hashes that are the same in every task."""
-        return span_hashes(BYTE_VALUES[self.data], self.starts, self.ends, BASE_BYTES)
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        """64-bit hashes that are the same in every task; those of another ``salt`` are independent."""
+        return text_hashes(self.data[self.mask], np.r_[0, np.cumsum(self.ends - self.starts)], salt)
 
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-BASE_BYTES, BASE_WORDS, BASE_WIDE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Families of window hashes: ``WIDE`` and ``CHECK`` tell windows apart, ``GRAMS`` orders and names grams.
+GRAMS, WIDE, CHECK = range(3)
+#: Two primes below 2**31 for each family, and a base for each prime.
+_PRIMES = ((2147483647, 2147483629), (2147483587, 2147483579), (2147483563, 2147483549))
+_rng = np.random.default_rng(20240607)
+_BASES = _rng.integers(1 << 20, 1 << 30, (3, 2)).tolist()
+_BYTES = _rng.integers(0, 1 << 64, (2, 64 * 256), np.uint64)
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,39 +139,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64 for i < n."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        table = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            t = np.full(size, np.uint64(b), np.uint64)
-            t[0] = 1
-            table.append(np.cumprod(t, dtype=np.uint64))
-        have = _POWERS[base] = (table[0], table[1])
-    return have[0][:n], have[1][:n]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Rabin-Karp hashes of ``values[start:end]``, from one prefix sum."""
-    n = len(values)
-    up, down = powers(base, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def window_hashes(values: np.ndarray, width: int, base: int = BASE_WORDS) -> np.ndarray:
+def text_hashes(data: np.ndarray, offsets: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A hash of the bytes between each two offsets: the sum of a random number for each place and byte."""
+    size = np.diff(offsets)
+    place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)
+    each = _BYTES[salt][((place & 63) << 8) | data]
+    far = np.flatnonzero(place > 63)
+    if len(far):
+        each[far] = mix(each[far] ^ mix((place[far] >> 6).astype(np.uint64)))
+    total = np.zeros(len(each) + 1, np.uint64)
+    np.cumsum(each, out=total[1:])
+    return mix(total[offsets[1:]] - total[offsets[:-1]] + size.astype(np.uint64))
+
+
+def sequence_hashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of the sequence of values between each two offsets, of any length."""
+    size = np.diff(offsets)
+    place = (np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)).astype(np.uint64)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix(values ^ mix(place + np.uint64(1))), out=total[1:])
+    return mix(total[offsets[1:]] - total[offsets[:-1]] + size.astype(np.uint64))
+
+
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """``base**i`` modulo ``prime`` for i < n."""
+    have = _POWERS.get((base, prime))
+    if have is None or len(have) < n:
+        size, have = 1 << max(12, int(n - 1).bit_length()), np.ones(1, np.uint64)
+        while len(have) < size:
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), prime)) % np.uint64(prime)])
+        _POWERS[base, prime] = have
+    return have[:n]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
+    """Rabin-Karp hashes of ``values[start:end]``: polynomials modulo two primes, from prefix sums."""
+    n, parts = len(values), []
+    for prime, base in zip(_PRIMES[family], _BASES[family], strict=True):
+        p = np.uint64(prime)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(values % p * powers(base, prime, n) % p, out=total[1:])
+        # Sums stay below 2**31 * n; the inverse powers bring every span to the first place.
+        parts.append((total[ends] - total[starts]) % p * powers(pow(base, -1, prime), prime, n + 1)[starts] % p)
+    return mix((parts[0] << np.uint64(31) | parts[1]) ^ mix((ends - starts).astype(np.uint64)))
+
+
+def window_hashes(values: np.ndarray, width: int, family: int = GRAMS) -> np.ndarray:
     """Rabin-Karp hashes of every ``width`` consecutive values."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     starts = np.arange(n)
-    return span_hashes(values, starts, starts + width, base)
+    return span_hashes(values, starts, starts + width, family)
 
 
 def window_starts(docs: np.ndarray, width: int) -> np.ndarray:

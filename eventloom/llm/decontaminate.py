@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import cut
-from ._text import ALNUM, BASE_WIDE, LOWER, Words, buffers, chunks, covered, mix, ragged, spans_of, window_hashes
+from ._text import ALNUM, LOWER, WIDE, Words, buffers, chunks, covered, mix, ragged, spans_of, window_hashes
 
 WINDOW = 10
 #: Words of a block: the unit of the shift table.
@@ -41,7 +41,7 @@ class _Group:
         self.sizes = (seen.ends - seen.starts).reshape(-1, width)
         self.data = seen.packed()[0]
         self.places = np.r_[0, np.cumsum(self.sizes.sum(1))]
-        blocks = np.stack([window_hashes(row, self.block, BASE_WIDE) for row in hashes])
+        blocks = np.stack([window_hashes(row, self.block, WIDE) for row in hashes])
         self.shift = np.full(1 << _SHIFT_BITS, width - self.block + 1, np.int64)
         for j in range(width - self.block + 1):
             np.minimum.at(self.shift, (blocks[:, j] >> np.uint64(64 - _SHIFT_BITS)).astype(np.int64), width - self.block - j)
@@ -55,7 +55,7 @@ class _Group:
         n, m, b = len(hashes), self.width, self.block
         if n < m:
             return none, none
-        blocks = window_hashes(hashes, b, BASE_WIDE)
+        blocks = window_hashes(hashes, b, WIDE)
         step = self.shift[(blocks >> np.uint64(64 - _SHIFT_BITS)).astype(np.int64)]
         # Cursors stand on the last word of a window, one in each segment.
         at = np.arange(m - 1, n, _SEGMENT)

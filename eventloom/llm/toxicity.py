@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import ALNUM, BASE_WIDE, BYTE_VALUES, LOWER, Words, buffers, chunks, lists, mix, span_hashes
+from ._text import ALNUM, LOWER, Words, buffers, chunks, lists, ragged, text_hashes
 
 FEATURE_BITS = 20
 #: Bounds of the training sample, which goes to the driver as word hashes.
@@ -66,7 +66,8 @@ def words_of(texts: pa.Array) -> Words:
 def features_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The documents and features of all words, and of the beginnings of the longer ones."""
     owner, long = words.doc_of(), words.ends - words.starts > PREFIX
-    stems = mix(span_hashes(BYTE_VALUES[words.data], words.starts[long], words.starts[long] + PREFIX, BASE_WIDE))
+    n = int(long.sum())
+    stems = text_hashes(words.data[ragged(words.starts[long], np.full(n, PREFIX))], np.arange(n + 1) * PREFIX, 1)
     hashes = np.r_[words.hashes(), stems]
     return np.r_[owner, owner[long]], (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
