@@ -33,15 +33,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates.
+    """One text of each class of near duplicates, that of the least id.
 
-    Documents without words or with a null id are in no class and stay; of
-    repeated rows with one id and text, one stays.
+    Texts go by id and content, so another text under a removed text's id stays.
+    Documents without words and rows with a null id are in no class and stay, all
+    of them; of repeated rows with one id and text, one stays.
     """
     narrow_batches(spark)
-    gone = minhash_join.near_duplicates(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(COLUMNS)
+    found = minhash_join.near_duplicates(docs).where("doc_id is not null")
+    gone = found.where("not stays").select("doc_id", F.col("text_hash").alias("_text")).distinct()
+    # Both tests go by the same keys, so the texts are dealt out once.
+    kept = docs.select(*COLUMNS, F.xxhash64("text").alias("_text")).join(gone, ["doc_id", "_text"], "left_anti")
+    in_class = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.where(in_class).dropDuplicates(["doc_id", "_text"]).unionByName(kept.where(~in_class)).select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
