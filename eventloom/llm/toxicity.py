@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import ALNUM, LOWER, Words, buffers, chunks, lists, ragged, text_hashes
+from ._text import ALNUM, LOWER, Words, buffers, chunks, lists, mix, ragged, text_hashes
 
 FEATURE_BITS = 20
 #: Bounds of the training sample, which goes to the driver as word hashes.
@@ -26,6 +26,8 @@ MAX_TOXIC, MAX_UNLABELLED = 4000, 16000
 #: from its share of all text by so many standard errors.
 MIN_TEXTS, MIN_ERRORS = 3, 5.0
 MEMBERS = 3
+#: A toxic text is a copy when so many of its least hashes are those of texts before it.
+SKETCH, COPY = 16, 13
 #: Bytes of a longer word that make a feature of their own.
 PREFIX = 4
 
@@ -72,8 +74,42 @@ def features_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[owner, owner[long]], (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
+def without_copies(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """The texts, given as sets of features, but for near copies of earlier ones: a copied text is one example.
+
+    Without this, any rare word of a text that was copied often looks toxic.
+    Texts without a feature are dropped.
+    """
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for features in texts:
+        if len(features):
+            least = mix(features.astype(np.uint64)[:, None] + (np.arange(1, SKETCH + 1, dtype=np.uint64) << np.uint64(32))).min(0)
+            keys = list(enumerate(least.tolist()))
+            if sum(key in seen for key in keys) < COPY:
+                out.append(features)
+            seen.update(keys)
+    return out
+
+
+def step_gradient(f: np.ndarray, copies: np.ndarray, share: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the non-negative risk by each text's logit ``f``.
+
+    ``copies`` are the toxic texts' weights, ``share`` the unlabelled ones'.  The
+    risk is ``prior * loss(toxic as toxic) + max(0, loss(unlabelled as clean) -
+    prior * loss(toxic as clean))`` with the logistic loss; where the part in
+    brackets is negative, its gradient is turned round and the rest left out.
+    """
+    p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
+    as_clean = np.logaddexp(0, f)
+    negative = share @ as_clean - prior * (copies @ as_clean)
+    of_negative = (share - prior * copies) * p
+    return -of_negative if negative < 0 else of_negative - prior * copies * (1 - p)
+
+
 def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 500, rate: float = 0.05, l1: float = 1e-4, seed: int = 7) -> Model:
     """Fit ``MEMBERS`` linear models with the logistic loss, each on its own resample of the toxic texts."""
+    toxic = without_copies(toxic)
     if not toxic or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), prior if toxic else 0.0)
     flat = np.concatenate([*toxic, *unlabelled]).astype(np.int32)
@@ -100,11 +136,7 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *
         m, v, mc, vc = np.zeros(n), np.zeros(n), 0.0, 0.0
         for step in range(1, steps + 1):
             f = np.bincount(owner, w[col], minlength=len(sizes)) + c
-            p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
-            as_clean = np.logaddexp(0, f)
-            negative = share @ as_clean - prior * (copies @ as_clean)
-            of_negative = (share - prior * copies) * p
-            g = -of_negative if negative < 0 else of_negative - prior * copies * (1 - p)
+            g = step_gradient(f, copies, share, prior)
             gw, gc = np.bincount(col, g[owner], minlength=n), g.sum()
             m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
             mc, vc = 0.9 * mc + 0.1 * gc, 0.999 * vc + 0.001 * gc**2
@@ -124,18 +156,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     Toxic texts are those with a label of 1, at most ``max_toxic``; the
     unlabelled text is any text, at most ``max_unlabelled``.  Both samples are
     the rows with the smallest hashes of their ids, so a rerun takes the same.
-    The prior is the share of toxic labels among all labels of these documents,
-    unless given.  Ids or labels that are null are not used.
+    Rows whose hash is surely too great, by the number of rows, go first: about
+    twice the sample is sorted, not the table.  Toxic texts that are near copies
+    count once.  The prior is the share of toxic labels among all labels of
+    these documents, unless given.
+
+    Ids or labels that are null are not used; of several labels of an id the
+    greatest counts.  Repeated rows of an id, where the id is chosen, are texts
+    each.  Equal hashes go by id.  Null and empty texts have no features, and
+    very long ones are whole sets of features like any other.  Without toxic
+    labels, or without texts, the model gives every text the prior.
     """
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
     marks = labels.select(F.col(id_col).alias("id"), F.col(toxic_col).cast("int").alias("mark")).where("id is not null and mark is not null").groupBy("id").agg(F.max("mark").alias("mark"))
-    marked = ids.distinct().join(marks, "id")
+    marked = marks.join(ids, "id", "left_semi")
+    share, n_toxic = marked.agg(F.avg((F.col("mark") == 1).cast("double")), F.count_if(F.col("mark") == 1)).first()
     if prior is None:
-        share = marked.agg(F.avg((F.col("mark") == 1).cast("double"))).first()[0]
         prior = min(max(share or 0.0, 1e-4), 0.9)
-    pick = F.xxhash64("id")
-    toxic = marked.where("mark = 1").select("id").orderBy(pick, "id").limit(max_toxic).select("id", F.lit(True).alias("toxic"), F.lit(False).alias("sampled"))
-    sampled = ids.distinct().orderBy(pick, "id").limit(max_unlabelled).select("id", F.lit(False).alias("toxic"), F.lit(True).alias("sampled"))
+    toxic = _least(marked.where("mark = 1").select("id"), max_toxic, n_toxic).select("id", F.lit(True).alias("toxic"), F.lit(False).alias("sampled"))
+    sampled = _least(ids, max_unlabelled, ids.count()).select("id", F.lit(False).alias("toxic"), F.lit(True).alias("sampled"))
     # At most max_toxic + max_unlabelled ids.
     chosen = F.broadcast(toxic.unionByName(sampled).groupBy("id").agg(F.max("toxic").alias("toxic"), F.max("sampled").alias("sampled")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select("toxic", "sampled", "text")
@@ -161,6 +200,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train(*groups, prior)
 
 
+def _least(ids: DataFrame, most: int, n: int) -> DataFrame:
+    """The ``most`` different ids with the smallest hashes, of ``n`` rows.
+
+    Of different ids, more than ``most`` are almost surely below the bound; where
+    many rows share an id, fewer may be, and the sample is that much smaller.
+    """
+    pick = F.xxhash64("id")
+    if n > 2 * (2 * most + 1000):
+        span = (1 << 64) * (2 * most + 1000) // n
+        ids = ids.where(pick < F.lit(-(1 << 63) + span))
+    return ids.distinct().orderBy(pick, "id").limit(most)
+
+
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1, higher: likelier toxic).
 

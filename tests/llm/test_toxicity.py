@@ -56,3 +56,34 @@ def test_risk_never_rewards_negative_loss():
     others = [np.array([3, k]) for k in rng.integers(10, 60, 100)]
     model = toxicity.train(toxic, others, 0.2)
     assert np.isfinite(model.weights).all() and (model.weights[:, model.features == 1] > 0).all()
+
+
+@pytest.mark.parametrize("shift", [-3.0, 0.0, 2.0])
+def test_step_against_differences_of_the_risk(shift):
+    rng = np.random.default_rng(1)
+    n, prior = 12, 0.4
+    copies = np.r_[rng.random(4), np.zeros(8)]
+    share = np.r_[np.zeros(4), np.full(8, 1 / 8)]
+    f = rng.normal(size=n) + np.where(copies > 0, -shift, shift)
+
+    def parts(x):
+        clean = np.log1p(np.exp(x))
+        return prior * (copies @ np.log1p(np.exp(-x))), share @ clean - prior * (copies @ clean)
+
+    wanted = (lambda x: -parts(x)[1]) if parts(f)[1] < 0 else (lambda x: sum(parts(x)))
+    steps = [(wanted(f + e) - wanted(f - e)) / 2e-5 for e in np.eye(n) * 1e-5]
+    assert np.allclose(toxicity.step_gradient(f, copies, share, prior), steps, atol=1e-6)
+
+
+def test_copies_of_toxic_texts_count_once():
+    base = np.arange(100)
+    near = np.r_[np.arange(99), 500]
+    others = [np.arange(k, k + 60) for k in range(1000, 3000, 100)]
+    left = toxicity.without_copies([base, near, base, np.zeros(0, int), *others])
+    assert len(left) == 1 + len(others) and left[0] is base
+
+
+def test_sample_is_bounded_by_hash_first(spark):
+    ids = spark.range(50_000)
+    wanted = [r.id for r in ids.orderBy(F.xxhash64("id"), "id").limit(700).collect()]
+    assert [r.id for r in toxicity._least(ids, 700, 50_000).collect()] == wanted
