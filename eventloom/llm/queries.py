@@ -12,6 +12,14 @@ from . import bpe, decontaminate, katz, minhash_join, perspectives, quality, sub
 from ._text import narrow_batches
 
 
+TOXIC_AT = 0.3
+
+
+def fold(id_col: str, n: int) -> Column:
+    """Remainder of the checksum by which rows are held out."""
+    return F.crc32(F.col(id_col).cast("string")) % n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     narrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,8 +37,10 @@ def op2_rank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts of each document and the verdict of the compression bands."""
-    return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    """Base counts of each document and the verdict of the compression bands, measured on labelled rows that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    bands = quality.fit_bands(docs.where(fold("doc_id", 4) != 2), labels)
+    return quality.quality(docs, bands=bands).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,14 +51,6 @@ def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("conv_id", "speaker", "part", "n_messages", F.length("text").cast("bigint").alias("n_chars"), chars.alias("n_target_chars"), "text", F.array_join(spans, ",").alias("targets"))
 
 
-TOXIC_AT = 0.3
-
-
-def fold(id_col: str, n: int) -> Column:
-    """Remainder of the checksum by which rows are held out."""
-    return F.crc32(F.col(id_col).cast("string")) % n
-
-
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of each document, learnt from the rows that are not held out."""
     held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
