@@ -9,7 +9,7 @@ first block select test strings, and their bytes are compared directly.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._graph import cut
 from ._text import ALNUM, LOWER, WIDE, Words, buffers, chunks, covered, mix, ragged, spans_of, window_hashes
 
 WINDOW = 10
@@ -25,6 +24,8 @@ WINDOW = 10
 BLOCK = 3
 #: Bytes of benchmark text in one search table; a larger benchmark takes more passes.
 TABLE_BYTES = 2 << 20
+#: A word in a text before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SEGMENT = 64
 _SHIFT_BITS = 17
 
@@ -155,13 +156,16 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     the ids, as sorted strings, of the items with an occurring window.
 
     Documents stay where they are: no shuffle.  The benchmark goes to the tasks
-    as search tables of at most ``TABLE_BYTES`` of text each; a larger one takes
-    a pass over the documents for each table, written in between.
+    as search tables of at most ``TABLE_BYTES`` of text each.  A larger one takes
+    a scan of the documents for each table, and no text is written: from each
+    scan come only the finds of different texts with a find, which are put
+    together and joined back by two hashes of the text.
 
     Null texts have no words; items with a null id or text are ignored.  Other
     columns stay, or those in ``keep``; of columns with the names above, the new
     ones replace the old.
-    Repeated rows give a row each.
+    Repeated rows give a row each, and of equal items each is named.  A very long
+    text is searched whole, in one task.
     """
     own = T.StructType.fromDDL("n_words bigint, n_hit bigint, hit_spans array<struct<start: bigint, end: bigint>>, hit_items array<string>")
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own.names]
@@ -170,16 +174,18 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     items = next(blocks)
     if (later := next(blocks, None)) is None:
         return _search(out, items, window, kept, own)
-    for k, items in enumerate(chain([items, later], blocks)):
-        if k:
-            found = _search(cut(out).select(*kept, "__text__", F.struct(*own.names).alias("_before")), items, window, [*kept, "__text__", "_before"], own)
-            spans = F.sort_array(F.concat("_before.hit_spans", "hit_spans"))
-            merged = F.aggregate(spans, F.array().cast("array<struct<start: bigint, end: bigint>>"), _join_spans)
-            out = found.select(*kept, "__text__", "n_words", merged.alias("hit_spans"), F.sort_array(F.array_union("_before.hit_items", "hit_items")).alias("hit_items"))
-            out = out.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]))
-        else:
-            out = _search(out, items, window, [*kept, "__text__"], own)
-    return out.select(*kept, *own.names)
+    key = [F.xxhash64("__text__").alias("__k1__"), F.xxhash64("__text__", F.lit(1)).alias("__k2__")]
+    texts = out.select("__text__", *key)
+    finds = [_search(texts, part, window, ["__k1__", "__k2__"], own).where("n_hit > 0").select("__k1__", "__k2__", "hit_spans", "hit_items").dropDuplicates(["__k1__", "__k2__"]) for part in (items, later, *blocks)]
+    # No more rows of a text than tables.
+    found = reduce(DataFrame.unionByName, finds).groupBy("__k1__", "__k2__").agg(F.sort_array(F.flatten(F.collect_list("hit_spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("items"))
+    merged = F.aggregate("spans", F.array().cast("array<struct<start: bigint, end: bigint>>"), _join_spans)
+    found = found.select("__k1__", "__k2__", merged.alias("hit_spans"), F.col("items").alias("hit_items"))
+    out = out.withColumns({"__k1__": key[0], "__k2__": key[1]}).join(found, ["__k1__", "__k2__"], "left")
+    n_words = F.coalesce(F.regexp_count("__text__", F.lit(WORD)), F.lit(0)).cast("bigint")
+    spans, names = (F.coalesce(c, F.array().cast(own[c].dataType)) for c in ("hit_spans", "hit_items"))
+    n_hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(*kept, n_words.alias("n_words"), n_hit.alias("n_hit"), spans.alias("hit_spans"), names.alias("hit_items"))
 
 
 def _join_spans(done, span):
