@@ -16,13 +16,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._text import LOWER, NOT_SPACE, Words, buffers, chunks, mix, ragged
 
-#: Text of a chunk, and of what one partition of a table answers for, in bytes.
-CHUNK_BYTES = 4 << 20
+#: Text of a chunk in bytes; one partition of a table answers for twice as much.
+CHUNK_BYTES = 2 << 20
 #: Counts up to here are discounted.
 DISCOUNTED = 5
 #: Fixed marks for the end of a text, which is a token, and for what precedes it.
@@ -237,7 +238,8 @@ def _join(table: pa.Table, name: str) -> np.ndarray:
     """All elements of a list column, or all numbers of a packed one."""
     column = table.column(name)
     if pa.types.is_binary(column.type):
-        parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0] for x in column.to_pylist()]
+        unpack = zstandard.ZstdDecompressor().decompress
+        parts = [np.frombuffer(unpack(x), np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0] for x in column.to_pylist()]
     else:
         parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -248,9 +250,10 @@ def _sizes(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _packed(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
-    """Numbers as bytes, the lowest byte of all first: counts are small, and zeros in a row shrink to nothing."""
+    """Numbers as compressed bytes, the lowest byte of all first: counts are small, and zeros in a row shrink to nothing."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     values, at = np.ascontiguousarray(values, np.int64), np.r_[0, np.cumsum(sizes)]
-    return pa.array([values[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    return pa.array([pack(values[a:b].view(np.uint8).reshape(-1, 8).T.tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
 
 def _list(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -315,8 +318,9 @@ def _with_stats(answers: DataFrame, tallies: DataFrame) -> DataFrame:
 def _counted(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_bytes: int, order: int) -> _Counts:
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    parts = max(1, -(-size // chunk_bytes))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc", "text"), F.lit(parts)).cast("int")).repartition("chunk")
+    parts, n_chunks = (max(1, -(-size // b)) for b in (2 * chunk_bytes, chunk_bytes))
+    # By content, so that a task that runs again deals out the same.
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc", "text"), F.lit(n_chunks)).cast("int")).repartition("chunk")
 
     def ask_words(docs: pa.Table) -> pa.Table:
         asked = list(Chunk(docs, parts).ask_words())
@@ -424,10 +428,12 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     precedes a text counts as one word, and histories don't reach beyond it.
 
     Texts are dealt out once, in chunks of about ``chunk_bytes``; the tables have
-    as many partitions.  A task needs some thirty times a chunk's bytes, and there
-    are as many questions as chunks times partitions: on executors with more
-    memory and for corpora of terabytes, chunks of 64 to 256 MB keep a question
-    worth its row.  A null text is empty: one token.  Where ``train`` is
+    half as many partitions.  A task needs some thirty times a chunk's bytes.  A
+    question is a row for a chunk and a partition that has any of its n-grams, so
+    there are never more rows than different n-grams in all chunks: the work is
+    in proportion to the corpus, and larger chunks, on executors with more
+    memory, only put more n-grams into a row.  A null text is empty: one token.
+    A very long text is one chunk, and so are all rows of one id and text.  Where ``train`` is
     null the row isn't learnt from.  Repeated rows count each.  Other columns are
     ignored.
     """
