@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import Windows, flat, over, repeated
-from ._graph import cut
 from ._text import CHECK, covered, mix, span_hashes
 from .substring_dedup import WIDTH, prepared, result
 
@@ -207,7 +206,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     rows = over(with_grams, width, f"gram bigint, doc {id_type}, right binary, left binary, context bigint", suffixes)
     array = rows.groupBy("gram", "right", "left", "context").agg(F.min("doc").alias("doc")).repartitionByRange("gram", "right", "left").sortWithinPartitions("gram", "right", "left")
-    found = cut(array.mapInArrow(compare, f"doc {id_type}, context bigint, bits bigint, window bigint"))
+    # Both uses below read the same sorted shuffle.
+    found = array.mapInArrow(compare, f"doc {id_type}, context bigint, bits bigint, window bigint")
     # At most a row for each stretch that has the window.
     across = found.where("window is not null").groupBy("window").agg(F.min("doc").alias("least"), F.collect_list(F.struct("doc", "context", "bits")).alias("held"))
     across = across.select("least", F.explode("held").alias("h")).where("h.doc > least").select("h.*")
