@@ -54,6 +54,13 @@ def keep_bytes(text: str, most: int, mode: str = "head") -> tuple[str, str, int]
     return head, tail, len(data) - len(head.encode()) - len(tail.encode())
 
 
+def ends(sized: str) -> str:
+    """Head and tail of a text within the bytes that its first line names."""
+    most, text = sized.split("\n", 1)
+    head, tail, _ = keep_bytes(text, int(most), "both")
+    return head + tail
+
+
 #: Marks that search looks through.
 _MARKS = dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
 

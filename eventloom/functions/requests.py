@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from dataclasses import dataclass
@@ -63,36 +64,50 @@ def wildcard(pattern: str) -> str:
     return "^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$"
 
 
-def redact(schema: dict | None, value: Any, path: tuple[str, ...] = ()) -> tuple[Any, list[tuple[tuple[str, ...], bool]]]:
-    """The value without its secret fields, and where they are and whether they were set.
+#: Any key of a dictionary or place of a list, in a path.
+EACH = object()
+
+
+def secret_paths(schema: dict | None) -> list[tuple]:
+    """Paths of the secret fields of a schema.
 
     ``schema``: nodes with ``type`` (object, dict, array), ``fields`` or
     ``inner``, and ``secret``.
     """
-    if schema is None:
-        return value, []
-    if schema.get("secret"):
-        return None, [(path, value is not None)]
-    kind, found = schema.get("type"), []
-
-    def down(node, item, name):
-        kept, more = redact(node, item, (*path, name))
-        found.extend(more)
-        return kept
-
-    if kind == "object":
-        fields, held = schema.get("fields", {}), value if isinstance(value, dict) else {}
-        out = {k: v for k, v in held.items() if k not in fields}
-        for k, node in fields.items():
-            kept = down(node, held.get(k), k)
-            if kept is not None:
-                out[k] = kept
-        return (out if isinstance(value, dict) or out else value), found
-    if kind == "dict" and isinstance(value, dict):
-        kept = {k: down(schema.get("inner"), v, k) for k, v in value.items()}
-        return {k: v for k, v in kept.items() if v is not None}, found
-    if kind == "array" and isinstance(value, list):
-        return [down(schema.get("inner"), v, str(k)) for k, v in enumerate(value)], found
+    out, todo = [], [((), schema or {})]
+    for path, node in todo:
+        if node.get("secret"):
+            out.append(path)
+            continue
+        inner = {"object": node.get("fields") or {}, "dict": {EACH: node.get("inner")}, "array": {EACH: node.get("inner")}}
+        todo += [((*path, name), child) for name, child in inner.get(node.get("type"), {}).items() if child]
+    return out
+
+
+def _children(value: Any, name) -> dict:
+    if name is not EACH:
+        return {name: value.get(name) if isinstance(value, dict) else None}
+    return value if isinstance(value, dict) else {str(k): v for k, v in enumerate(value)} if isinstance(value, list) else {}
+
+
+def redact(schema: dict | None, value: Any) -> tuple[Any, list[tuple[tuple[str, ...], bool]]]:
+    """The value without its secret fields, and where they are and whether they were set.
+
+    A secret element of a list leaves null in its place.
+    """
+    value, found = copy.deepcopy(value), []
+    for pattern in secret_paths(schema):
+        places = [((), value, None)]
+        for name in pattern:
+            places = [((*path, key), child, held) for path, held, _ in places for key, child in _children(held, name).items()]
+        for path, secret, owner in places:
+            found.append((path, secret is not None))
+            if not path:
+                value = None
+            elif isinstance(owner, list):
+                owner[int(path[-1])] = None
+            elif isinstance(owner, dict):
+                owner.pop(path[-1], None)
     return value, found
 
 
@@ -112,22 +127,6 @@ def inline(text: str, cap: int, place: str) -> str:
     return out if len(out.encode()) <= cap else text
 
 
-def retain(messages: list[dict], most: int) -> list[dict]:
-    """Messages within ``most`` bytes: the oldest go first, except checkpoints and the newest, then the longest is cut."""
-    kept = [dict(m) for m in messages]
-    size = lambda: sum(len(m["text"].encode()) for m in kept)
-    while size() > most:
-        drop = next((k for k, m in enumerate(kept[:-1]) if not m.get("checkpoint")), None)
-        if drop is None:
-            break
-        del kept[drop]
-    while size() > most:
-        longest = max(kept, key=lambda m: len(m["text"].encode()))
-        target = max(0, len(longest["text"].encode()) - (size() - most))
-        longest["text"] = longest["text"].encode()[:target].decode(errors="ignore")
-    return kept
-
-
 def collect_pages(fetch, accept, most: int) -> tuple[list, bool]:
     """Accepted rows of page after page, up to ``most``, and whether more were left.
 

@@ -104,6 +104,91 @@ def session_stats(steps: DataFrame, tools: DataFrame, ends: DataFrame) -> DataFr
     return counted.join(times, "session_id", "left").join(tool, "session_id", "left").fillna(0)
 
 
+def _in_order():
+    return Window.partitionBy("session_id").orderBy("seq")
+
+
+def _last_before(value: Column) -> Column:
+    """The last value that isn't null in the rows before."""
+    return F.last(value, ignorenulls=True).over(_in_order().rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _open_turn(log: DataFrame, value: Column) -> DataFrame:
+    """``log`` with ``opened``: ``seq`` and ``value`` of the turn start that no end has closed before the row."""
+    kind = F.col("type")
+    rows = log.withColumn("_start", _last_before(F.when(kind == "turn/start", F.struct("seq", value.alias("value"))))).withColumn("_end", _last_before(F.when(kind == "turn/end", F.col("seq"))))
+    return rows.withColumn("opened", F.when(F.col("_start.seq") > F.coalesce("_end", F.lit(-1)), F.col("_start"))).drop("_start", "_end")
+
+
+def subagent_timing(log: DataFrame) -> DataFrame:
+    """``session_id, settled_ms, since, through`` of every session with a descriptor.
+
+    Turns are intervals from their start to the next end.  ``settled_ms`` is the
+    time of those that end after the last descriptor; a turn that is open at the
+    end of the log reaches from ``since`` ``through`` the last row.
+    """
+    kind = F.col("type")
+    rows = _open_turn(log, F.col("time")).withColumn("descriptor", F.max(F.when(kind == "subagent/descriptor", F.col("seq"))).over(Window.partitionBy("session_id")))
+    took = F.greatest(F.col("time") - F.col("opened.value"), F.lit(0))
+    still = F.when(kind == "turn/start", F.col("time")).when(kind != "turn/end", F.col("opened.value"))
+    return rows.where("descriptor is not null").groupBy("session_id").agg(
+        F.coalesce(F.sum(F.when((kind == "turn/end") & (F.col("seq") > F.col("descriptor")), took)), F.lit(0)).alias("settled_ms"),
+        F.max_by(F.struct(still.alias("since"), F.when(still.isNotNull(), F.col("time")).alias("through")), "seq").alias("last"),
+    ).select("session_id", "settled_ms", "last.since", "last.through")
+
+
+def consumed_work(log: DataFrame) -> DataFrame:
+    """``session_id, end, dropped_unrun``: the last turn end that accounts for work, and whether work was thrown away since.
+
+    A turn has worked if a step of it started, and has taken messages if the
+    inbox gave some up while it was open.  Its end accounts for the work if it
+    has worked, or if it took messages and ended otherwise than completed.
+    Messages that are cancelled with nothing in their place are thrown away.
+    """
+    kind, splice = F.col("type"), F.col("type") == "agent/inbox/spliced"
+    field = lambda name: F.get_json_object("data", f"$.{name}")
+    cancelled = splice & field("removedCount").isNotNull() & F.coalesce(field("outcome") == "canceled", F.lit(False))
+    taken = splice & field("removedCount").isNotNull() & ~cancelled
+    nothing = F.coalesce(field("inserted"), F.lit("[]")) == "[]"
+    turn = F.when(kind.isin("step/start", "turn/end"), field("turn")).when(taken, F.col("opened.value"))
+    facts = _open_turn(log, field("turn")).select("session_id", "seq", turn.alias("turn"), (kind == "step/start").alias("works"), taken.alias("takes"), (kind == "turn/end").alias("ends"), F.coalesce(field("reason.kind"), F.lit("")).alias("reason"), (cancelled & nothing).alias("drops"))
+    turns = facts.where("turn is not null").groupBy("session_id", "turn").agg(F.bool_or("works").alias("works"), F.bool_or("takes").alias("takes"), F.max(F.when(F.col("ends"), F.col("seq"))).alias("seq"), F.max_by("reason", F.when(F.col("ends"), F.col("seq"))).alias("reason"))
+    ends = turns.where(F.col("works") | (F.col("takes") & (F.col("reason") != "completed"))).groupBy("session_id").agg(F.max("seq").alias("end"))
+    drops = facts.groupBy("session_id").agg(F.max(F.when(F.col("drops"), F.col("seq"))).alias("drop"))
+    return drops.join(ends, "session_id", "left").select("session_id", "end", F.coalesce(F.col("drop") > F.coalesce("end", F.lit(-1)), F.lit(False)).alias("dropped_unrun"))
+
+
+def anchored(samples: DataFrame, surface: DataFrame, headers: DataFrame) -> DataFrame:
+    """``session_id, seq, baseline, tokens, measured``: the size of the context after each surface row.
+
+    ``samples`` (``session_id, seq, used, header``) are what a provider counted
+    and under which header, ``surface`` (``session_id, seq, delta``) estimated
+    changes, ``headers`` (``session_id, seq, header, tokens``) the estimated size
+    of each header.  The anchor is the last sample, if the header in force is
+    still the one it was counted under; its count, or the estimate at that row
+    if that is greater, is the baseline, and the changes since are added.
+    Without an anchor the estimate stands.
+    """
+    rows = surface.select("session_id", "seq", "delta").unionByName(samples.select("session_id", "seq", "used", F.col("header").alias("counted")), allowMissingColumns=True)
+    rows = rows.unionByName(headers.select("session_id", "seq", "header", F.col("tokens").alias("size")), allowMissingColumns=True)
+    upto = _in_order().rowsBetween(Window.unboundedPreceding, 0)
+    head = F.last(F.when(F.col("size").isNotNull(), F.struct("header", "size")), ignorenulls=True).over(upto)
+    rows = rows.withColumn("grown", F.coalesce(F.sum("delta").over(upto), F.lit(0))).withColumn("head", head)
+    estimate = F.col("grown") + F.coalesce("head.size", F.lit(0))
+    rows = rows.withColumn("estimate", estimate)
+    anchor = F.last(F.when(F.col("used").isNotNull(), F.struct("used", "counted", "estimate", "grown")), ignorenulls=True).over(upto)
+    rows = rows.withColumn("anchor", anchor).where("delta is not null")
+    good = F.coalesce(F.col("anchor.counted").eqNullSafe(F.col("head.header")) & F.col("anchor.used").isNotNull(), F.lit(False))
+    base = F.when(good, F.greatest("anchor.used", "anchor.estimate"))
+    tokens = F.greatest(F.when(good, base + F.col("grown") - F.col("anchor.grown")).otherwise(F.col("estimate")), F.lit(0))
+    return rows.select("session_id", "seq", base.alias("baseline"), tokens.alias("tokens"), good.alias("measured"))
+
+
+def window_stats(steps: DataFrame) -> DataFrame:
+    """Turns, steps and output of each session in a window of a log."""
+    return steps.groupBy("session_id").agg(F.countDistinct("turn").alias("turns"), F.count(F.lit(1)).alias("steps"), F.sum("output").alias("output"))
+
+
 def turn_metrics(steps: DataFrame) -> DataFrame:
     """Time to the first token of each turn's lowest step, and tokens a second over its sampled steps."""
     ttft = F.when(F.col("first_token").isNotNull(), _span(F.col("start"), F.col("first_token")))
@@ -156,8 +241,13 @@ def extent(spans: DataFrame, *keys: str) -> DataFrame:
 
 
 def grouped_matches(matches: DataFrame) -> DataFrame:
-    """Files with their matching lines, files in the order of their first match."""
-    return matches.groupBy("path").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
+    """Matching lines with the first match and the number of matches of their file.
+
+    A row a line, so that a file with very many stays many rows; ``first`` orders
+    the files.
+    """
+    files = matches.groupBy("path").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n"))
+    return matches.join(files, "path").select("path", "first", "n", "line", "text")
 
 
 def produced_files(edits: DataFrame, up_to: int) -> DataFrame:

@@ -119,3 +119,24 @@ def spliced(current: DataFrame, baseline: DataFrame) -> DataFrame:
     ahead = Window.orderBy("position").rowsBetween(0, Window.unboundedFollowing)
     placed = known.withColumn("anchor", F.first("held", ignorenulls=True).over(ahead))
     return placed.orderBy(F.col("anchor").asc_nulls_last(), F.col("held").isNotNull(), "position").select("key")
+
+
+def retained(messages: DataFrame, most: int) -> DataFrame:
+    """Messages (``session_id, seq, checkpoint, text``) of each session within ``most`` bytes.
+
+    The oldest go first, but for checkpoints and the newest message, until the
+    rest fits; if it still doesn't, the longest are cut in the middle, the
+    longest of all first.  Both steps are running sums.
+    """
+    from ..functions.pandas_text import column, ends
+
+    whole = Window.partitionBy("session_id")
+    before = Window.unboundedPreceding, -1
+    rows = messages.withColumn("_bytes", F.octet_length("text").cast("bigint")).withColumn("_stays", F.coalesce("checkpoint", F.lit(False)) | (F.col("seq") == F.max("seq").over(whole)))
+    older = F.coalesce(F.sum(F.when(~F.col("_stays"), F.col("_bytes"))).over(whole.orderBy("seq").rowsBetween(*before)), F.lit(0))
+    rows = rows.withColumn("_over", F.sum("_bytes").over(whole) - most).withColumn("_older", older).where(F.col("_stays") | (F.col("_older") >= F.col("_over")))
+    longer = F.coalesce(F.sum("_bytes").over(whole.orderBy(F.desc("_bytes"), "seq").rowsBetween(*before)), F.lit(0))
+    left = F.col("_bytes") - F.greatest(F.sum("_bytes").over(whole) - most - longer, F.lit(0))
+    kept = rows.withColumn("_left", F.greatest(left, F.lit(0)))
+    short = F.when(F.col("_left") < F.col("_bytes"), F.concat_ws("\n", F.col("_left").cast("string"), "text"))
+    return kept.withColumn("text", F.coalesce(column(ends, "string")(short), "text")).select(*messages.columns)

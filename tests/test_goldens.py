@@ -156,17 +156,59 @@ def apply(projection, events):
     return projection.view(state)
 
 
-def test_subagent_timing():
-    assert apply(folds.TIMING, [("turn/start", 5, {}), ("subagent/descriptor", 8, {}), ("turn/end", 20, {}), ("turn/start", 30, {}), ("x", 33, {})]) == {"settledMs": 15, "active": {"since": 30, "through": 33}}
+def logged(spark, events, session="s"):
+    return spark.createDataFrame([(session, k, kind, time, json.dumps(data)) for k, (kind, time, data) in enumerate(events)], "session_id string, seq bigint, type string, time bigint, data string")
 
 
-def test_consumed_work():
+@pytest.mark.parametrize(
+    ("events", "want"),
+    [
+        ([("turn/start", 5), ("subagent/descriptor", 8), ("turn/end", 20), ("turn/start", 30), ("x", 33)], (15, 30, 33)),
+        ([("subagent/descriptor", 1), ("turn/start", 5), ("turn/end", 9), ("turn/start", 10), ("turn/end", 8)], (4, None, None)),
+        ([("turn/start", 1), ("turn/end", 4), ("subagent/descriptor", 5), ("turn/end", 9)], (0, None, None)),
+        ([("subagent/descriptor", 1), ("turn/start", 2), ("turn/end", 7), ("turn/start", 8), ("subagent/descriptor", 9)], (0, 8, 9)),
+        ([("subagent/descriptor", 1), ("turn/start", 2)], (0, 2, 2)),
+    ],
+)
+def test_subagent_timing(spark, events, want):
+    got = metrics.subagent_timing(logged(spark, [(k, t, {}) for k, t in events]).unionByName(logged(spark, [("turn/start", 1, {})], "none"))).collect()
+    assert [tuple(r)[1:] for r in got] == [want]
+
+
+def test_consumed_work(spark):
     claim, end = ("agent/inbox/spliced", 0, {"removedCount": 1, "inserted": []}), lambda r: ("turn/end", 0, {"turn": 1, "reason": {"kind": r}})
     start = ("turn/start", 0, {"turn": 1})
-    assert apply(folds.CONSUMED, [start, claim, end("completed")])["end"] is None
-    assert apply(folds.CONSUMED, [start, claim, end("aborted")])["end"] == 2
     dropped = ("agent/inbox/spliced", 0, {"removedCount": 1, "outcome": "canceled", "inserted": []})
-    assert apply(folds.CONSUMED, [start, ("step/start", 0, {"turn": 1}), end("completed"), dropped]) == {"end": 2, "droppedUnrun": True}
+    replaced = ("agent/inbox/spliced", 0, {"removedCount": 1, "outcome": "canceled", "inserted": [{"id": "a"}]})
+    cases = [
+        ([start, claim, end("completed")], (None, False)), ([start, claim, end("aborted")], (2, False)), ([start, ("step/start", 0, {"turn": 1}), end("completed"), dropped], (2, True)),
+        ([dropped, start, ("step/start", 0, {"turn": 1}), end("error")], (3, False)), ([start, end("aborted"), claim], (None, False)), ([start, end("completed"), replaced], (None, False)), ([dropped], (None, True)),
+    ]
+    for events, want in cases:
+        assert tuple(metrics.consumed_work(logged(spark, events)).first())[1:] == want
+
+
+def test_anchored_measurement(spark):
+    surface_rows = spark.createDataFrame([("s", 1, 10), ("s", 3, 5), ("s", 5, -8), ("s", 7, 4), ("t", 0, 3)], "session_id string, seq bigint, delta bigint")
+    samples = spark.createDataFrame([("s", 2, 30, "a"), ("s", 4, 12, "a")], "session_id string, seq bigint, used bigint, header string")
+    headers = spark.createDataFrame([("s", 0, "a", 7), ("s", 6, "b", 9)], "session_id string, seq bigint, header string, tokens bigint")
+    got = {(r.session_id, r.seq): (r.baseline, r.tokens, r.measured) for r in metrics.anchored(samples, surface_rows, headers).collect()}
+    # Counted 30 where 17 were estimated; counted 12 where 22 were; then another header, so the estimate.
+    assert got == {("s", 1): (None, 17, False), ("s", 3): (30, 35, True), ("s", 5): (22, 14, True), ("s", 7): (None, 20, False), ("t", 0): (None, 3, False)}
+
+
+def test_failures_and_schedules():
+    start, message, end = ("compaction/start", 0, {}), lambda t: ("assistant/message", 0, {"turn": t}), lambda t, r="error": ("turn/end", 0, {"turn": t, "reason": {"kind": r}})
+    got = apply(folds.FAILURES, [message(1), start, start, message(1), end(1), message(2), end(2, "completed"), end(3)])
+    assert got == {"failed": [[4, 3], [7, None]], "interrupted": [2, 1]}
+    assert apply(folds.FAILURES, [start, ("compaction/end", 0, {}), end(1, "interrupted")])["interrupted"] == []
+    every, once = ("schedule/created", 0, {"id": "e", "kind": "every", "target": 100, "interval": 50}), ("schedule/created", 0, {"id": "o", "kind": "at", "target": 10})
+    run = lambda i, t: ("schedule/dispatched", t, {"id": i})
+    assert apply(folds.SCHEDULES, [every, once, run("e", 270), run("o", 11)]) == {"e": {"kind": "every", "target": 300, "interval": 50}}
+    assert apply(folds.SCHEDULES, [every, ("schedule/deleted", 0, {"id": "e"})]) == {}
+    for bad in ([every, every], [every, run("e", 99)], [run("x", 1)]):
+        with pytest.raises(folds.FoldError):
+            apply(folds.SCHEDULES, bad)
 
 
 def test_inbox_and_goals():
@@ -238,8 +280,9 @@ def test_requests():
     schema = {"type": "object", "fields": {"key": {"secret": True}, "list": {"type": "array", "inner": {"type": "object", "fields": {"p": {"secret": True}}}}}}
     assert q.redact(schema, {"key": "x", "a": 1, "list": [{"p": 1, "q": 2}]}) == ({"a": 1, "list": [{"q": 2}]}, [(("key",), True), (("list", "0", "p"), True)])
     assert q.inline("short", 10, "f") == "short" and len(q.inline("x" * 500, 100, "f").encode()) <= 100 and q.inline("x" * 30, 20, "f" * 30) == "x" * 30
-    messages = [{"text": "a" * 10}, {"text": "b" * 10, "checkpoint": True}, {"text": "c" * 10}]
-    assert [m["text"] for m in q.retain(messages, 15)] == ["b" * 5, "c" * 10]
+    nested = {"type": "dict", "inner": {"type": "array", "inner": {"secret": True}}}
+    assert q.redact(nested, {"a": [1, None], "b": 3}) == ({"a": [None, None], "b": 3}, [(("a", "0"), True), (("a", "1"), False)])
+    assert q.redact({"secret": True}, "x") == (None, [((), True)]) and q.redact(None, {"a": 1}) == ({"a": 1}, []) and q.redact(schema, "odd")[0] == "odd"
     pages = {None: ([1, 2, 3], 1), 1: ([4, 5], None)}
     assert q.collect_pages(pages.get, lambda r: r % 2, 2) == ([1, 3], True) and q.collect_pages(pages.get, lambda r: r > 3, 9) == ([4, 5], False)
     import re
@@ -268,3 +311,16 @@ def test_pressure_and_breakdown(spark):
     headers = spark.createDataFrame([("s", 0, 6, 0), ("s", 3, 8, 2)], "session_id string, seq int, system int, tools int")
     assert tuple(metrics.breakdown(headers, surface_rows).first())[1:] == (-20, 8, 2)
     assert spark.createDataFrame([("memory-3",), ("memory-12",), ("x",)], "id string").agg(metrics.greatest_number(F.col("id")).alias("n")).first().n == 12
+
+
+def test_retained(spark):
+    from eventloom.operators import sessions
+
+    def kept(messages, most):
+        rows = spark.createDataFrame([("s", k, c, t) for k, (c, t) in enumerate(messages)], "session_id string, seq int, checkpoint boolean, text string")
+        return [r.text for r in sessions.retained(rows, most).orderBy("seq").collect()]
+
+    messages = [(None, "a" * 10), (True, "b" * 10), (False, "c" * 10)]
+    assert kept(messages, 30) == ["a" * 10, "b" * 10, "c" * 10] and kept(messages, 15) == ["b" * 5, "c" * 10] and kept(messages, 4) == ["", "c" * 4]
+    assert kept([(True, "head" + "x" * 20 + "tail"), (False, "é" * 3)], 14) == ["headtail", "é" * 3]
+    assert kept([(False, "1" * 6), (False, "2" * 6), (False, "3" * 6), (False, "4")], 8) == ["3" * 6, "4"]
