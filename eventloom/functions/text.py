@@ -35,6 +35,52 @@ def truncate(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
 
 
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of at most ``most`` UTF-8 bytes that ends between characters."""
+    data = F.encode(text, "UTF-8")
+
+    def inside(place: int) -> Column:
+        return F.hex(F.substring(data, place + 1, 1)).between("80", "BF")
+
+    end = F.lit(max(most - 3, 0))
+    for place in range(max(most - 2, 0), most + 1):
+        end = F.when(~inside(place), F.lit(place)).otherwise(end)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(data, F.lit(1), end), "UTF-8"))
+
+
+def fallback_title(text: Column, words: int, most: int) -> Column:
+    """The first words of a cleaned text, within ``most`` bytes."""
+    return F.regexp_replace(cut_bytes(first_words(clean_title(text), words), most), f"{SPACE_CLASS}+$", "")
+
+
+def preview(line: Column, most: int) -> Column:
+    """A line within ``most`` bytes, marked where it was cut."""
+    return F.concat(cut_bytes(line, most), F.when(F.octet_length(line) > most, F.lit(" (line truncated)")).otherwise(F.lit("")))
+
+
+def shown_line(line: Column, most: int) -> Column:
+    """A line of at most ``most`` UTF-16 units; a character that the limit divides is left out."""
+    units = F.regexp_replace(line, r"([\x{10000}-\x{10FFFF}])", "$1\x01")
+    start = F.replace(F.substring(units, 1, most), F.lit("\x01"), F.lit(""))
+    divided = F.substring(units, most + 1, 1) == "\x01"
+    start = F.when(divided, F.left(start, F.length(start) - 1)).otherwise(start)
+    return F.when(utf16_length(line) > most, F.concat(start, F.lit(f"... (line truncated to {most} chars)"))).otherwise(line)
+
+
+#: How image tags of benchmark cases are written.
+IMAGE_PREFIX, IMAGE_SEPARATOR, IMAGE_SUFFIX = "swebench/sweb.eval.x86_64.", "_1776_", ":latest"
+
+
+def image_tag(instance: Column) -> Column:
+    """The image of a case; only its first double underscore is replaced."""
+    parts = F.split(instance, "__", 2)
+    return F.concat(F.lit(IMAGE_PREFIX), F.array_join(parts, IMAGE_SEPARATOR), F.lit(IMAGE_SUFFIX))
+
+
+def runner(instance: Column) -> Column:
+    return F.when(F.startswith(instance, F.lit("django")), "runtests").otherwise("pytest")
+
+
 def csv_field(text: Column) -> Column:
     """Quoted where it holds a quote, comma or line break."""
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
@@ -109,6 +155,26 @@ def prune_middle(text: Column, head: int, tail: int) -> Column:
     return F.when(n > 0, F.concat(F.left(text, F.lit(head)), F.lit("\n[... "), n.cast("string"), F.lit(" characters pruned]\n"), F.right(text, F.lit(tail)))).otherwise(text)
 
 
+def prune_blocks(blocks: Column, head: int, tail: int) -> Column:
+    """The texts of blocks, of which together only head and tail stay; the mark stands where the gap begins.
+
+    Each block keeps what lies in the first ``head`` or the last ``tail``
+    characters of all of them; blocks that keep nothing are left out.
+    """
+    sizes = F.transform(blocks, F.length)
+    total = F.aggregate(sizes, F.lit(0), lambda n, x: n + x)
+    gone = total - head - tail
+
+    def kept(text, k):
+        start = F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda n, x: n + x)
+        n = F.length(text)
+        before, after = F.least(F.greatest(head - start, F.lit(0)), n), F.least(F.greatest(start + n - (total - tail), F.lit(0)), n)
+        mark = F.when((start <= head) & (head < start + n), F.concat(F.lit("\n[... "), gone.cast("string"), F.lit(" characters pruned]\n"))).otherwise(F.lit(""))
+        return F.concat(F.left(text, before), mark, F.right(text, after))
+
+    return F.when(gone > 0, F.filter(F.transform(blocks, kept), lambda t: t != "")).otherwise(blocks)
+
+
 def media_type(header: Column) -> Column:
     return F.lower(strip(F.split_part(header, F.lit(";"), F.lit(1))))
 
@@ -152,15 +218,24 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def _decimal(tenths: Column) -> Column:
+    """Tenths as a number, without a zero after the point."""
+    return F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("."), (tenths % 10).cast("string"))))
+
+
 def duration(ms: Column) -> Column:
-    """``850ms``, ``12.3s`` or ``2m 05s``."""
-    tenths = round_half_up(ms / 100)
+    """``0.9s``, ``45s`` or, from a minute on, ``2m5s``."""
     seconds = round_half_up(ms / 1000)
-    return (
-        F.when(ms < 1000, F.concat(ms.cast("bigint").cast("string"), F.lit("ms")))
-        .when(tenths < 600, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit("s")))
-        .otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), F.lpad(F.pmod(seconds, F.lit(60)).cast("string"), 2, "0"), F.lit("s")))
-    )
+    return F.when(ms < 60_000, F.concat(_decimal(round_half_up(ms / 100)), F.lit("s"))).otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m"), (seconds % 60).cast("string"), F.lit("s")))
+
+
+def token_count(n: Column) -> Column:
+    """``517``, ``12.2K``, ``517K`` or ``1.2M``."""
+
+    def scaled(unit: int) -> Column:
+        return F.when(n >= 100 * unit, round_half_up(n / unit).cast("string")).otherwise(_decimal(round_half_up(n * 10 / unit)))
+
+    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.concat(scaled(1000), F.lit("K"))).otherwise(F.concat(scaled(1_000_000), F.lit("M")))
 
 
 def last_occurrence(anchor: Column, interval: Column, now: Column) -> Column:
@@ -182,6 +257,11 @@ def backoff(attempt: Column, first: float = 500.0, most: float = 10_000.0) -> Co
     return F.least(first * F.pow(F.lit(2.0), attempt), F.lit(most))
 
 
+def jittered(delay: Column, chance: Column, ratio: float = 0.1) -> Column:
+    """The delay times a number around one; ``chance`` from 0 to 1 says where in the range."""
+    return delay * (1 + ratio * (2 * chance - 1))
+
+
 def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import pandas_text as p
 from ..operators import joins as j
+from ..operators import metrics as m
 from ..operators import sessions as n
 from ..operators import surface, traces
 from ..operators import windows as w
 from ..schema import conversation_log, session_events, table
 from ..sources import jsonl, tables
-from ..streaming import folds, projections, schedules
+from ..streaming import projections, schedules
 from . import query
 from .search import _CONV, _LOG
 
@@ -229,12 +230,20 @@ def index_reconcile(spark, sf_dir):
     return n.reconcile(docs, old, now, before)
 
 
+_TURNS = f"(SELECT session_id, seq, time, CASE type WHEN 'signup' THEN 'subagent/descriptor' WHEN 'view' THEN 'turn/start' WHEN 'click' THEN 'turn/end' ELSE 'other' END AS kind FROM {_LOG})"
+
+
+def _turns(spark, sf_dir):
+    kind = F.when(F.col("type") == "signup", "subagent/descriptor").when(F.col("type") == "view", "turn/start").when(F.col("type") == "click", "turn/end").otherwise("other")
+    return session_events(spark, sf_dir).withColumn("type", kind).withColumn("data", F.lit("{}"))
+
+
 @query(
-    f"""WITH k AS (SELECT session_id, seq, time, CASE type WHEN 'signup' THEN 'subagent/descriptor' WHEN 'view' THEN 'turn/start' WHEN 'click' THEN 'turn/end' END AS kind FROM {_LOG}), d AS (SELECT session_id, max(seq) AS seq FROM k WHERE kind = 'subagent/descriptor' GROUP BY session_id)
-        SELECT k.session_id, count(*) AS n FROM k JOIN d ON k.session_id = d.session_id AND k.seq = d.seq GROUP BY k.session_id"""
+    f"""WITH k AS (SELECT *, max(seq) FILTER (WHERE kind = 'turn/start') OVER w AS s, arg_max(time, seq) FILTER (WHERE kind = 'turn/start') OVER w AS s_time, max(seq) FILTER (WHERE kind = 'turn/end') OVER w AS e, max(seq) FILTER (WHERE kind = 'subagent/descriptor') OVER (PARTITION BY session_id) AS d
+            FROM {_TURNS} WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        o AS (SELECT *, CASE WHEN kind = 'turn/start' THEN time WHEN kind <> 'turn/end' AND s > coalesce(e, -1) THEN s_time END AS since FROM k WHERE d IS NOT NULL)
+        SELECT session_id, CAST(coalesce(sum(greatest(time - s_time, 0)) FILTER (WHERE kind = 'turn/end' AND s > coalesce(e, -1) AND seq > d), 0) AS BIGINT) AS settled_ms,
+            arg_max([since], seq)[1] AS since, arg_max([CASE WHEN since IS NOT NULL THEN time END], seq)[1] AS through FROM o GROUP BY session_id"""
 )
 def subagent_timing(spark, sf_dir):
-    """Sessions with a descriptor, of which the timing projection has seen the last."""
-    kind = F.when(F.col("type") == "signup", "subagent/descriptor").when(F.col("type") == "view", "turn/start").when(F.col("type") == "click", "turn/end").otherwise("other")
-    states = projections.fold(session_events(spark, sf_dir).withColumn("type", kind).withColumn("data", F.lit("{}")), [folds.TIMING])
-    return states.where(F.get_json_object("val", "$.seen") == "true").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    return m.subagent_timing(_turns(spark, sf_dir))

@@ -36,10 +36,9 @@ def context_pressure(spark, sf_dir):
 _T = f"(SELECT *, seq // 8 AS turn FROM {_LOG})"
 
 
-@query(f"SELECT session_id, turn, ascii(type) AS step, arg_min(time, seq) AS first_token FROM {_T} WHERE data <> '' AND value > 10 GROUP BY ALL")
+@query(f"SELECT session_id, turn, ascii(type) AS step, arg_min(time, seq) AS first_token FROM {_T} WHERE data <> '' GROUP BY ALL")
 def first_tokens(spark, sf_dir):
-    log = session_events(spark, sf_dir).where("value > 10")
-    return m.first_tokens(log.select("session_id", "seq", "time", F.floor(F.col("seq") / 8).alias("turn"), F.ascii("type").alias("step"), F.col("data").alias("text")))
+    return m.first_tokens(session_events(spark, sf_dir).select("session_id", "seq", "time", F.floor(F.col("seq") / 8).alias("turn"), F.ascii("type").alias("step"), F.col("data").alias("text")))
 
 
 _STEPS = f"""(SELECT session_id, seq // 8 AS turn, seq % 8 AS step, time AS start, time + CAST(floor(value * 10) AS BIGINT) AS first_token, time + CAST(floor(value * 30) AS BIGINT) AS "end", CAST(floor(value) AS BIGINT) AS output FROM {_LOG})"""
@@ -82,7 +81,7 @@ def derived_ratios(spark, sf_dir):
 
 @query(f"SELECT session_id, count(DISTINCT turn) AS turns, count(*) AS steps, CAST(sum(output) AS BIGINT) AS output FROM {_STEPS} GROUP BY session_id")
 def window_stats(spark, sf_dir):
-    return _steps(spark, sf_dir).groupBy("session_id").agg(F.countDistinct("turn").alias("turns"), F.count(F.lit(1)).alias("steps"), F.sum("output").alias("output"))
+    return m.window_stats(_steps(spark, sf_dir))
 
 
 @query(f"SELECT session_id, turn, min(start) AS start, max(\"end\") AS \"end\" FROM {_STEPS} GROUP BY session_id, turn")
@@ -99,13 +98,13 @@ def token_deltas(spark, sf_dir):
     return m.token_deltas(rows).select("session_id", "seq", "delta")
 
 
-@query("SELECT source AS path, min(doc_id) AS first, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS lines FROM documents WHERE lang = 'de' GROUP BY source")
+@query("SELECT source AS path, min(doc_id) OVER (PARTITION BY source) AS first, count(*) OVER (PARTITION BY source) AS n, doc_id AS line, lang AS text FROM documents")
 def group_matches(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("source").alias("path"), F.col("doc_id").alias("position"), F.col("doc_id").alias("line"), F.lit("").alias("text"))
-    return m.grouped_matches(rows).select("path", "first", "n", F.array_join(F.col("lines.line").cast("array<string>"), ",").alias("lines"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("position"), F.col("doc_id").alias("line"), F.col("lang").alias("text"))
+    return m.grouped_matches(rows)
 
 
-_HOOKS = f"(SELECT session_id AS event, seq AS position, CASE type WHEN 'error' THEN 'deny' WHEN 'signup' THEN 'ask' ELSE 'allow' END AS decision, data AS reason, CASE WHEN value > 60 THEN data END AS stop FROM {_LOG} WHERE seq < 6)"
+_HOOKS = f"(SELECT session_id AS event, seq AS position, CASE type WHEN 'error' THEN 'deny' WHEN 'signup' THEN 'ask' ELSE 'allow' END AS decision, data AS reason, CASE WHEN value > 60 THEN data END AS stop FROM {_LOG})"
 
 
 @query(
@@ -113,7 +112,7 @@ _HOOKS = f"(SELECT session_id AS event, seq AS position, CASE type WHEN 'error'
         SELECT event, max(CASE top WHEN 3 THEN 'deny' WHEN 2 THEN 'ask' ELSE 'allow' END) AS decision, string_agg(reason, chr(10) ORDER BY position) FILTER (WHERE rank = top) AS reason, arg_min(stop, position) FILTER (WHERE stop IS NOT NULL) AS stop FROM t GROUP BY event"""
 )
 def hook_merge(spark, sf_dir):
-    log = session_events(spark, sf_dir).where("seq < 6")
+    log = session_events(spark, sf_dir)
     decision = F.when(F.col("type") == "error", "deny").when(F.col("type") == "signup", "ask").otherwise("allow")
     rows = log.select(F.col("session_id").alias("event"), F.col("seq").alias("position"), decision.alias("decision"), F.col("data").alias("reason"), F.when(F.col("value") > 60, F.col("data")).alias("stop"), F.lit(None).cast("string").alias("context"))
     return m.merge_hooks(rows).select("event", "decision", "reason", "stop")

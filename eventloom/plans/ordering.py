@@ -16,12 +16,12 @@ def head_retention(spark, sf_dir):
 
 
 @query(
-    """WITH m AS (SELECT doc_id AS position, list_distinct(string_split(lower(text), ' ')[1:12]) AS keywords FROM documents)
+    """WITH m AS (SELECT doc_id AS position, list_distinct(string_split(lower(text), ' ')) AS keywords FROM documents)
         SELECT position, CAST(score AS INTEGER) AS score FROM (SELECT position, len(list_intersect(keywords, ['the', 'and', 'de'])) AS score FROM m) WHERE score > 0 ORDER BY score DESC, position LIMIT 25"""
 )
 def keyword_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("position"), F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 12)).alias("keywords"))
+    rows = docs.select(F.col("doc_id").alias("position"), F.array_distinct(F.split(F.lower("text"), " ")).alias("keywords"))
     return o.keyword_top_k(rows, ["The", "and", "de", "the"], 25).select("position", "score")
 
 
@@ -54,8 +54,11 @@ def line_window(spark, sf_dir):
     return conversation_log(spark, sf_dir).select("session_id", "seq", F.array_join(o.line_window(F.col("text"), 0, 3, 400), "\n").alias("lines"))
 
 
-@query("SELECT item_id, CASE WHEN item_id % 5 = 0 THEN '0,1,2,3,4' ELSE CASE item_id % 5 WHEN 1 THEN '1,0,2,3,4' WHEN 2 THEN '2,0,1,3,4' WHEN 3 THEN '3,0,1,2,4' ELSE '4,0,1,2,3' END END AS items FROM benchmark WHERE item_id % 5 <> 0")
+@query("SELECT item_id, CASE item_id % 5 WHEN 0 THEN '1,2,3,0,4' WHEN 1 THEN '0,2,3,1,4' WHEN 2 THEN '0,1,3,2,4' WHEN 3 THEN '0,1,2,4,3' ELSE '0,1,2,4,3' END AS items FROM benchmark")
 def move_before(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").where("item_id % 5 <> 0")
+    """Each of five items before the fifth; the fifth before the fourth, and the fourth last."""
     items = F.array(*(F.lit(k).cast("bigint") for k in range(5)))
-    return rows.select("item_id", F.array_join(o.move_before(items, F.col("item_id") % 5, F.lit(0).cast("bigint")).cast("array<string>"), ",").alias("items"))
+    item = F.col("item_id") % 5
+    anchor = F.when(item == 4, F.lit(3)).otherwise(F.lit(4)).cast("bigint")
+    moved = F.when(item == 3, o.move_before(items, item, None)).otherwise(o.move_before(items, item, anchor))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(moved.cast("array<string>"), ",").alias("items"))

@@ -29,11 +29,11 @@ def snippets(spark, sf_dir):
     return rows.select("session_id", "seq", p.column(p.snippet, "string", 80)(marked).alias("snippet"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text END AS whole, strlen(text) > 200 AS cut FROM documents")
+@query("SELECT doc_id, left(text, list_max(list_filter(range(0, 201), lambda n: strlen(left(text, n)) <= 200))) AS text, strlen(text) > 200 AS cut FROM documents")
 def byte_retention(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    kept = p.column(p.cut_bytes, "string", 200)(F.col("text"))
-    return docs.select("doc_id", F.when(kept == F.col("text"), kept).alias("whole"), (kept != F.col("text")).alias("cut"))
+    from ..functions.text import cut_bytes
+
+    return table(spark, sf_dir, "documents").select("doc_id", cut_bytes(F.col("text"), 200).alias("text"), (F.octet_length("text") > 200).alias("cut"))
 
 
 @query("SELECT doc_id, position('than' IN lower(text)) > 0 AS found FROM documents WHERE contains(lower(text), 'than')")

@@ -47,13 +47,26 @@ def relative_time(spark, sf_dir):
 
 
 @query(
-    f"""SELECT session_id, seq, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN t < 600 THEN (t // 10) || '.' || (t % 10) || 's'
-        ELSE (s // 60) || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' END AS shown FROM (SELECT *, (ms + 50) // 100 AS t, (ms + 500) // 1000 AS s FROM (SELECT session_id, seq, CAST(floor(value * 3000) AS BIGINT) AS ms FROM {_LOG}))"""
+    f"""SELECT session_id, seq, CASE WHEN ms < 60000 THEN (t // 10) || CASE WHEN t % 10 = 0 THEN '' ELSE '.' || (t % 10) END || 's' ELSE (s // 60) || 'm' || (s % 60) || 's' END AS shown
+        FROM (SELECT *, (ms + 50) // 100 AS t, (ms + 500) // 1000 AS s FROM (SELECT session_id, seq, CAST(floor(value * 3000) AS BIGINT) AS ms FROM {_LOG}))"""
 )
 def duration_format(spark, sf_dir):
     return session_events(spark, sf_dir).select("session_id", "seq", x.duration(F.floor(F.col("value") * 3000)).alias("shown"))
 
 
+_TENTHS = "((({n}) // 10) || CASE WHEN ({n}) % 10 = 0 THEN '' ELSE '.' || (({n}) % 10) END)"
+
+
+@query(
+    f"""SELECT session_id, seq, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 100000 THEN {_TENTHS.format(n="(n * 10 + 500) // 1000")} || 'K' WHEN n < 1000000 THEN ((n + 500) // 1000) || 'K'
+        WHEN n < 100000000 THEN {_TENTHS.format(n="(n * 10 + 500000) // 1000000")} || 'M' ELSE ((n + 500000) // 1000000) || 'M' END AS shown
+        FROM (SELECT session_id, seq, CAST(floor(value * value * value * 400) AS BIGINT) AS n FROM {_LOG})"""
+)
+def token_format(spark, sf_dir):
+    n = F.floor(F.col("value") * F.col("value") * F.col("value") * 400)
+    return session_events(spark, sf_dir).select("session_id", "seq", x.token_count(n).alias("shown"))
+
+
 @query(f"SELECT session_id, seq, CAST(CASE WHEN time >= 1704100000000 THEN 1704100000000 + (time - 1704100000000) // 300000 * 300000 END AS BIGINT) AS latest, CAST(CASE WHEN time < 1704100000000 THEN 1704100000000 ELSE 1704100000000 + ((time - 1704100000000) // 300000 + 1) * 300000 END AS BIGINT) AS following FROM {_LOG}")
 def recurrence(spark, sf_dir):
     anchor, step = F.lit(1704100000000).cast("bigint"), F.lit(300000).cast("bigint")
@@ -61,15 +74,15 @@ def recurrence(spark, sf_dir):
     return log.select("session_id", "seq", x.last_occurrence(anchor, step, F.col("time")).alias("latest"), x.next_occurrence(anchor, step, F.col("time")).alias("following"))
 
 
-@query("SELECT doc_id, left(sha256(source), 16) AS key, replace(replace(text, '<', '\\u003c'), '>', '\\u003e') AS safe FROM documents WHERE NOT contains(text, '&')")
+@query("SELECT doc_id, left(sha256(source), 16) AS key, replace(replace(replace(text, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS safe FROM documents")
 def keys_and_tags(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("&")))
-    return docs.select("doc_id", x.workspace_key(F.col("source")).alias("key"), x.tag_safe(F.col("text")).alias("safe"))
+    return table(spark, sf_dir, "documents").select("doc_id", x.workspace_key(F.col("source")).alias("key"), x.tag_safe(F.col("text")).alias("safe"))
 
 
-@query(f"SELECT session_id, seq, least(500 * pow(2, seq % 8), 10000) AS wait FROM {_LOG}")
+@query(f"SELECT session_id, seq, least(500 * pow(2, seq % 8), 10000) AS wait, round(least(500 * pow(2, seq % 8), 10000) * (0.9 + 0.2 * (seq % 5) / 4), 6) AS jittered FROM {_LOG}")
 def retry_backoff(spark, sf_dir):
-    return session_events(spark, sf_dir).select("session_id", "seq", x.backoff(F.col("seq") % 8).alias("wait"))
+    wait = x.backoff(F.col("seq") % 8)
+    return session_events(spark, sf_dir).select("session_id", "seq", wait.alias("wait"), F.round(x.jittered(wait, F.col("seq") % 5 / 4), 6).alias("jittered"))
 
 
 @query("SELECT lang, count(*) AS seen, least(count(*), 100) AS kept, greatest(count(*) - 100, 0) AS omitted, count(*) > 100 AS truncated FROM documents GROUP BY lang")
