@@ -81,10 +81,18 @@ def text_length(blocks: Column) -> Column:
     return F.aggregate(texts, F.lit(0), lambda n, b: n + F.length(b["text"]))
 
 
+_NAMED = "type: string, ref: string"
+_IMAGES = f"array<struct<{_NAMED}, content: array<struct<{_NAMED}, content: array<struct<{_NAMED}>>>>>>"
+
+
 def image_refs(log: DataFrame) -> DataFrame:
-    """``session_id, media_id``: images named anywhere in the content, each once."""
-    ids = F.regexp_extract_all("data", F.lit(r'"type"\s*:\s*"image"[^{}]*?"ref"\s*:\s*"([^"]+)"'), F.lit(1))
-    return log.select("session_id", F.explode(ids).alias("media_id")).distinct()
+    """``session_id, media_id``: images named in content blocks, results inside them included, each once."""
+    d = F.from_json("data", f"content {_IMAGES}, message struct<content: {_IMAGES}>")
+    outer = F.coalesce(d["content"], d["message"]["content"])
+    level = lambda blocks: F.flatten(F.filter(F.transform(blocks, lambda b: b["content"]), F.isnotnull))
+    named = lambda blocks: F.transform(F.filter(F.coalesce(blocks, F.array()), lambda b: (b["type"] == "image") & b["ref"].isNotNull()), lambda b: b["ref"])
+    rows = log.select("session_id", outer.alias("a")).where("a is not null").withColumn("b", level(F.col("a"))).withColumn("c", level(F.col("b")))
+    return rows.select("session_id", F.explode(F.concat(named(F.col("a")), named(F.col("b")), named(F.col("c")))).alias("media_id")).distinct()
 
 
 def exact_keys(data: Column, required: list[str], optional: list[str] = []) -> Column:

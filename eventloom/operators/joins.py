@@ -92,3 +92,14 @@ def last_write(changes: DataFrame, keys: Sequence[str] = ("table", "key")) -> Da
     """A key-value table from its changes (``table, key, version, value``); a null value deletes."""
     last = changes.groupBy(*keys).agg(F.max_by(F.struct("value", "version"), "version").alias("last"))
     return last.where("last.value is not null").select(*keys, "last.value", "last.version")
+
+
+def change_feed(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("table", "key")) -> DataFrame:
+    """What a write changed in a key-value table: ``keys, change`` (put or deleted), ``value, version``.
+
+    A put is a key that is new or has another version; an unchanged key gives no row.
+    """
+    old = before.select(*keys, F.col("version").alias("_version"))
+    both = after.withColumn("_there", F.lit(True)).join(old.withColumn("_was", F.lit(True)), list(keys), "full_outer")
+    change = F.when(F.col("_there").isNull(), "deleted").when(F.col("_was").isNull() | ~F.col("version").eqNullSafe(F.col("_version")), "put")
+    return both.withColumn("change", change).where("change is not null").select(*keys, "change", "value", "version")
