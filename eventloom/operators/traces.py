@@ -6,13 +6,25 @@ the rows that are still walking; cycles are found by the rows they come back to.
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage where the cluster has a checkpoint folder."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """``df`` without its lineage, written to the cluster's checkpoint folder.
+
+    Only on one machine, where none is set, a temporary folder is used.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
 
 
 def ancestor_pairs(sessions: DataFrame, id_col: str = "id", parent_col: str = "parent", max_depth: int | None = None) -> DataFrame:
@@ -36,8 +48,22 @@ def ancestor_pairs(sessions: DataFrame, id_col: str = "id", parent_col: str = "p
 
 
 def ancestors(sessions: DataFrame, target) -> DataFrame:
-    """The ancestors of one session, nearest first."""
-    return ancestor_pairs(sessions).where(F.col("node") == target).select("ancestor", "depth").orderBy("depth")
+    """The ancestors of one session, nearest first.
+
+    Only the target's own line is walked: a lookup of one row a round.
+    """
+    rows = sessions.select("id", "parent")
+    there, found, child = rows.select("id"), [], target
+    while True:
+        up = rows.where(F.col("id") == child).where("parent is not null").select(F.col("parent").alias("id")).join(there, "id", "left_semi").first()
+        if up is None:
+            break
+        if up.id == target or up.id in found:
+            raise ValueError("the sessions form a cycle")
+        found.append(up.id)
+        child = up.id
+    kind = sessions.schema["id"].dataType.simpleString()
+    return sessions.sparkSession.createDataFrame([(name, k) for k, name in enumerate(found, 1)], f"ancestor {kind}, depth int")
 
 
 def descendants(sessions: DataFrame, target, order: Column | None = None) -> DataFrame:
@@ -58,11 +84,29 @@ def descendants(sessions: DataFrame, target, order: Column | None = None) -> Dat
 
 
 def rollup(sessions: DataFrame, running: Column) -> DataFrame:
-    """For each session: how many descendants it has, and how many of them run."""
-    pairs = ancestor_pairs(sessions.select("id", "parent"))
-    states = sessions.select(F.col("id").alias("node"), running.alias("running"))
-    counts = pairs.join(states, "node").groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("descendants"), F.count_if("running").alias("running"))
-    return sessions.select("id").join(counts, "id", "left").fillna(0, ["descendants", "running"])
+    """For each session: how many descendants it has, and how many of them run.
+
+    Counts go up a level at a time, from the deepest: a row a session and level,
+    not one for each session and ancestor.
+    """
+    rows = sessions.select("id", F.col("parent"), running.cast("bigint").alias("runs"))
+    there = rows.select(F.col("id").alias("parent"))
+    level = _kept(rows.join(there, "parent", "left_anti").select("id", "parent", "runs"))
+    inner, levels = rows.join(there, "parent", "left_semi").select("id", "parent", "runs"), [level]
+    while True:
+        level = _kept(inner.join(level.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent", "runs"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    placed = reduce(DataFrame.unionByName, levels)
+    if not inner.join(placed.select("id"), "id", "left_anti").isEmpty():
+        raise ValueError("the sessions form a cycle")
+    done, below = [], None
+    for level in reversed(levels):
+        sums = level.withColumns({"descendants": F.lit(0).cast("bigint"), "running": F.lit(0).cast("bigint")}) if below is None else _kept(level.join(below, "id", "left").fillna(0, ["descendants", "running"]))
+        done.append(sums.select("id", "descendants", "running"))
+        below = sums.groupBy(F.col("parent").alias("id")).agg(F.sum(F.col("descendants") + 1).alias("descendants"), F.sum(F.col("running") + F.coalesce("runs", F.lit(0))).alias("running"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def roots(sessions: DataFrame) -> DataFrame:
