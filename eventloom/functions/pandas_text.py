@@ -200,11 +200,23 @@ def column(function, kind: str, *args):
 
 
 def span_count(text: Column, phrase: str) -> Column:
-    """Spans of the phrase in a text."""
+    """Spans of the phrase in a text.
+
+    Of texts in ASCII a pattern finds the tokens in the JVM; only other texts, in
+    which case and diacritics need folding, are sent to Python.  A phrase that
+    can overlap itself always is: overlapping places are one span.
+    """
     wanted = fold(phrase)
 
     @F.pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: 0 if x is None or not wanted else phrase_spans(fold(x), wanted))
 
-    return run(text)
+    if any(wanted[:k] == wanted[-k:] for k in range(1, len(wanted))) or not wanted:
+        return run(text)
+    ascii_only = F.octet_length(text) == F.length(text)
+    if all(w.isascii() for w in wanted):
+        found = F.regexp_count(F.lower(text), F.lit("(?<![a-z0-9])" + "[^a-z0-9]+".join(wanted) + "(?![a-z0-9])"))
+    else:
+        found = F.lit(0)
+    return F.when(ascii_only, found).otherwise(run(F.when(~ascii_only, text)))

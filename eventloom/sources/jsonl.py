@@ -23,13 +23,23 @@ _HEADER = "type string, version int, id string, createdAt bigint, cwd string, pa
 _LINE = "type string, seq bigint, time bigint, data string, sourceEventSeqs array<bigint>, surfaceOp string, seq0 bigint, time0 bigint, ignorable boolean"
 
 
+#: Files that can't be split: they are read whole.
+PACKED = r"\.zstd?$"
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, number, line`` of every line of plain or ``.zstd`` files.
+    """``path, number, line`` of every line of plain or ``.zst``, ``.zstd`` files.
 
-    Lines are split where they are read, so only a log's own lines must fit a task.
+    Plain files are read by line, in splits; lines are numbered by the place of
+    their split and their place in it, in a sort that spills.  Only packed files
+    are read whole.
     """
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return texts.select("path", F.posexplode(F.split("value", "\n")).alias("number", "line")).where("line <> ''")
+    name = F.col("_metadata.file_path")
+    plain = spark.read.text(path).where(~name.rlike(PACKED)).select(name.alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("_split", "_row")) - 1
+    packed = spark.read.text(path, wholetext=True).where(name.rlike(PACKED)).select(name.alias("path"), "value")
+    whole = packed.select("path", F.posexplode(F.split("value", "\n")).alias("number", "line"))
+    return plain.select("path", number.alias("number"), "line").unionByName(whole).where("line <> ''")
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -114,12 +124,24 @@ def unpack(rows: DataFrame) -> DataFrame:
     return out.select("path", "number", "seq", "type", "time", delta.alias("data"))
 
 
-def write(sessions: DataFrame, log: DataFrame, path: str) -> None:
-    """A folder for each session with its header line and event lines, in order."""
+def write(sessions: DataFrame, log: DataFrame, path: str, folders: int = 256) -> None:
+    """Each session's header line and event lines, in order, in the file of its bucket.
+
+    A file holds the logs of many sessions, one after another, so millions of
+    sessions are ``folders`` files; :func:`logs_of` tells them apart again.
+    """
     head = sessions.select(F.col("id").alias("session_id"), F.lit(-1).cast("bigint").alias("seq"), F.to_json(F.struct(F.lit("session").alias("type"), F.lit(FORMAT_VERSION).alias("version"), "id", F.col("created_at").alias("createdAt"))).alias("value"))
     body = log.select("session_id", "seq", F.to_json(F.struct("type", "seq", "time", F.parse_json("data").alias("data"))).alias("value"))
-    rows = head.unionByName(body).repartition("session_id").sortWithinPartitions("session_id", "seq")
-    rows.select("session_id", "value").write.partitionBy("session_id").text(path)
+    rows = head.unionByName(body).withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(folders)))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "session_id", "seq").select("value", "bucket").write.partitionBy("bucket").text(path)
+
+
+def logs_of(lines: DataFrame) -> DataFrame:
+    """``lines`` of files that hold several logs, as of a file for each: a log begins at its header line."""
+    order = Window.partitionBy("path").orderBy("number")
+    start = F.max(F.when(F.get_json_object("line", "$.type") == "session", F.col("number"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.withColumn("_start", F.coalesce(start, F.lit(0)))
+    return rows.select(F.concat_ws("#", "path", F.col("_start").cast("string")).alias("path"), (F.col("number") - F.col("_start")).alias("number"), "line")
 
 
 def repair(log: DataFrame) -> DataFrame:

@@ -56,8 +56,9 @@ def test_foreign_versions_are_errors(spark, tmp_path):
 def test_write_and_read_back(spark, tmp_path):
     log = spark.createDataFrame([("a", 0, "x", 1, '{"k":1}'), ("a", 1, "turn/end", 2, "{}"), ("b", 0, "x", 3, '{"z":"é"}')], EVENTS)
     heads = spark.createDataFrame([("a", 1), ("b", 2)], "id string, created_at bigint")
-    jsonl.write(heads, log, str(tmp_path / "out"))
-    lines = jsonl.lines(spark, str(tmp_path / "out" / "*"))
+    jsonl.write(heads, log, str(tmp_path / "out"), folders=1)
+    assert len(list((tmp_path / "out").glob("bucket=*/*.txt"))) == 1
+    lines = jsonl.logs_of(jsonl.lines(spark, str(tmp_path / "out" / "*")))
     assert sorted(r.id for r in jsonl.headers(lines).collect()) == ["a", "b"]
     assert {(r.seq, r.type, json.loads(r.data).get("z")) for r in jsonl.events(lines).collect()} == {(0, "x", None), (0, "x", "é"), (1, "turn/end", None)}
 
@@ -199,3 +200,25 @@ def test_sessions(spark):
     assert [r.seq for r in sessions.before_open_step(log, "a").collect()] == [0, 1]
     order = lambda *k: spark.createDataFrame(list(enumerate(k)), "position int, key string")
     assert [r.key for r in sessions.spliced(order("b", "a"), order("new", "a", "x", "b", "last")).collect()] == ["x", "b", "new", "a", "last"]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f"{k}\n" for k in range(5000)) + "\n\nlast")
+    (tmp_path / "b.jsonl").write_text("x\n\ny\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = jsonl.lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.number, r.line) for r in got if r.path.endswith("a.jsonl")) == [*((k, str(k)) for k in range(5000)), (5002, "last")]
+    assert sorted((r.number, r.line) for r in got if r.path.endswith("b.jsonl")) == [(0, "x"), (2, "y")]
+
+
+@pytest.mark.parametrize("phrase", ["of the", "a a", "one", "café bar", "x_y", "THE  end"])
+def test_spans_of_ascii_texts_as_of_others(spark, phrase):
+    from eventloom.functions import pandas_text as p
+
+    texts = ["of the of the", "xof the", "of  The, of_the", "a a a a b", "one", "none one-one", "café bar CAFE BAR", "cafe bar", "x_y x y", "the end. THE\nEND", "", "of \u00e9 the", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    got = {r.id: r.n for r in rows.select("id", p.span_count(F.col("text"), phrase).alias("n")).collect()}
+    assert got == {k: 0 if t is None else p.phrase_spans(p.fold(t), p.fold(phrase)) for k, t in enumerate(texts)} or got == {k: None if t is None else p.phrase_spans(p.fold(t), p.fold(phrase)) for k, t in enumerate(texts)}
