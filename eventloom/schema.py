@@ -7,7 +7,7 @@ milliseconds.  A session table has ``id, created_at`` and optional columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,27 @@ def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def store_log(log: DataFrame, path: str, buckets: int = 256) -> None:
+    """The log as Parquet, in folders by the session's bucket, sorted by session and ``seq``.
+
+    Sorted files have narrow ranges of sessions, so a filter on ``session_id`` and
+    ``seq`` skips most row groups.
+    """
+    rows = log.withColumn("bucket", bucket_of(F.col("session_id"), buckets))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "session_id", "seq").write.partitionBy("bucket").parquet(path)
+
+
+def bucket_of(session_id: Column, buckets: int = 256) -> Column:
+    return F.pmod(F.xxhash64(session_id.cast("string")), F.lit(buckets)).cast("int")
+
+
+def stored_session(spark: SparkSession, path: str, session_id, buckets: int = 256) -> DataFrame:
+    """One session of a stored log: its bucket's folder, and filters that reach the scan."""
+    rows = spark.read.parquet(path)
+    kind = rows.schema["session_id"].dataType
+    return rows.where((F.col("bucket") == bucket_of(F.lit(session_id), buckets)) & (F.col("session_id") == F.lit(session_id).cast(kind))).drop("bucket")
+
+
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as search documents.
 

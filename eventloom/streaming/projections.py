@@ -78,27 +78,49 @@ def _step(projections: list[Projection], states: dict[str, tuple[int, Any]], eve
             yield p.key, p.view(new)
 
 
-def fold(log: DataFrame, projections: list[Projection], checkpoints: DataFrame | None = None) -> DataFrame:
+_HELD = "array<struct<key: string, seq: bigint, val: string>>"
+
+
+def _usable(checkpoints: DataFrame, versions: dict[str, int]) -> DataFrame:
+    """The checkpoints of current versions."""
+    test = F.lit(False)
+    for key, version in versions.items():
+        test = test | ((F.col("key") == key) & (F.col("ver") == version))
+    return checkpoints.where(test)
+
+
+def _unread(rows: DataFrame, checkpoints: DataFrame, ends: DataFrame, versions: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """What must be folded yet, with the states to go on from, and the checkpoints that hold already."""
+    known = _usable(checkpoints, versions).join(ends, "session_id").where("seq <= end")
+    held = known.groupBy("session_id", "end").agg(F.collect_list(F.struct("key", "seq", "val")).alias("held"), F.min("seq").alias("floor"), F.count(F.lit(1)).alias("n"))
+    whole = held.where(F.col("n") == len(versions))
+    least = whole.where("floor < end").agg(F.min("floor")).first()[0]
+    # A number, so that the scan itself leaves out what is older.
+    later = rows.where(F.col("seq") > (least if least is not None else F.lit(2**62))).join(whole.where("floor < end").select("session_id", "held", "floor"), "session_id").where("seq > floor").drop("floor")
+    done = whole.where("floor = end").select("session_id", F.explode("held").alias("c")).select("session_id", "c.key", "c.seq", "c.val")
+    fresh = ends.join(whole, "session_id", "left_anti").select("session_id").join(held.select("session_id", "held"), "session_id", "left")
+    if fresh.isEmpty():
+        return later, done
+    return later.unionByName(rows.join(fresh, "session_id")), done
+
+
+def fold(log: DataFrame, projections: list[Projection], checkpoints: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Checkpoints (``session_id, key, ver, seq, val``) after all rows of the log.
 
     With earlier ``checkpoints`` only the rows after the least usable one are
-    read for each session; a checkpoint of another version, or one beyond the
-    log's end, isn't usable and its projection is folded from the start.
+    folded for each session, and rows before the least of all are not read; a
+    checkpoint of another version, or one beyond the log's end, isn't usable and
+    its projection is folded from the start.  ``ends`` (``session_id, end``)
+    says where the logs end; without it two columns of the log are read for it.
     """
     rows = log.select(F.col("session_id").cast("string").alias("session_id"), *_EVENT[1:])
-    keys = [p.key for p in projections]
+    versions = {p.key: p.version for p in projections}
+    done = None
     if checkpoints is not None:
-        versions = {p.key: p.version for p in projections}
-        ends = rows.groupBy("session_id").agg(F.max("seq").alias("end"))
-        current = F.lit(False)
-        for key, version in versions.items():
-            current = current | ((F.col("key") == key) & (F.col("ver") == version))
-        usable = checkpoints.where(current).join(ends, "session_id").where("seq <= end")
-        held = usable.groupBy("session_id").agg(F.collect_list(F.struct("key", "seq", "val")).alias("held"), F.min("seq").alias("least"), F.count(F.lit(1)).alias("n"))
-        floor = F.when(F.col("n") == len(keys), F.col("least")).otherwise(-1)
-        rows = rows.join(held.select("session_id", "held", floor.alias("floor")), "session_id", "left").where("floor is null or seq > floor or seq = 0")
+        ends = rows.groupBy("session_id").agg(F.max("seq").alias("end")) if ends is None else ends.select(F.col("session_id").cast("string").alias("session_id"), "end")
+        rows, done = _unread(rows, checkpoints, ends, versions)
     else:
-        rows = rows.withColumn("held", F.lit(None).cast("array<struct<key: string, seq: bigint, val: string>>"))
+        rows = rows.withColumn("held", F.lit(None).cast(_HELD))
 
     def run(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states = None
@@ -114,7 +136,11 @@ def fold(log: DataFrame, projections: list[Projection], checkpoints: DataFrame |
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["session_id", "key", "ver", "seq", "val"])
 
-    return by_session(rows, run, CHECKPOINT)
+    folded = by_session(rows, run, CHECKPOINT)
+    if done is None:
+        return folded
+    number = F.coalesce(*(F.when(F.col("key") == key, version) for key, version in versions.items())).cast("int")
+    return folded.unionByName(done.select("session_id", "key", number.alias("ver"), "seq", "val"))
 
 
 def drive(log: DataFrame, projections: list[Projection]) -> DataFrame:
@@ -153,10 +179,7 @@ def restore_floor(versions: dict[str, int], checkpoints: dict[str, tuple[int, in
 
 def stale_view(checkpoints: DataFrame, versions: dict[str, int]) -> DataFrame:
     """What stored states show without the log: those of current versions, and the row they all include."""
-    test = F.lit(False)
-    for key, version in versions.items():
-        test = test | ((F.col("key") == key) & (F.col("ver") == version))
-    good = checkpoints.where(test)
+    good = _usable(checkpoints, versions)
     return good.groupBy("session_id").agg(F.min("seq").alias("as_of"), F.map_from_entries(F.collect_list(F.struct("key", "val"))).alias("values"))
 
 

@@ -222,3 +222,36 @@ def test_spans_of_ascii_texts_as_of_others(spark, phrase):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
     got = {r.id: r.n for r in rows.select("id", p.span_count(F.col("text"), phrase).alias("n")).collect()}
     assert got == {k: 0 if t is None else p.phrase_spans(p.fold(t), p.fold(phrase)) for k, t in enumerate(texts)} or got == {k: None if t is None else p.phrase_spans(p.fold(t), p.fold(phrase)) for k, t in enumerate(texts)}
+
+
+def test_fold_reads_only_what_no_checkpoint_holds(spark, tmp_path):
+    count = projections.Projection("count", 1, lambda: 0, lambda state, event: state + 1)
+    kinds = projections.Projection("kinds", 2, dict, lambda state, event: {**state, event["type"]: state.get(event["type"], 0) + 1})
+    rows = [(name, k, f"t{k % 3}", k, None) for name, n in (("a", 30), ("b", 20), ("c", 5), ("d", 9)) for k in range(n)]
+    log = spark.createDataFrame(rows, EVENTS)
+    whole = {(r.session_id, r.key): (r.ver, r.seq, json.loads(r.val)) for r in projections.fold(log, [count, kinds]).collect()}
+    assert whole["a", "count"] == (1, 29, 30) and whole["c", "kinds"] == (2, 4, {"t0": 2, "t1": 2, "t2": 1})
+    # a and b have both states, c is complete, d has one of an older version; b has one beyond its end.
+    held = projections.fold(log.where("session_id in ('a', 'b') and seq < 12 or session_id = 'c'"), [count, kinds])
+    old = projections.fold(log.where("session_id = 'd' and seq < 4"), [count]).withColumn("ver", F.lit(0))
+    beyond = spark.createDataFrame([("e", "count", 1, 99, "100")], projections.CHECKPOINT)
+    log.write.parquet(str(tmp_path / "log"))
+    stored = spark.read.parquet(str(tmp_path / "log"))
+    again = projections.fold(stored, [count, kinds], held.unionByName(old).unionByName(beyond))
+    assert {(r.session_id, r.key): (r.ver, r.seq, json.loads(r.val)) for r in again.collect()} == whole
+    ends = log.groupBy("session_id").agg(F.max("seq").alias("end"))
+    later = projections.fold(stored, [count, kinds], held.where("session_id <> 'c'"), ends.where("session_id in ('a', 'b')"))
+    assert {(r.session_id, r.key): (r.ver, r.seq, json.loads(r.val)) for r in later.collect()} == {k: v for k, v in whole.items() if k[0] in "ab"}
+    assert "GreaterThan(seq,11)" in later._jdf.queryExecution().toString()
+
+
+def test_stored_logs_are_filtered_in_the_scan(spark, tmp_path):
+    from eventloom.operators import windows
+    from eventloom.schema import store_log, stored_session
+
+    log = spark.createDataFrame([(f"s{k % 40}", k // 40, "x", k, None) for k in range(2000)], EVENTS)
+    store_log(log, str(tmp_path / "log"), 8)
+    found = windows.context(stored_session(spark, str(tmp_path / "log"), "s7", 8), "s7", 10, 2, 3)
+    assert sorted(r.seq for r in found.collect()) == list(range(8, 14))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(session_id,s7)" in plan and "GreaterThanOrEqual(seq,8)" in plan and "PartitionFilters: [isnotnull(bucket" in plan
