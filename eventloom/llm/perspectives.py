@@ -33,11 +33,17 @@ def rotate(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     system messages alone has no participant and no rendering.  Other columns
     are ignored.
 
+    ``<|`` in a text or a role is written ``< |``, so that neither can end a
+    message or begin another speaker's.
+
     Lengths are summed in two steps, within blocks of turns and over blocks, so
-    a long conversation is not sorted by one task.
+    a long conversation is not sorted by one task; messages of one turn, or
+    without a turn, are one block.  A very long text is a message of its own
+    length.
     """
+    plain = lambda c: F.replace(F.col(c).cast("string"), F.lit("<|"), F.lit("< |"))
     turns = conversations.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(plain(role_col), F.lit("unknown")).alias("role"), F.coalesce(plain(text_col), F.lit("")).alias("text")
     ).where(F.col("conv_id").isNotNull())
     is_system = F.col("role").isin(*system_roles)
     speakers = turns.where(~is_system).select("conv_id", F.col("role").alias("speaker")).distinct()

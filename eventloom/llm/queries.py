@@ -115,7 +115,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)""",
     "op4_perspective_rotation": """
-        WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        WITH turns AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
         speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
         heads AS (
             SELECT conv_id, speaker, turn, role, text, role = speaker AS own,

@@ -134,3 +134,13 @@ def test_odd_tables(odd, empty, docs):
 def test_discounts():
     assert katz.discounts(np.array([100, 40, 22, 15, 11, 9])).tolist() == pytest.approx([1.0, *katz.discounts(np.array([100, 40, 22, 15, 11, 9]))[1:]])
     assert katz.discounts(np.zeros(6)).tolist() == [1.0, 0.5, 0.75, 2.5 / 3, 0.875, 0.9]
+
+
+def test_words_of_equal_polynomials_are_told_apart(spark):
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate({97: 98, 98: 97})
+    other = one.translate({97: 98, 98: 97})
+    table = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_known for r in katz.score(table, F.col("doc_id") == 1, order=3).collect()}
+    assert got == {1: 2, 2: 1, 3: 2}
