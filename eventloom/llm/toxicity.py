@@ -8,6 +8,7 @@ falls below zero the model has begun to overfit, and the step is turned round.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import ALNUM, LOWER, Words, buffers, chunks, lists, mix, ragged, text_hashes
+from ._text import ALNUM, LOWER, Words, buffers, chunks, lists, ragged, text_hashes
 
 FEATURE_BITS = 20
 #: Bounds of the training sample, which goes to the driver as word hashes.
@@ -26,8 +27,6 @@ MAX_TOXIC, MAX_UNLABELLED = 4000, 16000
 #: from its share of all text by so many standard errors.
 MIN_TEXTS, MIN_ERRORS = 3, 5.0
 MEMBERS = 3
-#: A toxic text is a copy when so many of its least hashes are those of texts before it.
-SKETCH, COPY = 16, 13
 #: Bytes of a longer word that make a feature of their own.
 PREFIX = 4
 
@@ -74,24 +73,6 @@ def features_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[owner, owner[long]], (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def without_copies(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """The texts, given as sets of features, but for near copies of earlier ones: a copied text is one example.
-
-    Without this, any rare word of a text that was copied often looks toxic.
-    Texts without a feature are dropped.
-    """
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for features in texts:
-        if len(features):
-            least = mix(features.astype(np.uint64)[:, None] + (np.arange(1, SKETCH + 1, dtype=np.uint64) << np.uint64(32))).min(0)
-            keys = list(enumerate(least.tolist()))
-            if sum(key in seen for key in keys) < COPY:
-                out.append(features)
-            seen.update(keys)
-    return out
-
-
 def step_gradient(f: np.ndarray, copies: np.ndarray, share: np.ndarray, prior: float) -> np.ndarray:
     """The gradient of the non-negative risk by each text's logit ``f``.
 
@@ -107,20 +88,18 @@ def step_gradient(f: np.ndarray, copies: np.ndarray, share: np.ndarray, prior: f
     return -of_negative if negative < 0 else of_negative - prior * copies * (1 - p)
 
 
-def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 500, rate: float = 0.05, l1: float = 1e-4, seed: int = 7) -> Model:
+def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 100, rate: float = 0.05, l1: float = 1e-4, seed: int = 7) -> Model:
     """Fit ``MEMBERS`` linear models with the logistic loss, each on its own resample of the toxic texts."""
-    toxic = without_copies(toxic)
     if not toxic or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), prior if toxic else 0.0)
     flat = np.concatenate([*toxic, *unlabelled]).astype(np.int32)
     sizes = np.fromiter(map(len, [*toxic, *unlabelled]), np.int64, len(toxic) + len(unlabelled))
     owner, is_toxic = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.arange(len(sizes)) < len(toxic)
-    in_toxic = np.bincount(flat, is_toxic[owner], minlength=1 << FEATURE_BITS)
-    total = np.bincount(flat, minlength=1 << FEATURE_BITS)
-    in_rest = np.bincount(flat, ~is_toxic[owner], minlength=1 << FEATURE_BITS)
+    in_toxic = np.bincount(flat[is_toxic[owner]], minlength=1 << FEATURE_BITS)
+    in_rest = np.bincount(flat[~is_toxic[owner]], minlength=1 << FEATURE_BITS)
     # Words whose share of toxic texts differs from their share of all text.
     a, b = in_toxic / len(toxic), in_rest / len(unlabelled)
-    pooled = total / len(sizes)
+    pooled = (in_toxic + in_rest) / len(sizes)
     spread = np.sqrt(pooled * (1 - pooled) * (1 / len(toxic) + 1 / len(unlabelled)))
     features = np.flatnonzero((in_toxic >= MIN_TEXTS) & (np.abs(a - b) > MIN_ERRORS * spread))
     row = np.full(1 << FEATURE_BITS, -1, np.int32)
@@ -157,9 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     unlabelled text is any text, at most ``max_unlabelled``.  Both samples are
     the rows with the smallest hashes of their ids, so a rerun takes the same.
     Rows whose hash is surely too great, by the number of rows, go first: about
-    twice the sample is sorted, not the table.  Toxic texts that are near copies
-    count once.  The prior is the share of toxic labels among all labels of
-    these documents, unless given.
+    twice the sample is sorted, not the table.  The prior is the share of toxic
+    labels among all labels of these documents, unless given.
 
     Ids or labels that are null are not used; of several labels of an id the
     greatest counts.  Repeated rows of an id, where the id is chosen, are texts
@@ -196,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 if mark:
                     group.append(flat[at[k] : at[k + 1]])
     for group in groups:  # in an order that doesn't depend on the partitions
-        group.sort(key=lambda x: (len(x), x.tobytes()))
+        group.sort(key=lambda x: (zlib.crc32(x.tobytes()), x.tobytes()))
     return train(*groups, prior)
 
 

@@ -75,14 +75,6 @@ def test_step_against_differences_of_the_risk(shift):
     assert np.allclose(toxicity.step_gradient(f, copies, share, prior), steps, atol=1e-6)
 
 
-def test_copies_of_toxic_texts_count_once():
-    base = np.arange(100)
-    near = np.r_[np.arange(99), 500]
-    others = [np.arange(k, k + 60) for k in range(1000, 3000, 100)]
-    left = toxicity.without_copies([base, near, base, np.zeros(0, int), *others])
-    assert len(left) == 1 + len(others) and left[0] is base
-
-
 def test_sample_is_bounded_by_hash_first(spark):
     ids = spark.range(50_000)
     wanted = [r.id for r in ids.orderBy(F.xxhash64("id"), "id").limit(700).collect()]
