@@ -461,14 +461,15 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     return counts.chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, out)
 
 
-def count_tables(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The model's tables: ``part, id, word, count`` and ``part, history, word, count``.
+def count_tables(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, order: int = 2) -> list[DataFrame]:
+    """The model's tables: ``part, id, word, count``, then ``part, history, word, count`` for each order from 2 on.
 
-    ``word`` of the first is the word's hash; the second has ids of the first,
-    0 for what precedes a text.  Rows lie in the partitions that count them, so
-    ``write.partitionBy("part")`` stores them as they are.
+    ``word`` of the first is the word's hash, of the others its ``id``; the
+    ``history`` of a bigram is an id, 0 for what precedes a text, that of a
+    longer n-gram a hash.  Rows lie in the partitions that count them, and only
+    counts above 0 are there.
     """
-    counts = _counted(docs, train, id_col, text_col, chunk_bytes, 2)
+    counts = _counted(docs, train, id_col, text_col, chunk_bytes, order)
     parts = counts.parts
 
     def words_of(asked: pa.Table) -> pa.Table:
@@ -478,14 +479,18 @@ def count_tables(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text
         known = first[total[first] > 0]
         return _table("part id word count", [pa.array(np.full(len(known), part), pa.int32()), pa.array(rank[known] * parts + part + 1), pa.array(keys[known]), pa.array(total[known])])
 
-    def pairs_of(asked: pa.Table) -> pa.Table:
-        p, heads = _Grams(asked), _join(asked, "heads")
-        seen = np.flatnonzero(p.total > 0)
-        first = _distinct(p.at)[2]
+    def grams_of(asked: pa.Table) -> pa.Table:
+        g, heads = _Grams(asked), _join(asked, "heads")
+        seen = np.flatnonzero(g.total > 0)
+        first = _distinct(g.at)[2]
         history, word = np.repeat(heads, _join(asked, "degrees"))[first], _join(asked, "tails")[first]
-        return _table("part history word count", [pa.array(np.full(len(seen), asked.column("part")[0].as_py()), pa.int32()), pa.array(history[seen]), pa.array(word[seen]), pa.array(p.total[seen])])
+        return _table("part history word count", [pa.array(np.full(len(seen), asked.column("part")[0].as_py()), pa.int32()), pa.array(history[seen]), pa.array(word[seen]), pa.array(g.total[seen])])
+
+    words = counts.asked.groupBy("part").applyInArrow(words_of, "part int, id bigint, word bigint, count bigint")
+    return [words, *(level.groupBy("part").applyInArrow(grams_of, "part int, history bigint, word bigint, count bigint") for level in counts.grams)]
+
 
-    return (
-        counts.asked.groupBy("part").applyInArrow(words_of, "part int, id bigint, word bigint, count bigint"),
-        counts.grams[0].groupBy("part").applyInArrow(pairs_of, "part int, history bigint, word bigint, count bigint"),
-    )
+def store(docs: DataFrame, train: Column, path: str, **options) -> None:
+    """The model's tables as Parquet, ``order=1`` and so on, each in folders by ``part``, so that a history is in one."""
+    for order, rows in enumerate(count_tables(docs, train, **options), 1):
+        rows.write.partitionBy("part").parquet(f"{path}/order={order}")

@@ -108,13 +108,16 @@ def test_trigrams_in_odd_tables(odd, empty, docs):
     assert len(got) == 6 and all(math.isfinite(r.score) for r in got)
 
 
-def test_tables(docs, rows):
-    words, pairs = katz.count_tables(docs, F.col("doc_id") % 4 != 1, chunk_bytes=2000)
-    model = Model([tokens(t) for k, t in rows if k % 4 != 1])
-    assert sorted(r["count"] for r in words.collect()) == sorted(model.uni.values())
-    assert sorted(r["count"] for r in pairs.collect()) == sorted(model.pairs.values())
-    ids = {r.id for r in words.collect()} | {0}
-    assert len(ids) == len(model.uni) + 1 and all(r.history in ids and r.word in ids for r in pairs.collect())
+def test_tables(spark, docs, rows, tmp_path):
+    katz.store(docs, F.col("doc_id") % 4 != 1, str(tmp_path / "model"), chunk_bytes=2000, order=3)
+    words, pairs, triples = (spark.read.parquet(str(tmp_path / "model" / f"order={k}")).collect() for k in (1, 2, 3))
+    texts = [tokens(t) for k, t in rows if k % 4 != 1]
+    model = Backoff(texts, 3)
+    assert sorted(r["count"] for r in words) == sorted(model.low.uni.values())
+    assert sorted(r["count"] for r in pairs) == sorted(model.low.pairs.values())
+    assert sorted(r["count"] for r in triples) == sorted(c for f in model.after[2].values() for c in f.values())
+    ids = {r.id for r in words} | {0}
+    assert len(ids) == len(model.low.uni) + 1 and all(r.history in ids and r.word in ids for r in pairs) and all(r.word in ids for r in triples)
 
 
 def test_sums_to_one(rows):
