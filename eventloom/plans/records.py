@@ -360,7 +360,7 @@ def retained_messages(spark, sf_dir):
     return n.retained(rows, 100_000).select("session_id", "seq", F.length("text").cast("bigint").alias("bytes"))
 
 
-@query(f"SELECT session_id, sum(output) AS output FROM {_STEPS} GROUP BY session_id HAVING count(*) = count(DISTINCT turn * 8 + step)")
+@query(f"SELECT session_id, CAST(sum(output) AS BIGINT) AS output FROM {_STEPS} GROUP BY session_id HAVING count(*) = count(DISTINCT turn * 8 + step)")
 def without_duplicates(spark, sf_dir):
     """Lists of steps, in which nothing may stand twice."""
     steps = _steps(spark, sf_dir).groupBy("session_id").agg(F.collect_list(F.col("turn") * 8 + F.col("step")).alias("steps"), F.sum("output").alias("output"))
