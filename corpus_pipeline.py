@@ -87,20 +87,36 @@ ORACLE_SQL = None
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares; a temporary one where none is set, as in tests."""
+    """A new folder in the one that the cluster shares; a temporary one on one machine where none is set, as in tests."""
     context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if shared is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="pipeline-")
     return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each but the last is written and read again."""
-    folder = workspace(spark)
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a stage was written whole."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``; the result of each but the last is written and read again.
+
+    The stages go to a new folder, or to ``folder``: there a run that failed goes
+    on after the last stage that was written whole.  Use a folder for one input
+    only; the stages in it are the caller's to delete.
+    """
+    resumed, folder = folder is not None, folder or workspace(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            path = f"{folder}/{k}_{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+        path = f"{folder}/{k}_{name}"
+        if k == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        if not (resumed and _finished(spark, path)):
+            stage(spark, docs, sf_dir).write.mode("overwrite" if resumed else "errorifexists").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
