@@ -83,6 +83,30 @@ def test_near_duplicates_go_by_id_and_content(spark, world):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, a), (2, z), (None, a), (None, a), (3, None), (3, None), (4, " ")], key=repr)
 
 
+def test_a_failed_run_goes_on(spark, world, tmp_path, monkeypatch):
+    folder = str(tmp_path / "stages")
+    done = []
+
+    def watched(name, stage, fails=False):
+        def run(*args):
+            done.append(name)
+            if fails:
+                raise RuntimeError("lost")
+            return stage(*args)
+
+        return name, run
+
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(n, f, fails=n == "repeated_passages") for n, f in stages])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, world[0], folder)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(n, f) for n, f in stages])
+    again = corpus_pipeline.run(spark, world[0], folder)
+    assert done == ["toxicity", "near_duplicates", "repeated_passages", "repeated_passages", "decontamination", "encoding"]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert {r.doc_id for r in again.collect()} == {r.doc_id for r in corpus_pipeline.run(spark, world[0]).collect()}
+
+
 def test_encoding_round_trip(spark, world):
     coded = corpus_pipeline.encode(spark, spark.read.parquet(f"{world[0]}/documents.parquet"), world[0])
     table = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
