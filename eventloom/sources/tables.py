@@ -94,13 +94,22 @@ def key_values(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, required: tuple[str, ...], id_col: str) -> DataFrame:
-    """Cases of a JSON array; a missing required field raises an error, the last of equal ids holds."""
-    rows = spark.read.option("multiLine", True).json(path)
-    if missing := set(required) - set(rows.columns):
-        raise ValueError(f"no case has {sorted(missing)}")
-    for c in required:
-        rows = rows.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(f"a case has no {c}")))
-    return rows.dropDuplicates([id_col])
+    """``id_col``, the required fields and ``case`` (its JSON) of the cases of a JSON array.
+
+    A byte order mark is skipped.  What isn't an array, or a case without one of
+    the fields, raises an error; of equal ids the last holds.
+    """
+    text = F.regexp_replace("value", "^\ufeff", "")
+    cases = F.from_json(text, "array<string>")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.when(cases.isNotNull(), cases).otherwise(F.raise_error("the manifest isn't an array"))).alias("place", "case"))
+
+    def field(name: str) -> Column:
+        value = F.get_json_object("case", f"$.{name}")
+        return F.when(value.isNotNull(), value).otherwise(F.raise_error(f"a case has no {name}")).alias(name)
+
+    names = list(dict.fromkeys((id_col, *required)))
+    found = rows.select("place", "case", *(field(c) for c in names))
+    return found.groupBy(id_col).agg(F.max_by(F.struct(*(c for c in names if c != id_col), "case"), "place").alias("_last")).select(id_col, "_last.*")
 
 
 def grep(files: DataFrame, pattern: str) -> DataFrame:

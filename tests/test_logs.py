@@ -255,3 +255,22 @@ def test_stored_logs_are_filtered_in_the_scan(spark, tmp_path):
     assert sorted(r.seq for r in found.collect()) == list(range(8, 14))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(session_id,s7)" in plan and "GreaterThanOrEqual(seq,8)" in plan and "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_manifest(spark, tmp_path):
+    path = tmp_path / "cases.json"
+    path.write_text("\ufeff" + json.dumps([{"id": "a", "repo": "r", "n": 1}, {"id": "b", "repo": "s"}, {"id": "a", "repo": "t"}]))
+    got = tables.manifest(spark, str(path), ("repo",), "id").collect()
+    assert {(r.id, r.repo) for r in got} == {("a", "t"), ("b", "s")} and json.loads(got[0].case)["id"] == got[0].id
+    for bad, error in (([{"id": "a"}], "no repo"), ({"id": "a"}, "array")):
+        path.write_text(json.dumps(bad))
+        with pytest.raises(Exception, match=error):
+            tables.manifest(spark, str(path), ("repo",), "id").collect()
+
+
+def test_orders(spark):
+    rows = spark.createDataFrame([("b", 5, 9), ("a", 5, 7), ("-c", 8, None), ("_d", 5, None)], "id string, updated_at int, target int")
+    assert [r.id for r in ordering.by_recency(rows).collect()] == ["-c", "_d", "a", "b"]
+    from eventloom.streaming.schedules import due_order
+
+    assert [r.id for r in due_order(rows.where("target is not null").withColumn("position", F.lit(0))).collect()] == ["a", "b"]
