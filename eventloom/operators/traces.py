@@ -52,16 +52,16 @@ def ancestors(sessions: DataFrame, target) -> DataFrame:
 
     Only the target's own line is walked: a lookup of one row a round.
     """
-    rows = sessions.select("id", "parent")
-    there, found, child = rows.select("id"), [], target
-    while True:
-        up = rows.where(F.col("id") == child).where("parent is not null").select(F.col("parent").alias("id")).join(there, "id", "left_semi").first()
-        if up is None:
-            break
-        if up.id == target or up.id in found:
+    def of(name):
+        return sessions.where(F.col("id") == name).select("parent").first()
+
+    found, row = [], of(target)
+    while row is not None and row.parent is not None:
+        up, row = row.parent, of(row.parent)
+        if up == target or up in found:
             raise ValueError("the sessions form a cycle")
-        found.append(up.id)
-        child = up.id
+        if row is not None:
+            found.append(up)
     kind = sessions.schema["id"].dataType.simpleString()
     return sessions.sparkSession.createDataFrame([(name, k) for k, name in enumerate(found, 1)], f"ancestor {kind}, depth int")
 

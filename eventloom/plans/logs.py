@@ -135,11 +135,20 @@ def torn_tail_cut(spark, sf_dir):
     return jsonl.cut_tail(rows).select(F.col("path").alias("session_id"), "seq", "type")
 
 
-@query(f"SELECT session_id, count(*) AS rows, max(seq) AS seq FROM {_LOG} GROUP BY session_id")
+def _seen(state, event):
+    """How many rows, and the last of each type."""
+    return {"rows": state["rows"] + 1, "last": {**state["last"], event["type"]: event["seq"]}}
+
+
+@query(f"SELECT session_id, count(*) AS rows, max(seq) FILTER (WHERE type = 'view') AS view, max(seq) FILTER (WHERE type = 'click') AS click, max(seq) AS seq FROM {_LOG} GROUP BY session_id")
 def projection_fold(spark, sf_dir):
-    """A counting projection over whole logs."""
-    count = projections.Projection("count", 1, lambda: 0, lambda state, event: state + 1)
-    return projections.fold(session_events(spark, sf_dir), [count]).select("session_id", F.col("val").cast("bigint").alias("rows"), "seq")
+    """Whole logs, folded on from checkpoints after their tenth row; those of even sessions are of an older version."""
+    seen = projections.Projection("seen", 2, lambda: {"rows": 0, "last": {}}, _seen)
+    log = session_events(spark, sf_dir)
+    version = F.when(F.col("session_id").cast("bigint") % 2 == 0, 1).otherwise(2)
+    held = projections.fold(log.where("seq < 10"), [seen]).withColumn("ver", version)
+    state = F.from_json("val", "rows bigint, last map<string, bigint>")
+    return projections.fold(log, [seen], held).select("session_id", state["rows"].alias("rows"), state["last"]["view"].alias("view"), state["last"]["click"].alias("click"), "seq")
 
 
 @query(f"SELECT type AS id, count(*) AS n, max(time) AS due FROM {_LOG} WHERE time <= 1704200000000 GROUP BY type")
@@ -197,6 +206,17 @@ def replacement_chain(spark, sf_dir):
     return chains.select("session_id", "seq", F.array_join(F.col("chain").cast("array<string>"), ",").alias("chain"))
 
 
+@query(f"SELECT CAST(a.session_id AS VARCHAR) AS session_id, a.seq, string_agg(CAST(b.seq AS VARCHAR), ',' ORDER BY b.seq) AS chain FROM {_CONV.removesuffix(' c')} a JOIN {_CONV.removesuffix(' c')} b ON a.session_id = b.session_id AND b.seq > a.seq GROUP BY ALL")
+def long_chains(spark, sf_dir):
+    """Conversations of which every row replaces the one before."""
+    log = conversation_log(spark, sf_dir)
+    later = F.col("seq") > 0
+    op = F.struct(F.when(later, "replace").otherwise("append").alias("op"), F.when(later, F.col("seq") - 1).alias("start"), F.when(later, F.col("seq") - 1).alias("end"))
+    log = log.withColumn("source_event_seqs", F.when(later, F.array(F.col("seq") - 1))).withColumn("surface_op", op).withColumn("session_id", F.col("session_id").cast("string"))
+    chains = traces.replacement_chains(surface.fold(log))
+    return chains.select("session_id", "seq", F.array_join(F.col("chain").cast("array<string>"), ",").alias("chain"))
+
+
 @query(f"SELECT session_id, seq, replace(data, ' ', '') AS data FROM {_LOG}")
 def canonical_json(spark, sf_dir):
     return session_events(spark, sf_dir).select("session_id", "seq", p.column(p.canonical, "string")(F.col("data")).alias("data"))

@@ -71,13 +71,11 @@ def title_attach(spark, sf_dir):
     return j.with_titles(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id")), titles)
 
 
-@query(
-    """SELECT id, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source, rank) AS n FROM (
-        SELECT doc_id AS id, 0 AS source, n_chars AS rank FROM documents WHERE n_chars > 1000 UNION ALL SELECT doc_id, 1, n_chars FROM documents WHERE lang = 'en')) WHERE n = 1"""
-)
+@query("SELECT doc_id AS id, CAST(CASE WHEN quality IS NULL THEN 1 ELSE 0 END AS INTEGER) AS source, coalesce(CAST(quality AS BIGINT), n_chars) AS rank FROM documents FULL JOIN labels USING (doc_id)")
 def merge_first_wins(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("rank"), "lang")
-    return j.merge_results(docs.where("rank > 1000").drop("lang"), docs.where("lang = 'en'").drop("lang")).select("id", "source", "rank")
+    """Labels before documents, each id once."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("bigint").alias("rank"))
+    return j.merge_results(labels, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("rank"))).select("id", "source", "rank")
 
 
 @query("SELECT source, lang, min(doc_id) AS position FROM documents GROUP BY source, lang")
