@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, katz, minhash_join, perspectives, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import bpe, decontaminate, importance, katz, minhash_join, perspectives, quality, quality_classifier, substring_dedup, suffix_dedup, token_counts, toxicity
+from ._graph import cut
 from ._text import narrow_batches
 
 
 TOXIC_AT = 0.3
+GOOD_AT = 0.3
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -92,7 +94,22 @@ def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op5_katz_backoff, op6_nnpu, op7_rabin_karp, op8_sparse_suffix_array, op9_byte_bpe, op10_bayes_minhash)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of each document, a quarter of the longer ones drawn towards ``benchmark``."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learnt from all labelled rows that are not held out."""
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))
+    # Statistics are a twentieth of the texts; they are read by the fit and by the scores.
+    measured = cut(quality_classifier.measure(table(spark, sf_dir, "documents")))
+    model = quality_classifier.fit(measured.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(measured, model)
+    return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op5_katz_backoff, op6_nnpu, op7_rabin_karp, op8_sparse_suffix_array, op9_byte_bpe, op10_bayes_minhash, op11_importance_resampling, op13_fourier_quality)}
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
