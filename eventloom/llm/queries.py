@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, importance, katz, minhash_join, perspectives, quality, quality_classifier, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import bpe, conversation_repair, decontaminate, importance, katz, minhash_join, perspectives, quality, quality_classifier, substring_dedup, suffix_dedup, token_counts, toxicity
 from ._graph import cut
 from ._text import narrow_batches
 
@@ -99,6 +99,35 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with faults planted by a checksum of ``conv_id:turn``; nulls are one space."""
+    space = F.lit(" ")
+    fault = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))) % 20
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), fault.alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of each damaged conversation, the cost and audit string of its repair, and a digest of the repaired rows.
+
+    The digest takes a conversation's repaired text into one row.
+    """
+    conversations = table(spark, sf_dir, "conversations")
+    edits = conversation_repair.repair(damaged(conversations))
+    line = F.when(F.col("new_role").isNotNull(), F.concat_ws(":", "new_role", "text")).alias("line")
+    rows = edits.select("conv_id", "turn", "fault", "illegal", "cost", F.struct("block", "place", "edit", line).alias("row"))
+    # Conversations of which no row is left are there by their ids.
+    ids = conversations.select("conv_id").distinct().select("conv_id", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:]))
+    turns = F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")
+    counted = [F.count_if(F.col("fault") == f).alias(f) for f in ("blank", "duplicate", "truncated")]
+    grouped = rows.unionByName(ids).groupBy("conv_id").agg(F.coalesce(turns, F.lit(0)).cast("bigint").alias("gaps"), *counted, F.count_if("illegal").alias("illegal"), F.coalesce(F.sum("cost"), F.lit(0)).cast("bigint").alias("cost"), F.array_sort(F.collect_list("row")).alias("rows"))
+    lines = F.filter(F.transform("rows", lambda r: r["line"]), lambda x: x.isNotNull())
+    return grouped.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", F.array_join(F.transform("rows", lambda r: r["edit"]), "").alias("audit"), F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+
+
 def op13_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document, learnt from all labelled rows that are not held out."""
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))
@@ -109,7 +138,7 @@ def op13_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op5_katz_backoff, op6_nnpu, op7_rabin_karp, op8_sparse_suffix_array, op9_byte_bpe, op10_bayes_minhash, op11_importance_resampling, op13_fourier_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wu_manber, op2_rank_merge, op3_compression_bands, op4_perspective_rotation, op5_katz_backoff, op6_nnpu, op7_rabin_karp, op8_sparse_suffix_array, op9_byte_bpe, op10_bayes_minhash, op11_importance_resampling, op12_viterbi_repair, op13_fourier_quality)}
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
