@@ -32,6 +32,9 @@ CONTRACT = {
     "op8_sparse_suffix_array": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op9_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op10_bayes_minhash": "doc_id bigint, class_id bigint, n_links bigint",
+    "op11_importance_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op12_viterbi_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op13_fourier_quality": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 
 
@@ -165,6 +168,34 @@ def test_toxicity_ignores_labels_of_held_out_rows(spark, tmp_path):
     assert flipped == pytest.approx({k: r.score for k, r in rows_of(spark, "op6_nnpu").items()})
 
 
+def test_importance_ranks(spark, duck, texts):
+    from test_importance import brute
+
+    got = {k: (r.n_features, r.weight, r.score, r.rank) for k, r in rows_of(spark, "op11_importance_resampling").items()}
+    assert got == brute(texts, [t for (t,) in duck.sql("SELECT text FROM benchmark").fetchall()])
+
+
+def test_quality_scores(spark, duck, texts):
+    got, marks = rows_of(spark, "op13_fourier_quality"), dict(duck.sql("SELECT doc_id, quality FROM labels").fetchall())
+    assert got.keys() == texts.keys()
+    for k, r in got.items():
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
+    right = [r.predicted == marks[k] for k, r in got.items() if k in marks and r.held_out]
+    assert np.mean(right) > 0.9
+
+
+def test_quality_ignores_labels_of_held_out_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for name in ("documents", "labels"):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        if name == "labels":
+            rows = rows.withColumn("quality", F.when(queries.fold("doc_id", 5) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    flipped = {r.doc_id: r.score for r in queries.QUERIES["op13_fourier_quality"](spark, str(tmp_path)).collect()}
+    assert flipped == {k: r.score for k, r in rows_of(spark, "op13_fourier_quality").items()}
+
+
 def test_byte_pairs(spark, texts):
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
