@@ -6,24 +6,17 @@ the rows that are still walking; cycles are found by the rows they come back to.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import shared_folder
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, written to the cluster's checkpoint folder.
 
-    Only on one machine, where none is set, a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, written to the cluster's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import logs, metrics, ordering, records, retrieval, scalars, search, traces, wording  # noqa: F401
+    from . import logs, metrics, ordering, records, retrieval, scalars, search, stored, traces, wording  # noqa: F401
