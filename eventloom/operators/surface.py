@@ -2,7 +2,7 @@
 
 Rows are appended to a list or replace a range of it, by the numbers of the
 range's first and last row.  Positions move, so no window can say it; each
-session is folded in order inside one task.
+session is folded in order inside one task, long ones in blocks by many tasks.
 """
 
 from __future__ import annotations
@@ -13,9 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import shared_folder
 from ..ordered import by_session
 from ..schema import SURFACE_TYPES
+from . import surface_blocks as blocks
 
+#: Sessions of more rows are folded in blocks of so many.
+BLOCK_ROWS = 20_000
 #: Rows of a batch of the result.
 _OUT_ROWS = 10_000
 
@@ -84,17 +88,33 @@ class Surface:
 FOLDED = "session_id string, seq bigint, surface string, position bigint, replaced_by bigint, error string"
 
 
-def fold(log: DataFrame, strict: bool = True) -> DataFrame:
+def fold(log: DataFrame, strict: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``session_id, seq, surface, position, replaced_by, error`` of every row.
 
     ``surface`` is current, shadowed or log-only; ``position`` is the place among
     the current rows.  A session that can't be folded raises an error, or, when
-    not ``strict``, has it in ``error`` and null states.  A session is one
-    task's work, which holds three numbers or fewer a row; sessions are spread
-    over tasks.
+    not ``strict``, has it in ``error`` and null states.  A session of up to
+    ``block_rows`` rows is one task's work, which holds three numbers or fewer a
+    row.  A longer one is folded in blocks of so many rows by as many tasks, with
+    the same result; only one that can't be folded goes row by row, to say why.
     """
     rows = log.select(F.col("session_id").cast("string").alias("session_id"), "seq", "type", "surface_op.op", "surface_op.start", "surface_op.end", "source_event_seqs")
-
+    long = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("session_id")
+    if long.isEmpty():
+        return _row_by_row(rows, strict)
+    shared_folder(rows.sparkSession)
+    in_blocks = rows.join(long, "session_id", "left_semi")
+    folded = blocks.fold_blocks(in_blocks, block_rows).checkpoint()
+    faulty = folded.where("fault").select("session_id").union(blocks.uncited(folded, in_blocks)).distinct()
+    one_by_one = rows.join(long, "session_id", "left_anti")
+    if not faulty.isEmpty():
+        one_by_one = one_by_one.unionByName(rows.join(faulty, "session_id", "left_semi"))
+        folded = folded.join(faulty, "session_id", "left_anti")
+    found = blocks.positioned(folded).select("session_id", "seq", "surface", "position", "replaced_by", F.lit(None).cast("string").alias("error"))
+    return _row_by_row(one_by_one, strict).unionByName(found)
+
+
+def _row_by_row(rows: DataFrame, strict: bool) -> DataFrame:
     def out(name: str, seqs: list[int], state: list[str | None], place: list[int | None], by: list[int | None], error: str | None) -> pa.RecordBatch:
         columns = [pa.array([name] * len(seqs), pa.string()), pa.array(seqs, pa.int64()), pa.array(state, pa.string()), pa.array(place, pa.int64()), pa.array(by, pa.int64()), pa.array([error] * len(seqs), pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=["session_id", "seq", "surface", "position", "replaced_by", "error"])
