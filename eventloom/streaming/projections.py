@@ -13,11 +13,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..ordered import by_session
 
@@ -64,18 +62,15 @@ CHANGE = "session_id string, key string, seq bigint, value string"
 _EVENT = ["session_id", "seq", "type", "time", "data"]
 
 
-def _step(projections: list[Projection], states: dict[str, tuple[int, Any]], event: dict) -> Iterator[tuple[str, Any]]:
-    """Apply one event where it is due; yields the projections whose state changed."""
+def _step(projections: list[Projection], states: dict[str, tuple[int, Any]], event: dict) -> None:
+    """Apply one event where it is due."""
     for p in projections:
         seen, state = states[p.key]
         if event["seq"] <= seen:
             continue
         if event["seq"] != seen + 1:
             raise ValueError(f"session {event['session_id']}: row {event['seq']} after {seen}")
-        new = p.apply(state, event)
-        states[p.key] = (event["seq"], new)
-        if new != state:
-            yield p.key, p.view(new)
+        states[p.key] = (event["seq"], p.apply(state, event))
 
 
 _HELD = "array<struct<key: string, seq: bigint, val: string>>"
@@ -130,8 +125,7 @@ def fold(log: DataFrame, projections: list[Projection], checkpoints: DataFrame |
                 for c in batch.column("held")[0].as_py() or []:
                     states[c["key"]] = (int(c["seq"]), json.loads(c["val"]))
             for event in batch.select(_EVENT).to_pylist():
-                for _ in _step(projections, states, event):
-                    pass
+                _step(projections, states, event)
         rows = [(name, p.key, p.version, states[p.key][0], json.dumps(states[p.key][1])) for p in projections]
         kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["session_id", "key", "ver", "seq", "val"])
@@ -143,25 +137,11 @@ def fold(log: DataFrame, projections: list[Projection], checkpoints: DataFrame |
     return folded.unionByName(done.select("session_id", "key", number.alias("ver"), "seq", "val"))
 
 
-def drive(log: DataFrame, projections: list[Projection]) -> DataFrame:
-    """A stream of changes (``session_id, key, seq, value``) from a stream of rows.
+def drive(log: DataFrame, projections: list[Projection], initial: DataFrame | None = None) -> DataFrame:
+    """A stream of changes (``session_id, key, seq, value``) from a stream of rows: see ``live.live``."""
+    from .live import live
 
-    Rows of one session may come in any number of batches, each in order.  The
-    state of a session lives in Spark's state store.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        states = {p.key: (held[p.key][1], held[p.key][2]) if p.key in held and held[p.key][0] == p.version else (-1, p.init()) for p in projections}
-        out = []
-        events = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        for event in events[_EVENT].to_dict("records"):
-            out += [(key[0], k, event["seq"], json.dumps(v)) for k, v in _step(projections, states, event)]
-        state.update((json.dumps({p.key: [p.version, *states[p.key]] for p in projections}),))
-        yield pd.DataFrame(out, columns=["session_id", "key", "seq", "value"])
-
-    rows = log.select(F.col("session_id").cast("string").alias("session_id"), *_EVENT[1:])
-    return rows.groupBy("session_id").applyInPandasWithState(run, CHANGE, "states string", "append", GroupStateTimeout.NoTimeout)
+    return live(log, projections, initial).where("kind = 'change'").select("session_id", "key", "seq", "value")
 
 
 def latest_values(changes: DataFrame) -> DataFrame:
