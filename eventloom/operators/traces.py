@@ -1,12 +1,14 @@
 """Lineage: parents, descendants, replacement chains and rollups, by joins in rounds.
 
-A walk goes on for as many rounds as the tree is deep.  Each round is a join of
-the rows that are still walking; cycles are found by the rows they come back to.
+Where every row has one link at most, links are doubled: after k rounds a row
+knows what lies 2^k links ahead, so a line of d links takes log d rounds.  Rows
+that still have a link after as many steps as there are rows are on a cycle.
+Other walks take a round a level.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,23 +42,49 @@ def ancestor_pairs(sessions: DataFrame, id_col: str = "id", parent_col: str = "p
     return total
 
 
+def _linked(rows: DataFrame) -> DataFrame:
+    """``rows`` (``id, parent, ...``) with ``jump``: the parent, where the table has it."""
+    there = rows.select(F.col("id").alias("parent"), F.col("id").alias("jump"))
+    above = rows.where("parent is not null").join(there, "parent", "left")
+    return above.unionByName(rows.where("parent is null").withColumn("jump", F.lit(None).cast(rows.schema["id"].dataType)))
+
+
+def _doubling(state: DataFrame, step: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
+    """``state`` (with ``jump``) after rounds of ``step``, until no row has a jump or they reach over ``most`` links.
+
+    A jump over more links than there are rows is on a cycle: an error without ``most``.
+    """
+    state, reach = _kept(state), 1
+    rows, left = state.agg(F.count(F.lit(1)), F.count("jump")).first()
+    while left and (most is None or reach <= most):
+        if reach > rows:
+            if most is None:
+                raise ValueError("the sessions form a cycle")
+            break
+        state, reach = _kept(step(state)), 2 * reach
+        left = state.agg(F.count("jump")).first()[0]
+    return state
+
+
 def ancestors(sessions: DataFrame, target) -> DataFrame:
     """The ancestors of one session, nearest first.
 
-    Only the target's own line is walked: a lookup of one row a round.
+    Links are doubled for all sessions while the found ancestors look further: in
+    round k each of them finds the one 2^k links above it.
     """
-    def of(name):
-        return sessions.where(F.col("id") == name).select("parent").first()
-
-    found, row = [], of(target)
-    while row is not None and row.parent is not None:
-        up, row = row.parent, of(row.parent)
-        if up == target or up in found:
+    kind = sessions.schema["id"].dataType
+    found = sessions.where(F.col("id") == F.lit(target).cast(kind)).select(F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    links = _kept(_linked(sessions.select("id", "parent")).where("jump is not null").select("id", "jump"))
+    rows, reach = links.count(), 1
+    while True:
+        further = found.join(links.withColumnRenamed("id", "ancestor"), "ancestor").select(F.col("jump").alias("ancestor"), (F.col("depth") + reach).alias("depth"))
+        found, before = _kept(found.unionByName(further)), found
+        if found.count() == before.count():
+            break
+        if reach > rows:
             raise ValueError("the sessions form a cycle")
-        if row is not None:
-            found.append(up)
-    kind = sessions.schema["id"].dataType.simpleString()
-    return sessions.sparkSession.createDataFrame([(name, k) for k, name in enumerate(found, 1)], f"ancestor {kind}, depth int")
+        links, reach = _kept(links.join(links.select(F.col("id").alias("jump"), F.col("jump").alias("far")), "jump").select("id", F.col("far").alias("jump"))), 2 * reach
+    return found.where("depth > 0").orderBy("depth")
 
 
 def descendants(sessions: DataFrame, target, order: Column | None = None) -> DataFrame:
@@ -79,27 +107,24 @@ def descendants(sessions: DataFrame, target, order: Column | None = None) -> Dat
 def rollup(sessions: DataFrame, running: Column) -> DataFrame:
     """For each session: how many descendants it has, and how many of them run.
 
-    Counts go up a level at a time, from the deepest: a row a session and level,
-    not one for each session and ancestor.
+    With sums over all descendants fewer than 2^k links below, those of 2^k and more
+    are the sums of the sessions exactly 2^k links below: added up by session, with
+    partial sums first, so neither a deep tree nor a session with very many
+    children is one task's work.
     """
-    rows = sessions.select("id", F.col("parent"), running.cast("bigint").alias("runs"))
-    there = rows.select(F.col("id").alias("parent"))
-    level = _kept(rows.join(there, "parent", "left_anti").select("id", "parent", "runs"))
-    inner, levels = rows.join(there, "parent", "left_semi").select("id", "parent", "runs"), [level]
-    while True:
-        level = _kept(inner.join(level.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent", "runs"))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    placed = reduce(DataFrame.unionByName, levels)
-    if not inner.join(placed.select("id"), "id", "left_anti").isEmpty():
-        raise ValueError("the sessions form a cycle")
-    done, below = [], None
-    for level in reversed(levels):
-        sums = level.withColumns({"descendants": F.lit(0).cast("bigint"), "running": F.lit(0).cast("bigint")}) if below is None else _kept(level.join(below, "id", "left").fillna(0, ["descendants", "running"]))
-        done.append(sums.select("id", "descendants", "running"))
-        below = sums.groupBy(F.col("parent").alias("id")).agg(F.sum(F.col("descendants") + 1).alias("descendants"), F.sum(F.col("running") + F.coalesce("runs", F.lit(0))).alias("running"))
-    return reduce(DataFrame.unionByName, done)
+    own = F.coalesce(running.cast("bigint"), F.lit(0)).alias("own")
+    rows = sessions.select("id", "parent", own).withColumns({"descendants": F.lit(1).cast("bigint"), "running": F.col("own")})
+
+    def step(state: DataFrame) -> DataFrame:
+        live = state.where("jump is not null")
+        sums = live.groupBy(F.col("jump").alias("id")).agg(F.sum("descendants").alias("_d"), F.sum("running").alias("_r"))
+        far = live.select(F.col("id").alias("jump"), F.col("jump").alias("_far"))
+        moved = live.join(far, "jump", "left").withColumn("jump", F.col("_far")).drop("_far")
+        new = moved.unionByName(state.where("jump is null")).join(sums, "id", "left")
+        return new.select("id", "own", "jump", (F.col("descendants") + F.coalesce("_d", F.lit(0))).alias("descendants"), (F.col("running") + F.coalesce("_r", F.lit(0))).alias("running"))
+
+    summed = _doubling(_linked(rows).drop("parent"), step)
+    return summed.select("id", (F.col("descendants") - 1).alias("descendants"), (F.col("running") - F.col("own")).alias("running"))
 
 
 def roots(sessions: DataFrame) -> DataFrame:
@@ -109,16 +134,19 @@ def roots(sessions: DataFrame) -> DataFrame:
 
 
 def replacement_chains(folded: DataFrame) -> DataFrame:
-    """``session_id, seq, chain``: the rows that replaced a row, one after another."""
-    links = _kept(folded.where("replaced_by is not null").select("session_id", "seq", F.col("replaced_by").alias("next")))
-    step = links.select("session_id", "seq", F.array("next").alias("chain"), "next")
-    done = None
-    while not step.isEmpty():
-        on = step.join(links.select("session_id", F.col("seq").alias("next"), F.col("next").alias("_after")), ["session_id", "next"], "left")
-        ended = on.where("_after is null").select("session_id", "seq", "chain")
-        done = ended if done is None else done.unionByName(ended)
-        step = _kept(on.where("_after is not null").select("session_id", "seq", F.concat("chain", F.array("_after")).alias("chain"), F.col("_after").alias("next")))
-    return links.select("session_id", "seq", F.array().cast("array<bigint>").alias("chain")).limit(0) if done is None else done
+    """``session_id, seq, chain``: the rows that replaced a row, one after another.
+
+    A row's chain so far grows by that of the row it has reached.
+    """
+    rows = folded.where("replaced_by is not null").select("session_id", F.struct("session_id", "seq").alias("id"), F.struct("session_id", F.col("replaced_by").alias("seq")).alias("jump"), F.array("replaced_by").alias("chain"))
+
+    def step(state: DataFrame) -> DataFrame:
+        live = state.where("jump is not null")
+        far = state.select(F.col("id").alias("jump"), F.col("jump").alias("_far"), F.col("chain").alias("_chain"))
+        moved = live.join(far, "jump", "left").select("session_id", "id", F.col("_far").alias("jump"), F.concat("chain", F.coalesce("_chain", F.array().cast("array<bigint>"))).alias("chain"))
+        return moved.unionByName(state.where("jump is null"))
+
+    return _doubling(rows, step).select("session_id", "id.seq", "chain")
 
 
 def derived(log: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .traces import _kept
+from .traces import _doubling, _linked
 
 MAX_DEPTH = 256
 
@@ -13,22 +13,23 @@ MAX_DEPTH = 256
 def flatten(nodes: DataFrame, order: Column, id_col: str = "id", parent_col: str = "parent", max_depth: int = MAX_DEPTH) -> DataFrame:
     """Every node with ``root, depth`` and a ``path`` that sorts rows in pre-order.
 
-    Nodes without a parent in the table are roots, and so are members of cycles,
-    which no root leads to.  Walks stop at ``max_depth``; deeper nodes count as roots.
+    Nodes without a parent in the table are roots, and so are members of cycles and
+    what hangs on them, which no root leads to.  Walks stop at ``max_depth``; deeper
+    nodes count as roots.  Paths double in each round.
     """
-    rows = nodes.withColumn("_id", F.col(id_col)).withColumn("_up", F.col(parent_col)).withColumn("_place", F.struct(order, F.col(id_col)))
-    there = rows.select(F.col("_id").alias("_up"))
-    inner = rows.join(there, "_up", "left_semi")
-    level = rows.join(there, "_up", "left_anti").select("_id", F.col("_id").alias("root"), F.lit(0).alias("depth"), F.array("_place").alias("path"))
-    total, depth = level, 0
-    while depth < max_depth:
-        up = level.select(F.col("_id").alias("_up"), "root", (F.col("depth") + 1).alias("depth"), F.col("path").alias("_path"))
-        level = _kept(inner.join(up, "_up").select("_id", "root", "depth", F.concat("_path", F.array("_place")).alias("path")))
-        if level.isEmpty():
-            break
-        total, depth = total.unionByName(level), depth + 1
-    lost = rows.join(total.select("_id"), "_id", "left_anti").select("_id", F.col("_id").alias("root"), F.lit(0).alias("depth"), F.array("_place").alias("path"))
-    return nodes.join(total.unionByName(lost).withColumnRenamed("_id", id_col), id_col)
+    rows = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.array(F.struct(order, F.col(id_col))).alias("path"))
+    start = _linked(rows).select("id", "jump", F.coalesce("jump", "id").alias("root"), F.when(F.col("jump").isNotNull(), 1).otherwise(0).alias("depth"), "path")
+
+    def step(state: DataFrame) -> DataFrame:
+        live = state.where("jump is not null")
+        up = state.select(F.col("id").alias("jump"), F.col("jump").alias("_far"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        moved = live.join(up, "jump").select("id", F.col("_far").alias("jump"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", "path").alias("path"))
+        return moved.unionByName(state.where("jump is null"))
+
+    placed = _doubling(start, step, max_depth)
+    lost = F.col("jump").isNotNull() | (F.col("depth") > max_depth)
+    flat = placed.select(F.col("id").alias(id_col), F.when(lost, F.col("id")).otherwise(F.col("root")).alias("root"), F.when(lost, 0).otherwise(F.col("depth")).alias("depth"), F.when(lost, F.slice("path", -1, 1)).otherwise(F.col("path")).alias("path"))
+    return nodes.join(flat, id_col)
 
 
 def of_origin(flat: DataFrame, root, origin: str) -> DataFrame:
