@@ -85,7 +85,10 @@ def phrase_spans(tokens: list[str], phrase: list[str]) -> int:
 
 
 def fuzzy_score(query: str, name: str) -> int | None:
-    """Best score of the query as a subsequence: beginnings of words +8, neighbours +4, gaps and lead cost 1."""
+    """Best score of the query as a subsequence: a character 1, beginnings of words 8 more, neighbours 4, gaps and lead cost 1.
+
+    A word begins at the start of the name and after ``-`` or ``_``.
+    """
     query, low = query.lower(), name.lower()
     best: dict[int, int] = {}
     for k, c in enumerate(query):
@@ -93,7 +96,7 @@ def fuzzy_score(query: str, name: str) -> int | None:
         for i, x in enumerate(low):
             if x != c:
                 continue
-            own = 8 if i == 0 or not low[i - 1].isalnum() else 0
+            own = 9 if i == 0 or low[i - 1] in "-_" else 1
             if k == 0:
                 found[i] = own - i
             elif earlier := [s + (4 if j == i - 1 else -(i - 1 - j)) for j, s in best.items() if j < i]:

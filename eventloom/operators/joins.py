@@ -88,6 +88,17 @@ def no_duplicates(items: Column, what: str) -> Column:
     return F.when(F.size(items) == F.size(F.array_distinct(items)), items).otherwise(F.raise_error(f"{what} repeats"))
 
 
+def duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that stand more than once, with ``n``."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def unique_rows(rows: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """The rows, or an error if keys repeat: equal keys meet, whole groups don't."""
+    repeated = duplicates(rows, keys).select(*keys, F.raise_error(F.lit(f"{what} repeats")).cast("boolean").alias("_fault"))
+    return rows.join(repeated, list(keys), "left").where("_fault is null").drop("_fault")
+
+
 def last_write(changes: DataFrame, keys: Sequence[str] = ("table", "key")) -> DataFrame:
     """A key-value table from its changes (``table, key, version, value``); a null value deletes."""
     last = changes.groupBy(*keys).agg(F.max_by(F.struct("value", "version"), "version").alias("last"))

@@ -212,28 +212,44 @@ def best_per_group(df: DataFrame, group: str, *order: Column) -> DataFrame:
 
 
 def merge_hooks(results: DataFrame) -> DataFrame:
-    """One decision of several hooks (``event, position, decision, reason, stop, context``).
+    """One decision of several hooks (``event, position, decision, reason, stop, context``): ``event, decision, stop, contexts``.
 
-    Deny outranks ask, ask outranks allow; the reasons of the winning rank are
-    joined in order; the first stop wins; contexts are kept in order.
+    Deny outranks ask, ask outranks allow; the first stop wins; ``contexts`` counts
+    those given.  The texts stay rows, see :func:`hook_texts`.
     """
-    rank = F.when(F.col("decision") == "deny", 3).when(F.col("decision") == "ask", 2).when(F.col("decision") == "allow", 1).otherwise(0)
-    rows = results.withColumn("rank", rank)
-    grouped = rows.groupBy("event").agg(
+    grouped = results.withColumn("rank", _hook_rank()).groupBy("event").agg(
         F.max("rank").alias("top"),
-        F.array_sort(F.collect_list(F.struct("position", "rank", "reason", "context"))).alias("all"),
         F.min_by(F.when(F.col("stop").isNotNull(), F.col("stop")), F.when(F.col("stop").isNotNull(), F.col("position"))).alias("stop"),
+        F.count("context").alias("contexts"),
     )
-    reasons = F.transform(F.filter("all", lambda x: (x["rank"] == F.col("top")) & x["reason"].isNotNull()), lambda x: x["reason"])
-    contexts = F.transform(F.filter("all", lambda x: x["context"].isNotNull()), lambda x: x["context"])
     decision = F.element_at(F.array(F.lit(None).cast("string"), F.lit("allow"), F.lit("ask"), F.lit("deny")), F.col("top") + 1)
-    return grouped.select("event", decision.alias("decision"), F.array_join(reasons, "\n").alias("reason"), "stop", contexts.alias("contexts"))
+    return grouped.select("event", decision.alias("decision"), "stop", "contexts")
+
+
+def _hook_rank() -> Column:
+    return F.when(F.col("decision") == "deny", 3).when(F.col("decision") == "ask", 2).when(F.col("decision") == "allow", 1).otherwise(0)
+
+
+def hook_texts(results: DataFrame) -> DataFrame:
+    """``event, position, kind, text``: the reasons of each event's winning rank, and all contexts, to be read by position."""
+    rows = results.withColumn("rank", _hook_rank())
+    top = rows.groupBy("event").agg(F.max("rank").alias("_top"))
+    reasons = rows.where("reason is not null").join(top, "event").where("rank = _top").select("event", "position", F.lit("reason").alias("kind"), F.col("reason").alias("text"))
+    return reasons.unionByName(rows.where("context is not null").select("event", "position", F.lit("context").alias("kind"), F.col("context").alias("text")))
 
 
 def pass_fail(expected: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Of each case (``case, test, kind``): total, passed and the failed tests; a missing verdict fails."""
-    rows = expected.join(verdicts, ["case", "test"], "left").withColumn("ok", F.coalesce(F.col("verdict") == "passed", F.lit(False)))
-    return rows.groupBy("case").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("passed"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("test")))).alias("failed"), F.bool_and("ok").alias("resolved"))
+    """Of each case (``case, test, kind``): total and passed tests, and whether all passed; a missing verdict fails."""
+    return _judged(expected, verdicts).groupBy("case").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("passed"), F.bool_and("ok").alias("resolved"))
+
+
+def failures(expected: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The failed tests, a row each."""
+    return _judged(expected, verdicts).where("not ok").select("case", "test")
+
+
+def _judged(expected: DataFrame, verdicts: DataFrame) -> DataFrame:
+    return expected.join(verdicts, ["case", "test"], "left").withColumn("ok", F.coalesce(F.col("verdict") == "passed", F.lit(False)))
 
 
 def extent(spans: DataFrame, *keys: str) -> DataFrame:

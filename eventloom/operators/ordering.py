@@ -6,10 +6,13 @@ import base64
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pandas_text import fuzzy_score
+
 DEFAULT_PAGE, MAX_PAGE = 20, 100
 
 
@@ -132,6 +135,22 @@ def configured(df: DataFrame, names: Sequence[str], key: str, rest: str = "...")
     return df.orderBy(F.coalesce(F.try_element_at(places, F.col(key)), F.lit(list(names).index(rest))), key)
 
 
+def fuzzy_candidates(candidates: DataFrame, name: str, query: str, position: str) -> DataFrame:
+    """Candidates whose name holds the query's characters in order, with ``prefix`` and ``score``.
+
+    Names that begin with the query go first, then the higher score, then the
+    earlier ``position``; an empty query keeps all, as they came.
+    """
+    if not query:
+        return candidates.withColumns({"prefix": F.lit(True), "score": F.lit(0).cast("bigint")}).orderBy(position)
+    score = F.pandas_udf(lambda names: names.map(lambda x: None if x is None else fuzzy_score(query, x)).astype("Int64"), "bigint")
+    # Most names lack a character, which the JVM can tell.
+    low = F.lower(name)
+    able = reduce(lambda a, b: a & b, [F.contains(low, F.lit(c)) for c in set(query.lower())])
+    rows = candidates.where(able).withColumns({"prefix": F.startswith(low, F.lit(query.lower())), "score": score(F.col(name))})
+    return rows.where("score is not null").orderBy(F.desc("prefix"), F.desc("score"), position)
+
+
 def move_before(items: Column, item: Column, anchor: Column | None) -> Column:
     """The list with one item before another, or last; both must be in it."""
     rest = F.filter(items, lambda x: x != item)

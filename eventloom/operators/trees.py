@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .traces import _doubling, _linked
@@ -38,8 +38,10 @@ def of_origin(flat: DataFrame, root, origin: str) -> DataFrame:
 
 
 def post_order(flat: DataFrame) -> DataFrame:
-    """Children before their parents."""
-    return flat.orderBy("root", F.desc("depth"), "path")
+    """Children before their parents, with ``deeper``: how many nodes of the tree lie deeper, from counts by depth."""
+    below = Window.partitionBy("root").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = flat.groupBy("root", "depth").count().select("root", "depth", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("deeper"))
+    return flat.join(levels, ["root", "depth"]).orderBy("root", F.desc("depth"), "path")
 
 
 def call_tree(starts: DataFrame, ends: DataFrame) -> DataFrame:

@@ -151,10 +151,9 @@ def projection_fold(spark, sf_dir):
     return projections.fold(log, [seen], held).select("session_id", state["rows"].alias("rows"), state["last"]["view"].alias("view"), state["last"]["click"].alias("click"), "seq")
 
 
-@query(f"SELECT type AS id, count(*) AS n, max(time) AS due FROM {_LOG} WHERE time <= 1704200000000 GROUP BY type")
+@query(f"SELECT session_id || '/' || type AS id, count(*) AS n, min(time) AS due FROM {_LOG} GROUP BY session_id, type HAVING min(time) <= 1704200000000")
 def schedule_due(spark, sf_dir):
-    log = session_events(spark, sf_dir).where("time <= 1704200000000")
-    rows = log.groupBy(F.col("type").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("target"))
+    rows = session_events(spark, sf_dir).groupBy(F.concat_ws("/", "session_id", "type").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("target"))
     plans = rows.withColumns({"kind": F.lit("at"), "interval": F.lit(None).cast("bigint"), "position": F.lit(0)})
     return schedules.targets(plans, F.lit(1704200000000).cast("bigint")).where("due is not null").select("id", "n", "due")
 

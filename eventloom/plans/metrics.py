@@ -109,20 +109,39 @@ _HOOKS = f"(SELECT session_id AS event, seq AS position, CASE type WHEN 'error'
 
 @query(
     f"""WITH r AS (SELECT *, CASE decision WHEN 'deny' THEN 3 WHEN 'ask' THEN 2 ELSE 1 END AS rank FROM {_HOOKS}), t AS (SELECT *, max(rank) OVER (PARTITION BY event) AS top FROM r)
-        SELECT event, max(CASE top WHEN 3 THEN 'deny' WHEN 2 THEN 'ask' ELSE 'allow' END) AS decision, string_agg(reason, chr(10) ORDER BY position) FILTER (WHERE rank = top) AS reason, arg_min(stop, position) FILTER (WHERE stop IS NOT NULL) AS stop FROM t GROUP BY event"""
+        SELECT event, max(CASE top WHEN 3 THEN 'deny' WHEN 2 THEN 'ask' ELSE 'allow' END) AS decision, count(reason) FILTER (WHERE position % 3 = 0) AS contexts, arg_min(stop, position) FILTER (WHERE stop IS NOT NULL) AS stop FROM t GROUP BY event"""
 )
 def hook_merge(spark, sf_dir):
+    return m.merge_hooks(_hooks(spark, sf_dir))
+
+
+def _hooks(spark, sf_dir):
     log = session_events(spark, sf_dir)
     decision = F.when(F.col("type") == "error", "deny").when(F.col("type") == "signup", "ask").otherwise("allow")
-    rows = log.select(F.col("session_id").alias("event"), F.col("seq").alias("position"), decision.alias("decision"), F.col("data").alias("reason"), F.when(F.col("value") > 60, F.col("data")).alias("stop"), F.lit(None).cast("string").alias("context"))
-    return m.merge_hooks(rows).select("event", "decision", "reason", "stop")
+    return log.select(F.col("session_id").alias("event"), F.col("seq").alias("position"), decision.alias("decision"), F.col("data").alias("reason"), F.when(F.col("value") > 60, F.col("data")).alias("stop"), F.when(F.col("seq") % 3 == 0, F.col("data")).alias("context"))
+
+
+@query(
+    f"""WITH r AS (SELECT *, CASE decision WHEN 'deny' THEN 3 WHEN 'ask' THEN 2 ELSE 1 END AS rank FROM {_HOOKS}), t AS (SELECT *, max(rank) OVER (PARTITION BY event) AS top FROM r)
+        SELECT event, position, 'reason' AS kind, reason AS text FROM t WHERE rank = top AND reason IS NOT NULL UNION ALL SELECT event, position, 'context', reason FROM t WHERE position % 3 = 0 AND reason IS NOT NULL"""
+)
+def hook_texts(spark, sf_dir):
+    """The reasons that won and all contexts, a row each."""
+    return m.hook_texts(_hooks(spark, sf_dir))
+
+
+@query("SELECT source AS \"case\", doc_id AS test FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM 1")
+def failed_tests(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("case"), F.col("doc_id").alias("test"))
+    marks = docs.join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "test"), "test").select("case", "test", F.when(F.col("quality") == 1, "passed").otherwise("failed").alias("verdict"))
+    return m.failures(docs, marks)
 
 
 @query("SELECT source AS \"case\", count(*) AS total, count(*) FILTER (WHERE quality = 1) AS passed, bool_and(coalesce(quality = 1, false)) AS resolved FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def pass_fail_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("case"), F.col("doc_id").alias("test"))
     marks = docs.join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "test"), "test").select("case", "test", F.when(F.col("quality") == 1, "passed").otherwise("failed").alias("verdict"))
-    return m.pass_fail(docs, marks).select("case", "total", "passed", "resolved")
+    return m.pass_fail(docs, marks)
 
 
 @query(f"SELECT session_id AS run, type AS phase, min(seq) AS first, count(*) AS agents, count(*) FILTER (WHERE value <= 10) AS running FROM {_LOG} GROUP BY session_id, type")

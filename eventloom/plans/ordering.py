@@ -54,11 +54,13 @@ def line_window(spark, sf_dir):
     return conversation_log(spark, sf_dir).select("session_id", "seq", F.array_join(o.line_window(F.col("text"), 0, 3, 400), "\n").alias("lines"))
 
 
-@query("SELECT item_id, CASE item_id % 5 WHEN 0 THEN '1,2,3,0,4' WHEN 1 THEN '0,2,3,1,4' WHEN 2 THEN '0,1,3,2,4' WHEN 3 THEN '0,1,2,4,3' ELSE '0,1,2,4,3' END AS items FROM benchmark")
+@query(
+    """WITH l AS (SELECT conv_id, list(turn ORDER BY turn) AS l FROM conversations GROUP BY conv_id), m AS (SELECT *, l[conv_id % len(l) + 1] AS item, l[1] AS anchor FROM l), r AS (SELECT *, list_filter(l, lambda t: t <> item) AS rest FROM m)
+        SELECT conv_id, array_to_string(CASE WHEN item = anchor THEN list_append(rest, item) ELSE list_prepend(item, rest) END, ',') AS items FROM r"""
+)
 def move_before(spark, sf_dir):
-    """Each of five items before the fifth; the fifth before the fourth, and the fourth last."""
-    items = F.array(*(F.lit(k).cast("bigint") for k in range(5)))
-    item = F.col("item_id") % 5
-    anchor = F.when(item == 4, F.lit(3)).otherwise(F.lit(4)).cast("bigint")
-    moved = F.when(item == 3, o.move_before(items, item, None)).otherwise(o.move_before(items, item, anchor))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(moved.cast("array<string>"), ",").alias("items"))
+    """One turn of each conversation before its first; the first goes last."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("items"))
+    item, first = F.element_at("items", (F.col("conv_id") % F.size("items") + 1).cast("int")), F.element_at("items", 1)
+    moved = F.when(item == first, o.move_before(F.col("items"), item, None)).otherwise(o.move_before(F.col("items"), item, F.when(item != first, first).otherwise(F.element_at("items", -1))))
+    return rows.select("conv_id", F.array_join(moved.cast("array<string>"), ",").alias("items"))

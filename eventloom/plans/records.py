@@ -229,14 +229,10 @@ def call_tree(spark, sf_dir):
     return trees.call_tree(rows, ends.unionByName(late)).select("call_id", "state", "depth")
 
 
-@query(f"{_TREE} SELECT id, CAST(row_number() OVER (ORDER BY depth DESC, id) AS INTEGER) AS place FROM t WHERE root = 0")
+@query(f"{_TREE} SELECT id, root, (SELECT count(*) FROM t d WHERE d.root = t.root AND d.depth > t.depth) AS deeper FROM t")
 def post_order(spark, sf_dir):
-    """Children before parents; the place is counted over the page of one tree."""
-    from pyspark.sql import Window
-
-    flat = trees.flatten(conversation_sessions(spark, sf_dir), F.col("id")).where("root = 0")
-    placed = trees.post_order(flat).select("id", "depth")
-    return placed.select("id", F.row_number().over(Window.orderBy(F.desc("depth"), "id")).alias("place"))
+    """Children before parents: in each tree, by how many nodes are deeper."""
+    return trees.post_order(trees.flatten(conversation_sessions(spark, sf_dir), F.col("id"))).select("id", "root", "deeper")
 
 
 @query("WITH g AS (SELECT source, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY source), t AS (SELECT *, sum(size) OVER (ORDER BY source) AS total FROM g) SELECT source, size FROM t WHERE total <= (SELECT sum(size) / 2 FROM g) OR total = size")
@@ -360,8 +356,13 @@ def retained_messages(spark, sf_dir):
     return n.retained(rows, 100_000).select("session_id", "seq", F.length("text").cast("bigint").alias("bytes"))
 
 
-@query(f"SELECT session_id, CAST(sum(output) AS BIGINT) AS output FROM {_STEPS} GROUP BY session_id HAVING count(*) = count(DISTINCT turn * 8 + step)")
+@query(f"SELECT session_id, CAST(sum(output) AS BIGINT) AS output FROM {_STEPS} GROUP BY session_id")
 def without_duplicates(spark, sf_dir):
-    """Lists of steps, in which nothing may stand twice."""
-    steps = _steps(spark, sf_dir).groupBy("session_id").agg(F.collect_list(F.col("turn") * 8 + F.col("step")).alias("steps"), F.sum("output").alias("output"))
-    return steps.where(F.size(j.no_duplicates(F.col("steps"), "a step")) > 0).select("session_id", "output")
+    """Steps, of which none may stand twice: it would be an error."""
+    return j.unique_rows(_steps(spark, sf_dir), ["session_id", "turn", "step"], "a step").groupBy("session_id").agg(F.sum("output").alias("output"))
+
+
+@query(f"SELECT session_id, type, count(*) AS n FROM {_LOG} GROUP BY ALL HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    """Types that a session has more than once."""
+    return j.duplicates(session_events(spark, sf_dir), ["session_id", "type"])

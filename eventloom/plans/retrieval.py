@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pandas_text as p
+from ..operators import ordering as o
 from ..schema import conversation_log, table
 from . import query
 
@@ -42,9 +43,16 @@ def substring_search(spark, sf_dir):
     return docs.where(F.contains(F.lower("text"), F.lit("than"))).select("doc_id", F.lit(True).alias("found"))
 
 
-@query()
+#: Both places of a query of two characters, 0-based; the first costs its lead, the second its gap.
+_EO = """list_max(list_transform(flatten(list_transform(range(0, length(name)), lambda i: list_transform(range(i + 1, length(name)), lambda j: [i, j]))), lambda p:
+    CASE WHEN name[p[1] + 1] = 'e' AND name[p[2] + 1] = 'o' THEN 2 - p[1] + CASE WHEN p[1] = 0 OR name[p[1]] = '-' THEN 8 ELSE 0 END + CASE WHEN name[p[2]] = '-' THEN 8 ELSE 0 END + CASE WHEN p[2] = p[1] + 1 THEN 4 ELSE p[1] + 1 - p[2] END END))"""
+
+
+@query(
+    f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), n AS (SELECT word || '-' || reverse(word) AS name FROM w), s AS (SELECT name, {_EO} AS score FROM n)
+        SELECT name, starts_with(name, 'eo') AS prefix, CAST(score AS BIGINT) AS score FROM s WHERE score IS NOT NULL"""
+)
 def fuzzy_ranking(spark, sf_dir):
-    """Words of the benchmark by how well a query is a subsequence of them."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).where("word <> ''").distinct()
-    score = F.pandas_udf(lambda names: names.map(lambda x: p.fuzzy_score("eo", x)).astype("Int64"), "bigint")(F.col("word"))
-    return words.select("word", score.alias("score")).where("score is not null")
+    """Words of the benchmark, each with itself backwards, by how well a query is a subsequence of them."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("word")).distinct()
+    return o.fuzzy_candidates(words.select(F.concat_ws("-", "word", F.reverse("word")).alias("name")), "name", "EO", "name").select("name", "prefix", "score")

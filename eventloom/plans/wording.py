@@ -35,13 +35,14 @@ def parsed_lines(spark, sf_dir):
 
 
 @query(
-    rf"""SELECT doc_id, array_to_string(list_filter(list_transform(w, lambda t: {_TRIMMED.format('lower(t)')}), lambda t, i: t <> '' AND list_position(list_transform(w, lambda u: {_TRIMMED.format('lower(u)')}), t) = i), '|') AS keywords,
-        lower({_TRIMMED.format('title')}) AS fact, '"' || replace(title, '"', '""') || '"' AS phrase FROM (SELECT doc_id, left(text, 120) AS title, string_split(left(text, 120), ' ') AS w FROM documents)"""
+    rf"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS u, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), k AS (SELECT doc_id, {_TRIMMED.format('lower(u)')} AS t, min(i) AS i FROM w GROUP BY 1, 2),
+        j AS (SELECT doc_id, string_agg(t, '|' ORDER BY i) AS keywords FROM k WHERE t <> '' GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(keywords, '') AS keywords, lower({_TRIMMED.format('text')}) AS fact, '"' || replace(text, '"', '""') || '"' AS phrase, left(text, 120) AS title FROM documents d LEFT JOIN j USING (doc_id)"""
 )
 def normal_phrases(spark, sf_dir):
-    """Keywords, fact title and quoted phrase of a short title."""
-    title = x.truncate(F.col("text"), 120)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(x.keywords(F.split(title, " ")), "|").alias("keywords"), x.fact_title(title).alias("fact"), x.fts_phrase(title).alias("phrase"))
+    """Keywords, fact and quoted phrase of each whole text, and its title of 120 characters."""
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(x.keywords(F.split(text, " ")), "|").alias("keywords"), x.fact_title(text).alias("fact"), x.fts_phrase(text).alias("phrase"), x.truncate(text, 120).alias("title"))
 
 
 @query("SELECT doc_id, left(text, 500) || CASE WHEN length(text) > 500 THEN chr(10) || '[... ' || (length(text) - 500) || ' characters omitted]' ELSE '' END AS text FROM documents")
@@ -101,12 +102,14 @@ def fallback_titles(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", x.fallback_title(F.col("text"), 8, 40).alias("title"))
 
 
-@query("SELECT order_id, CASE WHEN order_id % 3 = 0 THEN NULL WHEN order_id % 3 = 1 THEN TIMESTAMP '2024-10-27 00:30:00' ELSE TIMESTAMP '2024-07-01 10:00:00' END AS instant FROM (SELECT DISTINCT o_orderkey AS order_id FROM orders)")
+@query(
+    """WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) + INTERVAL 1 DAY * (event_id % 366) AS t FROM events)
+        SELECT event_id, CASE WHEN t >= TIMESTAMP '2024-03-31 02:00:00' AND t < TIMESTAMP '2024-03-31 03:00:00' THEN NULL WHEN t >= TIMESTAMP '2024-03-31 03:00:00' AND t < TIMESTAMP '2024-10-27 03:00:00' THEN t - INTERVAL 2 HOUR ELSE t - INTERVAL 1 HOUR END AS instant FROM e"""
+)
 def local_instants(spark, sf_dir):
-    """A local time that the clocks skip, one that comes twice, and a plain one."""
-    n = F.col("o_orderkey")
-    local = F.when(n % 3 == 0, F.lit("2024-03-31 02:30:00")).when(n % 3 == 1, F.lit("2024-10-27 02:30:00")).otherwise(F.lit("2024-07-01 12:00:00")).cast("timestamp_ntz")
-    return table(spark, sf_dir, "orders").select(n.alias("order_id"), x.local_instant(local, F.lit("Europe/Berlin")).cast("timestamp_ntz").alias("instant")).distinct()
+    """Times of a year as local ones; the clocks skip an hour in spring, and in autumn the first of two equal ones is meant."""
+    local = F.col("ts").cast("timestamp_ntz") + F.make_dt_interval((F.col("event_id") % 366).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", x.local_instant(local, F.lit("Europe/Berlin")).cast("timestamp_ntz").alias("instant"))
 
 
 @query(

@@ -18,7 +18,7 @@ from ..ordered import by_session
 from ..schema import EVENT, MAX_SAFE_INTEGER
 
 FORMAT_VERSION = 0
-LEAST_RUN = 3
+LEAST_RUN, MOST_RUN = 3, 10_000
 _HEADER = "type string, version int, id string, createdAt bigint, cwd string, parentSession string, seedLength bigint, origin string, delegationDepth bigint, agentPreset string"
 _LINE = "type string, seq bigint, time bigint, data string, sourceEventSeqs array<bigint>, surfaceOp string, seq0 bigint, time0 bigint, ignorable boolean"
 
@@ -87,7 +87,7 @@ def pack(chunks: DataFrame, keys: tuple[str, ...] = ("turn", "step", "index", "k
     """Runs of delta chunks (``session_id, seq, time``) as one row each.
 
     A run is consecutive rows that agree in ``keys``; fewer than ``LEAST_RUN``
-    stay single rows.  Columns: ``session_id``, keys, ``seq0, time0, dt, texts,
+    stay single rows, and a run is cut after ``MOST_RUN``.  Columns: ``session_id``, keys, ``seq0, time0, dt, texts,
     packed``; ``dt`` has a gap for each row after the first.
     """
     order = Window.partitionBy("session_id").orderBy("seq")
@@ -96,6 +96,8 @@ def pack(chunks: DataFrame, keys: tuple[str, ...] = ("turn", "step", "index", "k
         broken = broken | ~F.col(k).eqNullSafe(F.lag(k).over(order))
     rows = chunks.withColumn("_new", broken.cast("int")).withColumn("_gap", F.col("time") - F.lag("time").over(order))
     rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A run's rows are numbered without holes; a long one is cut by number.
+    rows = rows.withColumn("_run", F.struct("_run", F.floor((F.col("seq") - F.min("seq").over(Window.partitionBy("session_id", "_run"))) / MOST_RUN).alias("_part")))
     size = F.count(F.lit(1)).over(Window.partitionBy("session_id", "_run"))
     rows = rows.withColumn("packed", size >= LEAST_RUN).withColumn("_run", F.struct("_run", F.when(size < LEAST_RUN, F.col("seq"))))
     grouped = rows.groupBy("session_id", *keys, "_run", "packed").agg(F.min("seq").alias("seq0"), F.min_by("time", "seq").alias("time0"), F.array_sort(F.collect_list(F.struct("seq", "_gap", F.col(text).alias("text")))).alias("all"))

@@ -239,6 +239,7 @@ def test_byte_retention_and_paths():
     assert p.phrase_spans("a a a b".split(), ["a", "a"]) == 1 and p.fold("Café ＡＢ") == ["cafe", "ａｂ"]
     assert p.canonical('{"b": 1, "a": 2}') == p.canonical('{"a":2,"b":1}') and p.canonical("{") is None
     assert p.fuzzy_score("ab", "xyz") is None and p.fuzzy_score("oc", "open-chat") > p.fuzzy_score("oc", "rococo")
+    assert p.fuzzy_score("oc", "open-chat") == 9 + 9 - 3 and p.fuzzy_score("oc", "rococo") == 1 - 1 + 1 + 4 and p.fuzzy_score("b", "a.b") == 1 - 2
     assert p.unified_diff("a\nb", "a\nc") == "@@ -1,2 +1,2 @@\n a\n-b\n+c"
 
 
@@ -324,3 +325,43 @@ def test_retained(spark):
     assert kept(messages, 30) == ["a" * 10, "b" * 10, "c" * 10] and kept(messages, 15) == ["b" * 5, "c" * 10] and kept(messages, 4) == ["", "c" * 4]
     assert kept([(True, "head" + "x" * 20 + "tail"), (False, "é" * 3)], 14) == ["headtail", "é" * 3]
     assert kept([(False, "1" * 6), (False, "2" * 6), (False, "3" * 6), (False, "4")], 8) == ["3" * 6, "4"]
+
+
+def test_fuzzy_candidates_against_every_alignment(spark):
+    import itertools
+    import random
+
+    from eventloom.operators import ordering
+
+    def score(query, name):
+        best = None
+        for at in itertools.combinations(range(len(name)), len(query)):
+            if all(name[i] == c for i, c in zip(at, query, strict=True)):
+                value = sum(1 + 8 * (i == 0 or name[i - 1] in "-_") for i in at) - at[0] + sum(4 if j == i + 1 else i + 1 - j for i, j in itertools.pairwise(at))
+                best = value if best is None else max(best, value)
+        return best
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abA-_.") for _ in range(rng.randrange(1, 10))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(names)), "position int, name string").repartition(5)
+    for query in ("a", "ab", "bA", "aab"):
+        low = query.lower()
+        want = sorted((not n.lower().startswith(low), -s, k, n) for k, n in enumerate(names) if (s := score(low, n.lower())) is not None)
+        assert [(not r.prefix, -r.score, r.position, r.name) for r in ordering.fuzzy_candidates(rows, "name", query, "position").collect()] == want
+    assert [r.position for r in ordering.fuzzy_candidates(rows, "name", "", "position").collect()] == list(range(200))
+
+
+def test_duplicates_are_errors_and_long_runs_are_cut(spark, monkeypatch):
+    from eventloom.operators import joins
+    from eventloom.sources import jsonl
+
+    rows = spark.createDataFrame([("s", 1), ("s", 2), ("t", 1), ("s", 2)], "session_id string, step int")
+    assert [tuple(r) for r in joins.duplicates(rows, ["session_id", "step"]).collect()] == [("s", 2, 2)]
+    assert joins.unique_rows(rows.where("step = 1"), ["session_id", "step"], "a step").count() == 2
+    with pytest.raises(Exception, match="a step repeats"):
+        joins.unique_rows(rows, ["session_id", "step"], "a step").collect()
+    monkeypatch.setattr(jsonl, "MOST_RUN", 4)
+    log = spark.createDataFrame([("s", k, 10 * k, "a", f"t{k}") for k in range(10)], "session_id string, seq bigint, time bigint, kind string, text string")
+    packed = jsonl.pack(log, keys=("kind",))
+    assert sorted((r.seq0, len(r.texts), r.packed) for r in packed.collect()) == [(0, 4, True), (4, 4, True), (8, 1, False), (9, 1, False)]
+    assert sorted((r.seq, r.time, r.text) for r in jsonl.unpack_arrays(packed).collect()) == [(k, 10 * k, f"t{k}") for k in range(10)]
