@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .folders import commit_of, put
+
 #: Event types whose rows form the visible conversation.
 SURFACE_TYPES = ("user/message", "assistant/message", "tool/result")
 SURFACES = ("current", "shadowed", "log-only")
@@ -60,25 +62,31 @@ def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def store_log(log: DataFrame, path: str, buckets: int = 256) -> None:
+def store_log(log: DataFrame, path: str, bucket_rows: int = 4_000_000) -> None:
     """The log as Parquet, in folders by the session's bucket, sorted by session and ``seq``.
 
-    Sorted files have narrow ranges of sessions, so a filter on ``session_id`` and
-    ``seq`` skips most row groups.
+    There are as many buckets as ``bucket_rows`` make of the log; a commit in the
+    folder says how many.  Rows go by ranges of bucket, session and ``seq``, so a
+    long session is in many files.  Sorted files have narrow ranges of sessions, so a
+    filter on ``session_id`` and ``seq`` skips most row groups.
     """
+    buckets = max(1, -(-log.count() // bucket_rows))
     rows = log.withColumn("bucket", bucket_of(F.col("session_id"), buckets))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "session_id", "seq").write.partitionBy("bucket").parquet(path)
+    keys = ["bucket", "session_id", "seq"]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("bucket").parquet(path)
+    put(log.sparkSession, path, 0, {"buckets": buckets})
 
 
-def bucket_of(session_id: Column, buckets: int = 256) -> Column:
+def bucket_of(session_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(session_id.cast("string")), F.lit(buckets)).cast("int")
 
 
-def stored_session(spark: SparkSession, path: str, session_id, buckets: int = 256) -> DataFrame:
+def stored_session(spark: SparkSession, path: str, session_id) -> DataFrame:
     """One session of a stored log: its bucket's folder, and filters that reach the scan."""
     rows = spark.read.parquet(path)
     kind = rows.schema["session_id"].dataType
-    return rows.where((F.col("bucket") == bucket_of(F.lit(session_id), buckets)) & (F.col("session_id") == F.lit(session_id).cast(kind))).drop("bucket")
+    bucket = bucket_of(F.lit(session_id), commit_of(spark, path, 1)["buckets"])
+    return rows.where((F.col("bucket") == bucket) & (F.col("session_id") == F.lit(session_id).cast(kind))).drop("bucket")
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,23 +22,143 @@ _HEADER = "type string, version int, id string, createdAt bigint, cwd string, pa
 _LINE = "type string, seq bigint, time bigint, data string, sourceEventSeqs array<bigint>, surfaceOp string, seq0 bigint, time0 bigint, ignorable boolean"
 
 
-#: Files that can't be split: they are read whole.
+#: Files whose bytes aren't lines: they are read by zstd frames.
 PACKED = r"\.zstd?$"
+_FRAME, _SKIPPABLE = 0xFD2FB528, range(0x184D2A50, 0x184D2A60)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, number, line`` of every line of plain or ``.zst``, ``.zstd`` files.
 
-    Plain files are read by line, in splits; lines are numbered by the place of
-    their split and their place in it, in a sort that spills.  Only packed files
-    are read whole.
+    Plain files are read by line, in splits.  A first pass counts each split's lines;
+    a line's number is its place in its split after the lines of the splits before,
+    so no line leaves the task that reads it.  Packed files are read by frames.
     """
+    return _lines(spark, path, False)
+
+
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``lines`` of files that hold several logs, as of a file for each: a log begins at its header line.
+
+    Of plain files; what a split doesn't know, the header before its first line,
+    comes from the counting pass.
+    """
+    return _lines(spark, path, True)
+
+
+def _lines(spark: SparkSession, path: str, many: bool) -> DataFrame:
     name = F.col("_metadata.file_path")
-    plain = spark.read.text(path).where(~name.rlike(PACKED)).select(name.alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
-    number = F.row_number().over(Window.partitionBy("path").orderBy("_split", "_row")) - 1
-    packed = spark.read.text(path, wholetext=True).where(name.rlike(PACKED)).select(name.alias("path"), "value")
-    whole = packed.select("path", F.posexplode(F.split("value", "\n")).alias("number", "line"))
-    return plain.select("path", number.alias("number"), "line").unionByName(whole).where("line <> ''")
+    head = F.startswith("value", F.lit("{")) & (F.get_json_object("value", "$.type") == "session") if many else F.lit(False)
+    plain = spark.read.text(path).where(~name.rlike(PACKED)).select(name.alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.coalesce(head, F.lit(False)).alias("_head"), F.col("value").alias("line"))
+    # A row a split, which the driver knows one by one as it is.
+    counted = plain.groupBy("path", "_split").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("_head"), F.col("_row"))).alias("last")).orderBy("path", "_split").collect()
+    bases, before, start, file = [], 0, 0, None
+    for r in counted:
+        before, start = (before, start) if r["path"] == file else (0, 0)
+        file = r["path"]
+        bases.append((file, r["_split"], before - r["_first"], start))
+        if r["last"] is not None:
+            start = r["last"] - r["_first"] + before
+        before += r["n"]
+    based = F.broadcast(spark.createDataFrame(bases, "path string, _split bigint, _base bigint, _start bigint"))
+    numbered = plain.join(based, ["path", "_split"]).withColumn("number", F.col("_row") + F.col("_base"))
+    if many:
+        numbered = _begun(numbered)
+        numbered = numbered.select(F.concat_ws("#", "path", F.col("_start").cast("string")).alias("path"), (F.col("number") - F.col("_start")).alias("number"), "line")
+    return numbered.select("path", "number", "line").unionByName(_packed_lines(spark, path)).where("line <> ''")
+
+
+def _begun(numbered: DataFrame) -> DataFrame:
+    """``_start`` of each line: the number of the last header up to it, in its split or before."""
+    kept = ["path", "_split", "number", "_head", "_start", "line"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, start = None, 0
+        for batch in batches:
+            at = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            starts = []
+            for key, number, head, known in zip(at, *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                if key != split:
+                    split, start = key, known
+                start = number if head else start
+                starts.append(start)
+            yield batch.set_column(4, "_start", pa.array(starts, pa.int64()))
+
+    return numbered.select(kept).mapInArrow(run, numbered.select(kept).schema)
+
+
+def _frames(data: bytes) -> Iterator[tuple[int, int]]:
+    """Where each whole zstd frame begins and ends, by frame and block headers; ends early where the data is cut off."""
+    at = 0
+    while at + 8 <= len(data):
+        begin, magic = at, int.from_bytes(data[at : at + 4], "little")
+        if magic in _SKIPPABLE:
+            at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+            if at > len(data):
+                return
+            continue
+        if magic != _FRAME:
+            return
+        flags = data[at + 4]
+        single = flags >> 5 & 1
+        at += 5 + (0 if single else 1) + (0, 1, 2, 4)[flags & 3] + ((1 if single else 0), 2, 4, 8)[flags >> 6]
+        last = False
+        while not last:
+            if at + 3 > len(data):
+                return
+            block = int.from_bytes(data[at : at + 3], "little")
+            last = bool(block & 1)
+            at += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
+        at += 4 if flags >> 2 & 1 else 0
+        if at > len(data):
+            return
+        yield begin, at
+
+
+def zstd_frames(spark: SparkSession, path: str) -> DataFrame:
+    """``path, frame, content, torn`` of the packed files under ``path``.
+
+    The task that reads a file finds its frames without unpacking them; they are
+    dealt out and unpacked one by one.  What is left after the last whole frame
+    makes one row without content that is ``torn``.  A file of more than 2 GB, packed,
+    can't be read.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, number, end = data.as_buffer().to_pybytes(), 0, 0
+                for number, (begin, end) in enumerate(_frames(data), 1):  # noqa: B007
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number - 1], pa.int64()), pa.array([data[begin:end]], pa.binary())], names=["path", "frame", "data"])
+                rest = data[end:]
+                if rest and int.from_bytes(rest[:4], "little") not in _SKIPPABLE:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number], pa.int64()), pa.array([None], pa.binary())], names=["path", "frame", "data"])
+
+    def unpack_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in batches:
+            for k, data in enumerate(batch.column(2)):
+                text = None if data.as_py() is None else zstandard.ZstdDecompressor().decompressobj().decompress(data.as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([text], pa.binary()), pa.array([text is None])], names=["path", "frame", "content", "torn"])
+
+    files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(PACKED)).select("path", "content")
+    frames = files.mapInArrow(cut, "path string, frame bigint, data binary").repartition("path", "frame")
+    return frames.mapInArrow(unpack_one, "path string, frame bigint, content binary, torn boolean")
+
+
+def _packed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of packed files: a line that frames cut is joined from its pieces, which have one number."""
+    frames = zstd_frames(spark, path).where("not torn").withColumn("pieces", F.split(F.decode("content", "ISO-8859-1"), "\n"))
+    frames = frames.select("path", "frame", "pieces", (F.size("pieces") - 1).alias("n"))
+    before = Window.partitionBy("path").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    bases = frames.select("path", "frame", "n").withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    opened = frames.join(bases, ["path", "frame"]).select("path", "frame", "n", "_base", F.posexplode("pieces").alias("k", "piece"))
+    rows = opened.select("path", "frame", (F.col("_base") + F.col("k")).alias("number"), ((F.col("k") == 0) | (F.col("k") == F.col("n"))).alias("edge"), "piece")
+    joined = rows.where("edge").groupBy("path", "number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", "piece"))), lambda x: x["piece"]), "").alias("piece"))
+    whole = rows.where("not edge").select("path", "number", "piece").unionByName(joined)
+    # Bytes stood for characters one by one, so that a character cut in two is whole again here.
+    return whole.select("path", "number", F.decode(F.encode("piece", "ISO-8859-1"), "UTF-8").alias("line"))
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -126,24 +245,18 @@ def unpack(rows: DataFrame) -> DataFrame:
     return out.select("path", "number", "seq", "type", "time", delta.alias("data"))
 
 
-def write(sessions: DataFrame, log: DataFrame, path: str, folders: int = 256) -> None:
-    """Each session's header line and event lines, in order, in the file of its bucket.
+def write(sessions: DataFrame, log: DataFrame, path: str, file_bytes: int = 256 << 20) -> None:
+    """Each session's header line and event lines, in order, in one file with its neighbours by id.
 
-    A file holds the logs of many sessions, one after another, so millions of
-    sessions are ``folders`` files; :func:`logs_of` tells them apart again.
+    A file holds the logs of as many sessions as make ``file_bytes``, one after
+    another, so the number of files follows the data; :func:`log_lines` tells them
+    apart again.  A log is in one file, so a long one makes a long file.
     """
     head = sessions.select(F.col("id").alias("session_id"), F.lit(-1).cast("bigint").alias("seq"), F.to_json(F.struct(F.lit("session").alias("type"), F.lit(FORMAT_VERSION).alias("version"), "id", F.col("created_at").alias("createdAt"))).alias("value"))
     body = log.select("session_id", "seq", F.to_json(F.struct("type", "seq", "time", F.parse_json("data").alias("data"))).alias("value"))
-    rows = head.unionByName(body).withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(folders)))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "session_id", "seq").select("value", "bucket").write.partitionBy("bucket").text(path)
-
-
-def logs_of(lines: DataFrame) -> DataFrame:
-    """``lines`` of files that hold several logs, as of a file for each: a log begins at its header line."""
-    order = Window.partitionBy("path").orderBy("number")
-    start = F.max(F.when(F.get_json_object("line", "$.type") == "session", F.col("number"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.withColumn("_start", F.coalesce(start, F.lit(0)))
-    return rows.select(F.concat_ws("#", "path", F.col("_start").cast("string")).alias("path"), (F.col("number") - F.col("_start")).alias("number"), "line")
+    rows = head.unionByName(body)
+    files = max(1, -(-(rows.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0) // file_bytes))
+    rows.repartitionByRange(files, "session_id").sortWithinPartitions("session_id", "seq").select("value").write.text(path)
 
 
 def repair(log: DataFrame) -> DataFrame:
@@ -188,34 +301,6 @@ def repair(log: DataFrame) -> DataFrame:
     return by_session(log.select(*columns.names), run, columns)
 
 
-def torn_zstd(spark: SparkSession, path: str) -> DataFrame:
-    """``path, text, torn`` of zstd files: the whole frames' text, and whether the last was cut off."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        for batch in batches:
-            out = []
-            for data in batch["content"]:
-                text, torn, rest = b"", False, data
-                while rest:
-                    frame = zstandard.ZstdDecompressor().decompressobj()
-                    try:
-                        part = frame.decompress(rest)
-                    except zstandard.ZstdError:
-                        torn = True
-                        break
-                    if not frame.eof:
-                        torn = True
-                        break
-                    text += part
-                    rest = frame.unused_data
-                out.append((text.decode(errors="ignore"), torn))
-            yield pd.DataFrame({"path": batch["path"], "text": [x[0] for x in out], "torn": [x[1] for x in out]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string, torn boolean")
-
-
 def project_folder(cwd: Column) -> Column:
     """The folder of a session's project; sessions without one share ``_no-cwd``."""
     from ..functions.pandas_text import column, path_segment

@@ -1,6 +1,8 @@
 """Logs as files, packing, repair, projections in batch and stream, pages."""
 
 import json
+import os
+import random
 
 import pytest
 import zstandard
@@ -56,9 +58,9 @@ def test_foreign_versions_are_errors(spark, tmp_path):
 def test_write_and_read_back(spark, tmp_path):
     log = spark.createDataFrame([("a", 0, "x", 1, '{"k":1}'), ("a", 1, "turn/end", 2, "{}"), ("b", 0, "x", 3, '{"z":"é"}')], EVENTS)
     heads = spark.createDataFrame([("a", 1), ("b", 2)], "id string, created_at bigint")
-    jsonl.write(heads, log, str(tmp_path / "out"), folders=1)
-    assert len(list((tmp_path / "out").glob("bucket=*/*.txt"))) == 1
-    lines = jsonl.logs_of(jsonl.lines(spark, str(tmp_path / "out" / "*")))
+    jsonl.write(heads, log, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.txt"))) == 1
+    lines = jsonl.log_lines(spark, str(tmp_path / "out"))
     assert sorted(r.id for r in jsonl.headers(lines).collect()) == ["a", "b"]
     assert {(r.seq, r.type, json.loads(r.data).get("z")) for r in jsonl.events(lines).collect()} == {(0, "x", None), (0, "x", "é"), (1, "turn/end", None)}
 
@@ -67,8 +69,54 @@ def test_torn_zstd(spark, tmp_path):
     whole = zstandard.compress(b"one\n") + zstandard.compress(b"two\n")
     (tmp_path / "a.zst").write_bytes(whole)
     (tmp_path / "b.zst").write_bytes(whole[:-3])
-    got = {r.path[-5:]: (r.text, r.torn) for r in jsonl.torn_zstd(spark, str(tmp_path)).collect()}
-    assert got == {"a.zst": ("one\ntwo\n", False), "b.zst": ("one\n", True)}
+    got = sorted((r.path[-5:], r.frame, r.content and bytes(r.content), r.torn) for r in jsonl.zstd_frames(spark, str(tmp_path)).collect())
+    assert got == [("a.zst", 0, b"one\n", False), ("a.zst", 1, b"two\n", False), ("b.zst", 0, b"one\n", False), ("b.zst", 1, None, True)]
+    assert sorted((r.path[-5:], r.number, r.line) for r in jsonl.lines(spark, str(tmp_path)).collect()) == [("a.zst", 0, "one"), ("a.zst", 1, "two"), ("b.zst", 0, "one")]
+
+
+def test_frames_are_unpacked_apart_and_lines_across_them_joined(spark, tmp_path):
+    rng = random.Random(2)
+    text = "".join(rng.choice("ab\u00e9\u6f22\n\n") * rng.randrange(1, 9) for _ in range(4000)) + "end"
+    data, cuts = text.encode(), sorted(rng.sample(range(1, 20_000), 60))
+    packer = [zstandard.ZstdCompressor(level=3, write_checksum=bool(k % 2), write_content_size=bool(k % 3)) for k in range(6)]
+    parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)]
+    frames = [packer[k % 6].compress(p) for k, p in enumerate(parts)]
+    frames.insert(5, (0x184D2A53).to_bytes(4, "little") + (3).to_bytes(4, "little") + b"abc")  # to be skipped
+    frames.append(zstandard.ZstdCompressor().compress(os.urandom(300_000).hex().encode() * 2 + b"\n"))  # many blocks
+    parts.append(zstandard.ZstdDecompressor().decompress(frames[-1]))
+    (tmp_path / "x.zst").write_bytes(b"".join(frames) + frames[0][:-2])
+    found = jsonl.zstd_frames(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = sorted(found.collect(), key=lambda r: r.frame)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [bytes(r.content) for r in rows[:-1]] == parts and [r.torn for r in rows] == [False] * len(parts) + [True]
+    assert len({r.task for r in rows}) > 1
+    want = [(k, line) for k, line in enumerate(b"".join(parts).decode().split("\n")) if line]
+    assert sorted((r.number, r.line) for r in jsonl.lines(spark, str(tmp_path)).collect()) == want
+
+
+def test_many_logs_in_files_of_many_splits(spark, tmp_path):
+    rng = random.Random(4)
+    sizes = {f"s{k:03d}": rng.choice([0, 1, 3, 40]) for k in range(90)}
+    log = spark.createDataFrame([(s, k, "turn/end", k, json.dumps({"k": k})) for s, n in sizes.items() for k in range(n)], EVENTS)
+    heads = spark.createDataFrame([(s, 1) for s in sizes], "id string, created_at bigint")
+    jsonl.write(heads, log, str(tmp_path / "out"), file_bytes=20_000)
+    assert len(list((tmp_path / "out").glob("*.txt"))) > 2
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2500")
+    try:
+        lines = jsonl.log_lines(spark, str(tmp_path / "out"))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        before = plan.split("MapInArrow")[1]  # what the plain lines go through
+        assert "BroadcastHashJoin" in before and "Exchange hashpartitioning" not in before.split("FileScan text")[0]
+        assert lines.rdd.getNumPartitions() > 10
+        assert sorted(r.id for r in jsonl.headers(lines).collect()) == sorted(sizes)
+        names = {r.path: r.id for r in jsonl.headers(lines).collect()}
+        got = sorted((names[r.path], r.seq) for r in jsonl.events(lines).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((s, k) for s, n in sizes.items() for k in range(n))
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -250,8 +298,9 @@ def test_stored_logs_are_filtered_in_the_scan(spark, tmp_path):
     from eventloom.schema import store_log, stored_session
 
     log = spark.createDataFrame([(f"s{k % 40}", k // 40, "x", k, None) for k in range(2000)], EVENTS)
-    store_log(log, str(tmp_path / "log"), 8)
-    found = windows.context(stored_session(spark, str(tmp_path / "log"), "s7", 8), "s7", 10, 2, 3)
+    store_log(log, str(tmp_path / "log"), 300)
+    assert len(list((tmp_path / "log").glob("bucket=*"))) == 7
+    found = windows.context(stored_session(spark, str(tmp_path / "log"), "s7"), "s7", 10, 2, 3)
     assert sorted(r.seq for r in found.collect()) == list(range(8, 14))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(session_id,s7)" in plan and "GreaterThanOrEqual(seq,8)" in plan and "PartitionFilters: [isnotnull(bucket" in plan
