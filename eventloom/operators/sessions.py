@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .traces import descendants
+from .traces import _kept, descendants
 
 
 def authorized(sessions: DataFrame, caller) -> DataFrame:
@@ -83,6 +83,42 @@ def fork(log: DataFrame, session_id, child, at: int) -> DataFrame:
     return rows.join(F.broadcast(last), "session_id").withColumn("session_id", whole).drop("_last")
 
 
+def fork_segments(sessions: DataFrame) -> DataFrame:
+    """``session_id, source, low, high``: whose rows make up each session's log, ``low`` to before ``high`` (null: all).
+
+    ``sessions``: ``id, parent, seed_length``.  A fork has its parent's first
+    ``seed_length`` rows, which may be the grandparent's.  Links are doubled, so a
+    line of d forks takes log d rounds; a parent that isn't there has no rows, and a
+    cycle is an error.
+    """
+    # Null seeds are of sessions that are no forks.
+    forks = sessions.select("id", F.when(F.coalesce("seed_length", F.lit(0)) > 0, F.col("parent")).alias("parent"), F.coalesce("seed_length", F.lit(0)).cast("bigint").alias("seed"))
+    own = forks.select("id", F.col("seed").alias("low"))
+    links = _kept(forks.where("parent is not null").select("id", F.col("parent").alias("jump"), F.col("seed").alias("cap")))
+    found = _kept(own.select(F.col("id").alias("session_id"), F.col("id").alias("source"), F.lit(None).cast("bigint").alias("high")))
+    rows, reach = links.count(), 1
+    while links.count():
+        if reach > rows:
+            raise ValueError("the sessions form a cycle")
+        further = found.join(links.withColumnRenamed("id", "source"), "source").select("session_id", F.col("jump").alias("source"), F.least("high", "cap").alias("high"))
+        up = links.select(F.col("id").alias("jump"), F.col("jump").alias("far"), F.col("cap").alias("_cap"))
+        found, links, reach = _kept(found.unionByName(further)), _kept(links.join(up, "jump").select("id", F.col("far").alias("jump"), F.least("cap", "_cap").alias("cap"))), 2 * reach
+    return found.join(own.withColumnRenamed("id", "source"), "source").where("high is null or low < high").select("session_id", "source", "low", "high")
+
+
+def forked_log(log: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The log of every session, forks' shared rows included, with ``seed_length``; nothing is copied or stored.
+
+    ``log`` has each session's own rows only, a fork's numbered from its
+    ``seed_length`` on.  Folds leave out rows before it where a projection is of own
+    rows.
+    """
+    seeds = sessions.select(F.col("id").alias("session_id"), F.coalesce("seed_length", F.lit(0)).cast("bigint").alias("seed_length"))
+    parts = fork_segments(sessions)
+    rows = log.withColumnRenamed("session_id", "source").join(parts, "source").where((F.col("seq") >= F.col("low")) & (F.col("high").isNull() | (F.col("seq") < F.col("high"))))
+    return rows.join(seeds, "session_id").select("session_id", *(c for c in log.columns if c != "session_id"), "seed_length")
+
+
 def reconcile(documents: DataFrame, indexed: DataFrame, sessions: DataFrame, revisions: DataFrame) -> DataFrame:
     """An index's documents after new or changed sessions replaced theirs.
 

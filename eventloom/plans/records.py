@@ -313,6 +313,27 @@ def inbox_fold(spark, sf_dir):
     return states.select("session_id", F.array_join(ids, ",").alias("pending"))
 
 
+_FORKS = f"""(WITH n AS (SELECT session_id, count(*) AS n FROM {_LOG} GROUP BY session_id) SELECT c.session_id, c.n, CASE WHEN CAST(c.session_id AS BIGINT) % 4 > 0 THEN least(coalesce(p.n, 0), 5) ELSE 0 END AS seed FROM n c LEFT JOIN n p ON CAST(p.session_id AS BIGINT) = CAST(c.session_id AS BIGINT) - 1) f"""
+
+
+@query(
+    f"""WITH q AS (SELECT session_id, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq DESC) AS pending FROM (SELECT *, max(seq) OVER (PARTITION BY session_id) AS last FROM {_LOG}) WHERE seq % 3 <> 1 OR seq = last GROUP BY session_id)
+        SELECT session_id, pending, CAST(n + seed - 1 AS BIGINT) AS seq FROM q JOIN {_FORKS} USING (session_id)"""
+)
+def forked_inboxes(spark, sf_dir):
+    """Three of four sessions fork the one before after five rows, which count as theirs; its pending messages don't."""
+    own = session_events(spark, sf_dir)
+    counts = own.groupBy(F.col("session_id").cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    forks = counts.join(counts.select((F.col("id") + 1).alias("id"), F.least("n", F.lit(5)).alias("up_to")), "id", "left")
+    seed = F.when(F.col("id") % 4 > 0, F.coalesce("up_to", F.lit(0))).otherwise(0)
+    forks = forks.select(F.col("id").cast("string").alias("id"), (F.col("id") - 1).cast("string").alias("parent"), seed.cast("bigint").alias("seed_length"))
+    data = F.concat(F.lit('{"target":"next-turn","start":0,"removedCount":'), F.when(F.col("seq") % 3 == 2, "1").otherwise("0"), F.lit(',"inserted":[{"id":"'), F.col("seq").cast("string"), F.lit('"}]}'))
+    rows = own.join(forks.select(F.col("id").alias("session_id"), "seed_length"), "session_id").select("session_id", (F.col("seq") + F.col("seed_length")).alias("seq"), F.lit("agent/inbox/spliced").alias("type"), "time", data.alias("data"))
+    states = projections.fold(n.forked_log(rows, forks), [folds.INBOX])
+    ids = F.from_json("val", "`next-turn` array<struct<id: string>>")["next-turn"]["id"]
+    return states.select("session_id", F.array_join(ids, ",").alias("pending"), "seq")
+
+
 @query(f"SELECT session_id, count(DISTINCT type) AS blocks, string_agg(data, '' ORDER BY ascii(type), ascii(right(type, 1)), seq) AS text FROM {_LOG} GROUP BY session_id")
 def block_assembly(spark, sf_dir):
     """Deltas of a block for each type, in the order of their blocks."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .projections import _EVENT, Projection
+from .projections import _EVENT, Projection, event_rows
 
 LIVE = "session_id string, kind string, key string, ver int, seq bigint, value string"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,7 +41,7 @@ class _Live(StatefulProcessor):
         self.handle = handle
         self.cells = handle.getMapState("cells", "key string", "ver int, seq bigint, value string")
         self.seen = handle.getValueState("seen", "seq bigint")
-        self.early = handle.getMapState("early", "seq bigint", "type string, time bigint, data string")
+        self.early = handle.getMapState("early", "seq bigint", "type string, time bigint, data string, seed_length bigint")
         self.unwritten = handle.getValueState("unwritten", "rows bigint, due bigint")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
@@ -75,7 +75,7 @@ class _Live(StatefulProcessor):
             nonlocal seen, unwritten, write
             seen = event["seq"]
             for p in self.projections:
-                new = p.apply(states[p.key], event)
+                new = states[p.key] if p.own and seen < event["seed_length"] else p.apply(states[p.key], event)
                 if new is not states[p.key]:
                     states[p.key] = new
                     changed[p.key] = seen
@@ -99,14 +99,14 @@ class _Live(StatefulProcessor):
                 if event["seq"] > seen + 1:  # its predecessors may be in the next part
                     if not self.early.containsKey((event["seq"],)):
                         early += 1
-                    self.early.updateValue((event["seq"],), (event["type"], event["time"], event["data"]))
+                    self.early.updateValue((event["seq"],), (event["type"], event["time"], event["data"], event["seed_length"]))
                     continue
                 take(event)
                 while early and self.early.containsKey((seen + 1,)):
-                    kind, time, data = self.early.getValue((seen + 1,))
+                    kind, time, data, seed = self.early.getValue((seen + 1,))
                     self.early.removeKey((seen + 1,))
                     early -= 1
-                    take({"session_id": session, "seq": seen + 1, "type": kind, "time": time, "data": data})
+                    take({"session_id": session, "seq": seen + 1, "type": kind, "time": time, "data": data, "seed_length": seed})
             if len(out) > 1000:
                 yield self._frame(out)
                 out.clear()
@@ -161,7 +161,7 @@ def live(log: DataFrame, projections: list[Projection], initial: DataFrame | Non
     provider = "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in (spark.conf.get(provider, None) or ""):
         spark.conf.set(provider, _ROCKS)
-    rows = log.select(F.col("session_id").cast("string").alias("session_id"), *_EVENT[1:])
+    rows = event_rows(log)
     held = None if initial is None else initial.select("session_id", "key", "ver", "seq", "val").groupBy("session_id")
     return rows.groupBy("session_id").transformWithStateInPandas(_Live(projections, policy), LIVE, "Append", "ProcessingTime" if policy else "None", held)
 

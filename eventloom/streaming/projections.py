@@ -27,6 +27,8 @@ class Projection:
     init: Callable[[], Any]
     apply: Callable[[Any, dict], Any]
     view: Callable[[Any], Any] = lambda state: state
+    #: A fork's first ``seed_length`` rows are its parent's: such a projection passes over them.
+    own: bool = False
 
 
 class Registry:
@@ -59,7 +61,13 @@ class Registry:
 
 CHECKPOINT = "session_id string, key string, ver int, seq bigint, val string"
 CHANGE = "session_id string, key string, seq bigint, value string"
-_EVENT = ["session_id", "seq", "type", "time", "data"]
+_EVENT = ["session_id", "seq", "type", "time", "data", "seed_length"]
+
+
+def event_rows(log: DataFrame) -> DataFrame:
+    """What folds read of a log; without ``seed_length`` no session is a fork."""
+    seed = F.coalesce(F.col("seed_length").cast("bigint"), F.lit(0)) if "seed_length" in log.columns else F.lit(0).cast("bigint")
+    return log.select(F.col("session_id").cast("string").alias("session_id"), *_EVENT[1:5], seed.alias("seed_length"))
 
 
 def _step(projections: list[Projection], states: dict[str, tuple[int, Any]], event: dict) -> None:
@@ -70,7 +78,7 @@ def _step(projections: list[Projection], states: dict[str, tuple[int, Any]], eve
             continue
         if event["seq"] != seen + 1:
             raise ValueError(f"session {event['session_id']}: row {event['seq']} after {seen}")
-        states[p.key] = (event["seq"], p.apply(state, event))
+        states[p.key] = (event["seq"], state if p.own and event["seq"] < event["seed_length"] else p.apply(state, event))
 
 
 _HELD = "array<struct<key: string, seq: bigint, val: string>>"
@@ -108,7 +116,7 @@ def fold(log: DataFrame, projections: list[Projection], checkpoints: DataFrame |
     its projection is folded from the start.  ``ends`` (``session_id, end``)
     says where the logs end; without it two columns of the log are read for it.
     """
-    rows = log.select(F.col("session_id").cast("string").alias("session_id"), *_EVENT[1:])
+    rows = event_rows(log)
     versions = {p.key: p.version for p in projections}
     done = None
     if checkpoints is not None:
