@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..folders import new_folder
-from ..operators import index
-from ..schema import search_documents, session_events, table
-from ..sources import appends
+from ..operators import index, surface
+from ..schema import search_documents, session_events, store_log, stored_session, table
+from ..sources import appends, jsonl
 from . import query
 from .search import _DOCS, _LOG, _TOKENS, _TWO
 
@@ -59,3 +59,36 @@ def repaired_log(spark, sf_dir):
     closers = torn.select("session_id", F.col("from").alias("seq"), F.lit("turn/end").alias("type"), F.lit(0).cast("bigint").alias("time"), F.lit(None).cast("string").alias("data"))
     appends.append(closers, folder, cuts=torn)
     return appends.read(spark, folder).select("session_id", "seq", "type", "time")
+
+
+@query(f"SELECT session_id, seq, type, time FROM {_LOG}")
+def written_log(spark, sf_dir):
+    """The test log as files of JSON lines, of many sessions each, and read again by line."""
+    log, folder = session_events(spark, sf_dir), new_folder(spark, "lines")
+    heads = log.where("seq = 0").select(F.col("session_id").alias("id"), F.col("time").alias("created_at"))
+    jsonl.write(heads, log.select("session_id", "seq", "type", "time", F.to_json(F.struct(F.col("data").alias("text"))).alias("data")), folder)
+    lines = jsonl.log_lines(spark, folder)
+    names = jsonl.headers(lines).select("path", F.col("id").alias("session_id"))
+    return jsonl.events(lines).join(names, "path").select("session_id", "seq", "type", "time")
+
+
+@query(f"SELECT seq, type, time FROM {_LOG} WHERE session_id = '7' AND seq >= 3")
+def stored_session_tail(spark, sf_dir):
+    """One session's later rows, from its bucket of a stored log."""
+    folder = new_folder(spark, "stored")
+    store_log(session_events(spark, sf_dir).drop("value"), folder, 5000)
+    return stored_session(spark, folder, "7").where("seq >= 3").select("seq", "type", "time")
+
+
+@query(
+    """WITH e AS (SELECT event_id AS seq, event_id // 50 * 50 + 49 AS heir, max(event_id) OVER () AS top FROM events), f AS (SELECT seq, CASE WHEN seq % 50 < 49 AND heir <= top THEN heir END AS replaced_by FROM e)
+        SELECT seq, CASE WHEN replaced_by IS NULL THEN 'current' ELSE 'shadowed' END AS surface, CASE WHEN replaced_by IS NULL THEN row_number() OVER (PARTITION BY replaced_by IS NULL ORDER BY seq) - 1 END AS position, replaced_by FROM f"""
+)
+def long_surface(spark, sf_dir):
+    """All events as one session, of which every fiftieth row replaces those since the last such: folded in blocks."""
+    seq = F.col("event_id")
+    replaces = seq % 50 == 49
+    op = F.when(replaces, F.struct(F.lit("replace").alias("op"), (seq - 49).alias("start"), (seq - 1).alias("end"))).otherwise(F.struct(F.lit("append").alias("op"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end")))
+    sources = F.when(replaces, F.sequence(seq - 49, seq - 1)).otherwise(F.array().cast("array<bigint>"))
+    log = table(spark, sf_dir, "events").select(F.lit("all").alias("session_id"), seq.alias("seq"), F.lit("user/message").alias("type"), op.alias("surface_op"), sources.alias("source_event_seqs"))
+    return surface.fold(log, block_rows=500).drop("session_id", "error")
