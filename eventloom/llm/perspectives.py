@@ -6,7 +6,9 @@ the others are named users.  What the assistant says is marked as the target.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SYSTEM_ROLES = ("system",)
@@ -17,6 +19,30 @@ BLOCK_TURNS = 256
 END = "<|end|>\n"
 
 
+#: What a role in a header may not hold, and what stands for it.
+_IN_ROLES = (("%", "%25"), ("|", "%7C"), ("\n", "%0A"), ("\r", "%0D"))
+
+
+def escaped(text: Column) -> Column:
+    """A text in which no mark can begin: ``<|`` becomes ``<\\|``, and one that looks like that a backslash more."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    """The text that :func:`escaped` got."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+
+
+def role_name(role: Column) -> Column:
+    """A role as it stands in a header, without bars and line breaks; percent signs tell which were there."""
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _IN_ROLES, role)
+
+
+def role_of_name(name: Column) -> Column:
+    """The role that :func:`role_name` got."""
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[1]), F.lit(pair[0])), reversed(_IN_ROLES), name)
+
+
 def rotate(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system_roles: tuple[str, ...] = SYSTEM_ROLES) -> DataFrame:
     """One row for each message of each participant's rendering.
 
@@ -33,22 +59,22 @@ def rotate(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     system messages alone has no participant and no rendering.  Other columns
     are ignored.
 
-    ``<|`` in a text or a role is written ``< |``, so that neither can end a
-    message or begin another speaker's.
+    Texts are :func:`escaped` and roles in headers written by :func:`role_name`, so
+    that neither can end a message or begin another speaker's; both can be turned
+    back.
 
     Lengths are summed in two steps, within blocks of turns and over blocks, so
     a long conversation is not sorted by one task; messages of one turn, or
     without a turn, are one block.  A very long text is a message of its own
     length.
     """
-    plain = lambda c: F.replace(F.col(c).cast("string"), F.lit("<|"), F.lit("< |"))
     turns = conversations.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(plain(role_col), F.lit("unknown")).alias("role"), F.coalesce(plain(text_col), F.lit("")).alias("text")
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(escaped(F.col(text_col).cast("string")), F.lit("")).alias("text")
     ).where(F.col("conv_id").isNotNull())
     is_system = F.col("role").isin(*system_roles)
     speakers = turns.where(~is_system).select("conv_id", F.col("role").alias("speaker")).distinct()
     own = F.col("role") == F.col("speaker")
-    head = F.when(is_system, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user:"), "role", F.lit("|>\n")))
+    head = F.when(is_system, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user:"), role_name(F.col("role")), F.lit("|>\n")))
     block = F.coalesce(F.floor(F.col("turn").cast("double") / BLOCK_TURNS), F.lit(-1)).alias("block")
     rows = turns.join(speakers, "conv_id").select("conv_id", "speaker", "turn", "role", "text", block, F.concat(head, "text", F.lit(END)).alias("message"), F.when(own & ~is_system, F.length(head)).alias("target_start"))
     key = ["conv_id", "speaker"]
