@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import public_tokenizers
 import pytest
@@ -19,7 +20,8 @@ def world(spark, tmp_path_factory):
         w = docs[k].split()
         w[7] = rng.choice(["scum", "idiot"])
         docs[k] = " ".join(w)
-    labels = [(k, 1, int(k % 6 == 0)) for k in range(300) if k % 4]
+    # Labels of a quarter of the rows aren't learnt from, by the checksums of their ids.
+    labels = [(k, 1, int(k % 6 == 0)) for k in range(300)]
     docs |= {300 + k: docs[k + 1] for k in range(3)} | {310: docs[5].replace(docs[5].split()[60], "edited")}
     passage = prose(60)
     docs |= {k: f"{prose(70)} {passage} {prose(70)}" for k in (320, 321)}
@@ -112,3 +114,12 @@ def test_encoding_round_trip(spark, world):
     table = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     r = coded.where("doc_id = 5").first()
     assert b"".join(table.bytes[table.places[i] : table.places[i + 1]].tobytes() for i in r.token_ids).decode() == world[1][5]
+
+
+def test_held_out_labels_teach_nothing(spark, world, monkeypatch):
+    taught = []
+    real = corpus_pipeline.toxicity.fit
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda docs, labels: (taught.append({r.doc_id for r in docs.select("doc_id").collect()}), real(docs, labels))[1])
+    folder, docs, _ = world
+    corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert taught == [{k for k in docs if zlib.crc32(str(k).encode()) % 4 != 2}]
