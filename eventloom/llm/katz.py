@@ -4,8 +4,9 @@ Counts are kept in tables partitioned by what they are asked for: words by
 their hash, bigrams and longer by their history.  Documents are dealt out in
 chunks; a chunk asks each partition once for all its different words, then for
 all its different bigrams and so on, and gets the counts of the whole corpus
-back in the order in which it asked.  So no table of the vocabulary goes anywhere whole, and a
-frequent word costs one entry a chunk.
+back in the order in which it asked.  What a chunk must know of a history as a whole comes
+from one partition.  So no table of the vocabulary goes anywhere whole, and a frequent word
+costs one entry a chunk.
 """
 
 from __future__ import annotations
@@ -164,13 +165,14 @@ class Level:
         self.gram_of = rank[self.gram_of]
         self.head, self.tail, self.part = head[order], tail[order], part[order]
         self.low = low[self.asked[first]][order]
-        # Every partition that may have any of a history is asked about it.
+        # One partition, its home, is asked about a history as a whole; the others that
+        # have n-grams of it send their sums there.
         used = np.unique(history[self.history_count > 0])
-        copies = share[used].astype(np.int64)
-        spread, number = np.repeat(used, copies), ragged(np.zeros(len(used), np.int64), copies).astype(np.uint64)
-        place = (mix(hashes[spread] + number * _SALT) % parts).astype(np.int64)
-        both = np.unique(place * max(n, 1) + spread)
+        self.home = np.full(n + 1, -1)
+        self.home[used] = (mix(hashes[used]) % parts).astype(np.int64)
+        both = np.unique(np.r_[self.home[used] * max(n, 1) + used, self.part * max(n, 1) + self.head])
         self.side_part, self.side_head = both // max(n, 1), both % max(n, 1)
+        self.at_home = self.home[self.side_head] == self.side_part
         self.held = np.zeros(n + 1, bool)
         self.held[history[~chunk.learnt]] = True
 
@@ -185,10 +187,10 @@ class Level:
             c, d = grams.get(part, (0, 0))
             heads = self.side_head[a:b]
             degree = np.bincount(np.searchsorted(heads, self.head[c:d]), minlength=len(heads)).astype(np.int32)
-            yield part, [names[heads], self.held[heads], degree, ids[self.tail[c:d]], seen[c:d], self.low[c:d], size[heads] if len(size) else size]
+            yield part, [names[heads], self.held[heads] & self.at_home[a:b], self.home[heads], degree, ids[self.tail[c:d]], seen[c:d], self.low[c:d], size[heads] if len(size) else size]
 
     def learn(self, stats: np.ndarray, totals: np.ndarray, low: np.ndarray, few: np.ndarray, mass: np.ndarray) -> None:
-        n, wanted = len(self.head_count), self.side_head[self.held[self.side_head]]
+        n, wanted = len(self.head_count), self.side_head[self.held[self.side_head] & self.at_home]
         self.stats, self.factors, self.totals = stats, discounts(stats[2:]), totals
         small = np.zeros(n + 1, bool)
         np.logical_or.at(small, self.side_head, low)
@@ -289,9 +291,10 @@ class _Grams:
         key = mix(np.repeat(head, degree) ^ mix(tail))
         _, self.at, first = _distinct(key)
         self.total = np.bincount(self.at, _join(asked, "counts"), len(first)).astype(np.int64)
-        names, self.side_of, _ = _distinct(head)
+        self.names, self.side_of, entry = _distinct(head)
+        self.home = _join(asked, "homes")[entry]
         self.head = np.repeat(self.side_of, degree)[first]
-        self.low, self.heads = _join(asked, "known")[first], len(names)
+        self.low, self.heads = _join(asked, "known")[first], len(self.names)
         self.size = np.zeros(self.heads, np.int64)
         if "sizes" in asked.column_names:
             self.size[self.side_of] = _join(asked, "sizes")
@@ -354,7 +357,7 @@ def _counted(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_b
         return chunk
 
     def ask(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-        names = "heads wanted degrees tails counts known".split() + ["sizes"] * (level > 2)
+        names = "heads wanted homes degrees tails counts known".split() + ["sizes"] * (level > 2)
 
         def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
             chunk = informed(docs, answers, level - 1)
@@ -377,7 +380,7 @@ def _counted(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_b
     for level in range(2, order + 1):
         if level > 2:
             answers = answers.unionByName(_answered(grams[-1], level - 1), allowMissingColumns=True)
-        schema = "part int, chunk int, heads binary, wanted array<boolean>, degrees binary, tails binary, counts binary, known binary, " + "sizes binary, " * (level > 2) + "stats array<bigint>"
+        schema = "part int, chunk int, heads binary, wanted array<boolean>, homes binary, degrees binary, tails binary, counts binary, known binary, " + "sizes binary, " * (level > 2) + "stats array<bigint>"
         grams.append(chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask(level), schema).repartition("part"))
     return _Counts(chunked, asked, grams, answers, parts, informed)
 
@@ -385,13 +388,28 @@ def _counted(docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_b
 def _answered(grams: DataFrame, level: int) -> DataFrame:
     """What the chunks are told of the n-grams of ``level`` words: counts, and of histories what their shares leave."""
 
-    def answer(asked: pa.Table) -> pa.Table:
+    def sums(asked: pa.Table) -> tuple[_Grams, np.ndarray, np.ndarray]:
+        """Of each history, as far as this partition has it: its n-grams of each small count, and their shorter probabilities."""
         g = _Grams(asked)
         stats = asked.column("stats")[0].values.to_numpy(zero_copy_only=False)
         seen = g.total > 0
         few = np.stack([np.bincount(g.head[g.total == r], minlength=g.heads) for r in range(1, DISCOUNTED + 1)], 1)
         shorter = Unigrams.of(stats).probability(g.low[seen]) if level == 2 else _cut(g.low[seen], discounts(stats[2:])) / g.size[g.head[seen]]
-        mass = np.bincount(g.head[seen], shorter, g.heads)
+        return g, few, np.bincount(g.head[seen], shorter, g.heads)
+
+    def abroad(asked: pa.Table) -> pa.Table:
+        """The sums of histories that are at home in another partition: a row for each, whatever the number of chunks."""
+        g, few, mass = sums(asked)
+        away = np.flatnonzero(g.home != asked.column("part")[0].as_py())
+        return _table("part head few mass", [pa.array(g.home[away], pa.int32()), pa.array(g.names[away].view(np.int64)), _list(np.full(len(away), DISCOUNTED), few[away].reshape(-1), pa.int64()), pa.array(mass[away])])
+
+    def answer(asked: pa.Table, others: pa.Table) -> pa.Table:
+        g, few, mass = sums(asked)
+        if others.num_rows:
+            order = np.argsort(g.names)
+            place = order[np.searchsorted(g.names[order], others.column("head").to_numpy().view(np.uint64))]
+            np.add.at(few, place, _join(others, "few").reshape(-1, DISCOUNTED))
+            np.add.at(mass, place, others.column("mass").to_numpy())
         wanted = _join(asked, "wanted").astype(bool)
         sizes, at = _sizes(asked, "wanted"), g.side_of
         edges = np.r_[0, np.cumsum(sizes)]
@@ -405,7 +423,8 @@ def _answered(grams: DataFrame, level: int) -> DataFrame:
     def tally(asked: pa.Table) -> pa.Table:
         return _stats_row(_Grams(asked).total)
 
-    told = _with_stats(grams.groupBy("part").applyInArrow(answer, "chunk int, part int, totals binary, low array<boolean>, few binary, mass array<double>"), grams.groupBy("part").applyInArrow(tally, "stats array<bigint>"))
+    elsewhere = grams.groupBy("part").applyInArrow(abroad, "part int, head bigint, few array<bigint>, mass double")
+    told = _with_stats(grams.groupBy("part").cogroup(elsewhere.groupBy("part")).applyInArrow(answer, "chunk int, part int, totals binary, low array<boolean>, few binary, mass array<double>"), grams.groupBy("part").applyInArrow(tally, "stats array<bigint>"))
     return told.withColumn("level", F.lit(level))
 
 
@@ -429,10 +448,12 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
 
     Texts are dealt out once, in chunks of about ``chunk_bytes``; the tables have
     half as many partitions.  A task needs some thirty times a chunk's bytes.  A
-    question is a row for a chunk and a partition that has any of its n-grams, so
-    there are never more rows than different n-grams in all chunks: the work is
-    in proportion to the corpus, and larger chunks, on executors with more
-    memory, only put more n-grams into a row.  A null text is empty: one token.
+    question is a row for a chunk and a partition that has any of its n-grams or is
+    the home of one of its histories, so there are never more rows than different
+    n-grams and histories in all chunks: the work is in proportion to the corpus, and
+    larger chunks, on executors with more memory, only put more n-grams into a row.
+    The n-grams of a frequent history lie in several partitions; each sends its sums
+    to the history's home, once for all chunks.  A null text is empty: one token.
     A very long text is one chunk, and so are all rows of one id and text.  Where ``train`` is
     null the row isn't learnt from.  Repeated rows count each.  Other columns are
     ignored.

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,21 @@ def test_words_of_equal_polynomials_are_told_apart(spark):
     table = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id bigint, text string")
     got = {r.doc_id: r.n_known for r in katz.score(table, F.col("doc_id") == 1, order=3).collect()}
     assert got == {1: 2, 2: 1, 3: 2}
+
+
+def test_questions_follow_the_text_whatever_the_partitions(rows):
+    """Of one chunk: entries of n-grams and histories don't grow with the number of partitions."""
+    docs = pa.table({"text": pa.array([t for _, t in rows] * 3), "train": pa.array([k % 4 != 1 for k, _ in rows] * 3)})
+    entries = {}
+    for parts in (1, 16, 256, 4096, 1 << 20):
+        chunk = katz.Chunk(docs, parts)
+        seen = np.bincount(chunk.word_of, chunk.learnt, len(chunk.words)).astype(np.int64)
+        chunk.learn_words(seen, katz._tally(seen))
+        asked = list(chunk.ask(np.arange(len(chunk.words)) + 1))
+        level = chunk.levels[0]
+        grams, heads = len(level.head), len(np.unique(level.history[level.history_count > 0]))
+        entries[parts] = sum(len(x[1][0]) for x in asked)
+        assert len(asked) <= entries[parts] <= grams + heads
+        assert sum(len(x[1][4]) for x in asked) == grams  # each n-gram in one place
+        assert sum(level.at_home) == heads  # each history at one home
+    assert len(np.unique(level.part[level.head == np.bincount(level.head).argmax()])) > 10  # a frequent history's n-grams are spread
