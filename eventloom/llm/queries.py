@@ -111,21 +111,13 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def op12_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults of each damaged conversation, the cost and audit string of its repair, and a digest of the repaired rows.
-
-    The digest takes a conversation's repaired text into one row.
-    """
+    """Faults of each damaged conversation, the cost and audit string of its repair, and a digest of the repaired rows."""
     conversations = table(spark, sf_dir, "conversations")
-    edits = conversation_repair.repair(damaged(conversations))
-    line = F.when(F.col("new_role").isNotNull(), F.concat_ws(":", "new_role", "text")).alias("line")
-    rows = edits.select("conv_id", "turn", "fault", "illegal", "cost", F.struct("block", "place", "edit", line).alias("row"))
+    found = conversation_repair.digests(damaged(conversations)).withColumnRenamed("conv_id", "_id")
     # Conversations of which no row is left are there by their ids.
-    ids = conversations.select("conv_id").distinct().select("conv_id", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:]))
-    turns = F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")
-    counted = [F.count_if(F.col("fault") == f).alias(f) for f in ("blank", "duplicate", "truncated")]
-    grouped = rows.unionByName(ids).groupBy("conv_id").agg(F.coalesce(turns, F.lit(0)).cast("bigint").alias("gaps"), *counted, F.count_if("illegal").alias("illegal"), F.coalesce(F.sum("cost"), F.lit(0)).cast("bigint").alias("cost"), F.array_sort(F.collect_list("row")).alias("rows"))
-    lines = F.filter(F.transform("rows", lambda r: r["line"]), lambda x: x.isNotNull())
-    return grouped.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", F.array_join(F.transform("rows", lambda r: r["edit"]), "").alias("audit"), F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+    rows = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    none = {c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return rows.select("conv_id", *none.values(), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
 def op13_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
