@@ -340,8 +340,8 @@ def block_assembly(spark, sf_dir):
     index = F.ascii("type") * 1000 + F.ascii(F.right("type", F.lit(1)))
     data = F.to_json(F.struct(F.lit("text-delta").alias("kind"), index.alias("index"), F.col("data").alias("text")))
     states = projections.fold(session_events(spark, sf_dir).withColumn("data", data).withColumn("type", F.lit("assistant/chunk")), [folds.BLOCKS])
-    blocks = F.map_entries(F.from_json("val", "blocks map<string, struct<text: string>>")["blocks"])
-    ordered = F.array_sort(F.transform(blocks, lambda b: F.struct(b["key"].cast("int").alias("k"), b["value"]["text"].alias("t"))))
+    blocks = F.map_entries(F.from_json("val", "blocks map<string, struct<texts: array<string>>>")["blocks"])
+    ordered = F.array_sort(F.transform(blocks, lambda b: F.struct(b["key"].cast("int").alias("k"), F.array_join(b["value"]["texts"], "").alias("t"))))
     return states.select("session_id", F.size(blocks).cast("bigint").alias("blocks"), F.array_join(ordered["t"], "").alias("text"))
 
 
