@@ -120,6 +120,7 @@ def inline(text: str, cap: int, place: str) -> str:
         return text
 
     def note(n: int) -> str:
+        # A fixed text.
         return f"({n} bytes omitted. Full result stored at: {place})"
 
     head, tail, omitted = keep_bytes(text, max(0, cap - len(note(total).encode()) - 2), "both")

@@ -53,9 +53,13 @@ def fallback_title(text: Column, words: int, most: int) -> Column:
     return F.regexp_replace(cut_bytes(first_words(clean_title(text), words), most), f"{SPACE_CLASS}+$", "")
 
 
+#: What marks a line that was cut; the second ends with the limit and `` chars)``.
+LINE_CUT, SHOWN_CUT = " (line truncated)", "... (line truncated to "
+
+
 def preview(line: Column, most: int) -> Column:
     """A line within ``most`` bytes, marked where it was cut."""
-    return F.concat(cut_bytes(line, most), F.when(F.octet_length(line) > most, F.lit(" (line truncated)")).otherwise(F.lit("")))
+    return F.concat(cut_bytes(line, most), F.when(F.octet_length(line) > most, F.lit(LINE_CUT)).otherwise(F.lit("")))
 
 
 def shown_line(line: Column, most: int) -> Column:
@@ -64,7 +68,7 @@ def shown_line(line: Column, most: int) -> Column:
     start = F.replace(F.substring(units, 1, most), F.lit("\x01"), F.lit(""))
     divided = F.substring(units, most + 1, 1) == "\x01"
     start = F.when(divided, F.left(start, F.length(start) - 1)).otherwise(start)
-    return F.when(utf16_length(line) > most, F.concat(start, F.lit(f"... (line truncated to {most} chars)"))).otherwise(line)
+    return F.when(utf16_length(line) > most, F.concat(start, F.lit(f"{SHOWN_CUT}{most} chars)"))).otherwise(line)
 
 
 #: How image tags of benchmark cases are written.

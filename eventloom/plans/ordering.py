@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ordering as o
+from ..operators import sessions as n
 from ..schema import conversation_log, table
 from . import query
 from .search import _CONV
@@ -64,3 +65,31 @@ def move_before(spark, sf_dir):
     item, first = F.element_at("items", (F.col("conv_id") % F.size("items") + 1).cast("int")), F.element_at("items", 1)
     moved = F.when(item == first, o.move_before(F.col("items"), item, None)).otherwise(o.move_before(F.col("items"), item, F.when(item != first, first).otherwise(F.element_at("items", -1))))
     return rows.select("conv_id", F.array_join(moved.cast("array<string>"), ",").alias("items"))
+
+
+@query("SELECT conv_id AS id, max(turn) AS updated_at FROM conversations GROUP BY conv_id ORDER BY updated_at DESC, id LIMIT 20")
+def recent_sessions(spark, sf_dir):
+    """The twenty sessions with the latest change."""
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("updated_at"))
+    return o.by_recency(rows).limit(20)
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS created_at FROM events ORDER BY created_at DESC, id LIMIT 20")
+def newest_sessions(spark, sf_dir):
+    """The twenty rows that were made last."""
+    made = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return o.by_creation(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), made.alias("created_at"))).limit(20)
+
+
+@query("SELECT event_id AS id, CASE WHEN value > 2 THEN event_id * 3 % 1009 END AS finished FROM events ORDER BY finished IS NULL DESC, CASE WHEN finished IS NULL THEN event_id END, finished DESC, event_id LIMIT 200")
+def job_list(spark, sf_dir):
+    """The first two hundred jobs: live ones by start, then those that ended last."""
+    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("started"), F.when(F.col("value") > 2, F.col("event_id") * 3 % 1009).alias("finished"))
+    return n.job_order(jobs).select("id", "finished").limit(200)
+
+
+@query("WITH c AS (SELECT conv_id, list(turn) AS l, max(turn) AS top FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(list_filter(range(0, top + 1), lambda t: NOT list_contains(l, t)), ',') AS missing FROM c")
+def missing_turns(spark, sf_dir):
+    """Turns that a conversation should have and hasn't."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("turn").alias("l"), F.max("turn").alias("top"))
+    return rows.select("conv_id", F.array_join(F.array_except(F.sequence(F.lit(0).cast("bigint"), "top"), "l").cast("array<string>"), ",").alias("missing"))

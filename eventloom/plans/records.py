@@ -387,3 +387,16 @@ def without_duplicates(spark, sf_dir):
 def repeated_keys(spark, sf_dir):
     """Types that a session has more than once."""
     return j.duplicates(session_events(spark, sf_dir), ["session_id", "type"])
+
+
+@query(f"SELECT session_id, 'g' || (max(seq) - max(seq) % 4) AS goal, CASE WHEN max(seq) % 4 = 0 THEN 'active' ELSE 'complete' END AS phase, CAST(CASE WHEN max(seq) % 4 = 0 THEN 1 ELSE 2 END AS BIGINT) AS revision, max(seq) // 4 + 1 AS goals FROM {_LOG} GROUP BY session_id")
+def goal_fold(spark, sf_dir):
+    """A goal is made at every fourth row and completed at the next."""
+    seq = F.col("seq")
+    made = seq - seq % 4
+    goal = F.struct(F.concat(F.lit("g"), made.cast("string")).alias("id"), (seq % 4 + 1).alias("revision"), F.when(seq % 4 == 0, "active").otherwise("complete").alias("phase"), F.lit(3).alias("maxGoalRounds"))
+    data = F.to_json(F.struct(F.when(seq % 4 == 0, "create").otherwise("complete").alias("operation"), goal.alias("goal"), F.lit(0).alias("roundsStarted"), made.alias("createdAt"), seq.alias("updatedAt")))
+    kind = F.when(seq % 4 < 2, "goal/change").otherwise("turn/start")
+    states = projections.fold(session_events(spark, sf_dir).withColumn("data", data).withColumn("type", kind), [folds.GOALS])
+    state = F.from_json("val", "goal struct<id: string, phase: string, revision: bigint>, ids array<string>")
+    return states.select("session_id", state["goal"]["id"].alias("goal"), state["goal"]["phase"].alias("phase"), state["goal"]["revision"].alias("revision"), F.size(state["ids"]).cast("bigint").alias("goals"))

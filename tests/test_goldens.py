@@ -239,7 +239,7 @@ def test_byte_retention_and_paths():
     assert p.phrase_spans("a a a b".split(), ["a", "a"]) == 1 and p.fold("Café ＡＢ") == ["cafe", "ａｂ"]
     assert p.canonical('{"b": 1, "a": 2}') == p.canonical('{"a":2,"b":1}') and p.canonical("{") is None
     assert p.fuzzy_score("ab", "xyz") is None and p.fuzzy_score("oc", "open-chat") > p.fuzzy_score("oc", "rococo")
-    assert p.fuzzy_score("oc", "open-chat") == 9 + 9 - 3 and p.fuzzy_score("oc", "rococo") == 1 - 1 + 1 + 4 and p.fuzzy_score("b", "a.b") == 1 - 2
+    assert p.fuzzy_score("oc", "open-chat") == 9 + 9 - 4 and p.fuzzy_score("oc", "rococo") == 1 - 1 + 1 + 4 and p.fuzzy_score("b", "a.b") == 1 - 2
     assert p.unified_diff("a\nb", "a\nc") == "@@ -1,2 +1,2 @@\n a\n-b\n+c"
 
 
