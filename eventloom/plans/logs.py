@@ -146,7 +146,8 @@ def projection_fold(spark, sf_dir):
     seen = projections.Projection("seen", 2, lambda: {"rows": 0, "last": {}}, _seen)
     log = session_events(spark, sf_dir)
     version = F.when(F.col("session_id").cast("bigint") % 2 == 0, 1).otherwise(2)
-    held = projections.fold(log.where("seq < 10"), [seen]).withColumn("ver", version)
+    # Stored, as checkpoints are.
+    held = traces._kept(projections.fold(log.where("seq < 10"), [seen]).withColumn("ver", version))
     state = F.from_json("val", "rows bigint, last map<string, bigint>")
     return projections.fold(log, [seen], held).select("session_id", state["rows"].alias("rows"), state["last"]["view"].alias("view"), state["last"]["click"].alias("click"), "seq")
 
