@@ -212,18 +212,22 @@ def best_per_group(df: DataFrame, group: str, *order: Column) -> DataFrame:
 
 
 def merge_hooks(results: DataFrame) -> DataFrame:
-    """One decision of several hooks (``event, position, decision, reason, stop, context``): ``event, decision, stop, contexts``.
+    """One decision of several hooks (``event, position, decision, reason, stop, context``): ``event, decision, reason, stop, contexts``.
 
-    Deny outranks ask, ask outranks allow; the first stop wins; ``contexts`` counts
-    those given.  The texts stay rows, see :func:`hook_texts`.
+    Deny outranks ask, ask outranks allow; the reasons of the winning rank are joined
+    by line breaks in the order of position; the first stop wins; ``contexts`` counts
+    those given, whose texts stay rows, see :func:`hook_texts`.  A task holds no more
+    of an event than its joined reasons; the other rows are sorted and may spill.
     """
-    grouped = results.withColumn("rank", _hook_rank()).groupBy("event").agg(
+    ranked = results.withColumn("rank", _hook_rank()).withColumn("_top", F.max("rank").over(Window.partitionBy("event")))
+    grouped = ranked.groupBy("event").agg(
         F.max("rank").alias("top"),
+        F.expr("listagg(reason, '\n') WITHIN GROUP (ORDER BY position) FILTER (WHERE rank = _top)").alias("reason"),
         F.min_by(F.when(F.col("stop").isNotNull(), F.col("stop")), F.when(F.col("stop").isNotNull(), F.col("position"))).alias("stop"),
         F.count("context").alias("contexts"),
     )
     decision = F.element_at(F.array(F.lit(None).cast("string"), F.lit("allow"), F.lit("ask"), F.lit("deny")), F.col("top") + 1)
-    return grouped.select("event", decision.alias("decision"), "stop", "contexts")
+    return grouped.select("event", decision.alias("decision"), "reason", "stop", "contexts")
 
 
 def _hook_rank() -> Column:

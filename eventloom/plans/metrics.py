@@ -109,7 +109,7 @@ _HOOKS = f"(SELECT session_id AS event, seq AS position, CASE type WHEN 'error'
 
 @query(
     f"""WITH r AS (SELECT *, CASE decision WHEN 'deny' THEN 3 WHEN 'ask' THEN 2 ELSE 1 END AS rank FROM {_HOOKS}), t AS (SELECT *, max(rank) OVER (PARTITION BY event) AS top FROM r)
-        SELECT event, max(CASE top WHEN 3 THEN 'deny' WHEN 2 THEN 'ask' ELSE 'allow' END) AS decision, count(reason) FILTER (WHERE position % 3 = 0) AS contexts, arg_min(stop, position) FILTER (WHERE stop IS NOT NULL) AS stop FROM t GROUP BY event"""
+        SELECT event, max(CASE top WHEN 3 THEN 'deny' WHEN 2 THEN 'ask' ELSE 'allow' END) AS decision, string_agg(reason, chr(10) ORDER BY position) FILTER (WHERE rank = top) AS reason, count(reason) FILTER (WHERE position % 3 = 0) AS contexts, arg_min(stop, position) FILTER (WHERE stop IS NOT NULL) AS stop FROM t GROUP BY event"""
 )
 def hook_merge(spark, sf_dir):
     return m.merge_hooks(_hooks(spark, sf_dir))

@@ -106,3 +106,10 @@ def test_text_functions(spark):
     assert one(e.same_header(F.col("a"), F.col("b")), a='{"system":"","tools":[]}', b="{}") is True
     refs = spark.createDataFrame([("s", '{"content":[{"type":"image","ref":"m1"},{"type":"image","ref":"m1"}]}')], "session_id string, data string")
     assert rows(e.image_refs(refs), "media_id") == [("m1",)]
+
+
+def test_merged_hooks_give_the_reasons_that_won(spark):
+    given = [("a", 3, "deny", "late", None, None), ("a", 0, "allow", "fine", "s0", "c0"), ("a", 1, "deny", "early", "s1", None), ("a", 2, "deny", None, None, "c2"), ("b", 0, "ask", None, None, None), (None, 1, "allow", "y", None, None), (None, 0, "allow", "x", None, None)]
+    results = spark.createDataFrame(given, "event string, position int, decision string, reason string, stop string, context string").repartition(3)
+    got = metrics.merge_hooks(results)
+    assert set(rows(got, "event", "decision", "reason", "stop", "contexts")) == {("a", "deny", "early\nlate", "s0", 2), ("b", "ask", None, None, 0), (None, "allow", "x\ny", None, 0)}
