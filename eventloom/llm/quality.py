@@ -27,9 +27,8 @@ BANDS = (
     (1000, 0.47, 0.72), (1500, 0.453, 0.68), (2000, 0.445, 0.66), (3000, 0.438, 0.62), (4000, 0.427, 0.60), (6000, 0.418, 0.56), (8000, 0.408, 0.55),
     (12000, 0.404, 0.54), (16000, 0.397, 0.53), (24000, 0.393, 0.52), (32000, 0.386, 0.51), (48000, 0.38, 0.51), (100000, 0.37, 0.51),
 )
-#: Labelled texts that bands are measured on, at most, and how many a length needs
-#: for a band of its own.
-MAX_LABELLED, MIN_LABELLED = 4000, 40
+#: How many measures a length needs for a band of its own.
+MIN_LABELLED = 40
 #: What is added to the range of the good texts, as a share of its width.
 MARGIN = 0.15
 #: A text is rejected when more than this share of its chunks lies outside the band.
@@ -115,29 +114,31 @@ def repeated_lines(data: np.ndarray, docs: np.ndarray, words: Words) -> np.ndarr
     return np.bincount(line_doc[dup], minlength=n)
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", bands=BANDS, most: int = MAX_LABELLED, chunk_bytes: int = CHUNK_BYTES) -> tuple[tuple[float, float, float], ...]:
+def fit_bands(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", bands=BANDS, chunk_bytes: int = CHUNK_BYTES) -> tuple[tuple[float, float, float], ...]:
     """Bands of the lengths of ``bands``, measured on texts of ``docs`` with a label of 1.
 
-    At most ``most`` texts, those of the smallest hashes of their ids, whole and
-    in chunks of every length in ``bands`` up to ``chunk_bytes``.  A band reaches
-    from the least to the greatest ratio, and ``MARGIN`` of that range beyond
-    both; a length with fewer than ``MIN_LABELLED`` measures keeps the band it
-    has in ``bands``.  Hold rows out by leaving them out.  Null ids, texts and
-    labels aren't used; of several labels of an id the least counts.
+    Every such text counts, whole and in a chunk of every length in ``bands`` up
+    to ``chunk_bytes``.  A band reaches from the least to the greatest ratio, and
+    ``MARGIN`` of that range beyond both; a length with fewer than
+    ``MIN_LABELLED`` measures keeps the band it has in ``bands``.  Hold rows out
+    by leaving them out.  Null ids, texts and labels aren't used; of several
+    labels of an id the least counts.
+
+    Ratios, not texts, meet the labels: each row of ``docs`` is measured where it
+    lies, and a row for each band is what is left.
     """
-    good = labels.select(F.col(id_col).alias("id"), F.col(quality_col).cast("int").alias("mark")).where("id is not null and mark is not null").groupBy("id").agg(F.min("mark").alias("mark")).where("mark = 1")
-    # At most ``most`` ids.
-    chosen = F.broadcast(good.orderBy(F.xxhash64("id"), "id").limit(most).select("id"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(chosen, "id")
+    good = labels.select(F.col(id_col).alias("id"), F.col(quality_col).cast("int").alias("mark")).where("id is not null and mark is not null").groupBy("id").agg(F.min("mark").alias("mark")).where("mark = 1").select("id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     edges = np.array([b[0] for b in bands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             data, at = buffers(batch.column(1))
-            rows, ratios = [], []
+            owners, rows, ratios = [], [], []
             for size in (0, *(int(e) for e in edges if 0 < e <= chunk_bytes), chunk_bytes):
                 if not size:
-                    some = np.diff(at) > 0
+                    some = np.flatnonzero(np.diff(at))
+                    owners.append(some)
                     rows.append(np.searchsorted(edges, np.diff(at)[some], "right") - 1)
                     ratios.append(compression(data, at)[0][some])
                     continue
@@ -145,11 +146,13 @@ def fit_bands(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
                 long = np.flatnonzero(np.diff(at) > size)
                 first = at[long] + (np.diff(at)[long] - size) // 2
                 pieces = data[ragged(first, np.full(len(long), size))]
+                owners.append(long)
                 rows.append(np.full(len(long), np.searchsorted(edges, size, "right") - 1))
                 ratios.append(compression(pieces, np.arange(len(long) + 1) * size, size)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows), pa.int64()), pa.array(np.concatenate(ratios), pa.float64())], names=["row", "ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(owners), pa.int64())), pa.array(np.concatenate(rows), pa.int64()), pa.array(np.concatenate(ratios), pa.float64())], names=["id", "row", "ratio"])
 
-    found = texts.mapInArrow(run, "row bigint, ratio double").groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("ratio").alias("low"), F.max("ratio").alias("high"))
+    each = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, row bigint, ratio double")
+    found = each.join(good, "id").groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("ratio").alias("low"), F.max("ratio").alias("high"))
     measured = {r["row"]: r for r in found.collect()}
     out = []
     for k, band in enumerate(bands):

@@ -136,3 +136,19 @@ def test_bands_and_verdicts_against_one_text_at_a_time(spark):
         assert got[k].kept == kept, k
         rejected += not kept and not got[k].base_failed
     assert rejected
+
+
+def test_no_labelled_text_is_left_out_of_the_bands(spark):
+    """The text that widens a band counts wherever its id's hash lies among many."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    n = 4600
+    odd = {r.id for r in spark.range(n).orderBy(F.xxhash64("id").desc(), F.desc("id")).limit(3).collect()}
+    texts = [(k, "ab " * 50 if k in odd else "".join(rng.choice("etaoinshrdlu ") for _ in range(150))) for k in range(n)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(k, 1) for k in range(n)], "doc_id bigint, quality int")
+    ratios = [len(zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, write_checksum=False).compress(t.encode())) / len(t) for _, t in texts]
+    beyond = quality.MARGIN * (max(ratios) - min(ratios))
+    band = next(b for b in quality.fit_bands(docs, labels) if b[0] == 150)
+    assert band[1:] == pytest.approx((max(min(ratios) - beyond, 0.0), max(ratios) + beyond))
