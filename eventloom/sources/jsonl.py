@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,12 +19,14 @@ from ..schema import EVENT, MAX_SAFE_INTEGER
 
 FORMAT_VERSION = 0
 LEAST_RUN, MOST_RUN = 3, 10_000
+#: What a written line has besides type and payload, or a header besides the id, about.
+_LINE_BYTES = 60
 _HEADER = "type string, version int, id string, createdAt bigint, cwd string, parentSession string, seedLength bigint, origin string, delegationDepth bigint, agentPreset string"
 _LINE = "type string, seq bigint, time bigint, data string, sourceEventSeqs array<bigint>, surfaceOp string, seq0 bigint, time0 bigint, ignorable boolean"
 
 
 #: Files whose bytes aren't lines: they are read by zstd frames.
-PACKED = r"\.zstd?$"
+PACKED, PACKED_FILES = r"\.zstd?$", "*.{zst,zstd}"
 _FRAME, _SKIPPABLE = 0xFD2FB528, range(0x184D2A50, 0x184D2A60)
 
 
@@ -48,7 +51,9 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str, many: bool) -> DataFrame:
     name = F.col("_metadata.file_path")
-    head = F.startswith("value", F.lit("{")) & (F.get_json_object("value", "$.type") == "session") if many else F.lit(False)
+    # Only a line that holds the word, or letters by number, is parsed.
+    named = F.startswith("value", F.lit("{")) & (F.contains("value", F.lit('"session"')) | F.contains("value", F.lit("\\u")))
+    head = F.when(named, F.get_json_object("value", "$.type") == "session") if many else F.lit(False)
     plain = spark.read.text(path).where(~name.rlike(PACKED)).select(name.alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.coalesce(head, F.lit(False)).alias("_head"), F.col("value").alias("line"))
     # A row a split, which the driver knows one by one as it is.
     counted = plain.groupBy("path", "_split").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("_head"), F.col("_row"))).alias("last")).orderBy("path", "_split").collect()
@@ -73,15 +78,20 @@ def _begun(numbered: DataFrame) -> DataFrame:
     kept = ["path", "_split", "number", "_head", "_start", "line"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, start = None, 0
+        last, start = None, 0
         for batch in batches:
-            at = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            starts = []
-            for key, number, head, known in zip(at, *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                if key != split:
-                    split, start = key, known
-                start = number if head else start
-                starts.append(start)
+            if not batch.num_rows:
+                continue
+            paths, splits, numbers, heads, known = (batch.column(k) for k in range(5))
+            path, split = paths.dictionary_encode().indices.to_numpy(), splits.to_numpy()
+            edges = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (split[1:] != split[:-1]), True])
+            # A split's lines come in order: the last header is the greatest number so far.
+            starts = np.where(heads.to_numpy(zero_copy_only=False).astype(bool), numbers.to_numpy(), -1)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                key = (paths[a].as_py(), int(split[a]))
+                starts[a] = max(starts[a], start if key == last else known[a].as_py())
+                starts[a:b] = np.maximum.accumulate(starts[a:b])
+                last, start = key, int(starts[b - 1])
             yield batch.set_column(4, "_start", pa.array(starts, pa.int64()))
 
     return numbered.select(kept).mapInArrow(run, numbered.select(kept).schema)
@@ -118,7 +128,7 @@ def _frames(data: bytes) -> Iterator[tuple[int, int]]:
 def zstd_frames(spark: SparkSession, path: str) -> DataFrame:
     """``path, frame, content, torn`` of the packed files under ``path``.
 
-    The task that reads a file finds its frames without unpacking them; they are
+    No other file is opened.  The task that reads a file finds its frames without unpacking them; they are
     dealt out and unpacked one by one.  What is left after the last whole frame
     makes one row without content that is ``torn``.  A file of more than 2 GB, packed,
     can't be read.
@@ -142,7 +152,7 @@ def zstd_frames(spark: SparkSession, path: str) -> DataFrame:
                 text = None if data.as_py() is None else zstandard.ZstdDecompressor().decompressobj().decompress(data.as_py())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([text], pa.binary()), pa.array([text is None])], names=["path", "frame", "content", "torn"])
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(PACKED)).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", PACKED_FILES).load(path).where(F.col("path").rlike(PACKED)).select("path", "content")
     frames = files.mapInArrow(cut, "path string, frame bigint, data binary").repartition("path", "frame")
     return frames.mapInArrow(unpack_one, "path string, frame bigint, content binary, torn boolean")
 
@@ -178,13 +188,13 @@ def events(lines: DataFrame, strict: bool = True) -> DataFrame:
     ``strict``: a bad line or a hole before the last ``turn/end`` raises an
     error; otherwise such a log keeps what comes before it.
     """
-    parsed = lines.where("number > 0").select("path", "number", F.from_json("line", _LINE).alias("e"), "line")
+    # One pass: lines of one event and runs of them go through the same steps.
+    parsed = lines.where("number > 0").select("path", "number", F.from_json("line", _LINE).alias("e"), F.get_json_object("line", "$.data").alias("data"))
     single = F.col("e.seq").isNotNull() & F.col("e.type").isNotNull()
     packed = F.col("e.seq0").isNotNull() & F.col("e.time0").isNotNull()
-    rows = parsed.withColumn("good", F.coalesce(single | packed, F.lit(False)))
-    ones = rows.where(~F.col("good") | single).select("path", "number", "good", F.col("e.seq").alias("seq"), F.col("e.type").alias("type"), F.col("e.time").alias("time"), F.get_json_object("line", "$.data").alias("data"), F.col("e.sourceEventSeqs").alias("source_event_seqs"), F.col("e.surfaceOp").alias("_op"))
-    runs = unpack(rows.where("good").where(packed & ~single).select("path", "number", F.col("e.type").alias("type"), F.col("e.seq0").alias("seq0"), F.col("e.time0").alias("time0"), F.get_json_object("line", "$.data").alias("data")))
-    both = ones.unionByName(runs.withColumn("good", F.lit(True)), allowMissingColumns=True)
+    run = packed & ~single
+    rows = parsed.select("path", "number", (single | packed).alias("good"), F.col("e.seq").alias("_seq"), F.col("e.type").alias("type"), F.col("e.time").alias("_time"), "data", F.when(~run, F.col("e.sourceEventSeqs")).alias("source_event_seqs"), F.when(~run, F.col("e.surfaceOp")).alias("_op"), F.when(run, F.col("e.seq0")).alias("seq0"), F.when(run, F.col("e.time0")).alias("time0"))
+    both = _unpacked(rows).withColumns({"seq": F.when(F.col("seq0").isNull(), F.col("_seq")).otherwise(F.col("seq")), "time": F.when(F.col("seq0").isNull(), F.col("_time")).otherwise(F.col("time"))}).drop("_seq", "_time", "seq0", "time0")
     kept = cut_tail(both, strict)
     op = F.when(F.col("_op") == "append", F.struct(F.lit("append").alias("op"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))).otherwise(F.from_json("_op", "op string, start bigint, end bigint"))
     return kept.select("path", "seq", "type", "time", "data", "source_event_seqs", op.alias("surface_op"))
@@ -195,11 +205,13 @@ def cut_tail(rows: DataFrame, strict: bool = True) -> DataFrame:
     order = Window.partitionBy("path").orderBy("number", "seq")
     due = F.row_number().over(order) - 1
     marked = rows.withColumn("_due", due).withColumn("_bad", ~F.col("good") | ~F.col("seq").eqNullSafe(due))
-    ends = marked.groupBy("path").agg(F.min(F.when(F.col("_bad"), F.col("_due"))).alias("hole"), F.max(F.when(F.col("type") == "turn/end", F.col("_due"))).alias("committed"))
+    whole = Window.partitionBy("path")
+    ended = marked.withColumn("hole", F.min(F.when(F.col("_bad"), F.col("_due"))).over(whole)).withColumn("committed", F.max(F.when(F.col("type") == "turn/end", F.col("_due"))).over(whole))
+    hole = F.col("hole")
     if strict:
         torn = F.coalesce(F.col("hole") < F.col("committed"), F.lit(False))
-        ends = ends.withColumn("hole", F.when(torn, F.raise_error(F.concat(F.lit("a hole in the committed part of "), "path"))).otherwise(F.col("hole")))
-    return marked.join(ends, "path").where("hole is null or _due < hole").drop("_due", "_bad", "hole", "committed", "good")
+        hole = F.when(torn, F.raise_error(F.concat(F.lit("a hole in the committed part of "), "path")).cast("int")).otherwise(hole)
+    return ended.where(hole.isNull() | (F.col("_due") < hole)).drop("_due", "_bad", "hole", "committed", "good")
 
 
 def pack(chunks: DataFrame, keys: tuple[str, ...] = ("turn", "step", "index", "kind"), text: str = "text") -> DataFrame:
@@ -235,28 +247,36 @@ def unpack(rows: DataFrame) -> DataFrame:
 
     A run whose arrays don't fit together raises an error.
     """
-    data = F.from_json("data", "turn bigint, step bigint, index bigint, dt array<bigint>, texts array<string>, args array<string>, id string, name string")
+    return _unpacked(rows).where("seq0 is not null").select("path", "number", "seq", "type", "time", "data")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``seq, time`` and ``data`` of each event of a run; a row without ``seq0`` stays as it is, its ``seq`` and ``time`` null."""
+    run = F.col("seq0").isNotNull()
+    rows = rows.withColumn("d", F.from_json(F.when(run, F.col("data")), "turn bigint, step bigint, index bigint, dt array<bigint>, texts array<string>, args array<string>, id string, name string"))
     parts = F.coalesce("d.texts", "d.args")
     fits = (F.size(parts) == F.size("d.dt") + 1) & F.col("seq0").between(0, MAX_SAFE_INTEGER)
-    rows = rows.withColumn("d", data).withColumn("texts", F.when(F.col("seq0").isNull(), F.lit(None)).when(fits, parts).otherwise(F.raise_error("a packed run doesn't fit together")))
-    rows = rows.select("path", "number", "type", "seq0", "time0", "d", F.col("d.dt").alias("dt"), "texts")
-    out = unpack_arrays(rows)
+    opened = rows.select("*", F.posexplode_outer(F.when(run, F.when(fits, parts).otherwise(F.raise_error("a packed run doesn't fit together")))).alias("_k", "text"))
+    time = F.aggregate(F.slice("d.dt", 1, F.col("_k")), F.col("time0"), lambda t, d: t + d)
     delta = F.to_json(F.struct("d.turn", "d.step", "d.index", "d.id", "d.name", "text"))
-    return out.select("path", "number", "seq", "type", "time", delta.alias("data"))
+    return opened.withColumns({"seq": F.col("seq0") + F.col("_k"), "time": F.when(run, time), "data": F.when(run, delta).otherwise(F.col("data"))}).drop("d", "_k", "text")
 
 
 def write(sessions: DataFrame, log: DataFrame, path: str, file_bytes: int = 256 << 20) -> None:
-    """Each session's header line and event lines, in order, in one file with its neighbours by id.
+    """Each session's header line and event lines, in order, in one file with other sessions.
 
-    A file holds the logs of as many sessions as make ``file_bytes``, one after
+    A file holds the logs of as many sessions as make about ``file_bytes``, one after
     another, so the number of files follows the data; :func:`log_lines` tells them
-    apart again.  A log is in one file, so a long one makes a long file.
+    apart again.  A log is in one file, so a long one makes a long file.  Sessions
+    are dealt out by hash, so the log is made once; before, its types and payloads
+    are measured for the number of files.
     """
     head = sessions.select(F.col("id").alias("session_id"), F.lit(-1).cast("bigint").alias("seq"), F.to_json(F.struct(F.lit("session").alias("type"), F.lit(FORMAT_VERSION).alias("version"), "id", F.col("created_at").alias("createdAt"))).alias("value"))
     body = log.select("session_id", "seq", F.to_json(F.struct("type", "seq", "time", F.parse_json("data").alias("data"))).alias("value"))
-    rows = head.unionByName(body)
-    files = max(1, -(-(rows.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0) // file_bytes))
-    rows.repartitionByRange(files, "session_id").sortWithinPartitions("session_id", "seq").select("value").write.text(path)
+    size = F.octet_length("type") + F.coalesce(F.octet_length("data"), F.lit(0)) + _LINE_BYTES
+    total = (log.agg(F.sum(size)).first()[0] or 0) + (sessions.agg(F.sum(F.octet_length(F.col("id").cast("string")) + _LINE_BYTES)).first()[0] or 0)
+    files = max(1, -(-total // file_bytes))
+    head.unionByName(body).repartition(files, "session_id").sortWithinPartitions("session_id", "seq").select("value").write.text(path)
 
 
 def repair(log: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 import zstandard
@@ -323,3 +324,16 @@ def test_orders(spark):
     from eventloom.streaming.schedules import due_order
 
     assert [r.id for r in due_order(rows.where("target is not null").withColumn("position", F.lit(0))).collect()] == ["a", "b"]
+
+
+def test_events_read_plain_files_once_and_open_only_packed_ones_whole(spark, tmp_path):
+    log = [(s, k, "turn/end", k, json.dumps({"k": k})) for s in "abc" for k in range(5)]
+    jsonl.write(spark.createDataFrame([(s, 1) for s in "abc"], "id string, created_at bigint"), spark.createDataFrame(log, EVENTS), str(tmp_path / "out"))
+    lines = jsonl.log_lines(spark, str(tmp_path / "out"))
+    got = jsonl.events(lines)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[value[^\n]*\] text", plan)) == 1
+    assert jsonl.zstd_frames(spark, str(tmp_path / "out")).inputFiles() == []
+    assert sorted((r.seq, r.time) for r in got.collect()) == sorted((k, k) for _, k, *_ in log)
+    (tmp_path / "mixed.jsonl").write_text('{"type":"\\u0073ession","version":0,"id":"m","createdAt":1}\n{"type":"x","seq":0,"time":7,"data":{"a":"session"}}\n')
+    assert [r.id for r in jsonl.headers(jsonl.log_lines(spark, str(tmp_path / "mixed.jsonl"))).collect()] == ["m"]
