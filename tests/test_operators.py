@@ -113,3 +113,14 @@ def test_merged_hooks_give_the_reasons_that_won(spark):
     results = spark.createDataFrame(given, "event string, position int, decision string, reason string, stop string, context string").repartition(3)
     got = metrics.merge_hooks(results)
     assert set(rows(got, "event", "decision", "reason", "stop", "contexts")) == {("a", "deny", "early\nlate", "s0", 2), ("b", "ask", None, None, 0), (None, "allow", "x\ny", None, 0)}
+
+
+def test_text_columns_hold_small_batches(spark):
+    from eventloom.functions.pandas_text import BATCH_BYTES, column
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    table = spark.range(300).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.repeat(F.lit("é"), 100), F.col("id").cast("string"))).alias("t"))
+    got = table.select("id", column(str.upper, "string")("t").alias("u"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH_BYTES
+    assert rows(got.orderBy("id"), "id", "u") == [(k, "É" * 100 + str(k) if k % 7 else None) for k in range(300)]
+    assert rows(got.where("id < 0"), "u") == []
