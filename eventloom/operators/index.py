@@ -1,7 +1,7 @@
 """A positional index for phrase search, kept up by revision.
 
-Postings (a word, a document, the word's places in it) lie in folders by the
-word's bucket, sorted by word; a search reads the folders of its words only.
+Postings (a word, and its places in each document of a block) lie in folders by
+the word's bucket, sorted by word; a search reads the folders of its words only.
 Each reconcile indexes the documents of new and changed sessions into a
 generation of their own; a commit then names all generations and the table that
 says which generation each session's documents are in, so a reader never sees
@@ -14,7 +14,9 @@ import uuid
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,29 +28,64 @@ from .search import normal_phrase, rank
 
 #: Bytes of text whose postings one bucket holds, about.
 BUCKET_BYTES = 256 << 20
+#: Bytes of text of the documents that share a posting; a longer text is alone.
+BLOCK_BYTES = 4 << 20
+#: A posting of so many documents is a frequent word's.
+MANY = 256
 
 
 def postings(documents: DataFrame) -> DataFrame:
     """``session_id, seq, term, positions`` of every different word of every document, places counted in words."""
+    return _opened(blocks(documents))
+
+
+def _opened(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, "term", F.explode("documents").alias("d")).select(*keys, "d.session_id", "d.seq", "term", "d.positions")
+
+
+def blocks(documents: DataFrame) -> DataFrame:
+    """``term, documents`` (``session_id, seq, positions``) of every different word of every block of documents.
+
+    A block is neighbours in a task, of about ``BLOCK_BYTES`` of text: a frequent
+    word is one row there, not one for each document that has it.
+    """
     rows = documents.where("text is not null").select("session_id", "seq", "text")
-    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("session_id", "seq")]
+    kinds = ", ".join(f"{c}: {rows.schema[c].dataType.simpleString()}" for c in ("session_id", "seq"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                owner, terms, places = [], [], []
-                for k, text in enumerate(part.column(2).to_pylist()):
-                    found: dict[str, list[int]] = {}
-                    for place, word in enumerate(fold(text)):
-                        found.setdefault(word, []).append(place)
-                    owner += [k] * len(found)
-                    terms += found
-                    places += found.values()
-                at = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["session_id", "seq", "term", "positions"])
-
-    return rows.mapInArrow(run, ", ".join([*kinds, "term string", "positions array<int>"]))
+            sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                base = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, base + BLOCK_BYTES, "right")))
+                yield _block(batch.slice(start, stop - start))
+                start = stop
+
+    return rows.mapInArrow(run, f"term string, documents array<struct<{kinds}, positions: array<int>>>")
+
+
+def _block(rows: pa.RecordBatch) -> pa.RecordBatch:
+    counts, words = [], []
+    for text in rows.column(2):
+        found = fold(text.as_py())
+        counts.append(len(found))
+        words += found
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    owner = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(words)) - np.repeat(np.cumsum([0, *counts[:-1]]), counts)
+    term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # Documents and places of a word stay in order.
+    order = np.argsort(term, kind="stable")
+    term, owner, place = term[order], owner[order], place[order]
+    new_term = np.r_[True, term[1:] != term[:-1]][: len(term)]
+    first = np.flatnonzero(new_term | np.r_[True, owner[1:] != owner[:-1]][: len(term)])
+    at = pa.array(owner[first], pa.int64())
+    places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(term)], pa.int32()), pa.array(place, pa.int32()))
+    entries = pa.StructArray.from_arrays([rows.column(0).take(at), rows.column(1).take(at), places], names=["session_id", "seq", "positions"])
+    edges = np.r_[np.flatnonzero(new_term[first]), len(first)]
+    terms = coded.dictionary.take(pa.array(term[first[edges[:-1]]], pa.int64()))
+    return pa.RecordBatch.from_arrays([terms, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), entries)], names=["term", "documents"])
 
 
 def _bucket(term, buckets: int):
@@ -56,14 +93,20 @@ def _bucket(term, buckets: int):
 
 
 def _write_generation(documents: DataFrame, folder: str, generation: int, name: str, buckets: int) -> None:
-    rows = postings(documents).withColumn("bucket", _bucket(F.col("term"), buckets))
-    keys = ["bucket", "term", "session_id", "seq"]
-    # By ranges: a word that most documents have is in many files.  The second
-    # format version packs sorted places as differences.
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{folder}/postings/{name}/generation={generation}")
+    _write_postings(blocks(documents).withColumn("bucket", _bucket(F.col("term"), buckets)), f"{folder}/postings/{name}/generation={generation}")
     documents.withColumn("length", F.length("text").cast("bigint")).drop("text").write.parquet(f"{folder}/documents/{name}/generation={generation}")
 
 
+def _write_postings(rows: DataFrame, path: str) -> None:
+    # By hash, so that texts are read for their words once; a bucket is several
+    # tasks' work, and a word that most documents have is many tasks'.
+    some = F.pmod(F.hash("term"), F.lit(4))
+    many = 4 + F.pmod(F.hash(F.col("documents")[0]["session_id"], F.col("documents")[0]["seq"]), F.lit(28))
+    dealt = rows.withColumn("_part", F.when(F.size("documents") >= MANY, many).otherwise(some)).repartition("bucket", "_part").drop("_part")
+    # The second format version packs sorted places as differences.
+    dealt.sortWithinPartitions("bucket", "term").write.option("parquet.writer.version", "v2").partitionBy("bucket").parquet(path)
+
+
 def reconcile(documents: DataFrame, folder: str, sessions: DataFrame) -> int:
     """Bring an index up to ``documents`` and return its revision; the first call makes it.
 
@@ -125,7 +168,7 @@ def matches(spark: SparkSession, folder: str, phrase: str, where: EventFilter =
     terms = sorted(set(wanted))
     buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), held["buckets"])).distinct().collect()] if terms else []
     found = _generations(spark, folder, held, "postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    keys = ["generation", "session_id", "seq"]
+    found, keys = _opened(found, "generation"), ["generation", "session_id", "seq"]
     columns = {t: f"places_{k}" for k, t in enumerate(terms)}
     by_document = found.groupBy(*keys).agg(F.lit(1).alias("_"), *(F.any_value(F.when(F.col("term") == t, F.col("positions")), F.lit(True)).alias(c) for t, c in columns.items()))
     for c in columns.values():
@@ -151,10 +194,12 @@ def compact(spark: SparkSession, folder: str) -> int:
     held = commit_of(spark, folder, base)
     live = spark.read.parquet(f"{folder}/sessions/{held['sessions']}")
     generation, name = base + 1, uuid.uuid4().hex
-    keys = ["bucket", "term", "session_id", "seq"]
     try:
-        kept = _generations(spark, folder, held, "postings").join(live.select("session_id", "generation"), ["session_id", "generation"], "left_semi").drop("generation")
-        kept.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{folder}/postings/{name}/generation={generation}")
+        opened = _opened(_generations(spark, folder, held, "postings").withColumn("block", F.monotonically_increasing_id()), "generation", "bucket", "block")
+        kept = opened.join(live.select("session_id", "generation"), ["session_id", "generation"], "left_semi")
+        # What is left of a block's posting is one again.
+        packed = kept.groupBy("bucket", "term", "block").agg(F.collect_list(F.struct("session_id", "seq", "positions")).alias("documents")).drop("block")
+        _write_postings(packed, f"{folder}/postings/{name}/generation={generation}")
         _generations(spark, folder, held, "documents").join(live.select("session_id", "generation"), ["session_id", "generation"], "left_semi").drop("generation").write.parquet(f"{folder}/documents/{name}/generation={generation}")
         live.withColumn("generation", F.lit(generation)).write.parquet(f"{folder}/sessions/{name}")
         return put(spark, folder, base, held | {"sessions": name, "generations": [[generation, name]]})

@@ -97,3 +97,23 @@ def test_postings_of_empty_and_very_long_texts(spark):
     got = {(r.session_id, r.seq, r.term): r.positions for r in index.postings(docs).collect()}
     assert list(got) == [("b", 0, "word")] and got["b", 0, "word"] == list(range(50_000))
     assert pandas_text.fold("") == []
+
+
+def test_a_word_of_many_documents_is_few_rows(spark, tmp_path):
+    folder, docs = f"{tmp_path}/index", world(spark, 6, sessions=80).coalesce(2)
+    index.reconcile(docs, folder, revisions(docs, 1))
+    held = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/postings")
+    words = {w for r in docs.collect() for w in pandas_text.fold(r.text or "")}
+    assert held.count() <= 2 * len(words) and {r.term for r in held.collect()} == words
+    want = {(r.session_id, r.seq, w): [k for k, x in enumerate(pandas_text.fold(r.text)) if x == w] for r in docs.collect() if r.text for w in pandas_text.fold(r.text)}
+    assert {(r.session_id, r.seq, r.term): r.positions for r in index.postings(docs).collect()} == want
+    assert index.compact(spark, folder) == 2
+    assert found(index.matches(spark, folder, "of the")) == found(search.matches(docs, "of the"))
+
+
+def test_marks_are_left_out_of_words_one_by_one():
+    import unicodedata
+
+    for c in map(chr, [*range(0x250), *range(0x300, 0x370), 0x591, 0x93C, 0x3099, 0x20D0, 0x1D165, 0x1F600]):
+        plain = unicodedata.normalize("NFD", f"a{c}b".lower())
+        assert pandas_text.fold(f"a{c}b") == re.findall(r"[^\W_]+", "".join(x for x in plain if not unicodedata.combining(x)))
