@@ -1,10 +1,11 @@
 """LM scoring: a Katz backoff model of any order with Good-Turing discounts.
 
-Counts are kept in tables partitioned by what they are asked for: words by
-their hash, bigrams and longer by their history.  Documents are dealt out in
-chunks; a chunk asks each partition once for all its different words, then for
-all its different bigrams and so on, and gets the counts of the whole corpus
-back in the order in which it asked.  What a chunk must know of a history as a whole comes
+Scores come from the counts of :mod:`._ngrams`: documents are dealt out in chunks, and
+a chunk asks for the counts of the whole corpus, a partition at a time.
+
+The model's tables (:func:`store`) are partitioned by what they are asked for: words by
+their hash, bigrams and longer by their history.  There a chunk asks each partition once for all its different words, then for
+all its different bigrams and so on.  What a chunk must know of a history as a whole comes
 from one partition.  So no table of the vocabulary goes anywhere whole, and a frequent word
 costs one entry a chunk.
 """
@@ -21,15 +22,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, NOT_SPACE, Words, buffers, chunks, mix, ragged
+from ._ngrams import DISCOUNTED, END, MASS, START, STATS, Corpus, Grams, Texts, lowered, tally
+from ._text import NOT_SPACE, Words, chunks, mix
 
-#: Text of a chunk in bytes; one partition of a table answers for twice as much.
-CHUNK_BYTES = 2 << 20
-#: Counts up to here are discounted.
-DISCOUNTED = 5
-#: Fixed marks for the end of a text, which is a token, and for what precedes it.
-END, START = np.uint64(0x5EED0000000000E1), np.uint64(0x5EED0000000000E2)
-_STATS = DISCOUNTED + 3  # types, tokens, types of count 1 to DISCOUNTED + 1
+#: Text of a chunk in bytes, for scores and for tables; one partition answers for twice as much.
+SCORED_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20
+_STATS, _tally = STATS, tally
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -80,7 +78,7 @@ class Chunk:
     def __init__(self, docs: pa.Table, parts: int):
         tokens, counts = [], []
         for batch in chunks(docs.select(["text"]).to_batches(), "text"):
-            words = Words(*_lowered(batch.column(0)), NOT_SPACE)
+            words = Words(*lowered(batch.column(0)), NOT_SPACE)
             count = words.counts() + 1
             token = np.full(len(words) + len(count), END, np.uint64)
             token[np.arange(len(words)) + words.doc_of()] = words.hashes()
@@ -133,13 +131,6 @@ class Chunk:
         hashes = mix(last.head_hash[last.head] ^ mix(self.words[last.tail]))
         self.levels.append(Level(self, history, last.totals, hashes, last.gram, last))
 
-    def score(self) -> np.ndarray:
-        """log10 probability of every token."""
-        p = self.unigrams.probability(self.known)
-        for level in self.levels:
-            p = level.probability(p)
-        return np.log10(p)
-
 
 class Level:
     """What a chunk asks and is told of the n-grams of one order.
@@ -204,13 +195,6 @@ class Level:
         self.size = self.history_count + ~small[self.history]
         self.free = np.where(small, left, 1.0)
 
-    def probability(self, shorter: np.ndarray) -> np.ndarray:
-        """Of every token, from that under the history one word shorter."""
-        with np.errstate(all="ignore"):
-            seen = _cut(self.gram, self.factors) / self.size
-            unseen = shorter * self.free[self.history] / self.size / (1 - self.seen_mass[self.history])
-        return np.where(self.history_count == 0, shorter, np.where(self.gram > 0, seen, unseen))
-
 
 def _cut(count: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return count * factors[np.where(count <= DISCOUNTED, count, 0)]
@@ -225,11 +209,6 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values[first], of, first
 
 
-def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, at = buffers(texts)
-    return LOWER[data], at
-
-
 def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     edges = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1], True]) if len(sorted_values) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -275,10 +254,6 @@ def _word_totals(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return total[at], rank[at], total
 
 
-def _tally(total: np.ndarray) -> np.ndarray:
-    return np.r_[(total > 0).sum(), total.sum(), [(total == r).sum() for r in range(1, DISCOUNTED + 2)]].astype(np.int64)
-
-
 def _stats_row(total: np.ndarray) -> pa.Table:
     return _table("stats", [_list(np.array([_STATS]), _tally(total), pa.int64())])
 
@@ -428,7 +403,37 @@ def _answered(grams: DataFrame, level: int) -> DataFrame:
     return told.withColumn("level", F.lit(level))
 
 
-def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, order: int = 2) -> DataFrame:
+def _lower(levels: list[Grams], order: int, stats: dict[int, np.ndarray]) -> np.ndarray:
+    """Of each n-gram of ``order`` words that has a count: its last word's probability without the first."""
+    grams = levels[order - 1]
+    if order == 2:
+        return Unigrams.of(stats[1]).probability(levels[0].total[grams.tail])
+    below = levels[order - 2]
+    return (_cut(below.total, _factors(stats, order - 1)) / levels[order - 3].size[below.head])[grams.tail]
+
+
+def _factors(stats: dict[int, np.ndarray], order: int) -> np.ndarray:
+    return discounts(stats.get(order, np.zeros(_STATS, np.int64))[2:])
+
+
+def _probabilities(levels: list[Grams], stats: dict[int, np.ndarray]) -> np.ndarray:
+    """Of every token, from that under each history one word shorter."""
+    p = Unigrams.of(stats[1]).probability(levels[0].total[levels[0].of])
+    r = np.arange(1, DISCOUNTED + 1)
+    for history, grams in zip(levels[:-1], levels[1:], strict=True):
+        factors = _factors(stats, grams.order)
+        left = np.where(history.small, (history.few * ((1 - factors[1:]) * r)).sum(1), 1.0)
+        at = np.flatnonzero(grams.of >= 0)
+        gram = grams.of[at]
+        head = grams.head[gram]
+        with np.errstate(all="ignore"):
+            seen = _cut(grams.total, factors) / history.size[grams.head]
+            unseen = p[at] * (left / history.size / (1 - history.mass / MASS))[head]
+        p[at] = np.where(history.total[head] == 0, p[at], np.where(grams.total[gram] > 0, seen[gram], unseen))
+    return p
+
+
+def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = SCORED_BYTES, order: int = 2) -> DataFrame:
     """``id_col, train, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     The model learns from the rows for which ``train`` (a column over ``docs``)
@@ -446,14 +451,12 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     that was never seen leaves the shorter one's probability as it is.  What
     precedes a text counts as one word, and histories don't reach beyond it.
 
-    Texts are dealt out once, in chunks of about ``chunk_bytes``; the tables have
-    half as many partitions.  A task needs some thirty times a chunk's bytes.  A
-    question is a row for a chunk and a partition that has any of its n-grams or is
-    the home of one of its histories, so there are never more rows than different
-    n-grams and histories in all chunks: the work is in proportion to the corpus, and
-    larger chunks, on executors with more memory, only put more n-grams into a row.
-    The n-grams of a frequent history lie in several partitions; each sends its sums
-    to the history's home, once for all chunks.  A null text is empty: one token.
+    Texts are dealt out once, in chunks of about ``chunk_bytes``; half as many
+    partitions answer.  An n-gram is asked for where its hash says, by each chunk that
+    has it and only if another chunk may have it too; of the chunks that have it one adds
+    it to the sums of its history, and only for histories whose weight some chunk
+    needs.  So the work is in proportion to the corpus.  Larger chunks, on executors with
+    more memory, send less.  A null text is empty: one token.
     A very long text is one chunk, and so are all rows of one id and text.  Where ``train`` is
     null the row isn't learnt from.  Repeated rows count each.  Other columns are
     ignored.
@@ -461,25 +464,22 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     if order < 2:
         raise ValueError("order must be 2 or more")
     id_type = docs.schema[id_col].dataType.simpleString()
-    counts = _counted(docs, train, id_col, text_col, chunk_bytes, order)
-    answers = counts.answers.drop("ids")
-    answers = answers.unionByName(_answered(counts.grams[-1], order), allowMissingColumns=True)
-    informed = counts.informed
+    corpus = Corpus(docs, train, id_col, text_col, chunk_bytes, order, _lower)
     out = f"`{id_col}` {id_type}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
-    def evaluate(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = informed(docs, answers, order)
-        unigrams = chunk.unigrams
-        each = chunk.score()
-        first = chunk.docs[:-1]
-        base = np.log10((chunk.known + 1) / (unigrams.tokens + unigrams.types + 1))
-        n = len(first)
+    def evaluate(docs: pa.Table, texts: Texts, stats: dict[int, np.ndarray]) -> pa.Table:
+        unigrams = Unigrams.of(stats[1])
+        known = texts.levels[0].total[texts.levels[0].of]
+        base, each = np.log10((known + 1) / (unigrams.tokens + unigrams.types + 1)), np.log10(_probabilities(texts.levels, stats))
+        before, n = texts.place == 0, len(texts.first)
+        known[before], base[before], each[before] = 0, 0, 0
+        base, each, known = (np.add.reduceat(x, texts.first) for x in (base, each, (known > 0).astype(np.int64)))
         return _table(
             f"{id_col} train n_tokens n_known train_tokens base_score score",
-            [docs.column("doc"), docs.column("train"), pa.array(np.diff(chunk.docs)), pa.array(np.add.reduceat((chunk.known > 0).astype(np.int64), first)), pa.array(np.full(n, unigrams.tokens)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(each, first))],
+            [docs.column("doc"), docs.column("train"), pa.array(texts.count - 1), pa.array(known), pa.array(np.full(n, unigrams.tokens)), pa.array(base), pa.array(each)],
         )
 
-    return counts.chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, out)
+    return corpus.each_chunk(corpus.told, evaluate, out, corpus.stats)
 
 
 def count_tables(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, order: int = 2) -> list[DataFrame]:
